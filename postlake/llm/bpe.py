@@ -53,7 +53,7 @@ class Bpe:
         self.longest = max((self._size(a + b) for a, b in pairs), default=1)
         self.letters = byte_alphabet()
         self.bytes_of = {c: i for i, c in enumerate(self.letters)}
-        self.word_ids = Cached(self._word, 400_000)
+        self.word_ids = Cached(self._word, 500_000)
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens") or []}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.special_re = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -273,7 +273,7 @@ class Digests:
 
     def __init__(self, path: str):
         self.bpe = loaded(path)
-        self.pairs = Cached(self._pair, 400_000)
+        self.pairs = Cached(self._pair, 600_000)
 
     def _pair(self, run: str) -> tuple[str, str]:
         ids = [*self.bpe.plain(run)]
@@ -301,11 +301,17 @@ class Digests:
         return n, h.hexdigest(), d.hexdigest()
 
 
+@functools.lru_cache(2)
+def digester(path: str) -> Digests:
+    """One a worker process, so that a task finds the runs that earlier ones met."""
+    return Digests(path)
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text. ``path``: a tokenizer file that every executor has."""
 
     def run(batches):
-        digests = Digests(path)
+        digests = digester(path)
         for batch in batches:
             rows = [digests.of(t.as_py() or "") for t in batch.column(1)]
             n, ids, out = zip(*rows, strict=True) if rows else ((), (), ())
