@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postlake.llm import bpe
+from postlake.llm import bpe, fingerprints, langid, packing, quality_rules, suffix, warc
 
 
 def vocabulary() -> str:
@@ -23,11 +24,52 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages' archive against a replica in which every 97th record had a byte overwritten."""
+    recs = warc.records(table(spark, sf_dir, "pages"))
+    return warc.audit(warc.leaves(recs), warc.leaves(warc.corrupted(recs, F.col("page_id") % 97 == 5)))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, page_id // 256 AS file, coalesce(html, '') AS h, coalesce(url, '') AS u FROM pages),
+r AS (SELECT *, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10), 'WARC-Target-URI: ', u, chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(h), chr(13), chr(10), chr(13), chr(10)) AS head FROM p),
+b AS (SELECT *, concat(head, h, chr(13), chr(10), chr(13), chr(10)) AS a, concat(left(concat(head, h), length(concat(head, h)) - 1), '?', chr(13), chr(10), chr(13), chr(10)) AS z FROM r),
+o AS (SELECT *, row_number() OVER w - 1 AS seq, coalesce(sum(strlen(a)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM b WINDOW w AS (PARTITION BY file ORDER BY page_id))
+SELECT file::BIGINT AS file, seq::BIGINT AS seq, page_id, 'content' AS kind, off AS offset_a, strlen(a)::BIGINT AS length_a, sha256(a) AS sha256_a, off AS offset_b, strlen(a)::BIGINT AS length_b, sha256(z) AS sha256_b FROM o WHERE page_id % 97 = 5 AND sha256(a) <> sha256(z)
+"""
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op3_suffix_array": op3_suffix_array,
+        "op4_quality_rules": op4_quality_rules,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op7_warc": op7_warc,
+        "op8_language_id": op8_language_id,
+        "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op7_warc": OP7_SQL}

@@ -30,7 +30,7 @@ def forget(df: DataFrame) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan's input; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def buckets_for(df: DataFrame, each: int = 4 << 20, least: int = 64) -> int:
