@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import bpe, fingerprints, langid, packing, quality_rules, suffix, warc
+from postlake.llm import bpe, classifier, fingerprints, langid, minhash, packing, projections, quality_rules, suffix, warc
 
 
 def vocabulary() -> str:
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -32,6 +36,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.dedup(table(spark, sf_dir, "documents"))
 
@@ -59,15 +67,22 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.near(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_bpe": op2_bpe,
         "op3_suffix_array": op3_suffix_array,
         "op4_quality_rules": op4_quality_rules,
+        "op5_minhash": op5_minhash,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_warc": op7_warc,
         "op8_language_id": op8_language_id,
         "op9_packing": op9_packing,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 

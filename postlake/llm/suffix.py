@@ -48,12 +48,19 @@ class Segments:
         if self.n < WIDTH:
             self.first = self.end = np.zeros(0, np.int64)
             self.name = self.hash = np.zeros(0, np.uint64)
+            self.twice = np.zeros(0, bool)
             return
         at = np.arange(self.n - GRAM + 1)
-        names = _sliding_min(hashing.spans(self.sums, at, at + GRAM), WIDTH - GRAM + 1)
+        grams = hashing.spans(self.sums, at, at + GRAM)
+        names = _sliding_min(grams, WIDTH - GRAM + 1)
         self.first = np.flatnonzero(runs.first_of_runs(names))
         self.end = np.append(self.first[1:], len(names))
         self.name = hashing.mix(names[self.first])
+        # Segments whose naming gram the text has at two places: only they can hold a repeat within the text.
+        known = np.unique(names[self.first])
+        place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        often = np.bincount(place[known[place] == grams], minlength=len(known)) > 1
+        self.twice = often[np.searchsorted(known, names[self.first])]
         self.hash = hashing.spans(self.sums, self.first, self.end - 1 + WIDTH)
 
     def prefixes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,11 +169,8 @@ def _gone(data: np.ndarray, whole: list | None, apart: list | None, found: list
     if found:
         at, h = s.prefixes(np.flatnonzero(runs.members(s.hash, apart)))
         hit.append(at[runs.members(h, found)])
-    # Repeats within the text: only segments whose name it has twice can hold one, or a segment longer than one gram can name.
-    _, inverse, n = np.unique(s.name, return_inverse=True, return_counts=True)
-    twice = (n[inverse] > 1) | (s.end - s.first > WIDTH - GRAM + 1)
-    if twice.any():
-        at, h = s.prefixes(np.flatnonzero(twice))
+    if s.twice.any():
+        at, h = s.prefixes(np.flatnonzero(s.twice))
         _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
         hit.append(at[n[inverse] > 1])
     at = np.concatenate(hit)
