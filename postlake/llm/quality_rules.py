@@ -10,12 +10,16 @@ Extra columns are kept by ``clean`` and not read by ``judge``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\f\r"
 #: Phrases that mark a line as boilerplate.
 BOILERPLATE = r"(?i)\b(all rights reserved|licensed under the|released under the|copyright \(c\)|cookie policy|privacy policy|terms of (use|service)|subscribe to our newsletter|click here|enable javascript|spdx-license-identifier|powered by|sign up now|follow us on)\b"
+#: A text without any of these has no line that fails: symbols, or how one of the phrases begins.
+SUSPECT = r"[#*$%&<>]|[!?]{2}|\|[^|]*\||\b[AaLlRrCcPpTtSsEeFf](?i:ll rig|icensed u|eleased u|opyrig|ookie p|rivacy p|erms of|ubscribe t|lick h|nable j|pdx-l|owered b|ign up|ollow us)"
 _BITS = 21
 
 
@@ -35,41 +39,43 @@ def line_fails(line: Column) -> Column:
     return (F.btrim(line, F.lit(BLANKS)) != "") & (symbols | shouting | navigation | F.rlike(line, F.lit(BOILERPLATE)))
 
 
-def _at(words: Column, i: Column) -> Column:
-    return F.get(words, i)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once a row, whatever the optimizer merges: a lambda's variable is never inlined."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeat_words(w: Column) -> Column:
+    """Words in 3-word windows found twice or more.
+
+    A window is a 43-bit hash and its place in one long: sorted as plain longs, windows that may be equal are
+    neighbours. Only those are compared word by word.
+    """
+    mask = F.lit((1 << _BITS) - 1)
+    n = F.size(w)
+    every = F.sequence(F.lit(0), n - 3)
+    key = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(-(1 << _BITS))).bitwiseOR(i)
+    pairs = lambda keys: F.filter(F.sequence(F.lit(0), n - 4), lambda i: F.shiftright(F.get(keys, i).bitwiseXOR(F.get(keys, i + 1)), _BITS) == 0)
+    place = lambda keys, i: F.get(keys, i).bitwiseAND(mask).cast("int")
+    places = let(F.sort_array(F.transform(every, key)), lambda keys: F.array_distinct(F.flatten(F.transform(pairs(keys), lambda i: F.array(place(keys, i), place(keys, i + 1))))))
+    three = lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("s"), i.alias("i"))
+    same = lambda t: lambda x, i: (F.get(t, i + 1)["s"] == x["s"]) | (F.get(t, i - 1)["s"] == x["s"])
+    hits = let(F.sort_array(F.transform(F.when(n < (1 << _BITS), places).otherwise(every), three)), lambda t: F.sort_array(F.transform(F.filter(t, same(t)), lambda x: x["i"])))
+    # Words in the union of [i, i + 2]: each window adds three, less where the next one begins sooner.
+    total = let(hits, lambda h: F.aggregate(F.transform(h, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(h, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x))
+    return F.when(n < 4, F.lit(0)).otherwise(total).cast("long")
 
 
 def judge(docs: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_failed_lines, lost_chars."""
-    mask = (1 << _BITS) - 1
-    t = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t"))
-    t = t.withColumn("w", words_of(F.col("t"))).withColumn("lines", F.split("t", "\n"))
-    t = t.select("doc_id", "t", "w", F.size("w").cast("long").alias("n_words"), F.filter("lines", lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("lines"))
-    # A 3-word window is a 43-bit hash and its place in one long: sorted as plain longs, windows that may be equal are neighbours.
-    key = lambda i: F.xxhash64(_at(F.col("w"), i), _at(F.col("w"), i + 1), _at(F.col("w"), i + 2)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))
-    fits = (F.col("n_words") >= 3) & (F.col("n_words") <= mask)
-    t = t.select(
-        "doc_id", "w", "n_words", "lines",
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.filter("lines", line_fails).alias("failed"),
-        F.when(fits, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), key))).otherwise(F.array().cast("array<long>")).alias("keys"),
-    )
-    high = lambda x: F.shiftright(x, _BITS)
-    near = lambda x, i: F.coalesce(high(_at(F.col("keys"), i + 1)) == high(x), F.lit(False)) | ((i > 0) & F.coalesce(high(_at(F.col("keys"), i - 1)) == high(x), F.lit(False)))
-    places = F.transform(F.filter("keys", near), lambda x: x.bitwiseAND(F.lit(mask)).cast("int"))
-    every = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), F.col("n_words").cast("int") - 3)).otherwise(F.array().cast("array<int>"))
-    t = t.select("*", F.size("keys").alias("n_keys"), F.when(F.col("n_words") <= mask, places).otherwise(every).alias("places")).drop("keys", "n_keys")
-    # Only windows with such a neighbour are compared word by word.
-    t = t.select("*", F.size("places").alias("n_places"), F.sort_array(F.transform("places", lambda i: F.struct(F.concat_ws(" ", _at(F.col("w"), i), _at(F.col("w"), i + 1), _at(F.col("w"), i + 2)).alias("s"), i.alias("i")))).alias("three"))
-    same = lambda x, i: F.coalesce(_at(F.col("three"), i + 1)["s"] == x["s"], F.lit(False)) | ((i > 0) & F.coalesce(_at(F.col("three"), i - 1)["s"] == x["s"], F.lit(False)))
-    t = t.select("*", F.size("three").alias("n_three"), F.sort_array(F.transform(F.filter("three", same), lambda x: x["i"])).alias("hits"))
-    # Words in the union of [i, i + 2]: each window adds up to three, less where the next one begins sooner.
-    steps = F.transform("hits", lambda x, i: F.least(F.lit(3), F.coalesce(_at(F.col("hits"), i + 1) - x, F.lit(3))))
-    t = t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.size("hits").alias("n_hits"), F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"), F.size("failed").cast("long").alias("n_failed_lines"), F.length(F.regexp_replace(F.array_join("failed", ""), "[ \\t-\\r]+", "")).cast("long").alias("lost_chars"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    words = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), _repeat_words(w).alias("again")))
+    lines = let(F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.when(F.rlike(t, F.lit(SUSPECT)), F.filter(x, line_fails)).otherwise(F.array().cast("array<string>")).alias("failed")))
+    symbols = (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long")
+    made = docs.select("doc_id", words.alias("w"), lines.alias("l"), symbols.alias("n_symbols"))
+    lost = F.length(F.regexp_replace(F.array_join("l.failed", ""), "[ \\t-\\r]+", "")).cast("long")
+    out = made.select("doc_id", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.again").alias("n_repeat_words"), F.size("l.failed").cast("long").alias("n_failed_lines"), lost.alias("lost_chars"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.col("lost_chars") <= max_lost * F.col("word_chars"))).alias("kept"), "n_failed_lines", "lost_chars")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.col("lost_chars") <= max_lost * F.col("word_chars"))).alias("kept"), "n_failed_lines", "lost_chars")
 
 
 def clean(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
