@@ -1,4 +1,357 @@
-"""Every query by name, and its DuckDB twin."""
+"""Every query by name over the driver's tables, and its DuckDB twin."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postlake.adapters import AS_OF, EMAILS_SQL, conversations_as_emails, events_as_emails
+from postlake.functions import text as fn
+from postlake.operators import analytics, filters, ingest, search, threads, triage, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None, emails: bool = True):
+    def add(f):
+        QUERIES[name] = (lambda s, d: f(events_as_emails(read(s, d, "events")))) if emails else f
+        if sql:
+            ORACLES[name] = (f"WITH {EMAILS_SQL} " if emails else "") + sql
+        return f
+
+    return add
+
+
+WEEK = AS_OF - 7 * 86400
+MONTH = AS_OF - 30 * 86400
+_TOP = "SELECT sender_addr, count(*) AS n, count(*) FILTER (NOT is_read) AS unread, max(date_received) AS last_date, arg_max(sender_name, (date_received, id)) AS sender_name FROM emails WHERE {} GROUP BY sender_addr ORDER BY n DESC, sender_addr LIMIT 10"
+_LIST = "SELECT id, message_id, account_uuid, mailbox_role, sender_addr, sender_name, subject_norm AS subject, date_received, is_read, is_flagged, attachment_count FROM emails WHERE {} ORDER BY date_received DESC, id LIMIT 50"
+
+
+@query("top_senders", _TOP.format("true"))
+def _(m):
+    return analytics.top_senders(m)
+
+
+@query("top_senders_inbox", _TOP.format(f"mailbox_role = 'inbox' AND account_uuid = 'acct3' AND date_received >= {WEEK}"))
+def _(m):
+    return analytics.top_senders(m, since=WEEK, mailbox="inbox", account="acct3")
+
+
+@query("inbox_overview_counts", f"SELECT count(*) AS total, count(*) FILTER (NOT is_read) AS unread, count(*) FILTER (is_flagged) AS flagged, count(*) FILTER (date_received >= {AS_OF}) AS today, count(*) FILTER (date_received >= {WEEK}) AS this_week FROM emails WHERE mailbox_role = 'inbox'")
+def _(m):
+    return analytics.inbox_counts(m, AS_OF)
+
+
+@query("by_account", "SELECT account_uuid, count(*) AS total, count(*) FILTER (NOT is_read) AS unread FROM emails WHERE mailbox_role = 'inbox' GROUP BY 1")
+def _(m):
+    return analytics.by_account(m)
+
+
+@query("stats_account", f"SELECT count(*) AS total, count(*) FILTER (is_read) AS n_read, count(*) FILTER (is_flagged) AS flagged, count(*) FILTER (mailbox_role = 'sent') AS sent, sum(attachment_count)::BIGINT AS attachments FROM emails WHERE date_received >= {MONTH} AND account_uuid = 'acct2'")
+def _(m):
+    return analytics.account_statistics(m, AS_OF, account="acct2")
+
+
+@query("stats_sender", f"SELECT count(*) AS total, coalesce(sum(attachment_count), 0)::BIGINT AS attachments FROM emails WHERE sender_addr = 'user7@example.com' AND date_received >= {MONTH}")
+def _(m):
+    return analytics.sender_statistics(m, "user7@example.com", AS_OF)
+
+
+@query("stats_mailbox", "SELECT mailbox_role AS mailbox_name, count(*) AS total, count(*) FILTER (NOT is_read) AS unread FROM emails GROUP BY 1")
+def _(m):
+    return analytics.mailbox_breakdown(m)
+
+
+@query("mailboxes", "SELECT account_uuid, mailbox_role AS mailbox_name, min(mailbox_role) AS mailbox_role, max(account_name) AS account_name, count(*) AS total, count(*) FILTER (NOT is_read) AS unread FROM emails GROUP BY 1, 2")
+def _(m):
+    return analytics.mailboxes(m)
+
+
+@query("accounts", "SELECT DISTINCT account_uuid, account_name FROM emails")
+def _(m):
+    return analytics.accounts(m)
+
+
+@query("emails_unread", _LIST.format("NOT is_read"))
+def _(m):
+    return analytics.listing(m, "unread", AS_OF)
+
+
+@query("emails_flagged", _LIST.format("is_flagged AND mailbox_role = 'inbox'"))
+def _(m):
+    return analytics.listing(m, "flagged", AS_OF, mailbox="inbox")
+
+
+@query("emails_last7", _LIST.format(f"date_received >= {WEEK} AND attachment_count > 0"))
+def _(m):
+    return analytics.listing(m, "last_7_days", AS_OF, has_attachments=True)
+
+
+@query("emails_color", _LIST.format("flag_color = 3"))
+def _(m):
+    return analytics.listing(m, "all", AS_OF, color="green")
+
+
+@query("emails_between", _LIST.format(f"date_received <= {WEEK} AND date_received >= {MONTH} AND attachment_count = 0"))
+def _(m):
+    return analytics.listing(m, "all", AS_OF, before=WEEK, after=MONTH, has_attachments=False)
+
+
+_AWAIT = f"""SELECT id, message_id, recipient, subject_norm AS subject, date_received AS date_sent, greatest(0, {AS_OF} - date_received) AS seconds_waiting FROM emails s
+WHERE mailbox_role = 'sent' AND NOT is_bulk AND date_received >= {WEEK} AND NOT EXISTS (SELECT 1 FROM emails r WHERE r.sender_addr = s.recipient AND r.date_received > s.date_received AND (r.in_reply_to = s.message_id OR (s.subject_norm <> '' AND r.subject_norm = s.subject_norm)))"""
+
+
+@query("awaiting_reply", _AWAIT + " ORDER BY seconds_waiting DESC, id LIMIT 20")
+def _(m):
+    return triage.awaiting_reply(m, AS_OF)
+
+
+@query("awaiting_reply_all", _AWAIT)
+def _(m):
+    return triage.awaiting_reply(m, AS_OF, limit=None)
+
+
+@query(
+    "needs_response",
+    f"""SELECT id, sender_addr, subject_norm AS subject, date_received, score::INTEGER AS score, array_to_string(list_filter([CASE WHEN q THEN 'contains a question' END, CASE WHEN r THEN 'contains a request phrase' END, CASE WHEN u THEN 'urgency cue or flagged' END, CASE WHEN age >= 1 THEN 'unanswered for ' || age || '+ day(s)' END], lambda x: x IS NOT NULL), '; ') AS reasons, CASE WHEN score >= 7 THEN 'HIGH' WHEN score >= 5 THEN 'MEDIUM' ELSE 'NORMAL' END AS priority
+FROM (SELECT *, 3 * q::INT + 2 * r::INT + 3 * u::INT + least(3, greatest(0, age)) AS score FROM (SELECT *, contains(subject_norm, '?') AS q, regexp_matches(subject_norm, '\\b(can you|could you|please|let me know|need|request|review|approve|confirm|deadline)\\b', 'i') AS r, regexp_matches(subject_norm, '\\b(urgent|asap|eod|by end of day|by tomorrow)\\b', 'i') OR is_flagged AS u, ({AS_OF} - date_received) // 86400 AS age
+FROM emails WHERE mailbox_role = 'inbox' AND NOT is_read AND NOT is_answered AND NOT is_bulk AND date_received >= {WEEK})) WHERE score >= 4""",
+)
+def _(m):
+    return triage.needs_response(m, AS_OF)
+
+
+@query(
+    "contacts",
+    """SELECT address, name, coalesce(received, 0)::BIGINT AS received, coalesce(sent, 0)::BIGINT AS sent, greatest(r_last, s_last) AS last_contact, (coalesce(received, 0) + coalesce(sent, 0))::BIGINT AS total
+FROM (SELECT lower(sender_addr) AS address, count(*) AS received, max(date_received) AS r_last, arg_max(sender_name, (date_received, id)) AS name FROM emails WHERE mailbox_role <> 'sent' GROUP BY 1) FULL JOIN (SELECT lower(recipient) AS address, count(*) AS sent, max(date_received) AS s_last FROM emails WHERE mailbox_role = 'sent' GROUP BY 1) USING (address) ORDER BY total DESC, last_contact DESC, address LIMIT 100""",
+)
+def _(m):
+    return triage.contacts(m)
+
+
+@query("contact_one", "SELECT count(*) AS n, max(date_received) AS last_date, arg_max(sender_name, (date_received, id)) AS name FROM emails WHERE sender_addr = 'user42@example.com'")
+def _(m):
+    return triage.contact(m, "user42@example.com")
+
+
+@query("newest_copy", "SELECT subject_norm, arg_max(id, (date_received, -id)) AS id, max(date_received) AS date_received FROM emails GROUP BY 1")
+def _(m):
+    return analytics.newest_copy(m, "subject_norm").select("subject_norm", "id", "date_received")
+
+
+@query("subject_merge", "SELECT id, first_value(id) OVER (PARTITION BY subject_norm ORDER BY date_received, id) AS anchor FROM emails WHERE subject_norm <> ''")
+def _(m):
+    return threads.subject_anchor(m)
+
+
+@query("noreply_flag", "SELECT p_partkey, regexp_matches(a, '\\b(no[-._]?reply|do[-._]?not[-._]?reply|notifications?|mailer-daemon|postmaster|automated)\\b', 'i') AS noreply FROM (SELECT p_partkey, ['no-reply@', 'anna@', 'Notifications@', 'do_not_reply@', 'snoreply@'][1 + p_partkey % 5] || p_brand AS a FROM part)", emails=False)
+def _(spark, d):
+    a = F.concat(F.element_at(F.array(*map(F.lit, ("no-reply@", "anna@", "Notifications@", "do_not_reply@", "snoreply@"))), (1 + F.col("p_partkey") % 5).cast("int")), "p_brand")
+    return read(spark, d, "part").select("p_partkey", filters.no_reply(a).alias("noreply"))
+
+
+@query("normalize_subject", "SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS subject, 'm' || p_partkey || '@x' AS message_id FROM part", emails=False)
+def _(spark, d):
+    p = F.element_at(F.array(*map(F.lit, ("Re: ", "FWD: re[2]: ", "", "Antwort :", " AW: "))), (1 + F.col("p_partkey") % 5).cast("int"))
+    return read(spark, d, "part").select("p_partkey", fn.normalize_subject(F.concat(p, "p_name")).alias("subject"), fn.normalize_message_id(F.concat(F.lit(" <m"), F.col("p_partkey").cast("string"), F.lit("@ x> "))).alias("message_id"))
+
+
+def _halves(spark, d):
+    o = read(spark, d, "orders")
+    rows = o.select(F.concat(F.lit("p/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_custkey").alias("rowid"), F.lit("a").alias("account"), F.col("o_orderkey").alias("k"), F.floor("o_totalprice").alias("mtime"), F.length("o_orderpriority").alias("size"))
+    known = rows.where("k % 3 <> 0").select("path", "rowid", "account", "mtime", "size")
+    disk = rows.where("k % 4 <> 0").select("path", "rowid", "account", F.when(F.col("k") % 5 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")).alias("mtime"), "size")
+    return disk, known
+
+
+_HALVES = """r AS (SELECT 'p/' || o_orderkey AS path, o_custkey AS rowid, o_orderkey AS k, floor(o_totalprice)::BIGINT AS mtime, length(o_orderpriority) AS size FROM orders),
+known AS (SELECT * FROM r WHERE k % 3 <> 0), disk AS (SELECT path, rowid, k, CASE WHEN k % 5 = 0 THEN mtime + 1 ELSE mtime END AS mtime, size FROM r WHERE k % 4 <> 0)"""
+
+
+@query(
+    "inventory_diff",
+    f"""WITH {_HALVES}, d AS (SELECT coalesce(a.path, b.path) AS path, coalesce(a.rowid, b.rowid) AS rowid, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'deleted' WHEN a.mtime <> b.mtime OR a.size <> b.size THEN 'changed' ELSE 'unchanged' END AS change FROM disk a FULL JOIN known b ON a.path = b.path),
+g AS (SELECT rowid, max(path) AS old_path FROM d WHERE change = 'deleted' GROUP BY rowid HAVING count(*) = 1),
+n AS (SELECT d.path, CASE WHEN g.old_path IS NULL THEN 'added' ELSE 'moved' END AS change, g.old_path FROM d LEFT JOIN g USING (rowid) WHERE d.change = 'added')
+SELECT * FROM n UNION ALL SELECT path, change, NULL FROM d WHERE change <> 'added' AND path NOT IN (SELECT old_path FROM n WHERE old_path IS NOT NULL)""",
+    emails=False,
+)
+def _(spark, d):
+    return ingest.inventory_diff(*_halves(spark, d))
+
+
+@query("upsert_merge", f"WITH {_HALVES} SELECT coalesce(a.path, b.path) AS path, coalesce(a.mtime, b.mtime) AS mtime, CASE WHEN b.path IS NULL THEN NULL ELSE b.size END AS flag_color, CASE WHEN a.path IS NULL THEN 2 ELSE 0 END AS embed_state FROM disk a FULL JOIN known b ON a.path = b.path", emails=False)
+def _(spark, d):
+    disk, known = _halves(spark, d)
+    return ingest.merge(known.select("path", "mtime", F.col("size").alias("flag_color"), F.lit(2).alias("embed_state")), disk.select("path", "mtime"), "path", kept=("flag_color",), reset={"embed_state": 0})
+
+
+@query(
+    "dead_letter_merge",
+    """WITH k AS (SELECT 'f' || event_id AS path, 'old' AS error, (event_id % 3 + 1)::INT AS attempts, event_id AS first_seen, event_id AS last_seen FROM events WHERE event_id % 2 = 0), f AS (SELECT DISTINCT 'f' || event_id AS path FROM events WHERE event_id % 5 = 0), o AS (SELECT 'f' || event_id AS path FROM events WHERE event_id % 7 = 0)
+SELECT path, CASE WHEN f.path IS NOT NULL THEN 'new' ELSE error END AS error, coalesce(attempts, 0) + (f.path IS NOT NULL)::INT AS attempts, coalesce(first_seen, 99) AS first_seen, CASE WHEN f.path IS NOT NULL THEN 99 ELSE last_seen END AS last_seen FROM k FULL JOIN f USING (path) WHERE path NOT IN (SELECT path FROM o)""",
+    emails=False,
+)
+def _(spark, d):
+    e = read(spark, d, "events").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.col("event_id").alias("i"))
+    known = e.where("i % 2 = 0").select("path", F.lit("old").alias("error"), (F.col("i") % 3 + 1).cast("int").alias("attempts"), F.col("i").alias("first_seen"), F.col("i").alias("last_seen"))
+    return ingest.dead_letters(known, e.where("i % 5 = 0").select("path", F.lit("new").alias("error")), e.where("i % 7 = 0"), 99)
+
+
+# Search: columns subject (first line) and body (text), unstemmed tokens.
+_COLUMNS, _WEIGHTS = {"subject": "subject", "body": "text"}, {"subject": 10.0, "body": 1.0}
+
+
+def _docs(spark, d):
+    return read(spark, d, "documents").withColumn("subject", F.get(F.split("text", "\n"), F.lit(0)))
+
+
+def _bm25_sql(terms: list[str], scope: str | None = None, any_of: bool = False, without: tuple = (), where: str = "true", tail: str = "ORDER BY s DESC, doc_id LIMIT 25", out: str = "doc_id, round(s, 6) AS score") -> str:
+    tok = lambda c: f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')"
+    cond = lambda t: f"starts_with(x, '{t[:-1]}')" if t.endswith("*") else f"x = '{t}'"
+    cnt = lambda t: " + ".join(f"{_WEIGHTS[c]} * len(list_filter({c[0]}t, lambda x: {cond(t)}))" for c in _COLUMNS if scope in (None, c))
+    fs = ", ".join(f"{cnt(t)} AS f{i}" for i, t in enumerate([*terms, *without]))
+    ns = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(terms)))
+    sc = " + ".join(f"CASE WHEN ln((N - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((N - n{i} + 0.5) / (n{i} + 0.5)) END * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / avgdl))" for i in range(len(terms)))
+    has = (" OR " if any_of else " AND ").join(f"f{i} > 0" for i in range(len(terms)))
+    no = "".join(f" AND NOT f{len(terms) + i} > 0" for i in range(len(without)))
+    return f"""WITH t AS (SELECT doc_id, lang, {tok("string_split(text, chr(10))[1]")} AS st, {tok("text")} AS bt FROM documents), c AS (SELECT doc_id, lang, len(st) + len(bt) AS len, {fs} FROM t), z AS (SELECT count(*) AS N, avg(len) AS avgdl, {ns} FROM c),
+m AS (SELECT doc_id, lang, {sc} AS s FROM c, z WHERE ({has}){no}) SELECT {out} FROM m WHERE {where} {tail}"""
+
+
+def _rounded(df):
+    return df.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_search", _bm25_sql(["the", "ndtion"]), emails=False)
+def _(spark, d):
+    return _rounded(search.page(search.bm25(_docs(spark, d), _COLUMNS, ["the", "ndtion"], _WEIGHTS)))
+
+
+@query("bm25_scoped", _bm25_sql(["estion"], scope="subject", tail=""), emails=False)
+def _(spark, d):
+    return _rounded(search.bm25(_docs(spark, d), _COLUMNS, ["estion"], _WEIGHTS, scope="subject"))
+
+
+@query("bm25_filtered", _bm25_sql(["the"], where="lang = 'en' AND doc_id % 2 = 0", tail=""), emails=False)
+def _(spark, d):
+    docs = _docs(spark, d)
+    return _rounded(search.bm25(docs, _COLUMNS, ["the"], _WEIGHTS).join(docs.where("lang = 'en' and doc_id % 2 = 0").select("doc_id"), "doc_id", "left_semi"))
+
+
+@query("bm25_count", _bm25_sql(["the"], out="count(*) AS total_estimated", tail=""), emails=False)
+def _(spark, d):
+    return search.bm25(_docs(spark, d), _COLUMNS, ["the"], _WEIGHTS).agg(F.count("*").alias("total_estimated"))
+
+
+@query("bm25_offset", _bm25_sql(["estion"], tail="ORDER BY s DESC, doc_id LIMIT 10 OFFSET 10"), emails=False)
+def _(spark, d):
+    return _rounded(search.page(search.bm25(_docs(spark, d), _COLUMNS, ["estion"], _WEIGHTS), 10, 10))
+
+
+@query("boolean_search", _bm25_sql(["ndtion", "estion"], any_of=True, without=("and",), tail=""), emails=False)
+def _(spark, d):
+    return _rounded(search.bm25(_docs(spark, d), _COLUMNS, ["ndtion", "estion"], _WEIGHTS, mode="any", without=("and",)))
+
+
+@query("prefix_search", _bm25_sql(["ndt*"], tail=""), emails=False)
+def _(spark, d):
+    return _rounded(search.bm25(_docs(spark, d), _COLUMNS, ["ndt*"], _WEIGHTS))
+
+
+@query("phrase_search", "SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'))::BIGINT AS hits FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents) WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0", emails=False)
+def _(spark, d):
+    return search.phrase(_docs(spark, d), "text", ["of", "the"])
+
+
+@query("trigram_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'example.com')", emails=False)
+def _(spark, d):
+    return search.substring(_docs(spark, d), ["subject", "text"], "Example.com")
+
+
+@query("term_statistics", "SELECT x AS term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS x FROM documents) GROUP BY x HAVING count(DISTINCT doc_id) >= 20", emails=False)
+def _(spark, d):
+    per = search.postings(_docs(spark, d), {"body": "text"}).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).where("df >= 20")
+
+
+_COS = "1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)))"
+_V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q FROM embeddings)"
+
+
+def _first(v):
+    return [float(x) for x in v.where("vec_id = 0").select("embedding").first()[0]]
+
+
+@query("knn", f"WITH {_V} SELECT vec_id, round({_COS}, 6) AS distance FROM v ORDER BY {_COS}, vec_id LIMIT 10", emails=False)
+def _(spark, d):
+    v = read(spark, d, "embeddings")
+    return vectors.knn(v, _first(v)).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("semantic_page", f"WITH {_V} SELECT vec_id, round({_COS}, 6) AS distance FROM v WHERE label = 3 ORDER BY {_COS}, vec_id LIMIT 25", emails=False)
+def _(spark, d):
+    v = read(spark, d, "embeddings")
+    return vectors.knn(v, _first(v), 25, F.col("label") == 3).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("hybrid_rrf", f"WITH b AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM ({_bm25_sql(['the'], tail='ORDER BY s DESC, doc_id LIMIT 100', out='doc_id, s')})), {_V}, k AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY d, vec_id) AS rank FROM (SELECT vec_id, {_COS} AS d FROM v ORDER BY d, vec_id LIMIT 100)) SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM k) GROUP BY doc_id", emails=False)
+def _(spark, d):
+    v = read(spark, d, "embeddings")
+    words = vectors.ranked(search.page(search.bm25(_docs(spark, d), _COLUMNS, ["the"], _WEIGHTS), 100), "doc_id", F.desc("score"))
+    near = vectors.ranked(vectors.knn(v, _first(v), 100).withColumnRenamed("vec_id", "doc_id"), "doc_id", F.asc("distance"))
+    return _rounded(vectors.fused([words, near], "doc_id"))
+
+
+@query("thread_summary", "SELECT conv_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT role)), ',') AS participants, min(1700000000 + conv_id * 86400 + turn * 3600) AS first_date, max(1700000000 + conv_id * 86400 + turn * 3600) AS last_date, count(*) FILTER (role <> 'user') AS unread, arg_max(role, turn) = 'assistant' AS answered_last FROM conversations GROUP BY conv_id", emails=False)
+def _(spark, d):
+    m = conversations_as_emails(read(spark, d, "conversations"))
+    return threads.summaries(m.withColumn("conv_id", F.floor(F.col("id") / 1000)), "conv_id")
+
+
+@query("thread_positions", "SELECT conv_id * 1000 + turn AS id, conv_id * 1000 AS thread_id, turn::INTEGER AS position, turn::INTEGER AS depth FROM conversations", emails=False)
+def _(spark, d):
+    return threads.threads(conversations_as_emails(read(spark, d, "conversations")))
+
+
+@query("thread_components", "WITH RECURSIVE e AS (SELECT event_id, CASE WHEN CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % 7 = 0 THEN event_id - 5 END AS up FROM events), w AS (SELECT event_id, event_id AS top, up FROM e UNION ALL SELECT w.event_id, w.up, e.up FROM w LEFT JOIN e ON e.event_id = w.up WHERE w.up IS NOT NULL), t AS (SELECT event_id, min(top) AS top FROM w GROUP BY event_id) SELECT t.event_id AS id, count(*) OVER (PARTITION BY top) AS n FROM t", emails=False)
+def _(spark, d):
+    from pyspark.sql import Window
+
+    m = events_as_emails(read(spark, d, "events"))
+    return m.join(threads.labelled(m), "message_id").select("id", F.count("*").over(Window.partitionBy("component")).alias("n"))
+
+
+@query("html_links", "SELECT page_id, array_to_string(list_transform(list_filter(list_distinct_first, lambda x: NOT regexp_matches(x, '^(mailto|javascript|cid|data):', 'i')), lambda x: x), ' ') AS links FROM (SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_first FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1, 'i') AS l FROM pages))", emails=False)
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", F.array_join(fn.links(F.col("html")), " ").alias("links"))
+
+
+@query("html_text", None, emails=False)
+def _(spark, d):
+    from postlake.functions.html import html_to_text
+
+    return read(spark, d, "pages").select("page_id", html_to_text("html").alias("text"))
+
+
+@query("message_handle", "SELECT event_id AS id, 'amid:v1:' || rtrim(replace(replace(base64(encode('acct' || (user_id % 7) || '|' || event_id)), '+', '-'), '/', '_'), '=') AS handle FROM events", emails=False)
+def _(spark, d):
+    m = events_as_emails(read(spark, d, "events"))
+    return m.select("id", fn.handle(F.col("account_uuid"), F.col("id").cast("string")).alias("handle"))
+
+
+@query("newest_batch", "SELECT o_custkey AS batch, max(epoch_us(o_orderdate) // 1000000) AS ts FROM orders GROUP BY 1 ORDER BY ts DESC, batch DESC LIMIT 500", emails=False)
+def _(spark, d):
+    from postlake.operators.actions import batches
+
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("batch"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"))
+    return batches(o)
