@@ -83,7 +83,7 @@ def build(rows: list[dict]) -> Iterator[dict]:
                 root = known[n]["id"] if root is None else root
                 yield {"id": known[n]["id"], "thread_id": root, "position": position, "depth": depth}
                 position += 1
-            stack += [(c, depth + 1) for c in sorted(children.get(n, []), key=date, reverse=True)]
+            stack += [(c, depth + 1) for c in reversed(sorted(children.get(n, []), key=date))]
 
 
 def threads(emails: DataFrame) -> DataFrame:
