@@ -8,8 +8,8 @@ matter, so nearly all elements are left after their first arrival.
 Shingles are SHINGLE consecutive words, unchanged (fewer where a text is shorter), weighted by 1 + ln(count); a link
 needs a Jaccard similarity of the shingle sets of at least ``least``. Documents with equal word sequences are one
 class from the start and enter as their smallest doc_id. Bands give candidate groups; each group is first compared
-with one member, and where a group still holds several classes, every pair of members of different classes that
-their signatures do not rule out is verified too. So no group is expanded into all its pairs, and no link between
+with one member, then with other members while it holds several classes; at last every pair of members of different
+classes that their signatures do not rule out is verified. So no group is expanded into all its pairs, and no link between
 classes that share a band is lost.
 
 Defined results: a text that is null or has no word is a class of its own; ties keep the smallest doc_id; a null
@@ -29,7 +29,7 @@ from postlake.llm import hashing, runs
 from postlake.llm.components import components
 from postlake.llm.shared import written
 
-SHINGLE, M, BANDS = 5, 120, 24
+SHINGLE, M, BANDS = 5, 100, 20
 ROWS = M // BANDS
 _U = np.uint64
 
@@ -38,7 +38,7 @@ def signature(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The M first-arrived elements (hashes) of a weighted set that isn't empty."""
     best, owner = np.full(M, np.inf), np.zeros(M, np.uint64)
     state, time = hashing.mix(elements + _U(0x632BE59BD9B4E019)), np.zeros(len(elements))
-    horizon = M * (np.log(M) + 3.0) / weights.sum()
+    horizon = M * (np.log(M) + 2.0) / weights.sum()
     alive = np.arange(len(elements))
     waiting: list[np.ndarray] = []
     state_of, time_of = state, time
@@ -66,7 +66,7 @@ def signature(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
         if best.max() <= horizon:
             return owner
         alive, waiting = np.concatenate(waiting), []
-        horizon *= 2
+        horizon *= 1.5
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -144,7 +144,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, least: float = 0.8, recentred: int = 3) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), exact_id (smallest doc_id with the same words), n_links, kept.
 
     n_links: verified links of the row's exact class to other exact classes.
@@ -161,15 +161,24 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     stars = member.where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
     links = written(_verified(written(near(stars), "near"), docs, least), "links")
     found = written(components(links, "a", "b"), "found")
-    # Groups that still hold several classes: their members are compared across classes.
-    placed = member.join(found, member["doc_id"] == found["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("cls"))
-    mixed = placed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
-    left = written(placed.join(mixed, "key"), "mixed")
-    x, y = left.select("key", F.col("doc_id").alias("a"), F.col("cls").alias("ca")), left.select("key", F.col("doc_id").alias("b"), F.col("cls").alias("cb"))
-    across = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_verified(written(near(across), "near"), docs, least), "links")
-    every = links.unionByName(more)
-    if more.limit(1).count():
+    every, seen = links, stars
+    for k in range(recentred + 1):
+        # Groups that still hold several classes: compared with another member first, then across classes.
+        placed = member.join(found, member["doc_id"] == found["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("cls"))
+        mixed = placed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min_by(F.struct("doc_id", "cls"), F.xxhash64("doc_id", "key", F.lit(k))).alias("m")).where("lo < hi").select("key", F.col("m.doc_id").alias("c"), F.col("m.cls").alias("ccls"))
+        left = written(placed.join(mixed, "key"), "mixed")
+        if k < recentred:
+            pairs = left.where("cls <> ccls").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
+        else:
+            x, y = left.select("key", F.col("doc_id").alias("a"), F.col("cls").alias("ca")), left.select("key", F.col("doc_id").alias("b"), F.col("cls").alias("cb"))
+            pairs = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
+        close = written(near(pairs), "near")
+        if k < recentred:
+            seen = written(seen.unionByName(pairs), "seen")
+        if not close.limit(1).count():
+            continue
+        every = written(every.unionByName(_verified(close, docs, least)), "links")
         found = written(components(every, "a", "b"), "found")
     degree = every.select(F.col("a").alias("exact_id")).unionByName(every.select(F.col("b").alias("exact_id"))).groupBy("exact_id").agg(F.count("*").alias("n_links"))
     per_exact = exact.select("words", "exact_id").join(found.select(F.col("node").alias("exact_id"), "component"), "exact_id", "left").join(degree, "exact_id", "left")
