@@ -90,9 +90,34 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, max_features
         chosen = counted.where("f <> ''").select("f", ratio.alias("on"), apart.alias("z")).where(F.col("z") >= z).orderBy(F.desc("z"), "f").limit(max_features).collect()
         # Presence only: what a short text lacks says nothing about it.
         model[label] = {"prior": n1 / n, "weights": {r["f"]: r["on"] for r in chosen}}
+    # Features that go together are counted again and again, so the sums are set to scale on the sample: at most fit_rows pairs of numbers.
+    if any(model[x]["weights"] for x in LABELS):
+        raw = evidence(rows, model, (F.lit(""), F.lit(""))).join(F.broadcast(sample.select("doc_id", *(F.col(x).alias(f"is_{x}") for x in LABELS))), "doc_id").collect()
+        for x in LABELS:
+            if model[x]["weights"]:
+                pairs = [(r[x], r[f"is_{x}"]) for r in raw if r[f"is_{x}"] is not None]
+                a, b = scaled(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]) > 0)
+                model[x] |= {"scale": a, "shift": b - math.log(model[x]["prior"] / (1 - model[x]["prior"]))}
     return model
 
 
+def scaled(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of a logistic curve through the sums, by Newton steps on targets held off 0 and 1."""
+    n1, n0 = int(y.sum()), int((~y).sum())
+    if not n1 or not n0:
+        return 1.0, 0.0
+    t = np.where(y, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.stack([s, np.ones(len(s))], 1)
+    w, ridge = np.array([0.0, math.log(n1 / n0)]), np.array([1e-3, 1e-3])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge) + 1e-6 * np.eye(2), x.T @ (t - p) - ridge * w)
+        w = w + step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(w[0]), float(w[1])
+
+
 def evidence(docs: DataFrame, model: dict, by: tuple[Column, Column], most: float = 12.0) -> DataFrame:
     """doc_id, host, path and, for each label, the log likelihood ratio (within +-most)."""
 
@@ -104,6 +129,7 @@ def evidence(docs: DataFrame, model: dict, by: tuple[Column, Column], most: floa
                 for x in LABELS:
                     m = model[x]
                     s = sum(map(m["weights"].get, sorted(found & m["weights"].keys()))) if found else 0.0
+                    s = max(-4 * most, min(4 * most, s)) * m.get("scale", 1.0) + (m.get("shift", 0.0) if found else 0.0)
                     out[x].append(max(-most, min(most, s)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), *(pa.array(out[x], pa.float64()) for x in LABELS)], ["doc_id", "host", "path", *LABELS])
 
