@@ -13,6 +13,8 @@ length 1; equal texts are packed separately; an empty table gives no rows; a tex
 from __future__ import annotations
 
 import functools
+import json
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,22 +23,55 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from postlake.llm import bpe
 from postlake.llm.shared import written
 
 
+class Encoder:
+    """Ids of white-space runs: words are cut here and merged by the tokenizers library; both are kept until ``most`` are held."""
+
+    def __init__(self, path: str, most: int = 600_000):
+        self.bpe, self.most = bpe.loaded(path), most
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        bare = {"normalizer", "pre_tokenizer", "post_processor", "decoder", "truncation", "padding"}
+        self.model = Tokenizer.from_str(json.dumps(spec | dict.fromkeys(bare) | {"added_tokens": []})).model
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.runs = bpe.Cached(self._run, most)
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        if len(word) > bpe.RUN:
+            return tuple(self.bpe.word_ids[word])
+        if len(self.words) >= self.most:
+            self.words.clear()
+        ids = self.words[word] = tuple([t.id for t in self.model.tokenize("".join(self.bpe.symbols(word)))])
+        return ids
+
+    def _run(self, run: str) -> bytes:
+        known = self.words.get
+        low = self.bpe.normal(run)
+        ids: list[int] = []
+        for w in (low,) if low.isascii() and low.isalpha() else self.bpe.pretoken.findall(low):
+            ids += known(w) or self._word(w)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def of(self, runs: list[str]) -> bytes:
+        """Little-endian ids of runs in a row."""
+        return b"".join(map(self.runs.__getitem__, runs))
+
+
 @functools.lru_cache(2)
-def _encoder(path: str) -> tuple[bpe.Bpe, bpe.Cached]:
-    b = bpe.loaded(path)
-    return b, bpe.Cached(lambda run: np.fromiter(b.plain(run), np.dtype("<u4")).tobytes(), 600_000)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _ids(text: str, path: str) -> Iterator[bytes]:
     """Little-endian ids of a text, some thousands at a time."""
-    b, cache = _encoder(path)
-    for piece in b.pieces(text):
-        yield np.fromiter(b.run(piece), np.dtype("<u4")).tobytes() if isinstance(piece, str) else b"".join(map(cache.__getitem__, piece))
+    e = _encoder(path)
+    for piece in e.bpe.pieces(text):
+        yield np.fromiter(e.bpe.run(piece), np.dtype("<u4")).tobytes() if isinstance(piece, str) else e.of(piece)
 
 
 def cut(text: str, path: str, capacity: int, end_id: int) -> Iterator[tuple[int, int, int]]:
