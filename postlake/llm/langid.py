@@ -13,51 +13,65 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_WORD = regex.compile(r"\p{L}+")
 _LONGEST = 4
+#: Characters counted at a time.
+_PIECE = 1 << 18
 
 
-@functools.lru_cache(200_000)
-def grams(word: str) -> np.ndarray:
-    """Packed n-grams of a word padded by a blank on each side: 16 bits a letter."""
-    codes = np.array([32, *(ord(c) & 0xFFFF for c in word), 32], np.uint64)
-    out, acc = [codes[1:-1]], codes
-    for n in range(2, min(_LONGEST, len(codes)) + 1):
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _piece_counts(codes: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of a piece that ends with a word, packed at 16 bits a letter, and how often each occurs."""
+    kept = letter.copy()
+    kept[1:] |= letter[:-1]  # one blank stays after each word
+    codes = np.where(letter, codes & 0xFFFF, 32)[kept].astype(np.uint64)
+    codes = np.concatenate(([32], codes, [32])).astype(np.uint64)
+    inside = np.concatenate(([False], letter[kept], [False]))
+    out, acc, ok = [codes[inside]], codes, np.ones(len(codes), bool)
+    for n in range(2, _LONGEST + 1):
         acc = (acc[:-1] << np.uint64(16)) | codes[n - 1 :]
-        out.append(acc)
-    return np.concatenate(out)
+        ok = ok[:-1] & inside[n - 2 : len(codes) - 1] if n > 2 else inside[1:] | inside[:-1]
+        out.append(acc[ok])
+    every = np.sort(np.concatenate(out))
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    return every[first], np.diff(first, append=len(every))
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of a whole text and how often each occurs. Words are counted first, in pieces, so memory follows the distinct words."""
-    words: Counter = Counter()
-    for a in range(0, len(runs := text.split()), 1 << 16):
-        words.update(runs[a : a + (1 << 16)])
-    found: Counter = Counter()
-    for run, n in words.items():
-        low = run.lower()
-        if low.isalpha():
-            found[low] += n
-        else:
-            for w in _WORD.findall(low):
-                found[w] += n
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    per = [grams(w) if len(w) <= 64 else grams.__wrapped__(w) for w in found]
-    every = np.concatenate(per)
-    weight = np.repeat(np.fromiter(found.values(), np.int64, len(found)), [len(p) for p in per])
-    order = np.argsort(every)
-    every, weight = every[order], weight[order]
-    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    return every[first], np.add.reduceat(weight, first)
+    """All n-grams of a whole text and how often each occurs; counted in pieces cut between words, so memory beyond the text follows the distinct n-grams."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _letters()[codes]
+    gaps = np.flatnonzero(~letter) if len(codes) > _PIECE else np.zeros(0, np.int64)
+    held, a = [], 0
+    while a < len(codes):
+        at = np.searchsorted(gaps, a + _PIECE)
+        b = int(gaps[at]) if at < len(gaps) else len(codes)
+        if letter[a:b].any():
+            held.append(_piece_counts(codes[a:b], letter[a:b]))
+            if len(held) > 32:
+                held = [_summed(*map(np.concatenate, zip(*held)))]
+        a = b
+    if len(held) > 1:
+        return _summed(*map(np.concatenate, zip(*held)))
+    return held[0] if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def top(keys: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
@@ -77,16 +91,12 @@ def learn(docs: DataFrame, size: int = 400) -> list[tuple[str, int, int]]:
 
     def run(batches):
         for batch in batches:
-            by: dict[str, list] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                by.setdefault(lang, []).append(counts(text.as_py()))
-            for lang, each in by.items():
-                keys, n = np.concatenate([k for k, _ in each]), np.concatenate([c for _, c in each])
-                if not len(keys):
-                    continue
-                u, at = np.unique(keys, return_inverse=True)
-                total = np.bincount(at, n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u)), pa.array(u.astype(np.int64)), pa.array(total)], ["lang", "gram", "n"])
+            langs = batch.column(0).to_pylist()
+            for lang in sorted(set(langs)):
+                # A line break is no letter, so joined texts have the n-grams of their own words only.
+                keys, n = counts("\n".join(t.as_py() for t, of in zip(batch.column(1), langs) if of == lang))
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     per = docs.where("text is not null and lang is not null").select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
     total = per.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
