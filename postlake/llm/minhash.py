@@ -8,8 +8,7 @@ matter, so nearly all elements are left after their first arrival.
 Shingles are SHINGLE consecutive words, unchanged (fewer where a text is shorter), weighted by 1 + ln(count); a link
 needs a Jaccard similarity of the shingle sets of at least ``least``. Documents with equal word sequences are one
 class from the start and enter as their smallest doc_id. Bands give candidate groups; each group is first compared
-with one member, then with other members while it holds several classes; at last every pair of members of different
-classes that their signatures do not rule out is verified. So no group is expanded into all its pairs, and no link between
+with one member; then every pair of members of different classes that their signatures and the smallest shingle hashes of both do not rule out is verified. So no group is expanded into all its pairs, and no link between
 classes that share a band is lost.
 
 Defined results: a text that is null or has no word is a class of its own; ties keep the smallest doc_id; a null
@@ -31,6 +30,8 @@ from postlake.llm.shared import written
 
 SHINGLE, M, BANDS = 5, 100, 20
 ROWS = M // BANDS
+#: Shingle hashes of a text's bottom sketch, and the standard errors that an estimate may fall short by.
+LEAST, SPREAD = 256, 5
 _U = np.uint64
 
 
@@ -105,15 +106,23 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _bands(reps: DataFrame) -> DataFrame:
-    """key, doc_id: a row for each band of each representative."""
+    """key, band, doc_id: a row for each band of each representative."""
     width = 4 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 1 + k * width, width)) for k in range(BANDS)))
-    return reps.select("doc_id", F.explode(keys).alias("key"))
+    return reps.select("doc_id", F.posexplode(keys).alias("band", "key"))
+
+
+def _first_shared(a: str, b: str, band: str) -> F.Column:
+    """Whether two signatures share none of the bands before ``band``: a pair counts in one group only."""
+    width, none = 4 * ROWS, F.lit(True)
+    for k in range(BANDS - 1):
+        none = none & ((F.col(band) <= k) | (F.substring(a, 1 + k * width, width) != F.substring(b, 1 + k * width, width)))
+    return none
 
 
 def _agree(a: str, b: str, least: float) -> F.Column:
-    """Whether two signatures agree in as many slots as a pair of ``least`` has, less five standard errors."""
-    need = max(1, int(M * least - 5 * (M * least * (1 - least)) ** 0.5))
+    """Whether two signatures agree in as many slots as a pair of ``least`` has, less SPREAD standard errors."""
+    need = max(1, int(M * least - SPREAD * (M * least * (1 - least)) ** 0.5))
     pieces = [F.substring(a, 1 + 4 * k, 4) == F.substring(b, 1 + 4 * k, 4) for k in range(M)]
     total = pieces[0].cast("int")
     for p in pieces[1:]:
@@ -121,6 +130,28 @@ def _agree(a: str, b: str, least: float) -> F.Column:
     return total >= need
 
 
+def _sketches_meet(a: str, b: str, least: float) -> F.Column:
+    """Whether bottom sketches leave ``least`` possible: the whole sets decide if both fit, else the estimate less SPREAD standard errors.
+
+    One is added to the shared hashes, as two of a text may be equal in 32 bits.
+    """
+    both = F.size(F.array_intersect(a, b)) + 1
+    need = int(LEAST * least - SPREAD * (LEAST * least * (1 - least)) ** 0.5)
+    whole = (F.size(a) < LEAST) & (F.size(b) < LEAST)
+    return F.when(whole, both * (1 + least) >= least * (F.size(a) + F.size(b))).otherwise(both >= need)
+
+
+def _bottoms(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, low: the LEAST smallest shingle hashes (upper 32 bits) of the texts of ``ids``."""
+
+    def run(batches):
+        for batch in batches:
+            low = [(e[:LEAST] >> _U(32)).astype(np.uint32).view(np.int32) for _, _, buf, off in hashing.texts(batch) for e, _ in shingle_sets(buf, off)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.list_(pa.int32()))], ["doc_id", "low"])
+
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, low array<int>")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``least``."""
 
@@ -144,7 +175,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, least: float = 0.8, recentred: int = 3) -> DataFrame:
+def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), exact_id (smallest doc_id with the same words), n_links, kept.
 
     n_links: verified links of the row's exact class to other exact classes.
@@ -158,27 +189,22 @@ def classes(docs: DataFrame, least: float = 0.8, recentred: int = 3) -> DataFram
     centres = bands.groupBy("key").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("c")).where("n > 1").select("key", "c")
     member = written(bands.join(centres, "key"), "members")
     near = lambda p: p.join(reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("ga")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("gb")), "b").where(_agree("ga", "gb", least)).select("a", "b")
-    stars = member.where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
+    stars = written(member.where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct(), "stars")
     links = written(_verified(written(near(stars), "near"), docs, least), "links")
     found = written(components(links, "a", "b"), "found")
-    every, seen = links, stars
-    for k in range(recentred + 1):
-        # Groups that still hold several classes: compared with another member first, then across classes.
-        placed = member.join(found, member["doc_id"] == found["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("cls"))
-        mixed = placed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min_by(F.struct("doc_id", "cls"), F.xxhash64("doc_id", "key", F.lit(k))).alias("m")).where("lo < hi").select("key", F.col("m.doc_id").alias("c"), F.col("m.cls").alias("ccls"))
-        left = written(placed.join(mixed, "key"), "mixed")
-        if k < recentred:
-            pairs = left.where("cls <> ccls").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b"))
-        else:
-            x, y = left.select("key", F.col("doc_id").alias("a"), F.col("cls").alias("ca")), left.select("key", F.col("doc_id").alias("b"), F.col("cls").alias("cb"))
-            pairs = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.distinct().join(seen, ["a", "b"], "left_anti")
-        close = written(near(pairs), "near")
-        if k < recentred:
-            seen = written(seen.unionByName(pairs), "seen")
-        if not close.limit(1).count():
-            continue
-        every = written(every.unionByName(_verified(close, docs, least)), "links")
+    # Groups that still hold several classes: compared across classes, by signatures and bottom sketches within the join.
+    placed = member.join(found, member["doc_id"] == found["node"], "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("cls"))
+    mixed = placed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
+    held = written(placed.join(mixed, "key"), "mixed")
+    low = written(_bottoms(docs, held.select("doc_id").distinct()), "bottoms")
+    left = held.join(low, "doc_id").join(reps.select("doc_id", "sig"), "doc_id")
+    x, y = (left.select("key", "band", *(F.col(c).alias(f"{c}_{v}") for c in ("doc_id", "cls", "sig", "low"))) for v in "xy")
+    meet = (F.col("cls_x") < F.col("cls_y")) & _agree("sig_x", "sig_y", least) & _first_shared("sig_x", "sig_y", "band") & _sketches_meet("low_x", "low_y", least)
+    pairs = x.join(y.drop("band"), "key").where(meet).select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b"))
+    across = written(pairs.join(stars, ["a", "b"], "left_anti"), "across")
+    every = links
+    if across.limit(1).count():
+        every = written(links.unionByName(_verified(across, docs, least)), "links")
         found = written(components(every, "a", "b"), "found")
     degree = every.select(F.col("a").alias("exact_id")).unionByName(every.select(F.col("b").alias("exact_id"))).groupBy("exact_id").agg(F.count("*").alias("n_links"))
     per_exact = exact.select("words", "exact_id").join(found.select(F.col("node").alias("exact_id"), "component"), "exact_id", "left").join(degree, "exact_id", "left")
