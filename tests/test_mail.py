@@ -1,0 +1,21 @@
+import plistlib
+
+from postlake.sources import mail
+
+
+def test_mail_tree(spark, tmp_path):
+    folder = tmp_path / "AAAAAAAA-1111-2222-3333-444444444444" / "INBOX.mbox" / "0" / "Messages"
+    folder.mkdir(parents=True)
+    body = b"From: Alice Example <Alice@example.com>\r\nTo: bob@example.com\r\nSubject: Budget\r\nMessage-ID: <m2@x>\r\nIn-Reply-To: <m1@x>\r\nReferences: <m0@x> <m1@x>\r\nDate: Mon, 1 Jun 2026 10:00:00 -0700\r\nList-Id: <l>\r\n\r\nHello\r\n"
+    extra = plistlib.dumps({"flags": 5, "date-received": 700000005})
+    (folder / "7.emlx").write_bytes(b"%d\n" % len(body) + body + extra)
+    (folder / "8.partial.emlx").write_bytes(b"%d\n" % len(body) + body + b"no property list")
+    (folder / "9.emlx").write_bytes(b"not-a-number\nbroken")
+    (folder / "other.emlx").write_bytes(b"")
+    found = mail.files(spark, str(tmp_path))
+    assert {(r.rowid, r.account, r.mailbox, r.partial) for r in found.drop("content").collect()} == {(n, "AAAAAAAA-1111-2222-3333-444444444444", "INBOX", n == 8) for n in (7, 8, 9)}
+    a, b, c = (r for r in sorted(mail.messages(found).collect(), key=lambda r: r.path))
+    assert (a.message_id, a.in_reply_to, list(a.references), a.sender_addr, a.body_plain.strip()) == ("m2@x", "m1@x", ["m0@x", "m1@x"], "alice@example.com", "Hello")
+    assert (a.is_read, a.is_answered, a.is_flagged, a.is_bulk, a.date_received, a.date_sent) == (True, False, True, True, 700000005, 1780333200)
+    assert b.body_plain is None and b.subject == "Budget" and b.error is None and not b.is_read
+    assert c.error.startswith("ValueError") and c.subject is None
