@@ -1,12 +1,14 @@
-"""Near-duplicate documents by ProbMinHash over weighted word shingles, banding and verification.
+"""Near-duplicate documents by ProbMinHash over word shingles, banding and verification.
 
 An element of weight w sends arrivals of a Poisson process of rate w; each arrival falls on one of M slots, and a
 slot keeps the element that arrived first. Two documents agree in a slot with the probability Jaccard similarity of
 their weights. Elements are followed only up to a time horizon; once every slot is filled no later arrival can
 matter, so nearly all elements are left after their first arrival.
 
-Shingles are SHINGLE consecutive words, unchanged (fewer where a text is shorter), weighted by 1 + ln(count); a link
-needs a Jaccard similarity of the shingle sets of at least ``least``. Documents with equal word sequences are one
+Shingles are SHINGLE consecutive words, unchanged (fewer where a text is shorter); a link needs a Jaccard similarity
+of the shingle sets of at least ``least``. So every shingle of a text has weight 1, whatever its count: slots then
+agree with the probability that links are defined by, and neither bands nor slot counts rule out pairs that differ in
+how often a passage is repeated. Documents with equal word sequences are one
 class from the start and enter as their smallest doc_id. Bands give candidate groups; each group is first compared
 with one member; then every pair of members of different classes that their signatures and the smallest shingle hashes of both do not rule out is verified. So no group is expanded into all its pairs, and no link between
 classes that share a band is lost.
@@ -96,9 +98,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 start, end, first = hashing.words(buf, off)
                 sums = hashing.prefix_sums(hashing.word_hashes(buf, start, end))
                 whole = hashing.spans(sums, first[:-1], first[1:])
-                for i, (e, n) in enumerate(shingle_sets(buf, off)):
+                for i, (e, _) in enumerate(shingle_sets(buf, off)):
                     some = len(e) > 0
-                    rows.append((ids[a + i].as_py(), int(whole[i].astype(np.int64)) if some else None, (signature(e, 1 + np.log(n)) >> _U(32)).astype("<u4").tobytes() if some else None))
+                    rows.append((ids[a + i].as_py(), int(whole[i].astype(np.int64)) if some else None, (signature(e, np.ones(len(e))) >> _U(32)).astype("<u4").tobytes() if some else None))
             cols = [*zip(*rows, strict=True)] if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "words", "sig"])
 

@@ -113,6 +113,16 @@ def test_minhash(spark, docs):
     assert minhash.classes(empty(spark)).count() == 0
 
 
+def test_minhash_links_sets_not_counts(spark):
+    """Pairs that differ in a line of one copy, repeated 100 times: set Jaccard 200 / 235, probability Jaccard far less."""
+    rows = []
+    for k in range(12):
+        base, line = " ".join(f"b{k}x{j}" for j in range(204)), " ".join(f"l{k}x{j}" for j in range(31))
+        rows += [(2 * k, base), (2 * k + 1, " ".join([base] + [line] * 100))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (i // 2 * 2, 1) for i in range(24)}
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(2)
     e = rng.integers(0, 2**64, 60, dtype=np.uint64)
