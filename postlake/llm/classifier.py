@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlake.llm.shared import written
 
@@ -118,8 +119,9 @@ def scaled(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def evidence(docs: DataFrame, model: dict, by: tuple[Column, Column], most: float = 12.0) -> DataFrame:
-    """doc_id, host, path and, for each label, the log likelihood ratio (within +-most)."""
+def evidence(docs: DataFrame, model: dict, by: tuple[Column, Column], most: float = 12.0, whole: bool = False) -> DataFrame:
+    """doc_id, host, path and, for each label, the log likelihood ratio (within +-most). ``whole``: with all of a row's columns in the struct ``row``."""
+    row = [F.struct("*").alias("row")] if whole else []
 
     def run(batches):
         for batch in batches:
@@ -131,10 +133,12 @@ def evidence(docs: DataFrame, model: dict, by: tuple[Column, Column], most: floa
                     s = sum(map(m["weights"].get, sorted(found & m["weights"].keys()))) if found else 0.0
                     s = max(-4 * most, min(4 * most, s)) * m.get("scale", 1.0) + (m.get("shift", 0.0) if found else 0.0)
                     out[x].append(max(-most, min(most, s)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), *(pa.array(out[x], pa.float64()) for x in LABELS)], ["doc_id", "host", "path", *LABELS])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), *(pa.array(out[x], pa.float64()) for x in LABELS), *([batch.column("row")] if whole else [])], ["doc_id", "host", "path", *LABELS, *(["row"] if whole else [])])
 
     host, path = by
-    return docs.select("doc_id", "text", host.alias("host"), path.alias("path")).mapInArrow(run, "doc_id long, host string, path string, quality double, toxic double")
+    sent = docs.select("doc_id", "text", host.alias("host"), path.alias("path"), *row)
+    schema = T.StructType([*T.StructType.fromDDL("doc_id long, host string, path string, quality double, toxic double"), *(f for f in sent.schema if f.name == "row")])
+    return sent.mapInArrow(run, schema)
 
 
 def _logit(p: Column) -> Column:
@@ -162,12 +166,12 @@ def posteriors(scored: DataFrame, model: dict, label: str) -> DataFrame:
     return path.crossJoin(F.broadcast(strength)).select("host", "path", clamp(_shrunk("n", "s", F.col("host_mean"))).alias(f"{label}_prior"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, small: int = 200_000, least_quality: float = 0.2, most_toxic: float = 0.9, **options) -> DataFrame:
-    """doc_id, host, path, p_quality, p_toxic, kept. Rejected: low quality or toxicity that is likely beyond doubt, as a clean document lost costs more."""
+def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, small: int = 200_000, least_quality: float = 0.2, most_toxic: float = 0.9, whole: bool = False, **options) -> DataFrame:
+    """doc_id, host, path, p_quality, p_toxic, kept; ``whole``: and the row itself as the struct ``row``. Rejected: low quality or toxicity that is likely beyond doubt, as a clean document lost costs more."""
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.coalesce("source", F.lit("?")), F.coalesce("lang", F.lit("?"))) if path is None else path
     model = fit(docs, labels, **options)
-    scored = written(evidence(docs, model, (F.coalesce(host.cast("string"), F.lit("?")), F.coalesce(path.cast("string"), F.lit("?")))), "scored")
+    scored = written(evidence(docs, model, (F.coalesce(host.cast("string"), F.lit("?")), F.coalesce(path.cast("string"), F.lit("?"))), whole=whole), "scored")
     sites = written(posteriors(scored, model, "quality").join(posteriors(scored, model, "toxic"), ["host", "path"]), "sites")
     # A table of sites is sent to all tasks only when counted and small; else it is joined by salted keys.
     if sites.count() <= small:
@@ -177,9 +181,9 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
         s = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(s, ["salt", "host", "path"], "left")
     p = lambda x: 1 / (1 + F.exp(-(F.col(x) + _logit(F.coalesce(F.col(f"{x}_prior"), F.lit(0.5))))))
-    return joined.select("doc_id", "host", "path", p("quality").alias("p_quality"), p("toxic").alias("p_toxic")).withColumn("kept", (F.col("p_quality") >= least_quality) & (F.col("p_toxic") <= most_toxic))
+    return joined.select("doc_id", "host", "path", *(["row"] if whole else []), p("quality").alias("p_quality"), p("toxic").alias("p_toxic")).withColumn("kept", (F.col("p_quality") >= least_quality) & (F.col("p_toxic") <= most_toxic))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, with all columns."""
-    return docs.join(judge(docs, labels, **options).where("kept").select("doc_id"), "doc_id", "left_semi")
+    """The documents that are kept, with all columns. Each row has its own verdict, whatever its doc_id."""
+    return judge(docs, labels, whole=True, **options).where("kept").select("row.*")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlake.llm import hashing, runs
 from postlake.llm.shared import buckets_for
@@ -75,8 +76,10 @@ def later_windows(docs: DataFrame) -> DataFrame:
     return runs.in_others(slim.join(anchors, "doc_id"), _window_pairs, n, later=True)
 
 
-def _finished(docs: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
+def _finished(docs: DataFrame, found: DataFrame, with_text: bool, rest: tuple[str, ...] = ()) -> DataFrame:
+    """``rest``: columns that come along in the struct ``rest``."""
     extra = "text string, " if with_text else ""
+    along = [F.struct(*rest).alias("rest")] if rest else []
 
     def run(batches):
         for batch in batches:
@@ -94,11 +97,13 @@ def _finished(docs: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
                     # A text that loses nothing keeps its own white space.
                     out.append(row | ({"text": kept.decode() if len(hit) else batch.column("text")[a + i].as_py()} if with_text else {}))
             schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string())] * with_text)
-            yield pa.RecordBatch.from_pylist(out, schema).select([x.split()[0] for x in f"doc_id long, {extra}n_words long, n_removed long, kept_sha256 string".split(", ")])
+            made = pa.RecordBatch.from_pylist(out, schema).select([x.split()[0] for x in f"doc_id long, {extra}n_words long, n_removed long, kept_sha256 string".split(", ")])
+            yield made.append_column("rest", batch.column("rest")) if rest else made
 
-    schema = f"doc_id long, {extra}n_words long, n_removed long, kept_sha256 string"
-    slim = docs.where("doc_id is not null").select("doc_id", "text").join(found, "doc_id", "left")
-    bare = docs.where("doc_id is null").select("doc_id", "text").withColumn("found", F.lit(None).cast("array<binary>"))
+    sent = docs.select("doc_id", "text", *along)
+    schema = T.StructType([*T.StructType.fromDDL(f"doc_id long, {extra}n_words long, n_removed long, kept_sha256 string"), *(f for f in sent.schema if f.name == "rest")])
+    slim = sent.where("doc_id is not null").join(found, "doc_id", "left")
+    bare = sent.where("doc_id is null").withColumn("found", F.lit(None).cast("array<binary>"))
     return slim.mapInArrow(run, schema).unionByName(bare.mapInArrow(run, schema))
 
 
@@ -109,8 +114,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """The documents without words that an earlier document has in a shared window; documents left without words go."""
-    done = _finished(docs, later_windows(docs), with_text=True).where("n_removed < n_words").select("doc_id", F.col("text").alias("_kept"))
-    return docs.join(done, "doc_id").withColumn("text", F.col("_kept")).select(docs.columns)
+    rest = tuple(c for c in docs.columns if c != "text")
+    done = _finished(docs, later_windows(docs), with_text=True, rest=rest).where("n_removed < n_words")
+    return done.select(*(F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 class FingerprintIndex:

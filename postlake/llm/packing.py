@@ -4,10 +4,11 @@ Pieces are dealt by a hash to partitions small enough for one task. Each partiti
 compares its bin count with a lower bound that dual feasible functions give for its lengths: no packing of these
 pieces can be better. A partition whose count exceeds the bound gives up the documents of its emptiest bins; they
 are exchanged, i.e. dealt anew among fewer partitions, and packed again, until nothing is left to exchange or
-``rounds`` are over. Only lengths travel, never texts.
+``rounds`` are over. Only rows of pieces travel, never texts.
 
 Defined results: a null text is an empty one, and as every document ends with the end id it gives one piece of
-length 1; equal texts are packed separately; an empty table gives no rows; a text of any length is cut, not dropped.
+length 1; equal texts are packed separately; an empty table gives no rows; a text of any length is cut, not dropped;
+rows whose doc_id is null or repeated are texts of their own, each piece in one place.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from postlake.llm import bpe
@@ -143,10 +144,10 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, each: int = 4000, rounds: int = 4) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length). ``each``: pieces a task packs; it grows as partitions get few."""
+    """Adds sequence_id and offset to pieces (doc_id, piece, length and any others), row by row. ``each``: pieces a task packs; it grows as partitions get few."""
 
-    def packed(part_rows: pd.DataFrame) -> pd.DataFrame:
-        rows = part_rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    def packed(part_rows: pa.Table) -> pa.Table:
+        rows = part_rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         lengths = rows["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, lengths, n)
@@ -155,20 +156,23 @@ def pack(pieces: DataFrame, capacity: int = 4096, each: int = 4000, rounds: int
         if gap > 0:
             give[np.argsort(fill, kind="stable")[: 4 * gap + 2]] = True
             give &= fill < capacity
-        return rows.assign(bin=bins, offset=offsets, given=give[bins])[["doc_id", "piece", "length", "part", "bin", "offset", "given"]]
+        for name, values in (("bin", bins), ("offset", offsets), ("given", give[bins])):
+            rows = rows.append_column(name, pa.array(values))
+        return rows
 
-    schema = "doc_id long, piece int, length long, part long, bin long, offset long, given boolean"
-    left, settled = pieces.select("doc_id", "piece", "length"), None
+    # A null doc_id is dealt by its row, so that many of them do not meet in one task.
+    left, settled = pieces.withColumn("row", F.monotonically_increasing_id()), None
+    schema = T.StructType([*left.schema.fields, *T.StructType.fromDDL("part long, bin long, offset long, given boolean")])
     n = left.count()
     for k in range(rounds):
         parts = max(1, n // each) if k else max(48, n // each)
-        done = written(left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(k)), F.lit(parts))).groupBy("part").applyInPandas(packed, schema), f"pack{k}")
+        done = written(left.withColumn("part", F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), "piece", F.lit(k)), F.lit(parts)).cast("long")).groupBy("part").applyInArrow(packed, schema), f"pack{k}")
         last = k == rounds - 1 or parts == 1
-        new = done.where(F.lit(True) if last else ~F.col("given")).select("doc_id", "piece", (F.lit(k << 58) + F.col("part") * (1 << 26) + F.col("bin")).alias("sequence_id"), "offset")
+        new = done.where(F.lit(True) if last else ~F.col("given")).select(*pieces.columns, (F.lit(k << 58) + F.col("part") * (1 << 26) + F.col("bin")).alias("sequence_id"), "offset")
         settled = new if settled is None else settled.unionByName(new)
         if last:
             break
-        left = done.where("given").select("doc_id", "piece", "length")
+        left = done.where("given").select(*left.columns)
         n = left.count()
         if not n:
             break
@@ -178,4 +182,4 @@ def pack(pieces: DataFrame, capacity: int = 4096, each: int = 4000, rounds: int
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     pieces = written(token_pieces(docs, path, capacity, end_id), "pieces")
-    return pieces.join(pack(pieces, capacity), ["doc_id", "piece"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -65,24 +65,38 @@ def _repeat_words(w: Column) -> Column:
     return F.when(n < 4, F.lit(0)).otherwise(total).cast("long")
 
 
+def _found(t: Column) -> tuple[Column, Column]:
+    """Structs of a text's words (n, chars, again) and lines (dup, failed)."""
+    words = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), _repeat_words(w).alias("again")))
+    lines = let(F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.when(F.rlike(t, F.lit(SUSPECT)), F.filter(x, line_fails)).otherwise(F.array().cast("array<string>")).alias("failed")))
+    return words, lines
+
+
+def _lost(failed: Column) -> Column:
+    return F.length(F.regexp_replace(F.array_join(failed, ""), "[ \\t-\\r]+", "")).cast("long")
+
+
+def _base_failed(n: Column, again: Column) -> Column:
+    return (n < 50) | (100 * again > 50 * n)
+
+
 def judge(docs: DataFrame, text: str = "text", max_lost: float = 0.5) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_failed_lines, lost_chars."""
     t = F.coalesce(F.col(text), F.lit(""))
-    words = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), _repeat_words(w).alias("again")))
-    lines = let(F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.when(F.rlike(t, F.lit(SUSPECT)), F.filter(x, line_fails)).otherwise(F.array().cast("array<string>")).alias("failed")))
+    words, lines = _found(t)
     symbols = (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long")
     made = docs.select("doc_id", words.alias("w"), lines.alias("l"), symbols.alias("n_symbols"))
-    lost = F.length(F.regexp_replace(F.array_join("l.failed", ""), "[ \\t-\\r]+", "")).cast("long")
-    out = made.select("doc_id", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.again").alias("n_repeat_words"), F.size("l.failed").cast("long").alias("n_failed_lines"), lost.alias("lost_chars"))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    out = made.select("doc_id", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.again").alias("n_repeat_words"), F.size("l.failed").cast("long").alias("n_failed_lines"), _lost(F.col("l.failed")).alias("lost_chars"))
+    base = _base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.col("lost_chars") <= max_lost * F.col("word_chars"))).alias("kept"), "n_failed_lines", "lost_chars")
 
 
 def clean(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
-    """The documents that are kept, without their failed lines; the other columns stay. doc_id is unique."""
-    ok = judge(docs, max_lost=max_lost).where("kept").select("doc_id")
-    lines = F.filter(F.split("text", "\n"), lambda x: ~line_fails(x))
-    return docs.join(ok, "doc_id", "left_semi").withColumn("text", F.array_join(lines, "\n"))
+    """The documents that are kept, without their failed lines; the other columns stay. Each row is judged by itself, whatever its doc_id."""
+    words, lines = _found(F.coalesce("text", F.lit("")))
+    kept = let(F.struct(words.alias("w"), lines.alias("l")), lambda v: ~_base_failed(v["w"]["n"], v["w"]["again"]) & (_lost(v["l"]["failed"]) <= max_lost * v["w"]["chars"]))
+    left = F.filter(F.split("text", "\n"), lambda x: ~line_fails(x))
+    return docs.where(kept).withColumn("text", F.array_join(left, "\n"))
 
 
 #: Fixed values as DuckDB takes them.

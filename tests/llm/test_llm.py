@@ -181,6 +181,34 @@ def test_packing(spark, docs):
     assert packing.pack_documents(empty(spark), queries.vocabulary()).count() == 0
 
 
+def test_packing_keeps_rows_of_null_and_repeated_ids(spark):
+    texts = [(None, PROSE), (None, PROSE), (None, "no id"), (7, PROSE), (7, "other words"), (7, "other words"), (8, None)]
+    rows = packing.pack_documents(spark.createDataFrame(texts, "doc_id long, text string"), queries.vocabulary(), capacity=64).collect()
+    want = collections.Counter((i, k, *x) for i, t in texts for k, x in enumerate(packing.cut(t or "", queries.vocabulary(), 64, 1)))
+    assert collections.Counter(tuple(r)[:5] for r in rows) == want
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in by.values():
+        s.sort()
+        assert [a for a, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 64
+
+
+def test_stages_keep_rows_of_null_and_repeated_ids(spark):
+    prose = [" ".join(f"{x}{k}word{j}" for j in range(80)) for k, x in enumerate("abcdef")]
+    rows = [(1, prose[0], "en", "a"), (None, prose[1], "en", "a"), (None, prose[2], None, None), (2, prose[3], "en", "a"), (2, "short", "en", "a"), (3, prose[0], "en", "b"), (3, prose[4], "en", "b"), (4, prose[5], "en", "c"), (4, prose[5], "en", "c")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("row", F.lit(1)).withColumn("found", F.lit("x"))
+    of = lambda df: collections.Counter(tuple(r)[:4] for r in df.collect())
+    every = collections.Counter(rows)
+    assert of(quality_rules.clean(docs)) == every - collections.Counter([rows[4]])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert of(classifier.keep(docs, labels)) == every
+    assert of(minhash.keep_one(docs)) == every - collections.Counter([rows[5], rows[8]])
+    # Rows of one doc_id are the same document to each other here; row 5 is row 0 again and has no words left.
+    assert of(fingerprints.remove(docs)) == every - collections.Counter([rows[5]])
+    assert all(f(docs).columns == docs.columns for f in (quality_rules.clean, lambda d: classifier.keep(d, labels), fingerprints.remove, minhash.keep_one))
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>body {i}</p>" if i % 9 else None) for i in range(700)], "page_id long, url string, html string")
     recs = warc.records(pages)
