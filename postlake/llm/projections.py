@@ -1,9 +1,10 @@
 """Near-duplicate vectors by collision-counting projections.
 
-TABLES tables of DIMS random projections each: all but the last give a vector's cell (a grid of width WIDTH on unit
+TABLES tables or more of some random projections each: all but the last give a vector's cell (a grid of width WIDTH on unit
 vectors), the last one is sorted within the cell, and a vector collides with those in a window centred on it. A pair
 of cosine ``least`` collides in a table with a probability known from the normal law; ``calibrated`` takes the
-largest count of shared cells that such a pair still reaches with probability ``recall``. Pairs that reach it, and
+largest count of shared cells that such a pair still reaches with probability ``recall``, and ``planned`` adds tables
+until there is one. Pairs that reach it, and
 whose 8-bit sketches do not rule them out, are verified on the full vectors in double precision.
 
 Defined results: vectors that are null, zero, hold null or non-finite components link with nothing; vectors of
@@ -24,6 +25,8 @@ from postlake.llm.components import components
 from postlake.llm.shared import written
 
 TABLES, WIDTH, WINDOW = 32, 1.3, 0.9
+#: More tables than this are not tried.
+MOST_TABLES = 1024
 
 
 def cell_probability(least: float, dims: int) -> float:
@@ -35,19 +38,31 @@ def cell_probability(least: float, dims: int) -> float:
     return one ** (dims - 1) * (2 * n.cdf(WINDOW / sd) - 1)
 
 
-def calibrated(least: float, dims: int, recall: float = 0.98) -> int:
-    """The largest count of tables that a pair of cosine ``least`` shares with probability ``recall``; 1 at least."""
+def calibrated(least: float, dims: int, recall: float = 0.98, tables: int = TABLES) -> int:
+    """The largest count of tables that a pair of cosine ``least`` shares with probability ``recall``; 0 if there is none."""
     p, below = cell_probability(least, dims), 0.0
-    for t in range(TABLES):
-        below += math.comb(TABLES, t) * p**t * (1 - p) ** (TABLES - t)
+    for t in range(tables):
+        below += math.comb(tables, t) * p**t * (1 - p) ** (tables - t)
         if below > 1 - recall:
-            return max(1, t)
-    return TABLES
+            return t
+    return tables
 
 
-def _planes(size: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+def planned(n: int, least: float, recall: float = 0.98) -> tuple[int, int, int]:
+    """Projections a table, tables and shared cells for ``n`` vectors, so that a pair of cosine ``least`` is met with probability ``recall``."""
+    dims = max(4, min(9, round(math.log(n) / math.log(10))))
+    # The chance to meet in no table is (1 - p) ** tables.
+    p = cell_probability(least, dims)
+    tables = max(TABLES, math.ceil(math.log(1 - recall) / math.log1p(-p))) if 0 < p < 1 and recall < 1 else TABLES
+    need = calibrated(least, dims, recall, tables) if tables <= MOST_TABLES else 0
+    if not need:
+        raise ValueError(f"no {MOST_TABLES} tables of {dims} projections meet pairs of cosine {least} with probability {recall}")
+    return dims, tables, need
+
+
+def _planes(size: int, dims: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64([7, size, dims]))
-    return rng.standard_normal((size, TABLES * dims)).astype(np.float32), rng.uniform(0, WIDTH, TABLES * dims).astype(np.float32)
+    return rng.standard_normal((size, tables * dims)).astype(np.float32), rng.uniform(0, WIDTH, tables * dims).astype(np.float32)
 
 
 def _unit(values: list | None) -> np.ndarray | None:
@@ -58,7 +73,7 @@ def _unit(values: list | None) -> np.ndarray | None:
     return x / n if n > 0 and np.isfinite(n) else None
 
 
-def _keyed(vectors: DataFrame, dims: int) -> DataFrame:
+def _keyed(vectors: DataFrame, dims: int, tables: int) -> DataFrame:
     """A row for each vector and table: tab, cell, at (place on the sorted projection), sketch, cells of all tables."""
 
     def run(batches):
@@ -70,16 +85,16 @@ def _keyed(vectors: DataFrame, dims: int) -> DataFrame:
                     by.setdefault(len(u), []).append((i, u))
             for size, rows in by.items():
                 ids, x = np.array([i for i, _ in rows], np.int64), np.stack([u for _, u in rows])
-                planes, shift = _planes(size, dims)
-                y = (x.astype(np.float32) @ planes).reshape(len(x), TABLES, dims)
-                grid = np.floor((y + shift.reshape(TABLES, dims)) / WIDTH).astype(np.int64)[:, :, :-1].astype(np.uint64)
+                planes, shift = _planes(size, dims, tables)
+                y = (x.astype(np.float32) @ planes).reshape(len(x), tables, dims)
+                grid = np.floor((y + shift.reshape(tables, dims)) / WIDTH).astype(np.int64)[:, :, :-1].astype(np.uint64)
                 cell = np.full(grid.shape[:2], np.uint64(size))
                 for k in range(dims - 1):
                     cell = (cell ^ grid[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
                     cell ^= cell >> np.uint64(29)
                 scale = 127 / np.abs(x).max(1)
                 sketch = np.rint(x * scale[:, None]).astype(np.int8)
-                for t in range(TABLES):
+                for t in range(tables):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(ids), t, np.int32)), pa.array(cell[:, t].astype(np.int64)), pa.array(y[:, t, -1]), pa.array(ids),
                         pa.array([r.tobytes() for r in sketch], pa.binary()), pa.array([r.tobytes() for r in (cell >> np.uint64(56)).astype(np.uint8)], pa.binary()),
@@ -88,7 +103,7 @@ def _keyed(vectors: DataFrame, dims: int) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, "tab int, cell long, at float, vec_id long, sketch binary, cells binary")
 
 
-def _candidates(least: float, need: int):
+def _candidates(least: float, need: int, tables: int):
     """Per bucket of cells: pairs in each other's window that share ``need`` cells, in the first table they share."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -96,7 +111,7 @@ def _candidates(least: float, need: int):
         order = np.lexsort((at, cell, tab))
         tab, cell, at, ids = tab[order], cell[order], at[order], ids[order]
         sketches = [table["sketch"][int(i)].as_py() for i in order]
-        cells = np.frombuffer(b"".join(table["cells"][int(i)].as_py() for i in order), np.uint8).reshape(len(order), TABLES)
+        cells = np.frombuffer(b"".join(table["cells"][int(i)].as_py() for i in order), np.uint8).reshape(len(order), tables)
         size = np.array([len(s) for s in sketches])
         wide = np.zeros((len(order), size.max() if len(size) else 0), np.float32)
         for k in np.unique(size):
@@ -127,14 +142,13 @@ def _candidates(least: float, need: int):
 def links(vectors: DataFrame, least: float = 0.9, recall: float = 0.98) -> DataFrame:
     """a, b: verified pairs, each once."""
     n = max(2, vectors.count())
-    dims = max(4, min(9, round(math.log(n) / math.log(10))))
-    need = calibrated(least, dims, recall)
-    keyed = _keyed(vectors, dims)
+    dims, tables, need = planned(n, least, recall)
+    keyed = _keyed(vectors, dims, tables)
     buckets = 64
-    while buckets * 20_000 < n * TABLES:
+    while buckets * 20_000 < n * tables:
         buckets *= 2
     # One row a pair already within its bucket's tables; the same pair of another table falls away in distinct().
-    pairs = keyed.withColumn("bucket", F.pmod(F.xxhash64("tab", "cell"), F.lit(buckets))).groupBy("bucket").applyInArrow(_candidates(least, need), "a long, b long").where("a <> b").distinct()
+    pairs = keyed.withColumn("bucket", F.pmod(F.xxhash64("tab", "cell"), F.lit(buckets))).groupBy("bucket").applyInArrow(_candidates(least, need, tables), "a long, b long").where("a <> b").distinct()
 
     def check(batches):
         for batch in batches:

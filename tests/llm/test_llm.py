@@ -237,3 +237,21 @@ def test_projections(spark):
     want = (u @ u.T >= 0.9).sum(1) - 1
     n = np.array([got[i]["n_links"] for i in range(len(x))])
     assert (n <= want).all() and n.sum() >= 0.9 * want.sum() and all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903))
+
+
+def test_projections_reach_recall_at_any_size(spark, monkeypatch):
+    for n in (2, 10**5, 3 * 10**7, 12 * 10**7, 10**9, 10**12):
+        dims, tables, need = projections.planned(n, 0.9)
+        p = projections.cell_probability(0.9, dims)
+        assert need >= 1 and (1 - p) ** tables <= 0.02
+    assert projections.planned(10**7, 0.9)[1] == projections.TABLES < projections.planned(10**9, 0.9)[1]
+    with pytest.raises(ValueError):
+        projections.planned(10**9, 0.1)
+    plan = projections.planned(10**9, 0.9)
+    monkeypatch.setattr(projections, "planned", lambda *a: plan)
+    rng = np.random.default_rng(8)
+    x, z = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.standard_normal((2, 1000, 64)))
+    z -= (x * z).sum(1)[:, None] * x
+    y = 0.901 * x + (1 - 0.901**2) ** 0.5 * z / np.linalg.norm(z, axis=1)[:, None]
+    rows = [(2 * i + k, v.tolist()) for i, pair in enumerate(zip(x, y)) for k, v in enumerate(pair)]
+    assert projections.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).count() >= 965
