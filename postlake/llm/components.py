@@ -19,17 +19,20 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return kept.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
-    """node, component (the smallest node reachable) of every node that has a link. Links may come in any order and more than once."""
+def components(links: DataFrame, a: str, b: str, folder: str | None = None, rounds: int = 100) -> DataFrame:
+    """node, component (the smallest node reachable) of every node that has a link. Links may come in any order and more than once.
+
+    Rounds needed grow with the logarithm of the nodes; if ``rounds`` were not enough, an error says so. The result reads a table in ``folder``.
+    """
     edges = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-    edges, before = written(edges, "edges"), None
+    edges, before = written(edges, "edges", folder), None
     for _ in range(rounds):
-        new = written(_stars(_stars(edges, True), False), "edges")
+        new = written(_stars(_stars(edges, True), False), "edges", folder)
         forget(edges)
         edges = new
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
         before = now
-    roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
+    raise RuntimeError(f"components are not settled after {rounds} rounds")

@@ -1,20 +1,22 @@
-"""Near-duplicate documents by ProbMinHash over word shingles, banding and verification.
+"""Near-duplicate documents by ProbMinHash over weighted word shingles, banding and verification.
 
 An element of weight w sends arrivals of a Poisson process of rate w; each arrival falls on one of M slots, and a
 slot keeps the element that arrived first. Two documents agree in a slot with the probability Jaccard similarity of
-their weights. Elements are followed only up to a time horizon; once every slot is filled no later arrival can
-matter, so nearly all elements are left after their first arrival.
+their weights. Elements are followed only up to a time horizon; once every slot of a document is filled no later
+arrival can matter, so nearly all elements are left after a few arrivals. All documents of a chunk go at once.
 
-Shingles are SHINGLE consecutive words, unchanged (fewer where a text is shorter); a link needs a Jaccard similarity
-of the shingle sets of at least ``least``. So every shingle of a text has weight 1, whatever its count: slots then
-agree with the probability that links are defined by, and neither bands nor slot counts rule out pairs that differ in
-how often a passage is repeated. Documents with equal word sequences are one
-class from the start and enter as their smallest doc_id. Bands give candidate groups; each group is first compared
-with one member; then every pair of members of different classes that their signatures and the smallest shingle hashes of both do not rule out is verified. So no group is expanded into all its pairs, and no link between
-classes that share a band is lost.
+Shingles are SHINGLE consecutive words, unchanged (fewer where a text is shorter), of weight 1 + ln(count). A link
+is a probability Jaccard similarity of at least ``least`` over these weights, computed from the whole weighted sets;
+signatures estimate the same measure. A pair at 0.8 shares one of the BANDS bands with probability 0.997.
+
+Documents with equal word sequences (128-bit digests) are one class from the start and enter as their smallest
+doc_id. Each band group is first compared with its smallest member; then pairs of members of different classes, which
+one bit a slot of both does not rule out (SPREAD standard errors below ``least``), are verified. So a group of links
+is not expanded into all its pairs, and pairs within a class need no comparison.
 
 Defined results: a text that is null or has no word is a class of its own; ties keep the smallest doc_id; a null
-doc_id is left out of comparison and kept; further columns are not read.
+doc_id is left out of comparison and kept; rows that repeat a doc_id are documents of their own, whose first row (in
+no set order) stands first; further columns are not read by ``classes`` and stay as they are in ``keep_one``.
 """
 
 from __future__ import annotations
@@ -26,50 +28,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm import hashing, runs
+from postlake.llm import hashing
 from postlake.llm.components import components
-from postlake.llm.shared import written
+from postlake.llm.shared import Scratch, written
 
-SHINGLE, M, BANDS = 5, 100, 20
+SHINGLE, M, BANDS, SPREAD = 5, 256, 32, 5
 ROWS = M // BANDS
-#: Shingle hashes of a text's bottom sketch, and the standard errors that an estimate may fall short by.
-LEAST, SPREAD = 256, 5
+#: So many ids (8 bytes each) are sent to all tasks at most; above it the join shuffles.
+SENT = 1_000_000
 _U = np.uint64
+_BITS = tuple(f"b{k}" for k in range(M // 64))
 
 
-def signature(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The M first-arrived elements (hashes) of a weighted set that isn't empty."""
-    best, owner = np.full(M, np.inf), np.zeros(M, np.uint64)
+def signatures(elements: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The M first-arrived elements of each weighted set elements[first[i]:first[i + 1]]; no set is empty."""
+    n, size = len(first) - 1, np.diff(first)
+    doc = np.repeat(np.arange(n), size)
+    best, owner = np.full(n * M, np.inf), np.zeros(n * M, np.uint64)
     state, time = hashing.mix(elements + _U(0x632BE59BD9B4E019)), np.zeros(len(elements))
-    horizon = M * (np.log(M) + 2.0) / weights.sum()
-    alive = np.arange(len(elements))
-    waiting: list[np.ndarray] = []
-    state_of, time_of = state, time
+    horizon = M * (np.log(M) + 0.6) / np.add.reduceat(weights, first[:-1]) if n else np.zeros(0)
 
     def arrive(who: np.ndarray) -> None:
-        state_of[who] = hashing.mix(state_of[who] + _U(0x9E3779B97F4A7C15))
-        u = ((state_of[who] >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
-        time_of[who] -= np.log(u) / weights[who]
+        state[who] = now = hashing.mix(state[who] + _U(0x9E3779B97F4A7C15))
+        time[who] -= np.log(((now >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights[who]
 
+    alive, waiting = np.arange(len(elements)), []
     arrive(alive)
-    while True:
-        late = time_of[alive] > horizon
+    while n:
+        late = time[alive] > horizon[doc[alive]]
         waiting.append(alive[late])
         alive = alive[~late]
         if len(alive):
-            slot = (hashing.mix(state_of[alive] ^ _U(0xD1B54A32D192ED03)) % _U(M)).astype(np.int64)
-            order = np.lexsort((elements[alive], time_of[alive]))[::-1]  # the earliest is written last
-            w, s = alive[order], slot[order]
-            first, who = np.full(M, np.inf), np.zeros(M, np.uint64)
-            first[s], who[s] = time_of[w], elements[w]
-            better = first < best
-            best[better], owner[better] = first[better], who[better]
+            slot = doc[alive] * M + (hashing.mix(state[alive] ^ _U(0xD1B54A32D192ED03)) & _U(M - 1)).astype(np.int64)
+            at = time[alive]
+            np.minimum.at(best, slot, at)
+            won = best[slot] == at
+            owner[slot[won]] = elements[alive[won]]
             arrive(alive)
             continue
-        if best.max() <= horizon:
-            return owner
+        short = best.reshape(n, M).max(1) > horizon
+        if not short.any():
+            break
         alive, waiting = np.concatenate(waiting), []
-        horizon *= 1.5
+        alive = alive[short[doc[alive]]]
+        horizon[short] *= 1.3
+    return owner.reshape(n, M)
+
+
+def weight(counts: np.ndarray) -> np.ndarray:
+    return 1.0 + np.log(counts)
+
+
+def probability_jaccard(x: np.ndarray, xw: np.ndarray, y: np.ndarray, yw: np.ndarray) -> float:
+    """Of two weighted sets, elements in order: the sum over shared i of 1 / sum over all j of max(x_j / x_i, y_j / y_i)."""
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(both):
+        return 0.0
+    if xw.max() == xw.min() and yw.max() == yw.min():
+        return len(both) / (len(x) + len(y) - len(both))
+    # By rising y_j / x_j: up to the ratio of i, x_j decides; beyond it y_j does.
+    a, b = xw[i], yw[j]
+    ratio = b / a
+    order = np.argsort(ratio)
+    a, b, ratio = a[order], b[order], ratio[order]
+    only_x, only_y = xw.sum() - a.sum(), yw.sum() - b.sum()
+    upto = np.cumsum(a) + only_x
+    beyond = b.sum() - np.cumsum(b) + only_y
+    return float((a / (upto + beyond / ratio)).sum())
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -87,140 +112,132 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, words (hash of the word sequence, null without a word), sig (M 4-byte slots)."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            ids = batch.column(0)
-            for a, b, buf, off in hashing.texts(batch):
-                start, end, first = hashing.words(buf, off)
-                sums = hashing.prefix_sums(hashing.word_hashes(buf, start, end))
-                whole = hashing.spans(sums, first[:-1], first[1:])
-                for i, (e, _) in enumerate(shingle_sets(buf, off)):
-                    some = len(e) > 0
-                    rows.append((ids[a + i].as_py(), int(whole[i].astype(np.int64)) if some else None, (signature(e, np.ones(len(e))) >> _U(32)).astype("<u4").tobytes() if some else None))
-            cols = [*zip(*rows, strict=True)] if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "words", "sig"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, words long, sig binary")
-
-
-def _bands(reps: DataFrame) -> DataFrame:
-    """key, band, doc_id: a row for each band of each representative."""
-    width = 4 * ROWS
-    keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 1 + k * width, width)) for k in range(BANDS)))
-    return reps.select("doc_id", F.posexplode(keys).alias("band", "key"))
+SKETCH = "doc_id long, wa long, wb long, " + ", ".join(f"{c} long" for c in _BITS) + ", bands array<long>"
 
 
-def _first_shared(a: str, b: str, band: str) -> F.Column:
-    """Whether two signatures share none of the bands before ``band``: a pair counts in one group only."""
-    width, none = 4 * ROWS, F.lit(True)
-    for k in range(BANDS - 1):
-        none = none & ((F.col(band) <= k) | (F.substring(a, 1 + k * width, width) != F.substring(b, 1 + k * width, width)))
-    return none
-
-
-def _agree(a: str, b: str, least: float) -> F.Column:
-    """Whether two signatures agree in as many slots as a pair of ``least`` has, less SPREAD standard errors."""
-    need = max(1, int(M * least - SPREAD * (M * least * (1 - least)) ** 0.5))
-    pieces = [F.substring(a, 1 + 4 * k, 4) == F.substring(b, 1 + 4 * k, 4) for k in range(M)]
-    total = pieces[0].cast("int")
-    for p in pieces[1:]:
-        total = total + p.cast("int")
-    return total >= need
-
-
-def _sketches_meet(a: str, b: str, least: float) -> F.Column:
-    """Whether bottom sketches leave ``least`` possible: the whole sets decide if both fit, else the estimate less SPREAD standard errors.
-
-    One is added to the shared hashes, as two of a text may be equal in 32 bits.
-    """
-    both = F.size(F.array_intersect(a, b)) + 1
-    need = int(LEAST * least - SPREAD * (LEAST * least * (1 - least)) ** 0.5)
-    whole = (F.size(a) < LEAST) & (F.size(b) < LEAST)
-    return F.when(whole, both * (1 + least) >= least * (F.size(a) + F.size(b))).otherwise(both >= need)
-
-
-def _bottoms(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, low: the LEAST smallest shingle hashes (upper 32 bits) of the texts of ``ids``."""
+def _sketched(docs: DataFrame) -> DataFrame:
+    """doc_id; wa, wb: digest of the word sequence (null without a word); a bit of each slot; a key for each band."""
 
     def run(batches):
         for batch in batches:
-            low = [(e[:LEAST] >> _U(32)).astype(np.uint32).view(np.int32) for _, _, buf, off in hashing.texts(batch) for e, _ in shingle_sets(buf, off)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.list_(pa.int32()))], ["doc_id", "low"])
-
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, low array<int>")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``least``."""
+            for a, b, buf, off in hashing.texts(batch):
+                sets = [*shingle_sets(buf, off)]
+                some = np.array([len(e) > 0 for e, _ in sets])
+                first = np.concatenate(([0], np.cumsum([len(e) for e, _ in sets if len(e)]))).astype(np.int64)
+                full = np.flatnonzero(some)
+                own = signatures(np.concatenate([e for e, _ in sets]), weight(np.concatenate([c for _, c in sets])), first) if len(full) else np.zeros((0, M), np.uint64)
+                whole = np.frombuffer(b"".join(hashing.digest(b" ".join(buf[off[i] : off[i + 1]].tobytes().split())) for i in full.tolist()), np.int64).reshape(len(full), 2)
+                bits = np.packbits((hashing.mix(own) & _U(1)).astype(np.uint8), axis=1).view(np.int64)
+                keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(full), BANDS))
+                for k in range(ROWS):
+                    keys = hashing.join(keys, own.reshape(len(full), BANDS, ROWS)[:, :, k])
+                place = np.cumsum(some) - 1
+                at = pa.array(place, mask=~some)
+                spread = lambda x: pa.array(np.ascontiguousarray(x)).take(at)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(full) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.astype(np.int64).ravel())).take(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), spread(whole[:, 0]), spread(whole[:, 1]), *(spread(bits[:, k]) for k in range(len(_BITS))), lists], [x.split()[0] for x in SKETCH.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+
+
+def _leave_possible(x: str, y: str, least: float) -> F.Column:
+    """Whether bits of two signatures differ in no more slots than a pair of ``least`` would, and SPREAD standard errors."""
+    p = (1 - least) / 2
+    apart = F.lit(0)
+    for c in _BITS:
+        apart = apart + F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+    return apart <= int(M * p + SPREAD * (M * p * (1 - p)) ** 0.5)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose weighted shingles have a probability Jaccard similarity of at least ``least``."""
 
     def sets(batches):
         for batch in batches:
-            blobs = [e.tobytes() for _, _, buf, off in hashing.texts(batch) for e, _ in shingle_sets(buf, off)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc_id", "set"])
+            found = [x for _, _, buf, off in hashing.texts(batch) for x in shingle_sets(buf, off)]
+            many = [np.flatnonzero(c > 1) for _, c in found]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([e.tobytes() for e, _ in found], pa.binary()),
+                pa.array([np.stack([m, c[m]]).astype("<i8").tobytes() for m, (_, c) in zip(many, found)], pa.binary()),
+            ], ["doc_id", "set", "many"])
+
+    def weighted(blob: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray]:
+        x, w = np.frombuffer(blob, np.uint64), np.ones(len(blob) // 8)
+        at, n = np.frombuffer(many, "<i8").reshape(2, -1)
+        w[at] = weight(n)
+        return x, w
 
     def compare(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            cols = (batch.column(c).to_pylist() for c in ("sa", "ma", "sb", "mb"))
+            ok = [probability_jaccard(*weighted(sa, ma), *weighted(sb, mb)) >= least - 1e-9 for sa, ma, sb, mb in zip(*cols)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    of = written(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary"), "sets")
-    side = lambda x: of.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    needed = scratch.written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "needed")
+    # Texts stay where they are unless the ids are too many to be sent.
+    ids = F.broadcast(needed) if needed.count() <= SENT else needed
+    of = scratch.written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary, many binary"), "sets")
+    side = lambda x: of.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"), F.col("many").alias(f"m{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "ma", "sb", "mb").mapInArrow(compare, "a long, b long")
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
+    """doc_id, class_id, exact_id, kept, where no doc_id is repeated."""
+    with Scratch(docs.sparkSession) as s:
+        sketch = s.written(_sketched(docs), "sketch")
+        known = sketch.where("wa is not null and doc_id is not null")
+        exact = known.groupBy("wa", "wb").agg(F.min("doc_id").alias("exact_id"))
+        reps = s.written(known.join(exact.withColumnRenamed("exact_id", "doc_id"), ["wa", "wb", "doc_id"]).select("doc_id", F.struct(*_BITS).alias("bits"), "bands"), "reps")
+        bands = reps.select("doc_id", F.explode("bands").alias("key"))
+        groups = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("c")).where("n > 1").select("key", "c")
+        member = s.written(bands.join(groups, "key"), "members")
+        bits = reps.select("doc_id", "bits")
+        with_bits = lambda df, x: df.join(bits.select(F.col("doc_id").alias(x), F.col("bits").alias(f"bits_{x}")), x)
+        stars = s.written(member.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+        near = s.written(with_bits(with_bits(stars, "a"), "b").where(_leave_possible("bits_a", "bits_b", least)).select("a", "b"), "near")
+        links = s.written(_verified(near, docs, least, s), "links")
+        found = s.written(components(links, "a", "b", s.folder), "found")
+        # Groups that still hold several classes: compared across classes, by a bit a slot within the join.
+        placed = member.select("key", "doc_id").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("cls"))
+        mixed = placed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
+        held = s.written(placed.join(mixed, "key").join(bits, "doc_id"), "mixed")
+        x, y = (held.select("key", *(F.col(c).alias(f"{c}_{v}") for c in ("doc_id", "cls", "bits"))) for v in "xy")
+        meet = x.join(y, "key").where((F.col("cls_x") < F.col("cls_y")) & _leave_possible("bits_x", "bits_y", least))
+        pairs = meet.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+        across = s.written(pairs.join(stars, ["a", "b"], "left_anti"), "across")
+        if across.limit(1).count():
+            every = s.written(links.unionByName(_verified(across, docs, least, s)), "links")
+            found = s.written(components(every, "a", "b", s.folder), "found")
+        per = exact.join(found.select(F.col("node").alias("exact_id"), "component"), "exact_id", "left")
+        out = sketch.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("wa")).alias("wa"), "wb").join(per, ["wa", "wb"], "left")
+        class_id = F.coalesce("component", "exact_id", "doc_id")
+        return written(out.select("doc_id", class_id.alias("class_id"), F.coalesce("exact_id", "doc_id").alias("exact_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept")), "classes")
+
+
+def _numbered(docs: DataFrame) -> DataFrame | None:
+    """Rows with numbers in the order of doc_id, where a doc_id is repeated; else None."""
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return None
+    return written(docs.select(F.struct("*").alias("row")).orderBy("row.doc_id").withColumn("at", F.when(F.col("row.doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its class), exact_id (smallest doc_id with the same words), n_links, kept.
-
-    n_links: verified links of the row's exact class to other exact classes.
-    """
-    all_ids = docs.select("doc_id")
-    docs = docs.where("doc_id is not null")
-    sketch = written(_sketched(docs), "sketch")
-    exact = sketch.where("words is not null").groupBy("words").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("words", F.col("r.doc_id").alias("exact_id"), F.col("r.sig").alias("sig"))
-    reps = written(exact.select(F.col("exact_id").alias("doc_id"), "words", "sig"), "reps")
-    bands = _bands(reps)
-    centres = bands.groupBy("key").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "key")).alias("c")).where("n > 1").select("key", "c")
-    member = written(bands.join(centres, "key"), "members")
-    near = lambda p: p.join(reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("ga")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("gb")), "b").where(_agree("ga", "gb", least)).select("a", "b")
-    stars = written(member.where("doc_id <> c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct(), "stars")
-    links = written(_verified(written(near(stars), "near"), docs, least), "links")
-    found = written(components(links, "a", "b"), "found")
-    # Groups that still hold several classes: compared across classes, by signatures and bottom sketches within the join.
-    placed = member.join(found, member["doc_id"] == found["node"], "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("cls"))
-    mixed = placed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
-    held = written(placed.join(mixed, "key"), "mixed")
-    low = written(_bottoms(docs, held.select("doc_id").distinct()), "bottoms")
-    left = held.join(low, "doc_id").join(reps.select("doc_id", "sig"), "doc_id")
-    x, y = (left.select("key", "band", *(F.col(c).alias(f"{c}_{v}") for c in ("doc_id", "cls", "sig", "low"))) for v in "xy")
-    meet = (F.col("cls_x") < F.col("cls_y")) & _agree("sig_x", "sig_y", least) & _first_shared("sig_x", "sig_y", "band") & _sketches_meet("low_x", "low_y", least)
-    pairs = x.join(y.drop("band"), "key").where(meet).select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b"))
-    across = written(pairs.join(stars, ["a", "b"], "left_anti"), "across")
-    every = links
-    if across.limit(1).count():
-        every = written(links.unionByName(_verified(across, docs, least)), "links")
-        found = written(components(every, "a", "b"), "found")
-    degree = every.select(F.col("a").alias("exact_id")).unionByName(every.select(F.col("b").alias("exact_id"))).groupBy("exact_id").agg(F.count("*").alias("n_links"))
-    per_exact = exact.select("words", "exact_id").join(found.select(F.col("node").alias("exact_id"), "component"), "exact_id", "left").join(degree, "exact_id", "left")
-    out = all_ids.join(sketch.select("doc_id", "words"), "doc_id", "left").join(per_exact, "words", "left")
-    class_id = F.coalesce("component", "exact_id", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("exact_id", "doc_id").alias("exact_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(True)).alias("kept"))
+    """doc_id, class_id (smallest doc_id of its class), exact_id (smallest doc_id with the same words), kept (one row of each class)."""
+    rows = _numbered(docs.select("doc_id", "text"))
+    if rows is None:
+        return _classes(docs, least)
+    found = _classes(rows.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")), least).where("doc_id is not null").withColumnRenamed("doc_id", "at")
+    of = rows.select("at", F.col("row.doc_id").alias("doc_id"))
+    name = lambda c: of.where("at is not null").select(F.col("at").alias(c), F.col("doc_id").alias(f"{c}_name"))
+    out = of.join(found, "at", "left").join(name("class_id"), "class_id", "left").join(name("exact_id"), "exact_id", "left")
+    return out.select("doc_id", F.col("class_id_name").alias("class_id"), F.col("exact_id_name").alias("exact_id"), F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """One document of each class, with all columns. Rows that repeat a doc_id are documents of their own; rows without one stay."""
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        # Numbers in the order of doc_id stand for it, so that the verdict on one row is not taken for another's.
-        rows = written(docs.select(F.struct("*").alias("row")).orderBy("row.doc_id").withColumn("at", F.monotonically_increasing_id()), "rows")
-        numbered = rows.select(F.when(F.col("row.doc_id").isNotNull(), F.col("at")).alias("doc_id"), F.col("row.text").alias("text"), "row")
-        return keep_one(numbered, least).select("row.*")
-    gone = classes(docs, least).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    rows = _numbered(docs)
+    if rows is not None:
+        gone = _classes(rows.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")), least).where("not kept").select(F.col("doc_id").alias("at"))
+        return rows.join(gone, "at", "left_anti").select("row.*")
+    gone = _classes(docs, least).where("not kept").select("doc_id")
+    return docs.join(F.broadcast(gone) if gone.count() <= SENT else gone, "doc_id", "left_anti")

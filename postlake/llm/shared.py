@@ -8,24 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one under /tmp only where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session of one machine may lack it; it gets one under /tmp."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and rereads it: the lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/postlake-{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/postlake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables that one operator writes and rereads; their folder goes at the end, so results are written elsewhere before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/postlake-scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.folder)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, self.folder)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files behind a table made by ``written``; call it once nothing reads the table any more."""
-    jvm = df.sparkSession.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -2,12 +2,13 @@
 
 import collections
 import hashlib
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.llm import bpe, classifier, fingerprints, langid, minhash, packing, projections, quality_rules, queries, suffix, warc
+from postlake.llm import bpe, classifier, fingerprints, hashing, langid, minhash, packing, projections, quality_rules, queries, suffix, warc
 
 PROSE = " ".join(f"word{i * 7 % 61} tail{i % 13}" for i in range(400))
 PASSAGE = " ".join(f"shared{i}" for i in range(60))
@@ -92,44 +93,92 @@ def test_fingerprints(spark, docs, tmp_path):
     assert split == want and len(index.runs()) == 1
 
 
-def test_minhash(spark, docs):
-    rng = np.random.default_rng(5)
-    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
-    rows = [(i, " ".join("edit" if j == (i * 9) % 300 else w for j, w in enumerate(base)), "en", "a") for i in range(100, 130)] + [(200 + i, " ".join(f"u{i}x{j}" for j in range(50)), "en", "a") for i in range(10)] + [(300, "two words", "en", "a"), (301, "two words", "en", "a")]
-    every = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, SCHEMA))
-    sets = {i: {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if w else set() for i, w in ((i, (t or "").split()) for i, t, *_ in [*ROWS, *rows] if i is not None)}
-    root = {i: i for i in sets}
+def shingles(text):
+    """Weighted 5-word shingles of a text; the whole text where it has fewer words."""
+    w = (text or "").split()
+    n = collections.Counter(tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))) if w else {}
+    return {k: 1 + math.log(c) for k, c in n.items()}
+
+
+def probability_jaccard(x, y):
+    if set(x.values()) == set(y.values()) == {1}:
+        return len(x.keys() & y.keys()) / len(x.keys() | y.keys())
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+def brute_classes(rows):
+    """{index: smallest index of its class} by all pairs."""
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
 
     def find(x):
         return x if root[x] == x else find(root[x])
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if i < j and sets[i] and sets[j] and len(sets[i].keys() & sets[j].keys()) and (sets[i] == sets[j] or probability_jaccard(sets[i], sets[j]) >= 0.8):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
+    return {i: find(i) for i in sets}
+
+
+def test_minhash(spark, docs):
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = [(i, " ".join("edit" if j == (i * 9) % 300 else w for j, w in enumerate(base)), "en", "a") for i in range(100, 130)] + [(200 + i, " ".join(f"u{i}x{j}" for j in range(50)), "en", "a") for i in range(10)] + [(300, "two words", "en", "a"), (301, "two words", "en", "a")]
+    every = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, SCHEMA))
+    want = brute_classes([(i, t) for i, t, *_ in [*ROWS, *rows] if i is not None])
     got = {r["doc_id"]: r["class_id"] for r in minhash.classes(every).collect()}
-    assert got.pop(None) is None and got == {i: find(i) for i in sets}
+    assert got.pop(None) is None and got == want
     assert minhash.classes(empty(spark)).count() == 0
 
 
-def test_minhash_links_sets_not_counts(spark):
-    """Pairs that differ in a line of one copy, repeated 100 times: set Jaccard 200 / 235, probability Jaccard far less."""
+def test_minhash_links_weighted_shingles(spark):
+    """Pairs whose repeated blocks differ: linked or not by probability Jaccard of the weights, whatever their sets share."""
     rows = []
     for k in range(12):
-        base, line = " ".join(f"b{k}x{j}" for j in range(204)), " ".join(f"l{k}x{j}" for j in range(31))
-        rows += [(2 * k, base), (2 * k + 1, " ".join([base] + [line] * 100))]
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: (i // 2 * 2, 1) for i in range(24)}
+        base, line = " ".join(f"b{k}x{j}" for j in range(204)), " ".join(f"l{k}x{j}" for j in range(9 + 6 * k))
+        rows += [(2 * k, " ".join([base] + [line] * (1 + k % 3))), (2 * k + 1, " ".join([base] + [line] * 9))]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and 0 < sum(i != c for i, c in want.items()) < 12
+
+
+def test_minhash_rows_of_one_doc_id(spark):
+    a, b = (" ".join(f"{x}{j}" for j in range(60)) for x in "ab")
+    rows = [(1, a), (2, b), (2, b), (2, a), (3, b), (None, a)]
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["kept"]) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 2, False), (2, 2, True), (3, 2, False)]
 
 
 def test_probability_jaccard():
     rng = np.random.default_rng(2)
-    e = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    e = np.sort(rng.integers(0, 2**64, 60, dtype=np.uint64))
     x, y = np.append(rng.random(40), np.zeros(20)), np.append(np.zeros(10), rng.random(50))
-    same = np.array([np.mean(minhash.signature(e[x > 0] + np.uint64(k), x[x > 0]) == minhash.signature(e[y > 0] + np.uint64(k), y[y > 0])) for k in range(1, 40)]).mean()
-    want = sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in range(60)) for i in range(60) if x[i] and y[i])
-    assert abs(same - want) < 0.05
+    want = probability_jaccard(*({k: v for k, v in enumerate(s) if v} for s in (x, y)))
+    assert minhash.probability_jaccard(e[x > 0], x[x > 0], e[y > 0], y[y > 0]) == pytest.approx(want)
+    own = lambda k: minhash.signatures(np.concatenate([e[x > 0], e[y > 0]]) + np.uint64(k), np.concatenate([x[x > 0], y[y > 0]]), np.array([0, 40, 90]))
+    same = np.array([np.mean(s[0] == s[1]) for s in map(own, range(1, 20))]).mean()
+    assert abs(same - want) < 0.04
+
+
+def thue_morse(a, b, n, sep=""):
+    return sep.join((a, b)[bin(k).count("1") % 2] for k in range(n)), sep.join((b, a)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_hashes_tell_thue_morse_apart(spark):
+    """Words, bytes and texts of two symbols that meet under every polynomial hash modulo a power of two."""
+    for n in (128, 200, 300, 1024, 4096):
+        x, y = thue_morse("a", "b", n)
+        buf = np.frombuffer(f"{x} {y}".encode(), np.uint8)
+        assert len(set(hashing.word_hashes(buf, *hashing.words(buf, np.array([0, len(buf)]))[:2]).tolist())) == 2
+    x, y = thue_morse("a", "b", 1024)
+    same = " ".join(f"same{k}" for k in range(12))
+    d = spark.createDataFrame([(1, f"{same} {x}"), (2, f"{same} {y}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in fingerprints.dedup(d).collect()] == [0, 0]
+    d = spark.createDataFrame([*enumerate(thue_morse("a", "b", 1024, " "))], "doc_id long, text string")
+    assert {r["exact_id"] for r in minhash.classes(d).collect()} == {0, 1}
+    d = spark.createDataFrame([*enumerate(thue_morse("a", "b", 256))], "doc_id long, text string")
+    assert [r["n_removed"] for r in suffix.dedup(d).collect()] == [0, 0]
 
 
 def test_quality_rules(spark, docs):
