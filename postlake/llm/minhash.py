@@ -11,7 +11,8 @@ signatures estimate the same measure. A pair at 0.8 shares one of the BANDS band
 
 Documents with equal word sequences (128-bit digests) are one class from the start and enter as their smallest
 doc_id. Each band group is first compared with its smallest member; then pairs of members of different classes, which
-one bit a slot of both does not rule out (SPREAD standard errors below ``least``), are verified. So a group of links
+four bits a slot of both do not rule out (SPREAD standard errors below ``least``; 3 in 100,000 pairs at ``least`` are),
+are verified. So a group of links
 is not expanded into all its pairs, and pairs within a class need no comparison.
 
 Defined results: a text that is null or has no word is a class of its own; ties keep the smallest doc_id; a null
@@ -30,14 +31,15 @@ from pyspark.sql import functions as F
 
 from postlake.llm import hashing
 from postlake.llm.components import components
-from postlake.llm.shared import Scratch, written
+from postlake.llm.shared import Scratch, numbered, written
 
-SHINGLE, M, BANDS, SPREAD = 5, 256, 32, 5
+SHINGLE, M, BANDS, SPREAD = 5, 256, 32, 4
 ROWS = M // BANDS
 #: So many ids (8 bytes each) are sent to all tasks at most; above it the join shuffles.
 SENT = 1_000_000
 _U = np.uint64
-_BITS = tuple(f"b{k}" for k in range(M // 64))
+#: Longs that hold four bits of each slot.
+_BITS = tuple(f"b{k}" for k in range(M // 16))
 
 
 def signatures(elements: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -116,7 +118,7 @@ SKETCH = "doc_id long, wa long, wb long, " + ", ".join(f"{c} long" for c in _BIT
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id; wa, wb: digest of the word sequence (null without a word); a bit of each slot; a key for each band."""
+    """doc_id; wa, wb: digest of the word sequence (null without a word); four bits of each slot; a key for each band."""
 
     def run(batches):
         for batch in batches:
@@ -127,7 +129,8 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 full = np.flatnonzero(some)
                 own = signatures(np.concatenate([e for e, _ in sets]), weight(np.concatenate([c for _, c in sets])), first) if len(full) else np.zeros((0, M), np.uint64)
                 whole = np.frombuffer(b"".join(hashing.digest(b" ".join(buf[off[i] : off[i + 1]].tobytes().split())) for i in full.tolist()), np.int64).reshape(len(full), 2)
-                bits = np.packbits((hashing.mix(own) & _U(1)).astype(np.uint8), axis=1).view(np.int64)
+                four = (hashing.mix(own) & _U(15)).astype(np.uint8)
+                bits = np.ascontiguousarray(four[:, ::2] | four[:, 1::2] << 4).view(np.int64)
                 keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(full), BANDS))
                 for k in range(ROWS):
                     keys = hashing.join(keys, own.reshape(len(full), BANDS, ROWS)[:, :, k])
@@ -141,11 +144,13 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _leave_possible(x: str, y: str, least: float) -> F.Column:
-    """Whether bits of two signatures differ in no more slots than a pair of ``least`` would, and SPREAD standard errors."""
-    p = (1 - least) / 2
-    apart = F.lit(0)
+    """Whether four bits a slot of two signatures differ in no more slots than a pair of ``least`` would, and SPREAD standard errors."""
+    p, apart = (1 - least) * 15 / 16, F.lit(0)
     for c in _BITS:
-        apart = apart + F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+        other = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
+        other = other.bitwiseOR(F.shiftrightunsigned(other, 1))
+        other = other.bitwiseOR(F.shiftrightunsigned(other, 2))
+        apart = apart + F.bit_count(other.bitwiseAND(F.lit(0x1111111111111111)))
     return apart <= int(M * p + SPREAD * (M * p * (1 - p)) ** 0.5)
 
 
@@ -197,7 +202,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         near = s.written(with_bits(with_bits(stars, "a"), "b").where(_leave_possible("bits_a", "bits_b", least)).select("a", "b"), "near")
         links = s.written(_verified(near, docs, least, s), "links")
         found = s.written(components(links, "a", "b", s.folder), "found")
-        # Groups that still hold several classes: compared across classes, by a bit a slot within the join.
+        # Groups that still hold several classes: compared across classes, by four bits a slot within the join.
         placed = member.select("key", "doc_id").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("cls"))
         mixed = placed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
         held = s.written(placed.join(mixed, "key").join(bits, "doc_id"), "mixed")
@@ -215,10 +220,10 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame | None:
-    """Rows with numbers in the order of doc_id, where a doc_id is repeated; else None."""
+    """Rows with numbers in the order of doc_id (none where that is null), if a doc_id is repeated; else None."""
     if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return None
-    return written(docs.select(F.struct("*").alias("row")).orderBy("row.doc_id").withColumn("at", F.when(F.col("row.doc_id").isNotNull(), F.monotonically_increasing_id())), "rows")
+    return numbered(docs).withColumn("at", F.when(F.col("row.doc_id").isNotNull(), F.col("at")))
 
 
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
