@@ -1,10 +1,15 @@
 """Substring dedup on words by a log-structured fingerprint index.
 
-Level one: a window of K words is known by its least ANCHOR-word hash (a window's winnowing anchor), so about one
-fingerprint in five words is indexed. Runs of such fingerprints, sorted and immutable, are merged per hash bucket.
-Level two verifies: only windows whose anchor another document has are compared, by a hash of the whole window.
-``FingerprintIndex`` keeps window hashes of past batches as sorted runs in a folder, merge-joins a new batch with
-them and compacts them when there are many; ``dedup`` treats a whole table as one batch.
+A window of K words has a 64-bit fingerprint, and 32 bits of an independently seeded hash of the same words that
+verify a match: with 96 bits in all, 1.6e13 windows (100 TB) are expected to hold 0.002 pairs that match by chance.
+``FingerprintIndex`` keeps the fingerprints of past batches as immutable runs, sorted within hash buckets; no
+fingerprint is in two runs. ``add`` merge-joins a new batch with all runs, bucket by bucket, tells its documents
+which of their windows the past or a smaller doc_id of the batch has, and makes what is new a run; before, past runs
+are compacted into one where there are more than ``most``. ``dedup`` and ``remove`` add a table in BATCHES batches of rising doc_id.
+
+Within a task's chunk equal windows go on once, so a passage of a third of all rows costs one entry a chunk; buckets
+are dealt by fingerprint and grow in number with the input. A batch becomes a run by one rename once it is whole, and
+a batch that is added again after a crash meets every run but its own, so a retry gives the same answers.
 
 Defined results: a null or empty text has no words; texts under K words lose nothing; of equal texts the one with
 the smallest doc_id stays whole; rows with a null doc_id are left as they are, as they have no place in the order;
@@ -13,6 +18,7 @@ rows that repeat a doc_id are the same document to each other. Other columns are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -25,55 +31,163 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlake.llm import hashing, runs
-from postlake.llm.shared import buckets_for
+from postlake.llm.shared import Scratch, buckets_for, delete, shared_dir, written
 
-K, ANCHOR = 13, 5
+K, BATCHES = 13, 3
+CHECK = "<u4"
+#: Fingerprints a row of a run.
+_ROW = 1 << 20
+RUN = "kind int, bucket int, keys binary, checks binary, doc_id long, found binary"
+RUN_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("doc_id", pa.int64()), ("found", pa.binary())])
 
 
-def _windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, anchor and text of each whole window, and the place of its first word among the words of its text."""
+def _windows(buf: np.ndarray, off: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and text of each whole window, and the place of its first word among the words of its text."""
     start, end, first = hashing.words(buf, off)
-    h = hashing.word_hashes(buf, start, end)
-    if len(h) < K:
-        z = np.zeros(0, np.uint64)
-        return z, z, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    own = hashing.windows(h, K)
-    grams = hashing.windows(h ^ np.uint64(0xA5A5A5A5), ANCHOR)
-    anchor = grams[: len(own)].copy()
-    for j in range(1, K - ANCHOR + 1):
-        np.minimum(anchor, grams[j : j + len(own)], out=anchor)
+    own = hashing.windows(hashing.word_hashes(buf, start, end, seed), K)
     text = np.searchsorted(first, np.arange(len(own)), "right") - 1
     whole = np.arange(len(own)) + K <= first[text + 1]
-    return own[whole], anchor[whole], text[whole], (np.arange(len(own)) - first[text])[whole]
+    return own[whole], text[whole], (np.arange(len(own)) - first[text])[whole]
 
 
-def _anchor_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     ids = batch.column(0).to_numpy()
     for a, _, buf, off in hashing.texts(batch):
-        _, anchor, text, _ = _windows(buf, off)
-        new = runs.first_of_runs(anchor) | runs.first_of_runs(text)
-        yield hashing.mix(anchor[new]), ids[a + text[new]]
+        own, text, _ = _windows(buf, off)
+        yield own, (_windows(buf, off, seed=1)[0] >> np.uint64(32)).astype(CHECK), ids[a + text]
+
+
+def _known(keys: np.ndarray, checks: np.ndarray, run_keys: np.ndarray, run_checks: np.ndarray) -> np.ndarray:
+    """Which fingerprints a sorted run holds, checks included: a merge of two sorted lists."""
+    out, at = np.zeros(len(keys), bool), np.searchsorted(run_keys, keys)
+    while len(run_keys):
+        there = at < len(run_keys)
+        place = np.where(there, at, 0)
+        same = there & (run_keys[place] == keys)
+        out |= same & (run_checks[place] == checks)
+        if not (same & ~out).any():
+            break
+        at = np.where(same & ~out, at + 1, len(run_keys))  # the same fingerprint with another check may follow
+    return out
+
+
+def _rows(bucket: int, keys: np.ndarray, checks: np.ndarray) -> Iterator[dict]:
+    for a in range(0, len(keys), _ROW):
+        yield {"kind": 0, "bucket": bucket, "keys": keys[a : a + _ROW].tobytes(), "checks": checks[a : a + _ROW].tobytes()}
+
+
+def _joined(batch: pa.Table, history: pa.Table) -> pa.Table:
+    """A bucket: answers for the batch's documents (kind 1), and its new fingerprints as rows of a run (kind 0)."""
+    out, parts = [], []
+    for r in batch.to_pylist():
+        if r["doc_id"] is not None:
+            out.append({"kind": 1, "doc_id": r["doc_id"], "found": r["found"]})
+        else:
+            k = np.frombuffer(r["keys"], np.uint64)
+            parts.append((k, np.frombuffer(r["checks"], CHECK) if r["checks"] else np.zeros(len(k), CHECK), runs.ids_back(r["base"], r["docs"], len(k))))
+            bucket = r["bucket"]
+    if parts:
+        keys, checks, docs, first = runs.ordered(*(np.concatenate(x) for x in zip(*parts)))
+        past = np.zeros(len(keys), bool)
+        for k, c in zip(history["keys"], history["checks"]):
+            past |= _known(keys, checks, np.frombuffer(k.as_py(), np.uint64), np.frombuffer(c.as_py(), CHECK))
+        told = past | runs.shared(first, later=True)
+        out += [{"kind": 1, "doc_id": a, "found": b} for a, b in runs.by_document(docs[told], keys[told])]
+        new = first & ~past
+        out += _rows(bucket, keys[new], checks[new])
+    return pa.Table.from_pylist(out, RUN_ARROW)
+
+
+def _first(batch: pa.Table) -> pa.Table:
+    return _joined(batch, pa.table({"keys": pa.array([], pa.binary()), "checks": pa.array([], pa.binary())}))
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    keys, checks = (np.concatenate([np.frombuffer(x.as_py(), t) for x in table[c]]) for c, t in (("keys", np.uint64), ("checks", CHECK)))
+    order = np.lexsort((checks, keys))
+    return pa.Table.from_pylist([*_rows(table["bucket"][0].as_py(), keys[order], checks[order])], RUN_ARROW)
+
+
+class FingerprintIndex:
+    """Fingerprints of past batches in a folder: immutable runs, compacted where a batch would meet over ``most``."""
+
+    def __init__(self, spark: SparkSession, path: str, n_buckets: int = 256, most: int = 4):
+        self.spark, self.path, self.n, self.most = spark, path.rstrip("/"), n_buckets, most
+
+    def _fs(self):
+        of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        p = of(self.path)
+        return of, p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def runs(self) -> list[str]:
+        """Whole runs only: a folder gets its name when all of it is written."""
+        _, p, fs = self._fs()
+        return sorted(x for x in (str(s.getPath().getName()) for s in fs.listStatus(p)) if x.startswith("run-")) if fs.exists(p) else []
 
+    def _read(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(*[f"{self.path}/{x}" for x in names]).where("kind = 0").select("bucket", "keys", "checks")
 
-def _window_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes of the windows whose anchor is in another document too."""
-    ids, found = batch.column(0).to_numpy(), batch.column("found")
-    for a, b, buf, off in hashing.texts(batch):
-        own, anchor, text, _ = _windows(buf, off)
-        cut = np.searchsorted(text, np.arange(b - a + 1))
-        keys = hashing.mix(anchor)
-        for i in range(b - a):
-            if cut[i] < cut[i + 1]:
-                k = own[cut[i] : cut[i + 1]][runs.members(keys[cut[i] : cut[i + 1]], found[a + i].as_py())]
-                yield k, np.full(len(k), ids[a + i])
+    def _placed(self, names: list[str]) -> DataFrame:
+        """The runs' rows with this index's number of buckets: a row of fewer buckets is cut in its order."""
+        n = self.n
+
+        def cut(batches):
+            for batch in batches:
+                out = []
+                for k, c in zip(batch.column(1), batch.column(2)):
+                    keys, checks = np.frombuffer(k.as_py(), np.uint64), np.frombuffer(c.as_py(), CHECK)
+                    out += [{"bucket": b, "keys": keys[s].tobytes(), "checks": checks[s].tobytes()} for b, s in runs.bucketed(keys, n)]
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary())]))
+
+        return self._read(names).mapInArrow(cut, "bucket int, keys binary, checks binary")
+
+    def _commit(self, rows: DataFrame, name: str) -> None:
+        of, _, fs = self._fs()
+        rows.write.mode("overwrite").parquet(f"{self.path}/new-{name}")
+        fs.delete(of(f"{self.path}/run-{name}"), True)
+        if not fs.rename(of(f"{self.path}/new-{name}"), of(f"{self.path}/run-{name}")):
+            raise OSError(f"{self.path}/run-{name} could not be named")
+
+    def add(self, docs: DataFrame, batch: str, folder: str | None = None) -> DataFrame:
+        """doc_id, found: windows of the new batch that the past or a smaller id of the batch has. The batch is a run then.
+
+        ``batch`` names it: adding the last batch again meets every run but its own. The answer is written to ``folder``.
+        """
+        n, past = self.n, [x for x in self.runs() if x != f"run-{batch}"]
+        if len(past) > self.most:
+            past = self.compact(past)
+
+        def ask(batches):
+            made = runs.chunks(x for b in batches for x in _entries(b))
+            yield from runs.sent((r for k, c, d in made for r in runs.requests(k, c, d, n, True)), runs.REQUEST_ARROW)
+
+        asked = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(ask, runs.REQUEST)
+        by = asked.groupBy("bucket")
+        self._commit(by.cogroup(self._placed(past).groupBy("bucket")).applyInArrow(_joined, RUN) if past else by.applyInArrow(_first, RUN), batch)
+        found = self.spark.read.schema(RUN).parquet(f"{self.path}/run-{batch}").where("kind = 1")
+        return written(found.groupBy("doc_id").agg(F.collect_list("found").alias("found")), "found", folder)
+
+    def compact(self, past: list[str] | None = None) -> list[str]:
+        """Merges runs into one; the old ones go only when it is whole. If they stay after a crash, they hold nothing that it lacks."""
+        past, name = self.runs() if past is None else past, f"compact-{uuid.uuid4().hex}"
+        self._commit(self._placed(past).groupBy("bucket").applyInArrow(_merged, RUN), name)
+        for x in past:
+            delete(self.spark, f"{self.path}/{x}")
+        return [f"run-{name}"]
 
 
-def later_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, found: hashes of the windows that a document with a smaller id has too."""
-    slim = docs.where("doc_id is not null").select("doc_id", "text")
-    n = buckets_for(docs)
-    anchors = runs.in_others(slim, _anchor_pairs, n, later=False)
-    return runs.in_others(slim.join(anchors, "doc_id"), _window_pairs, n, later=True)
+def later_windows(docs: DataFrame, folder: str, batches: int = BATCHES) -> DataFrame:
+    """doc_id, found: fingerprints of the windows that a document with a smaller id has too; the table goes into an index batch by batch."""
+    spark = docs.sparkSession
+    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)})
+    bounds, parts = [None, *cuts, None], []
+    with Scratch(spark) as s:
+        index = FingerprintIndex(spark, f"{s.folder}/index", buckets_for(docs), most=1)
+        for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            of = docs if low is None else docs.where(F.col("doc_id") > low)
+            parts.append(index.add(of if high is None else of.where(F.col("doc_id") <= high), f"{k:06d}", folder))
+            spark.sparkContext._jvm.System.gc()  # the driver's cleaner then drops the shuffle files of this batch
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _finished(docs: DataFrame, found: DataFrame, with_text: bool, rest: tuple[str, ...] = ()) -> DataFrame:
@@ -85,14 +199,15 @@ def _finished(docs: DataFrame, found: DataFrame, with_text: bool, rest: tuple[st
         for batch in batches:
             out = []
             for a, b, buf, off in hashing.texts(batch):
-                own, _, text, place = _windows(buf, off)
+                blobs = batch.column("found").slice(a, b - a).to_pylist()
+                own, text, place = _windows(buf, off) if any(blobs) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
                 cut = np.searchsorted(text, np.arange(b - a + 1))
                 for i in range(b - a):
                     words = buf[off[i] : off[i + 1]].tobytes().split()
                     r = slice(cut[i], cut[i + 1])
-                    hit = place[r][runs.members(own[r], batch.column("found")[a + i].as_py())]
+                    hit = place[r][runs.members(own[r], blobs[i])]
                     gone = runs.covered(hit, K, len(words)) if len(hit) else np.zeros(len(words), bool)
-                    kept = b" ".join(compress(words, (~gone).tolist()))
+                    kept = b" ".join(compress(words, (~gone).tolist()) if len(hit) else words)
                     row = {"doc_id": batch.column(0)[a + i].as_py(), "n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
                     # A text that loses nothing keeps its own white space.
                     out.append(row | ({"text": kept.decode() if len(hit) else batch.column("text")[a + i].as_py()} if with_text else {}))
@@ -109,91 +224,12 @@ def _finished(docs: DataFrame, found: DataFrame, with_text: bool, rest: tuple[st
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    return _finished(docs, later_windows(docs), with_text=False)
+    with Scratch(docs.sparkSession) as s:
+        return written(_finished(docs, later_windows(docs, s.folder), with_text=False), "digests")
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """The documents without words that an earlier document has in a shared window; documents left without words go."""
     rest = tuple(c for c in docs.columns if c != "text")
-    done = _finished(docs, later_windows(docs), with_text=True, rest=rest).where("n_removed < n_words")
+    done = _finished(docs, later_windows(docs, shared_dir(docs.sparkSession)), with_text=True, rest=rest).where("n_removed < n_words")
     return done.select(*(F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))
-
-
-class FingerprintIndex:
-    """Window hashes of past batches in a shared folder: runs of one sorted blob a bucket, compacted when over ``most``."""
-
-    def __init__(self, spark: SparkSession, path: str, n_buckets: int = 256, most: int = 4):
-        self.spark, self.path, self.n, self.most = spark, path.rstrip("/"), n_buckets, most
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def runs(self) -> list[str]:
-        _, p, fs = self._fs()
-        return sorted(str(x.getPath().getName()) for x in fs.listStatus(p)) if fs.exists(p) else []
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        """Removes from a new batch what the past or a smaller id of the batch has, then makes the batch a run."""
-        n = self.n
-
-        def own(batches):
-            pairs = ((o, np.full(len(o), 0)) for batch in batches for _, _, buf, off in hashing.texts(batch) for o in [_windows(buf, off)[0]])
-            for k, _ in runs.chunks(pairs):
-                k = np.unique(k)
-                b = (k >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
-                cut = np.searchsorted(b, np.arange(n + 1))
-                rows = [{"bucket": int(i), "keys": k[cut[i] : cut[i + 1]].tobytes()} for i in np.flatnonzero(cut[1:] > cut[:-1])]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("keys", pa.binary())]))
-
-        def merged(table: pa.Table) -> pa.Table:
-            k = np.unique(np.frombuffer(b"".join(x.as_py() for x in table["keys"]), np.uint64))
-            return pa.Table.from_pylist([{"bucket": table["bucket"][0].as_py(), "keys": k.tobytes()}], pa.schema([("bucket", pa.int32()), ("keys", pa.binary())]))
-
-        slim = docs.where("doc_id is not null").select("doc_id", "text")
-        found = later_windows(docs)
-        past = self.runs()
-        if past:
-            history = self.spark.read.parquet(*[f"{self.path}/{x}" for x in past]).select(F.col("bucket"), "keys")
-
-            def ask(batches):
-                pairs = ((o, batch.column(0).to_numpy()[a + t]) for batch in batches for a, _, buf, off in hashing.texts(batch) for o, _, t, _ in [_windows(buf, off)])
-                for k, d in runs.chunks(pairs):
-                    k, d = runs.ordered(k, d)
-                    b = (k >> np.uint64(64 - n.bit_length() + 1)).astype(np.int64)
-                    cut = np.searchsorted(b, np.arange(n + 1))
-                    yield pa.RecordBatch.from_pylist([{"bucket": int(i), "keys": k[cut[i] : cut[i + 1]].tobytes(), "docs": d[cut[i] : cut[i + 1]].astype(np.int64).tobytes()} for i in np.flatnonzero(cut[1:] > cut[:-1])], pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())]))
-
-            def join(left: pa.Table, right: pa.Table) -> pa.Table:
-                out = []
-                for r in left.to_pylist():
-                    k = np.frombuffer(r["keys"], np.uint64)
-                    hit = runs.members(k, [x.as_py() for x in right["keys"]])
-                    out += [{"doc_id": a, "found": b} for a, b in runs.by_document(np.frombuffer(r["docs"], np.int64)[hit], k[hit])]
-                return pa.Table.from_pylist(out, runs.FOUND_ARROW)
-
-            asked = slim.mapInArrow(ask, "bucket int, keys binary, docs binary")
-            old = asked.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(join, runs.FOUND).groupBy("doc_id").agg(F.collect_list("found").alias("found"))
-            found = found.unionByName(old).groupBy("doc_id").agg(F.flatten(F.collect_list("found")).alias("found"))
-        from postlake.llm.shared import written
-
-        result = written(_finished(docs, found, with_text=True), "batch")
-        new = slim.mapInArrow(own, "bucket int, keys binary").groupBy("bucket").applyInArrow(merged, "bucket int, keys binary")
-        new.write.parquet(f"{self.path}/run-{len(past):06d}-{uuid.uuid4().hex}")
-        if len(past) + 1 > self.most:
-            self.compact()
-        return result
-
-    def compact(self) -> None:
-        """Merges all runs into one; the old ones go only when it is whole."""
-        jvm, _, fs = self._fs()
-        past = self.runs()
-
-        def merged(table: pa.Table) -> pa.Table:
-            k = np.unique(np.frombuffer(b"".join(x.as_py() for x in table["keys"]), np.uint64))
-            return pa.Table.from_pylist([{"bucket": table["bucket"][0].as_py(), "keys": k.tobytes()}], pa.schema([("bucket", pa.int32()), ("keys", pa.binary())]))
-
-        self.spark.read.parquet(*[f"{self.path}/{x}" for x in past]).groupBy("bucket").applyInArrow(merged, "bucket int, keys binary").write.parquet(f"{self.path}/run-000000-{uuid.uuid4().hex}")
-        for x in past:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}"), True)

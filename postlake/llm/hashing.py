@@ -80,14 +80,14 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each word, eight bytes at a time; equal lengths up to eight bytes never meet."""
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each word, eight bytes at a time; equal lengths up to eight bytes never meet. Seeds give independent hashes."""
     if not len(start):
         return np.zeros(0, np.uint64)
     eight, left = loads(buf), end - start
-    out = mix(mix(left.astype(np.uint64) * _ODD) ^ (eight[start] & _MASKS[np.minimum(left, 8)]))
+    out = mix(mix(left.astype(np.uint64) * _ODD + _U(seed)) ^ (eight[start] & _MASKS[np.minimum(left, 8)]))
     for i in np.flatnonzero(left > _LONG).tolist():
-        out[i] = digest64(buf[start[i] : end[i]].tobytes())
+        out[i] = digest64(buf[start[i] : end[i]].tobytes(), seed)
     rest = np.flatnonzero((left > 8) & (left <= _LONG))
     at, left = start[rest] + 8, left[rest] - 8
     while len(rest):
@@ -107,8 +107,8 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def digest64(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+def digest64(data: bytes, seed: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
 
 
 def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -3,6 +3,9 @@
 Each task cuts its rows into chunks and turns a chunk into one sorted, immutable run per hash bucket. Within the
 chunk every key is settled as far as can be, and goes on once a chunk however many documents have it, so a key that
 a third of all rows share costs one entry a chunk. A bucket's task merges its runs and answers per document.
+
+An entry is a 64-bit fingerprint and, where the answer rests on equality, a check: bits of an independent hash of the
+same words or bytes. Entries are equal only if both are, so a fingerprint that two share by chance parts them here.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REQUEST = "bucket int, keys binary, base long, docs binary, doc_id long, found binary"
+REQUEST = "bucket int, keys binary, checks binary, base long, docs binary, doc_id long, found binary"
 FOUND = "doc_id long, found binary"
 #: Entries a chunk.
 CHUNK = 2_000_000
@@ -47,34 +50,49 @@ def first_of_runs(k: np.ndarray) -> np.ndarray:
     return out
 
 
-def ordered(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (key, document) pairs in order."""
+def ordered(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, check, document) entries in order, and which of them are the first of their key and check."""
     order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    keep = first_of_runs(keys) | first_of_runs(docs)
-    return keys[keep], docs[keep]
+    if checks.any() and ((keys[order][1:] == keys[order][:-1]) & (checks[order][1:] != checks[order][:-1])).any():
+        order = np.lexsort((docs, checks, keys))  # a fingerprint shared by chance
+    keys, checks, docs = keys[order], checks[order], docs[order]
+    first = first_of_runs(keys) | first_of_runs(checks)
+    keep = first | first_of_runs(docs)
+    return keys[keep], checks[keep], docs[keep], first[keep]
+
+
+def shared(first: np.ndarray, later: bool) -> np.ndarray:
+    """Which entries have another document: any, or one before."""
+    return ~first if later else ~(first & np.append(first[1:], True))
 
 
-def _requests(keys: np.ndarray, docs: np.ndarray, n_buckets: int, later: bool) -> Iterator[dict]:
-    keys, docs = ordered(keys, docs)
-    first = first_of_runs(keys)
-    alone = first & np.append(first[1:], True)
-    told = ~first if later else ~alone
+def bucketed(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
+    """Buckets that sorted keys fall into, by their highest bits, and where."""
+    if not len(keys):
+        return
+    bucket = (keys >> np.uint64(64 - n_buckets.bit_length() + 1)).astype(np.int64)
+    cut = [*np.flatnonzero(first_of_runs(bucket)).tolist(), len(keys)]
+    for a, b in zip(cut, cut[1:]):
+        yield int(bucket[a]), slice(a, b)
+
+
+def requests(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, n_buckets: int, later: bool) -> Iterator[dict]:
+    keys, checks, docs, first = ordered(keys, checks, docs)
+    told = shared(first, later)
     for d, blob in by_document(docs[told], keys[told]):
         yield {"bucket": d % n_buckets, "doc_id": d, "found": blob}
-    keys, docs = keys[first], docs[first]
-    bucket = (keys >> np.uint64(64 - n_buckets.bit_length() + 1)).astype(np.int64)
-    cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-        base, blob = small_ids(docs[cut[b] : cut[b + 1]])
-        yield {"bucket": b, "keys": keys[cut[b] : cut[b + 1]].tobytes(), "base": base, "docs": blob}
+    keys, checks, docs = keys[first], checks[first], docs[first]
+    some = checks.any()
+    for b, s in bucketed(keys, n_buckets):
+        base, blob = small_ids(docs[s])
+        yield {"bucket": b, "keys": keys[s].tobytes(), "checks": checks[s].tobytes() if some else None, "base": base, "docs": blob}
 
 
 def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema)
 
 
-REQUEST_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("base", pa.int64()), ("docs", pa.binary()), ("doc_id", pa.int64()), ("found", pa.binary())])
+REQUEST_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("base", pa.int64()), ("docs", pa.binary()), ("doc_id", pa.int64()), ("found", pa.binary())])
 FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("found", pa.binary())])
 
 
@@ -103,30 +121,30 @@ def chunks(pairs: Iterator[tuple[np.ndarray, ...]], most: int = CHUNK) -> Iterat
         yield tuple(np.concatenate(c) for c in zip(*held))
 
 
-def in_others(rows: DataFrame, pairs: Callable, n_buckets: int, later: bool) -> DataFrame:
+def in_others(rows: DataFrame, pairs: Callable, n_buckets: int, later: bool, check: str = "u1") -> DataFrame:
     """doc_id, found: the keys (array of binary, uint64 each) of a document that other documents have too.
 
-    ``pairs`` turns a record batch into (keys, documents) arrays. ``later``: only keys that a document with a
-    smaller id has. A document's keys may come in several parts.
+    ``pairs`` turns a record batch into (keys, checks, documents) arrays; ``check`` is the checks' type, zeros where
+    keys need none. ``later``: only keys that a document with a smaller id has. A document's keys may come in parts.
     """
 
     def ask(batches):
         made = chunks(x for batch in batches for x in pairs(batch))
-        yield from sent((r for k, d in made for r in _requests(k, d, n_buckets, later)), REQUEST_ARROW)
+        yield from sent((r for k, c, d in made for r in requests(k, c, d, n_buckets, later)), REQUEST_ARROW)
 
     def answer(table: pa.Table) -> pa.Table:
-        out, keys, docs = [], [], []
+        out, keys, checks, docs = [], [], [], []
         for r in table.to_pylist():
             if r["doc_id"] is not None:
                 out.append({"doc_id": r["doc_id"], "found": r["found"]})
             else:
                 k = np.frombuffer(r["keys"], np.uint64)
                 keys.append(k)
+                checks.append(np.zeros(len(k), check) if r["checks"] is None else np.frombuffer(r["checks"], check))
                 docs.append(ids_back(r["base"], r["docs"], len(k)))
         if keys:
-            k, d = ordered(np.concatenate(keys), np.concatenate(docs))
-            first = first_of_runs(k)
-            told = ~first if later else ~(first & np.append(first[1:], True))
+            k, _, d, first = ordered(*map(np.concatenate, (keys, checks, docs)))
+            told = shared(first, later)
             out += [{"doc_id": a, "found": b} for a, b in by_document(d[told], k[told])]
         return pa.Table.from_pylist(out, FOUND_ARROW)
 

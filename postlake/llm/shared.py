@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,7 +60,20 @@ def plan_bytes(df: DataFrame) -> int:
 
 def buckets_for(df: DataFrame, each: int = 4 << 20, least: int = 64) -> int:
     """A power of two that grows with the input, so that a hash bucket stays as small at any size."""
-    n = least
-    while n * each < min(plan_bytes(df), 1 << 50):
+    size, n = plan_bytes(df), least
+    if size >= 1 << 60:  # Catalyst does not know: some kilobytes a row
+        size = df.count() << 12
+    while n * each < size:
         n *= 2
     return n
+
+
+def plain_ids(docs: DataFrame) -> bool:
+    """Whether every row has a doc_id of its own."""
+    repeated = F.sum((F.col("doc_id").isNull() | (F.col("count") > 1)).cast("long"))
+    return not docs.groupBy("doc_id").count().agg(repeated).first()[0]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """row (all columns), at: a number of its own for each row, in the order of doc_id; written, so that numbers stay."""
+    return written(docs.select(F.struct("*").alias("row")).orderBy("row.doc_id").withColumn("at", F.monotonically_increasing_id()), "rows")

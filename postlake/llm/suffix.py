@@ -3,10 +3,10 @@
 1. Sample. Each window is named by its least GRAM-byte hash. Windows in a row with one name form a segment; its
    segment hash names all bytes they cover. Sampled names are sorted in hash buckets; unique names end here, as a
    repeated window has a repeated name.
-2. Names. Segments of one name with equal segment hashes in two documents are repeated as a whole.
+2. Names. Segments of one name with equal BLAKE2b digests (64 bits besides the name's 64) are repeated as a whole.
 3. Remaining suffixes. Where one name has different segments, the windows of the segments that are alone, and of one
-   segment a class, go on as suffixes with their WIDTH-byte prefix, are sorted with each other, and neighbours with
-   equal prefixes are repeats.
+   segment a class, go on as suffixes with their WIDTH-byte prefix: a 64-bit fingerprint and 32 bits of BLAKE2b over
+   the bytes themselves. They are sorted with each other, and neighbours with equal prefixes are repeats.
 
 Why the sample is content-defined instead of the residues of a difference cover: see README.
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +44,13 @@ class Segments:
     """The segments of one text: first window, end (exclusive), name, hash."""
 
     def __init__(self, data: np.ndarray):
-        self.n = len(data)
-        self.sums = hashing.byte_sums(data)
+        self.n, self.data = len(data), data
         if self.n < WIDTH:
             self.first = self.end = np.zeros(0, np.int64)
             self.name = self.hash = np.zeros(0, np.uint64)
             self.twice = np.zeros(0, bool)
             return
-        at = np.arange(self.n - GRAM + 1)
-        grams = hashing.spans(self.sums, at, at + GRAM)
+        grams = hashing.byte_windows(data, GRAM)
         names = _sliding_min(grams, WIDTH - GRAM + 1)
         self.first = np.flatnonzero(runs.first_of_runs(names))
         self.end = np.append(self.first[1:], len(names))
@@ -61,15 +60,19 @@ class Segments:
         place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
         often = np.bincount(place[known[place] == grams], minlength=len(known)) > 1
         self.twice = often[np.searchsorted(known, names[self.first])]
-        self.hash = hashing.spans(self.sums, self.first, self.end - 1 + WIDTH)
+        raw = data.tobytes()
+        self.hash = np.array([hashing.digest64(raw[a : b - 1 + WIDTH]) for a, b in zip(self.first.tolist(), self.end.tolist())], np.uint64)
+
+    def windows(self, which: np.ndarray) -> np.ndarray:
+        """Places of the windows of the chosen segments."""
+        return hashing.ranges(self.first[which], (self.end - self.first)[which])
 
     def prefixes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of the chosen segments and the hashes of their bytes."""
-        size = (self.end - self.first)[which]
-        if not len(size):
+        """Windows of the chosen segments and the fingerprints of their bytes, a stretch of neighbouring segments at a time."""
+        if not len(which):
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.repeat(self.first[which] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        return at, hashing.spans(self.sums, at, at + WIDTH)
+        parts = np.split(which, np.flatnonzero(np.diff(which) > 1) + 1)
+        return self.windows(which), np.concatenate([hashing.byte_windows(self.data[self.first[p[0]] : self.end[p[-1]] - 1 + WIDTH], WIDTH) for p in parts])
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -99,10 +102,7 @@ def _asked(names: np.ndarray, hashes: np.ndarray, docs: np.ndarray, n_buckets: i
     for d, blob in runs.by_document(docs[many], hashes[many]):
         yield {"bucket": d % n_buckets, "doc_id": d, "whole": blob}
     names, hashes, docs, many = names[first], hashes[first], docs[first], many[first]
-    bucket = (names >> np.uint64(64 - n_buckets.bit_length() + 1)).astype(np.int64)
-    cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-        s = slice(cut[b], cut[b + 1])
+    for b, s in runs.bucketed(names, n_buckets):
         base, blob = runs.small_ids(docs[s])
         yield {"bucket": b, "names": names[s].tobytes(), "hashes": hashes[s].tobytes(), "many": np.packbits(many[s]).tobytes(), "base": base, "docs": blob}
 
@@ -149,14 +149,15 @@ def _known(slim: DataFrame, n_buckets: int) -> DataFrame:
     return answers.groupBy("doc_id").agg(F.collect_list("whole").alias("whole"), F.collect_list("apart").alias("apart"))
 
 
-def _prefix_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _prefix_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     ids = batch.column(0).to_numpy()
     for i, data in _texts(batch):
         blobs = batch.column("apart")[i].as_py()
         if blobs:
             s = Segments(data)
-            _, h = s.prefixes(np.flatnonzero(runs.members(s.hash, blobs)))
-            yield h, np.full(len(h), ids[i])
+            at, h = s.prefixes(np.flatnonzero(runs.members(s.hash, blobs)))
+            raw = data.tobytes()
+            yield h, np.frombuffer(b"".join(blake2b(raw[a : a + WIDTH], digest_size=4).digest() for a in at.tolist()), "<u4"), np.full(len(h), ids[i])
 
 
 def _gone(data: np.ndarray, whole: list | None, apart: list | None, found: list | None) -> np.ndarray:
@@ -164,8 +165,7 @@ def _gone(data: np.ndarray, whole: list | None, apart: list | None, found: list
     s = Segments(data)
     hit = [np.zeros(0, np.int64)]
     if whole:
-        size = s.prefixes(np.flatnonzero(runs.members(s.hash, whole)))[0]
-        hit.append(size)
+        hit.append(s.windows(np.flatnonzero(runs.members(s.hash, whole))))
     if found:
         at, h = s.prefixes(np.flatnonzero(runs.members(s.hash, apart)))
         hit.append(at[runs.members(h, found)])
@@ -184,7 +184,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     slim, n = docs.where("doc_id is not null").select("doc_id", "text"), buckets_for(docs)
     known = _known(slim, n)
-    found = runs.in_others(slim.join(known.where(F.size("apart") > 0), "doc_id"), _prefix_pairs, n, later=False)
+    found = runs.in_others(slim.join(known.where(F.size("apart") > 0), "doc_id"), _prefix_pairs, n, later=False, check="<u4")
 
     def run(batches):
         for batch in batches:
