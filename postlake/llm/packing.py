@@ -2,9 +2,10 @@
 
 Pieces are dealt by a hash to partitions small enough for one task. Each partition packs best-fit decreasing and
 compares its bin count with a lower bound that dual feasible functions give for its lengths: no packing of these
-pieces can be better. A partition whose count exceeds the bound gives up the documents of its emptiest bins; they
-are exchanged, i.e. dealt anew among fewer partitions, and packed again, until nothing is left to exchange or
-``rounds`` are over. Only rows of pieces travel, never texts.
+pieces can be better. While the bins of all partitions exceed the bound over all lengths, each partition gives up its
+emptiest bin, and those beyond its own bound; their documents are exchanged, i.e. dealt anew among far fewer
+partitions, and packed again best-fit decreasing. An exchange that saves no bin is not used and ends the work, so
+rounds follow from the data. Only rows of pieces travel, never texts.
 
 Defined results: a null text is an empty one, and as every document ends with the end id it gives one piece of
 length 1; equal texts are packed separately; an empty table gives no rows; a text of any length is cut, not dropped;
@@ -33,7 +34,7 @@ from postlake.llm.shared import written
 class Encoder:
     """Ids of white-space runs: words are cut here and merged by the tokenizers library; both are kept until ``most`` are held."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.bpe, self.most = bpe.loaded(path), most
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -125,9 +126,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The largest bound of two families of dual feasible functions over the lengths."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity) if len(lengths) else 0
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same from how often each length occurs."""
     size = np.arange(capacity + 1)
     n_upto, sum_upto = np.cumsum(count), np.cumsum(count * size)
     a = np.arange(0, capacity // 2 + 1)
@@ -143,8 +146,16 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, each: int = 4000, rounds: int = 4) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length and any others), row by row. ``each``: pieces a task packs; it grows as partitions get few."""
+def bound_of(pieces: DataFrame, capacity: int) -> int:
+    """The lower bound over all lengths; what comes to the driver is a count for each length."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    return bound_of_counts(count, capacity)
+
+
+def pack(pieces: DataFrame, capacity: int = 4096, each: int = 16_000) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, length and any others), row by row. ``each``: about how many pieces a task packs."""
 
     def packed(part_rows: pa.Table) -> pa.Table:
         rows = part_rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
@@ -153,30 +164,40 @@ def pack(pieces: DataFrame, capacity: int = 4096, each: int = 4000, rounds: int
         fill = np.bincount(bins, lengths, n)
         gap = n - lower_bound(lengths, capacity)
         give = np.zeros(n, bool)
-        if gap > 0:
-            give[np.argsort(fill, kind="stable")[: 4 * gap + 2]] = True
-            give &= fill < capacity
+        give[np.argsort(fill, kind="stable")[: 4 * gap + 1]] = True
+        give &= fill < capacity
         for name, values in (("bin", bins), ("offset", offsets), ("given", give[bins])):
             rows = rows.append_column(name, pa.array(values))
         return rows
 
     # A null doc_id is dealt by its row, so that many of them do not meet in one task.
-    left, settled = pieces.withColumn("row", F.monotonically_increasing_id()), None
+    left = pieces.withColumn("row", F.monotonically_increasing_id())
     schema = T.StructType([*left.schema.fields, *T.StructType.fromDDL("part long, bin long, offset long, given boolean")])
-    n = left.count()
-    for k in range(rounds):
-        parts = max(1, n // each) if k else max(48, n // each)
+    n, floor, total, settled, before, k = left.count(), bound_of(pieces, capacity), 0, None, None, 0
+
+    def placed(done: DataFrame, k: int) -> DataFrame:
+        return done.select(*pieces.columns, (F.lit(k << 58) + F.col("part") * (1 << 26) + F.col("bin")).alias("sequence_id"), "offset")
+
+    def bins_of(done: DataFrame) -> tuple[int, int, int]:
+        """Bins, those given up, and the rows in these."""
+        per = done.groupBy("part", "bin").agg(F.max("given").alias("given"), F.count("*").alias("n"))
+        r = per.agg(F.count("*"), F.sum(F.col("given").cast("long")), F.sum(F.when(F.col("given"), F.col("n")))).first()
+        return r[0], r[1] or 0, r[2] or 0
+
+    while True:
+        parts = max(1, n // each)
         done = written(left.withColumn("part", F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), "piece", F.lit(k)), F.lit(parts)).cast("long")).groupBy("part").applyInArrow(packed, schema), f"pack{k}")
-        last = k == rounds - 1 or parts == 1
-        new = done.where(F.lit(True) if last else ~F.col("given")).select(*pieces.columns, (F.lit(k << 58) + F.col("part") * (1 << 26) + F.col("bin")).alias("sequence_id"), "offset")
+        bins, given, n = bins_of(done)
+        if before is not None and bins >= before[1]:
+            return settled.unionByName(before[0])  # the exchange saved nothing: the bins stay as they were
+        total += bins - (before[1] if before else 0)
+        if parts == 1 or given < 2 or total <= floor or k == 31:
+            new = placed(done, k)
+            return new if settled is None else settled.unionByName(new)
+        new = placed(done.where(~F.col("given")), k)
         settled = new if settled is None else settled.unionByName(new)
-        if last:
-            break
-        left = done.where("given").select(*left.columns)
-        n = left.count()
-        if not n:
-            break
-    return settled
+        before = placed(done.where("given"), k), given
+        left, k = done.where("given").select(*left.columns), k + 1
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
