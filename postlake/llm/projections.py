@@ -5,10 +5,14 @@ vectors), the last one is sorted within the cell, and a vector collides with tho
 of cosine ``least`` collides in a table with a probability known from the normal law; ``calibrated`` takes the
 largest count of shared cells that such a pair still reaches with probability ``recall``, and ``planned`` adds tables
 until there is one. Pairs that reach it, and
-whose 8-bit sketches do not rule them out, are verified on the full vectors in double precision.
+whose 8-bit sketches do not rule them out, are verified on the full vectors in double precision, a batch at a time.
+
+Equal vectors (128-bit digests) are compared as one: their smallest vec_id stands for them, and counts of copies make
+up ``n_links``, so a group of copies costs one row of each, never its pairs.
 
 Defined results: vectors that are null, zero, hold null or non-finite components link with nothing; vectors of
-different lengths do not link; equal vectors link; a null vec_id is left out of comparison and has no links.
+different lengths do not link; equal vectors link; a null vec_id is left out of comparison and has no links; rows that
+repeat a vec_id are vectors of their own; where such an id stands for several different vectors, a link of one counts for all of them.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from postlake.llm import hashing
 from postlake.llm.components import components
-from postlake.llm.shared import written
+from postlake.llm.shared import Scratch, written
 
 TABLES, WIDTH, WINDOW = 32, 1.3, 0.9
 #: More tables than this are not tried.
@@ -152,21 +158,53 @@ def links(vectors: DataFrame, least: float = 0.9, recall: float = 0.98) -> DataF
 
     def check(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("ea"), batch.column("eb")):
-                u, v = _unit(x.as_py()), _unit(y.as_py())
-                ok.append(bool(u @ v >= least))
+            ok = _cosines(batch.column("ea"), batch.column("eb")) >= least
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda x: vectors.select(F.col("vec_id").alias(x), F.col("embedding").alias(f"e{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ea", "eb").mapInArrow(check, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ea", "eb").mapInArrow(check, "a long, b long").distinct()
+
+
+def _cosines(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Row by row, in double precision; the vectors are valid and those of a pair equally long."""
+    out, size = np.zeros(len(x)), x.value_lengths().to_numpy()
+    for k in np.unique(size):
+        rows = np.flatnonzero(size == k)
+        u, v = (c.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), k) for c in (x, y))
+        u, v = (w / np.abs(w).max(1, keepdims=True) for w in (u, v))
+        out[rows] = np.einsum("ij,ij->i", u, v) / np.sqrt(np.einsum("ij,ij->i", u, u) * np.einsum("ij,ij->i", v, v))
+    return out
+
+
+def _digested(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding; ka, kb: a digest of the vector, null where it links with nothing."""
+
+    def run(batches):
+        for batch in batches:
+            keys = []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = v.as_py() if i is not None else None
+                keys.append(None if _unit(x) is None else np.frombuffer(hashing.digest((np.array(x, np.float64) + 0.0).tobytes()), np.int64))
+            cols = [pa.array([None if k is None else int(k[j]) for k in keys], pa.int64()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["vec_id", "embedding", "ka", "kb"])
+
+    sent = vectors.select("vec_id", "embedding")
+    return sent.mapInArrow(run, T.StructType([*sent.schema.fields, *T.StructType.fromDDL("ka long, kb long")]))
 
 
 def near(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
-    found = written(links(vectors, least), "pairs")
-    degree = found.select(F.col("a").alias("vec_id")).unionByName(found.select(F.col("b").alias("vec_id"))).groupBy("vec_id").agg(F.count("*").alias("n_links"))
-    of = components(found, "a", "b").select(F.col("node").alias("vec_id"), "component")
-    out = vectors.select("vec_id").join(degree, "vec_id", "left").join(of, "vec_id", "left")
-    root = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("vec_id") == root, F.lit(True)).alias("kept"))
+    with Scratch(vectors.sparkSession) as s:
+        every = s.written(_digested(vectors), "vectors")
+        groups = s.written(every.where("ka is not null").groupBy("ka", "kb").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "groups")
+        reps = s.written(every.join(groups, ["ka", "kb"]).where("vec_id = rep").dropDuplicates(["ka", "kb"]).select("vec_id", "embedding"), "reps")
+        found = s.written(links(reps, least), "pairs")
+        both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        copies = groups.groupBy("rep").agg(F.sum("copies").alias("copies"))
+        degree = both.join(copies.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+        of = components(found, "a", "b", s.folder).select(F.col("node").alias("rep"), "component")
+        per = groups.join(degree, "rep", "left").join(of, "rep", "left")
+        out = every.select("vec_id", "ka", "kb").join(per, ["ka", "kb"], "left")
+        root = F.coalesce("component", "rep", "vec_id")
+        n = F.coalesce("others", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
+        return written(out.select("vec_id", n.cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("vec_id") == root, F.lit(True)).alias("kept")), "links")
