@@ -3,12 +3,13 @@
 import collections
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.llm import bpe, classifier, fingerprints, hashing, langid, minhash, packing, projections, quality_rules, queries, suffix, warc
+from postlake.llm import bpe, classifier, fingerprints, hashing, langid, minhash, packing, projections, quality_rules, queries, runs, suffix, warc
 
 PROSE = " ".join(f"word{i * 7 % 61} tail{i % 13}" for i in range(400))
 PASSAGE = " ".join(f"shared{i}" for i in range(60))
@@ -88,9 +89,20 @@ def test_fingerprints(spark, docs, tmp_path):
     assert got.pop(None)[1] == 0 and got == want
     assert fingerprints.dedup(empty(spark)).count() == 0
     index = fingerprints.FingerprintIndex(spark, f"file://{tmp_path}/index", 16, most=1)
-    parts = [index.add(docs.where("doc_id < 5")), index.add(docs.where("doc_id >= 5"))]
-    split = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for p in parts for r in p.collect()}
-    assert split == want and len(index.runs()) == 1
+    told = index.add(docs.where("doc_id < 5"), "a")
+    again = index.add(docs.where("doc_id < 5"), "a")
+    assert told.exceptAll(again).count() == again.exceptAll(told).count() == 0  # a retry of a batch doesn't meet itself
+    index.n = 64  # buckets may grow
+    told = told.unionByName(index.add(docs.where("doc_id >= 5"), "b"))
+    split = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in fingerprints._finished(docs.where("doc_id is not null"), told, False).collect()}
+    assert split == want and len(index.runs()) == 2 and len(index.compact()) == len(index.runs()) == 1
+
+
+def test_fingerprints_of_equal_keys_part_by_their_checks():
+    run = np.array([3, 5, 5, 9], np.uint64), np.array([1, 1, 2, 1], "<u4")
+    assert fingerprints._known(np.array([3, 5, 5, 5, 9], np.uint64), np.array([1, 1, 2, 3, 2], "<u4"), *run).tolist() == [True, True, True, False, False]
+    keys, checks, docs, first = runs.ordered(np.array([5, 5, 5, 5], np.uint64), np.array([2, 1, 2, 1], "<u4"), np.array([4, 3, 1, 2]))
+    assert list(zip(checks.tolist(), docs.tolist(), first.tolist())) == [(1, 2, True), (1, 3, False), (2, 1, True), (2, 4, False)]
 
 
 def shingles(text):
@@ -222,7 +234,9 @@ def test_packing(spark, docs):
         assert at <= 64
     for i, text in TEXTS.items():
         if i is not None:
-            assert sum(r["length"] for r in rows if r["doc_id"] == i) == len(t.encode(text, add_special_tokens=False).ids) + 1
+            ids = [*t.encode(text, add_special_tokens=False).ids, 1]
+            want = [(k // 64, k, len(ids[k : k + 64]), zlib.crc32(np.array(ids[k : k + 64], "<u4").tobytes())) for k in range(0, len(ids), 64)]
+            assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i) == want
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 100, 500)
     n = packing.best_fit_decreasing(sizes, 100)[2]
@@ -230,6 +244,22 @@ def test_packing(spark, docs):
     assert packing.pack_documents(empty(spark), queries.vocabulary()).count() == 0
 
 
+def test_packing_reaches_its_bound_over_partitions(spark):
+    rng = np.random.default_rng(9)
+    sizes = np.minimum(64, rng.geometric(0.06, 3000))
+    rows = spark.createDataFrame([(i % 700, i, int(n)) for i, n in enumerate(sizes)], "doc_id long, piece int, length long")
+    for each in (100, 10_000):
+        got = packing.pack(rows, 64, each=each).collect()
+        assert collections.Counter((r["doc_id"], r["piece"]) for r in got) == collections.Counter((i % 700, i) for i in range(3000))
+        by = collections.defaultdict(list)
+        for r in got:
+            by[r["sequence_id"]].append((r["offset"], r["length"]))
+        for s in by.values():
+            s.sort()
+            assert [a for a, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 64
+        assert len(by) <= packing.lower_bound(sizes, 64) * 1.01 + 1
+
+
 def test_packing_keeps_rows_of_null_and_repeated_ids(spark):
     texts = [(None, PROSE), (None, PROSE), (None, "no id"), (7, PROSE), (7, "other words"), (7, "other words"), (8, None)]
     rows = packing.pack_documents(spark.createDataFrame(texts, "doc_id long, text string"), queries.vocabulary(), capacity=64).collect()
@@ -266,14 +296,61 @@ def test_warc(spark):
     assert warc.audit(warc.leaves(recs), warc.leaves(recs)).count() == 0
 
 
-def test_classifier(spark):
+@pytest.fixture(scope="module")
+def judged(spark):
     rng = np.random.default_rng(4)
     make = lambda bad, toxic: " ".join((w + "***" if bad else w) if rng.random() > 0.05 * toxic else "insult" for w in rng.choice([f"plain{k}" for k in range(300)], 80))
-    rows = [(i, make(i % 5 == 0, i % 7 == 0), "en", f"s{i % 3}") for i in range(600)] + [(900, None, None, None), (901, "", "en", "s1")]
+    rows = [(i, make(i % 5 == 0, i % 7 == 0), "en", f"s{i % 3}") for i in range(600)] + [(900, None, None, None), (901, "", "en", "s1"), (902, "plain3 " * 3000, "en", "s1")]
     labels = spark.createDataFrame([(i, int(i % 5 != 0), int(i % 7 == 0)) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r["kept"] for r in classifier.judge(spark.createDataFrame(rows, SCHEMA), labels).collect()}
-    assert np.mean([got[i] == (i % 5 != 0 and i % 7 != 0) for i in range(600)]) > 0.9 and got[900]
+    return spark.createDataFrame(rows, SCHEMA), labels
+
+
+def test_classifier(spark, judged):
+    docs, labels = judged
+    got = {r["doc_id"]: r["kept"] for r in classifier.judge(docs, labels).collect()}
+    held = [i for i in range(600) if i % 2]  # rows without a label
+    assert np.mean([got[i] for i in held if i % 5 and i % 7]) > 0.97 and got[900]
+    assert np.mean([got[i] for i in held if i % 5 == 0]) < 0.05 and np.mean([got[i] for i in held if i % 7 == 0]) < 0.1
     assert classifier.judge(empty(spark), labels.limit(0)).count() == 0
+    assert all(r["kept"] and r["p_toxic"] == 0.5 for r in classifier.judge(docs, labels.limit(0)).collect())
+
+
+def test_classifier_posteriors_against_brute_force(spark, judged):
+    docs, labels = judged
+    model = classifier.fit(docs, labels)
+    text = {r["doc_id"]: r for r in docs.collect()}
+    e = {x: {} for x in classifier.LABELS}
+    for i, r in text.items():
+        for x in classifier.LABELS:
+            m = model[x]
+            e[x][i] = sum(w for f, w in m["weights"].items() if f in classifier.features(r["text"])) * m["scale"] + m["shift"] if r["text"] else 0.0
+    host = {i: r["source"] or "?" for i, r in text.items()}
+    path = {i: (host[i], f"{host[i]}/{r['lang'] or '?'}") for i, r in text.items()}
+    want = {}
+    for x in classifier.LABELS:
+        start = math.log(model[x]["prior"] / (1 - model[x]["prior"]))
+        p = {i: 1 / (1 + math.exp(-(v + start))) for i, v in e[x].items()}
+
+        def strength(of):
+            g = collections.defaultdict(list)
+            for i, k in of.items():
+                g[k].append(p[i])
+            n, s = sum(map(len, g.values())), sum(map(sum, g.values()))
+            mean = s / n
+            v = mean * (1 - mean)
+            between = (sum(sum(q) ** 2 / len(q) for q in g.values()) - n * mean**2 - (len(g) - 1) * v) / max(1, n - sum(len(q) ** 2 for q in g.values()) / n)
+            return mean, max(1, v / between - 1) if between > 0 else 1e6, g
+
+        mean, hk, hosts = strength(host)
+        _, pk, paths = strength(path)
+        for i in text:
+            a = (sum(hosts[host[i]]) - p[i] + hk * mean) / (len(hosts[host[i]]) - 1 + hk)
+            b = (sum(paths[path[i]]) - p[i] + pk * a) / (len(paths[path[i]]) - 1 + pk)
+            b = min(0.999, max(0.001, b))
+            want[i, x] = 1 / (1 + math.exp(-(e[x][i] + math.log(b / (1 - b)))))
+    for small in (200_000, 0):  # sent sites, and salted keys
+        got = {(r["doc_id"], x): r[f"p_{x}"] for r in classifier.score(docs, model, small=small).collect() for x in classifier.LABELS}
+        assert got == pytest.approx(want, abs=1e-6)
 
 
 def test_projections(spark):
@@ -288,6 +365,24 @@ def test_projections(spark):
     assert (n <= want).all() and n.sum() >= 0.9 * want.sum() and all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903))
 
 
+def test_projections_equal_vectors(spark):
+    """20,000 equal vectors and some near them: counts and components of brute force."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((4, 64))
+    y = np.concatenate([x[:1] + 0.1 * rng.standard_normal((3, 64)), x])
+    few = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>")
+    many = few.where("vec_id = 3").crossJoin(spark.range(100, 20_100)).select(F.col("id").alias("vec_id"), "embedding")
+    got = {r["vec_id"]: r for r in projections.near(few.unionByName(many)).collect()}
+    u = y / np.linalg.norm(y, axis=1)[:, None]
+    n = np.array([20_001 if i == 3 else 1 for i in range(7)])
+    for i in range(7):
+        linked = np.flatnonzero(u @ u[i] >= 0.9)
+        assert got[i]["n_links"] == n[linked].sum() - 1
+        assert got[i]["component_id"] == (0 if i < 4 else i) and got[i]["kept"] == (i == 0 or i > 3)
+    assert {(got[i]["n_links"], got[i]["component_id"]) for i in range(100, 20_100)} == {(got[3]["n_links"], 0)} and len(got) == 20_007
+    assert projections.near(few.limit(0)).count() == 0
+
+
 def test_projections_reach_recall_at_any_size(spark, monkeypatch):
     for n in (2, 10**5, 3 * 10**7, 12 * 10**7, 10**9, 10**12):
         dims, tables, need = projections.planned(n, 0.9)
