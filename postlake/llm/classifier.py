@@ -39,7 +39,7 @@ SITE = "host", "path"
 _PUNCTUATION = frozenset(".,;:!?'\"()-")
 _EDGE = re.compile(r"^\W+|\W+$")
 #: Distinct words that are looked up rather than taken apart again.
-_CACHED = 200_000
+_CACHED = 60_000
 
 
 @functools.lru_cache(_CACHED)

@@ -182,7 +182,7 @@ def later_windows(docs: DataFrame, folder: str, batches: int = BATCHES) -> DataF
     cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)})
     bounds, parts = [None, *cuts, None], []
     with Scratch(spark) as s:
-        index = FingerprintIndex(spark, f"{s.folder}/index", buckets_for(docs), most=1)
+        index = FingerprintIndex(spark, f"{s.folder}/index", buckets_for(docs, 2 << 20), most=1)
         for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
             of = docs if low is None else docs.where(F.col("doc_id") > low)
             parts.append(index.add(of if high is None else of.where(F.col("doc_id") <= high), f"{k:06d}", folder))

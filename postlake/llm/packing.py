@@ -34,7 +34,7 @@ from postlake.llm.shared import written
 class Encoder:
     """Ids of white-space runs: words are cut here and merged by the tokenizers library; both are kept until ``most`` are held."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 120_000):
         self.bpe, self.most = bpe.loaded(path), most
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)

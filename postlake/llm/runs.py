@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 REQUEST = "bucket int, keys binary, checks binary, base long, docs binary, doc_id long, found binary"
 FOUND = "doc_id long, found binary"
-#: Entries a chunk.
-CHUNK = 2_000_000
+#: Entries a chunk: some tens of MB with all copies that sorting makes.
+CHUNK = 500_000
 
 
 def small_ids(docs: np.ndarray) -> tuple[int, bytes]:
