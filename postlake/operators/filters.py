@@ -9,6 +9,7 @@ from postlake.errors import InvalidArgument
 
 #: Flag colours by index.
 COLORS = ("red", "orange", "yellow", "green", "blue", "purple", "gray")
+#: Fixed value: addresses that nobody reads.
 NO_REPLY = r"(?i)\b(no[-._]?reply|do[-._]?not[-._]?reply|notifications?|mailer-daemon|postmaster|automated)\b"
 
 
@@ -52,5 +53,15 @@ def listed(kind: str, as_of: int) -> Column:
     return kinds[kind]
 
 
+def included(mailbox: Column, excluded: list[str]) -> Column:
+    """Mailboxes that are not excluded, in any case."""
+    return ~F.lower(mailbox).isin([x.lower() for x in excluded]) if excluded else F.lit(True)
+
+
+def pending(state: Column, attachments: Column | None = None) -> Column:
+    """A work queue: rows in state 0, and with attachments where these are the work."""
+    return (state == 0) if attachments is None else (state == 0) & (attachments > 0)
+
+
 def no_reply(address: Column) -> Column:
     return F.rlike(address, F.lit(NO_REPLY))

@@ -1,72 +1,62 @@
-"""Ranked full-text search over postings: weighted BM25, boolean queries, phrases, prefixes, substring search.
+"""Search over messages: ranked keyword, semantic and hybrid modes with filters, totals, snippets and fallbacks.
 
-Postings are (doc_id, col, term, positions); a query touches only the postings of its terms, sums per document, and
-ends in a top-k. Weights scale the frequency; a document's length counts all columns, also in a scoped search; idf
-has a floor of 1e-6.
+Keyword search reads the postings of its words (``index``); filters reach the message scan; the page is a top-k and the
+total a count over the same matches. Semantic search ranks a scan of vectors; hybrid fuses the best of both by rank.
 """
 
 from __future__ import annotations
 
-import re
+from abc import ABC, abstractmethod
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-K1, B, FLOOR = 1.2, 0.75, 1e-6
-TOKEN = r"[\p{L}\p{N}]+"
+from postlake.errors import InvalidArgument
+from postlake.operators import index as inverted
+from postlake.operators import vectors
+from postlake.operators.filters import predicate
+from postlake.operators.grammar import wants_substring
 
+MODES = ("keyword", "semantic", "hybrid")
+#: Results of each list that hybrid search fuses.
+FUSED = 100
 
-def postings(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """doc_id, col, pos, term: unstemmed lower-case tokens of each column (name in the index: column)."""
-    parts = [docs.select("doc_id", F.lit(n).alias("col"), F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))).alias("pos", "term")) for n, c in columns.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
+@dataclass
+class Found:
+    """A page of hits, how many there are in all, and how they were found."""
 
-def lengths(post: DataFrame) -> DataFrame:
-    return post.groupBy("doc_id").agg(F.count("*").alias("len"))
+    hits: DataFrame
+    total_estimated: int
+    mode: str
+    degraded: bool = False
+    note: str | None = None
 
 
-def bm25(docs: DataFrame, columns: dict[str, str], terms: list[str], weights: dict[str, float] | None = None, scope: str | None = None, mode: str = "all", without: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score of documents with all (or any) of the terms and none of ``without``. A term may end in ``*``.
+class Backend(ABC):
+    """What finds messages: matches as (id, score), higher being better."""
 
-    One pass over the documents: term counts are array filters in the scan's stage, so no postings are shuffled.
-    """
-    tokens = {n: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1)) for n, c in columns.items()}
-    t = docs.select("doc_id", *(v.alias(f"t_{n}") for n, v in tokens.items()))
-    size = sum((F.size(f"t_{n}") for n in columns), F.lit(0))
-    hit = lambda term: (lambda x: F.startswith(x, F.lit(term[:-1]))) if term.endswith("*") else (lambda x: x == F.lit(term))
-    inside = [n for n in columns if scope in (None, n)]
-    w = weights or {}
-    count = lambda term: sum((F.lit(float(w.get(n, 1.0))) * F.size(F.filter(f"t_{n}", hit(term))) for n in inside), F.lit(0.0))
-    every = [*terms, *without]
-    counted = t.select("doc_id", size.alias("len"), *(count(x).alias(f"f{i}") for i, x in enumerate(every)))
-    stats = counted.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"), *(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))))
-    has = [F.col(f"f{i}") > 0 for i in range(len(every))]
-    match: Column = F.lit(mode == "all")
-    for h in has[: len(terms)]:
-        match = match & h if mode == "all" else match | h
-    for h in has[len(terms) :]:
-        match = match & ~h
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log((F.col("N") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf <= 0, FLOOR).otherwise(idf)
-        f = F.col(f"f{i}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    # The statistics are one row.
-    return counted.where(match).crossJoin(F.broadcast(stats)).select("doc_id", score.alias("score"))
-
-
-def phrase(docs: DataFrame, column: str, words: list[str]) -> DataFrame:
-    """doc_id, hits: documents where the words stand next to each other, and how often."""
-    text = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1)), " ")
-    padded = F.concat(F.lit(" "), F.regexp_replace(text, " ", "  "), F.lit(" "))
-    needle = " " + "  ".join(words) + " "
-    hits = ((F.length(padded) - F.length(F.replace(padded, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
-    return docs.select("doc_id", hits.alias("hits")).where("hits > 0")
+    @abstractmethod
+    def matches(self, spark: SparkSession, query: str, scope: str | None = None) -> DataFrame: ...
+
+
+class KeywordBackend(Backend):
+    def __init__(self, index: inverted.Index):
+        self.index = index
+
+    def matches(self, spark: SparkSession, query: str, scope: str | None = None) -> DataFrame:
+        return inverted.matches(self.index, spark, query, scope).withColumnRenamed("doc_id", "id")
+
+
+class SubstringBackend(Backend):
+    """Any case, three characters at least; all scores are 0."""
+
+    def __init__(self, emails: DataFrame, columns: tuple[str, ...] = ("subject", "sender_name", "sender_addr", "body_plain")):
+        self.emails, self.columns = emails, [c for c in columns if c in emails.columns]
+
+    def matches(self, spark: SparkSession, query: str, scope: str | None = None) -> DataFrame:
+        return substring(self.emails.withColumnRenamed("id", "doc_id"), self.columns, query).select(F.col("doc_id").alias("id"), F.lit(0.0).alias("score"))
 
 
 def substring(docs: DataFrame, columns: list[str], needle: str) -> DataFrame:
@@ -77,38 +67,64 @@ def substring(docs: DataFrame, columns: list[str], needle: str) -> DataFrame:
     return docs.where(cond & F.lit(len(needle) >= 3)).select("doc_id").orderBy("doc_id")
 
 
-def wants_substring(query: str) -> bool:
-    """Whether an unsuccessful keyword query is worth a substring search."""
-    return " " not in query and any(c in query for c in ".@_-") and not query.endswith("*")
-
-
-def page(ranked: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
-    return ranked.orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
-
-
-def parsed(query: str) -> dict:
-    """Terms, phrases and exclusions of a query: words and ``prefix*`` are AND-ed, ``OR`` between them makes any,
-    ``NOT`` excludes the next; quoted text and words with punctuation are phrases; an odd quote makes one phrase."""
-    q = query.strip()
-    out: dict = {"terms": [], "phrases": [], "without": [], "mode": "all"}
-    split = lambda s: re.findall(r"[^\W_]+", s.lower())
-    if q.count('"') % 2:
-        out["phrases"].append(split(q))
-        return out
-    tokens, skip = re.findall(r'"[^"]*"|\S+', q), False
-    for t in tokens:
-        if t == "NOT":
-            skip = True
-            continue
-        if t in ("AND", "OR"):
-            out["mode"] = "any" if t == "OR" else out["mode"]
-            continue
-        words = split(t)
-        if skip and words:
-            out["without"] += words
-        elif t.startswith('"') or len(words) > 1:
-            out["phrases"].append(words)
-        elif words:
-            out["terms"].append(words[0] + ("*" if t.endswith("*") else ""))
-        skip = False
-    return out
+def page(ranked: DataFrame, limit: int = 25, offset: int = 0, key: str = "doc_id") -> DataFrame:
+    return ranked.orderBy(F.desc("score"), key).offset(offset).limit(limit)
+
+
+def _shown(emails: DataFrame, top: DataFrame, query: str, body: str, stemmed: bool, highlight: bool) -> DataFrame:
+    """The page's messages in rank order, with snippets; the page is bounded, so it is sent to the message scan."""
+    out = emails.join(F.broadcast(top), "id").orderBy(F.desc("score"), "id")
+    return inverted.snippets(out, body, query, stemmed) if highlight and body in emails.columns else out
+
+
+def search(
+    emails: DataFrame, index: inverted.Index, query: str, *, scope: str | None = None, mode: str = "keyword", limit: int = 25, offset: int = 0, highlight: bool = True, body: str = "body_plain",
+    substrings: bool = True, embedded: DataFrame | None = None, embed=None, strict_filters: bool = True, **where,
+) -> Found:
+    """Messages that match. ``where``: see ``filters.predicate``. ``embedded``: vec_id, embedding by message id; ``embed``: query to vector.
+
+    A keyword query without a hit that looks like a part of a word is searched for as a substring. Semantic and hybrid
+    search without vectors fall back to keywords and say so. With ``strict_filters`` the filters hold in every mode.
+    """
+    if mode not in MODES:
+        raise InvalidArgument(f"unknown mode {mode!r}")
+    if scope is not None and scope not in index.columns:
+        raise InvalidArgument(f"unknown scope {scope!r}")
+    spark, cond = emails.sparkSession, predicate(**where)
+    allowed = emails.where(cond).select("id")
+    if mode != "keyword" and (embedded is None or embed is None):
+        found = search(emails, index, query, scope=scope, limit=limit, offset=offset, highlight=highlight, body=body, substrings=substrings, **where)
+        found.degraded, found.note = True, f"{mode} search needs vectors; keywords were searched"
+        return found
+    if mode == "semantic":
+        near = vectors.knn(_allowed(embedded, allowed, bool(where) and strict_filters), embed(query), offset + limit)
+        top = near.select(F.col("vec_id").alias("id"), (1 - F.col("distance")).alias("score"))
+        return Found(_shown(emails, page(top, limit, offset, "id"), query, body, index.stemmed, highlight), top.count(), mode)
+    words = KeywordBackend(index).matches(spark, query, scope)
+    matched = words.join(allowed, "id", "left_semi") if where else words
+    if mode == "hybrid":
+        best = vectors.ranked(page(matched, FUSED, key="id"), "id", F.desc("score"))
+        near = vectors.knn(_allowed(embedded, allowed, bool(where) and strict_filters), embed(query), FUSED).withColumnRenamed("vec_id", "id")
+        fused = vectors.fused([best, vectors.ranked(near, "id", F.asc("distance"))], "id")
+        return Found(_shown(emails, page(fused.join(emails.select("id"), "id", "left_semi"), limit, offset, "id"), query, body, index.stemmed, highlight), fused.count(), mode)
+    total = matched.count()
+    if not total and substrings and wants_substring(query):
+        held = SubstringBackend(emails.where(cond)).matches(spark, query)
+        return Found(_shown(emails, page(held, limit, offset, "id"), query, body, index.stemmed, False), held.count(), "substring")
+    return Found(_shown(emails, page(matched, limit, offset, "id"), query, body, index.stemmed, highlight), total, mode)
+
+
+def _allowed(embedded: DataFrame, allowed: DataFrame, filtered: bool) -> DataFrame:
+    return embedded.join(allowed.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi") if filtered else embedded
+
+
+def by_ids(emails: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The messages of a bounded ranked list (id, rank) in its order."""
+    return emails.join(F.broadcast(ranked), "id").orderBy("rank", "id")
+
+
+def hit(score: Column) -> list[Column]:
+    """The columns of a hit: the summary's, and its score."""
+    from postlake.operators.analytics import summary
+
+    return [*summary(), score.alias("score")]

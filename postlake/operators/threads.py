@@ -1,104 +1,165 @@
-"""Conversation threads: reference edges, components, first-parent trees, subject merge."""
+"""Conversation threads: reference edges, components, first-parent trees, trees of one subject merged, fetch.
+
+Only slim rows (ids, references, dates, subjects) travel. A component is closed under references, so it is built by
+itself; trees with one subject are then put together by offsets over their parts, never in one task's memory.
+
+Defined results: of copies of one message id the last one by id is in the tree, and all copies get its place; a message
+without an id is a thread of its own; cycles are cut at the link that would close them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def edges(emails: DataFrame) -> DataFrame:
-    """a, b: consecutive ids of each message's chain (references, then in_reply_to if absent, then itself)."""
+def _chain(emails: DataFrame) -> Column:
+    """A message's references in order, in_reply_to behind them if it is not among them."""
     refs = F.coalesce(F.col("references") if "references" in emails.columns else F.lit(None), F.array().cast("array<string>"))
-    chain = F.when(F.col("in_reply_to").isNotNull() & ~F.array_contains(refs, F.col("in_reply_to")), F.concat(refs, F.array("in_reply_to"))).otherwise(refs)
-    e = emails.select("id", F.concat(chain, F.array("message_id")).alias("c"))
+    return F.when(F.col("in_reply_to").isNotNull() & ~F.array_contains(refs, F.col("in_reply_to")), F.concat(refs, F.array("in_reply_to"))).otherwise(refs)
+
+
+def edges(emails: DataFrame) -> DataFrame:
+    """a, b: consecutive ids of each message's chain, itself last."""
+    e = emails.select("id", F.concat(_chain(emails), F.array("message_id")).alias("c"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.get("c", i - 1).alias("a"), F.get("c", i).alias("b")))
     return e.where(F.size("c") > 1).select("id", F.explode(pairs).alias("p")).select("id", "p.a", "p.b").where("a <> b")
 
 
-def labelled(emails: DataFrame, rounds: int = 50) -> DataFrame:
+def checkpoint_dir(spark) -> None:
+    """The shared folder of ``spark.checkpoint.dir``; only a session of one machine may lack it."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints")
+
+
+def labelled(emails: DataFrame, rounds: int = 100) -> DataFrame:
     """message_id, component: least id string reachable over reference edges, phantom ids included.
 
-    Label propagation with pointer jumping; each round's table is checkpointed to the shared folder where one is set.
+    Label propagation with pointer jumping; each round's table is checkpointed to the shared folder.
     """
     e = edges(emails).select("a", "b").distinct()
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(emails.select(F.col("message_id").alias("a"), F.col("message_id").alias("b"))).distinct()
-    spark = emails.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    own = emails.where("message_id is not null").select(F.col("message_id").alias("a"), F.col("message_id").alias("b"))
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own).distinct()
+    checkpoint_dir(emails.sparkSession)
     both = both.checkpoint()
-    label = both.groupBy("a").agg(F.min("b").alias("l"))
-    last = None
+    label, last = both.groupBy("a").agg(F.min("b").alias("l")), None
     for _ in range(rounds):
         near = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
         up = label.select(F.col("a").alias("l"), F.col("l").alias("l2"))
         label = near.join(up, "l", "left").select("a", F.least("l", F.coalesce("l2", "l")).alias("l")).checkpoint()
         now = label.agg(F.sum(F.xxhash64("a", "l").cast("decimal(38,0)"))).first()[0]
         if now == last:
-            break
+            return label.select(F.col("a").alias("message_id"), F.col("l").alias("component"))
         last = now
-    return label.select(F.col("a").alias("message_id"), F.col("l").alias("component"))
+    raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
 def build(rows: list[dict]) -> Iterator[dict]:
     """One component's forest: first parent wins, links that would close a cycle are dropped, children by date.
 
-    Rows: id, message_id, chain (its references in order), date. Yields id, thread_root (id of the first real row in
-    pre-order), position, depth. Iterative, so a chain may be of any length.
+    Rows: id, message_id, chain (its references in order), date, and subject if trees are to be merged. Yields, for
+    each message, id, thread_id (of the first message in pre-order), position, depth, and for merging: the root's id
+    (None for an unseen one), date and subject, and the part (0 the root, k its k-th child's branch), its date and the
+    place in it. Iterative, and linear but for sorting, so a chain may be of any length.
     """
     parent: dict[str, str] = {}
     known: dict[str, dict] = {}
-    nodes: dict[str, None] = {}
-
-    def above(x: str, y: str) -> bool:
-        """Whether y is x or above it."""
-        while x is not None:
-            if x == y:
-                return True
-            x = parent.get(x)
-        return False
+    set_of: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        top = x
+        while set_of[top] != top:
+            top = set_of[top]
+        while set_of[x] != top:
+            set_of[x], x = top, set_of[x]
+        return top
+
+    def link(a: str, b: str) -> None:
+        # b has no parent, so it is the root of its set: a below b is a in b's set.
+        if b not in parent and find(a) != find(b):
+            parent[b] = a
+            set_of[find(b)] = find(a)
 
     for r in sorted(rows, key=lambda r: r["id"]):
         known[r["message_id"]] = r
         chain = [c for c in r["chain"] if c]
         for c in (*chain, r["message_id"]):
-            nodes.setdefault(c)
+            set_of.setdefault(c, c)
         for a, b in zip(chain, chain[1:]):
-            if b not in parent and not above(a, b):
-                parent[b] = a
-        if chain and r["message_id"] not in parent and not above(chain[-1], r["message_id"]):
-            parent[r["message_id"]] = chain[-1]
+            link(a, b)
+        if chain:
+            link(chain[-1], r["message_id"])
     children: dict[str, list[str]] = {}
     date = lambda m: (known[m]["date"] or 0) if m in known else 0
-    for n in nodes:
+    for n in set_of:
         if n in parent:
             children.setdefault(parent[n], []).append(n)
-    for top in (n for n in nodes if n not in parent):
-        stack, position, root = [(top, 0)], 0, None
+    for top in (n for n in set_of if n not in parent):
+        root, own = known.get(top), {}
+        branches = {c: k for k, c in enumerate(sorted(children.get(top, []), key=date), 1)}
+        stack, position, first, part, part_date = [(top, 0)], 0, None, 0, 0
         while stack:
             n, depth = stack.pop()
+            if depth == 1:
+                part, part_date = branches[n], date(n)
             if n in known:
-                root = known[n]["id"] if root is None else root
-                yield {"id": known[n]["id"], "thread_id": root, "position": position, "depth": depth}
+                first = known[n]["id"] if first is None else first
+                place = own[part] = own.get(part, -1) + 1
+                yield {"id": known[n]["id"], "message_id": n, "thread_id": first, "position": position, "depth": depth, "root_id": root and root["id"], "root_date": (root["date"] or 0) if root else 0, "root_subject": root and root.get("subject"), "part": part, "part_date": part_date, "place": place}
                 position += 1
             stack += [(c, depth + 1) for c in reversed(sorted(children.get(n, []), key=date))]
 
 
-def threads(emails: DataFrame) -> DataFrame:
-    """id, thread_id, position, depth of every message's kept copy; each component is built by itself."""
-    refs = F.coalesce(F.col("references") if "references" in emails.columns else F.lit(None), F.array().cast("array<string>"))
-    chain = F.when(F.col("in_reply_to").isNotNull() & ~F.array_contains(refs, F.col("in_reply_to")), F.concat(refs, F.array("in_reply_to"))).otherwise(refs)
-    rows = emails.select("id", "message_id", chain.alias("chain"), F.col("date_received").alias("date")).join(labelled(emails), "message_id")
+_NODE = "id long, message_id string, thread_id long, position int, depth int, root_id long, root_date long, root_subject string, part int, part_date long, place int"
+_OUT = ("id", "thread_id", "position", "depth")
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.to_dict("records")
-        for r in rows:
-            r["date"] = None if pd.isna(r["date"]) else r["date"]
-        return pd.DataFrame([*build(rows)], columns=["id", "thread_id", "position", "depth"])
 
-    return rows.groupBy("component").applyInPandas(group, "id long, thread_id long, position int, depth int")
+def _nodes(emails: DataFrame) -> DataFrame:
+    subject = F.col("subject_norm") if "subject_norm" in emails.columns else F.lit(None).cast("string")
+    rows = emails.where("message_id is not null").select("id", "message_id", _chain(emails).alias("chain"), F.col("date_received").alias("date"), subject.alias("subject")).join(labelled(emails), "message_id")
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+        return pd.DataFrame([*build(found)], columns=[x.split()[0] for x in _NODE.split(", ")])
+
+    return rows.groupBy("component").applyInPandas(group, _NODE)
+
+
+def _merged(nodes: DataFrame) -> DataFrame:
+    """Trees whose root is a message with one non-empty subject become children of the earliest such root, among its own by date."""
+    roots = nodes.where("position = 0 and id = root_id and root_subject <> ''").select("root_id", "root_subject", "root_date")
+    w = Window.partitionBy("root_subject")
+    anchors = roots.withColumn("anchor", F.first("root_id").over(w.orderBy("root_date", "root_id"))).withColumn("trees", F.count("*").over(w))
+    anchors = anchors.where("trees > 1").select("root_id", "anchor")
+    at = nodes.join(anchors, "root_id", "left").checkpoint()
+    alone, joined = at.where("anchor is null"), at.where("anchor is not null")
+    # Parts: branches of the anchor by their dates, and whole other trees by their roots'; each lies in one stretch.
+    own = F.col("root_id") == F.col("anchor")
+    part = joined.select("id", "message_id", "anchor", "root_id", own.alias("own"), F.when(own, F.col("part")).otherwise(-1).alias("part"), F.when(own, F.col("part_date")).otherwise(F.col("root_date")).alias("date"), F.when(own, F.col("place")).otherwise(F.col("position")).alias("place"), F.when(own, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"))
+    sizes = part.where("part <> 0").groupBy("anchor", "root_id", "part").agg(F.first("date").alias("date"), F.first("own").alias("own"), F.count("*").alias("n"))
+    before = Window.partitionBy("anchor").orderBy("date", F.desc("own"), "part", "root_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("anchor", "root_id", "part", (1 + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("offset"))
+    placed = part.join(offsets, ["anchor", "root_id", "part"], "left").select("id", "message_id", F.col("anchor").alias("thread_id"), (F.coalesce("offset", F.lit(0)) + F.col("place")).cast("int").alias("position"), F.col("depth").cast("int").alias("depth"))
+    return alone.select("id", "message_id", "thread_id", "position", "depth").unionByName(placed)
+
+
+def threads(emails: DataFrame, by_subject: bool = False) -> DataFrame:
+    """id, thread_id, position, depth of every message; ``by_subject`` merges trees of one subject.
+
+    A thread's id is that of its first message in pre-order.
+    """
+    nodes = _nodes(emails)
+    placed = _merged(nodes) if by_subject else nodes.select("id", "message_id", "thread_id", "position", "depth")
+    ids = emails.select("id", "message_id")
+    with_id = ids.join(placed.drop("id"), "message_id").select(*_OUT)
+    bare = ids.where("message_id is null").select("id", F.col("id").alias("thread_id"), F.lit(0).alias("position"), F.lit(0).alias("depth"))
+    return with_id.unionByName(bare)
 
 
 def subject_anchor(roots: DataFrame) -> DataFrame:
@@ -110,3 +171,15 @@ def subject_anchor(roots: DataFrame) -> DataFrame:
 def summaries(emails: DataFrame, thread: str) -> DataFrame:
     """Per thread: messages, participants, dates, unread, and whether the last message was sent."""
     return emails.groupBy(thread).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("sender_addr")), ",").alias("participants"), F.min("date_received").alias("first_date"), F.max("date_received").alias("last_date"), F.sum((~F.col("is_read")).cast("long")).alias("unread"), (F.max_by("mailbox_role", F.struct(F.coalesce("date_received", F.lit(0)), -F.col("id"))) == "sent").alias("answered_last"))
+
+
+def fetch(emails: DataFrame, placed: DataFrame, message_id: str | None = None, thread_id: int | None = None) -> DataFrame:
+    """The messages of one thread in order, by the newest copy of a message id or by the thread's id. ``placed``: rows of ``threads``."""
+    if thread_id is None:
+        newest = emails.where(F.col("message_id") == message_id).orderBy(F.desc_nulls_last("date_received"), "id").limit(1).select("id")
+        wanted = placed.join(newest, "id").select("thread_id")
+    else:
+        wanted = placed.where(F.col("thread_id") == thread_id).select("thread_id").limit(1)
+    # One row, so the rows of the thread are found without moving the others.
+    rows = placed.join(F.broadcast(wanted.distinct()), "thread_id")
+    return emails.join(rows, "id").orderBy("position", "id")

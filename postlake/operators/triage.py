@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.operators.filters import no_reply, predicate
 
+#: Cues that a message asks for something, or soon.
 REQUEST = r"(?i)\b(can you|could you|please|let me know|need|request|review|approve|confirm|deadline)\b"
 URGENT = r"(?i)\b(urgent|asap|eod|by end of day|by tomorrow)\b"
 
@@ -51,6 +52,48 @@ def contacts(emails: DataFrame, query: str | None = None, limit: int = 100) -> D
     return c.orderBy(F.desc("total"), F.desc(F.coalesce("last_contact", F.lit(0))), "address").limit(min(500, max(1, limit)))
 
 
+def primary_recipient(to: Column) -> Column:
+    """The address of the first To entry, ``Name <addr>`` or bare; null for none."""
+    first = F.get(to, F.lit(0))
+    inside = F.regexp_extract(first, r"<([^<>]*)>", 1)
+    return F.nullif(F.trim(F.when(F.contains(first, F.lit("<")), inside).otherwise(first)), F.lit(""))
+
+
+def contacts_of(emails: DataFrame, query: str | None = None, limit: int = 100, **where) -> DataFrame:
+    """address, name, received, sent, total, last_contact over all To and Cc entries (``recipients_to``, ``recipients_cc``: structs name, addr).
+
+    Every occurrence counts. The name is that of the newest received message, else the first one non-empty in sent
+    messages by id, To before Cc; the address is shown as that message has it.
+    """
+    m = emails.where(predicate(**where))
+    got = m.where("mailbox_role <> 'sent' and sender_addr is not null and sender_addr <> ''").groupBy(F.lower("sender_addr").alias("key")).agg(F.count("*").alias("received"), F.max("date_received").alias("r_last"), F.max_by(F.struct("sender_addr", "sender_name"), F.struct("date_received", "id")).alias("r"))
+    entries = F.concat(F.coalesce("recipients_to", F.array().cast("array<struct<name:string,addr:string>>")), F.coalesce("recipients_cc", F.array().cast("array<struct<name:string,addr:string>>")))
+    each = m.where("mailbox_role = 'sent'").select("id", "date_received", F.posexplode(entries).alias("place", "to")).where("to.addr is not null and to.addr <> ''")
+    order = F.struct("id", "place")
+    named = F.nullif(F.col("to.name"), F.lit("")).isNotNull()
+    sent = each.groupBy(F.lower("to.addr").alias("key")).agg(F.count("*").alias("sent"), F.max("date_received").alias("s_last"), F.min_by("to.addr", order).alias("s_addr"), F.min_by(F.when(named, F.col("to.name")), F.when(named, order)).alias("s_name"))
+    c = got.join(sent, "key", "full").select(
+        F.coalesce("r.sender_addr", "s_addr").alias("address"), F.coalesce(F.nullif(F.col("r.sender_name"), F.lit("")), "s_name").alias("name"),
+        F.coalesce("received", F.lit(0)).cast("long").alias("received"), F.coalesce("sent", F.lit(0)).cast("long").alias("sent"), F.greatest("r_last", "s_last").alias("last_contact"), "key",
+    ).withColumn("total", F.col("received") + F.col("sent"))
+    if query:
+        c = c.where(named_like(query, F.col("name"), F.col("address")))
+    return c.orderBy(F.desc("total"), F.desc(F.coalesce("last_contact", F.lit(0))), "key").limit(min(500, max(1, limit))).drop("key")
+
+
+def named_like(query: str, *columns: Column) -> Column:
+    """Whether any of the columns holds the text, in any case."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.contains(F.lower(c), F.lit(query.lower())), F.lit(False))
+    return out
+
+
+def contact_newest(emails: DataFrame, address: str, most: int = 5) -> DataFrame:
+    """The newest messages of one address."""
+    return emails.where(F.col("sender_addr") == address).orderBy(F.desc_nulls_last("date_received"), "id").limit(most)
+
+
 def contact(emails: DataFrame, address: str) -> DataFrame:
     m = emails.where(F.col("sender_addr") == address)
     return m.agg(F.count("*").alias("n"), F.max("date_received").alias("last_date"), F.expr("max_by(sender_name, struct(date_received, id)) filter (where sender_name is not null)").alias("name"))

@@ -2,32 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.adapters import AS_OF, EMAILS_SQL, conversations_as_emails, events_as_emails
+from postlake.adapters import AS_OF, conversations_as_emails, events_as_emails
 from postlake.functions import text as fn
-from postlake.operators import analytics, filters, ingest, search, threads, triage, vectors
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None, emails: bool = True):
-    def add(f):
-        QUERIES[name] = (lambda s, d: f(events_as_emails(read(s, d, "events")))) if emails else f
-        if sql:
-            ORACLES[name] = (f"WITH {EMAILS_SQL} " if emails else "") + sql
-        return f
-
-    return add
-
+from postlake.operators import analytics, filters, ingest, threads, triage
+from postlake.plans import search_queries, store_queries  # noqa: F401  they register their queries
+from postlake.plans.registry import ORACLES, QUERIES, query, read  # noqa: F401
 
 WEEK = AS_OF - 7 * 86400
 MONTH = AS_OF - 30 * 86400
@@ -207,111 +188,6 @@ def _(spark, d):
     return ingest.dead_letters(known, e.where("i % 5 = 0").select("path", F.lit("new").alias("error")), e.where("i % 7 = 0"), 99)
 
 
-# Search: columns subject (first line) and body (text), unstemmed tokens.
-_COLUMNS, _WEIGHTS = {"subject": "subject", "body": "text"}, {"subject": 10.0, "body": 1.0}
-
-
-def _docs(spark, d):
-    return read(spark, d, "documents").withColumn("subject", F.get(F.split("text", "\n"), F.lit(0)))
-
-
-def _bm25_sql(terms: list[str], scope: str | None = None, any_of: bool = False, without: tuple = (), where: str = "true", tail: str = "ORDER BY s DESC, doc_id LIMIT 25", out: str = "doc_id, round(s, 6) AS score") -> str:
-    tok = lambda c: f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+')"
-    cond = lambda t: f"starts_with(x, '{t[:-1]}')" if t.endswith("*") else f"x = '{t}'"
-    cnt = lambda t: " + ".join(f"{_WEIGHTS[c]} * len(list_filter({c[0]}t, lambda x: {cond(t)}))" for c in _COLUMNS if scope in (None, c))
-    fs = ", ".join(f"{cnt(t)} AS f{i}" for i, t in enumerate([*terms, *without]))
-    ns = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(terms)))
-    sc = " + ".join(f"CASE WHEN ln((N - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((N - n{i} + 0.5) / (n{i} + 0.5)) END * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / avgdl))" for i in range(len(terms)))
-    has = (" OR " if any_of else " AND ").join(f"f{i} > 0" for i in range(len(terms)))
-    no = "".join(f" AND NOT f{len(terms) + i} > 0" for i in range(len(without)))
-    return f"""WITH t AS (SELECT doc_id, lang, {tok("string_split(text, chr(10))[1]")} AS st, {tok("text")} AS bt FROM documents), c AS (SELECT doc_id, lang, len(st) + len(bt) AS len, {fs} FROM t), z AS (SELECT count(*) AS N, avg(len) AS avgdl, {ns} FROM c),
-m AS (SELECT doc_id, lang, {sc} AS s FROM c, z WHERE ({has}){no}) SELECT {out} FROM m WHERE {where} {tail}"""
-
-
-def _rounded(df):
-    return df.select("doc_id", F.round("score", 6).alias("score"))
-
-
-@query("bm25_search", _bm25_sql(["the", "ndtion"]), emails=False)
-def _(spark, d):
-    return _rounded(search.page(search.bm25(_docs(spark, d), _COLUMNS, ["the", "ndtion"], _WEIGHTS)))
-
-
-@query("bm25_scoped", _bm25_sql(["estion"], scope="subject", tail=""), emails=False)
-def _(spark, d):
-    return _rounded(search.bm25(_docs(spark, d), _COLUMNS, ["estion"], _WEIGHTS, scope="subject"))
-
-
-@query("bm25_filtered", _bm25_sql(["the"], where="lang = 'en' AND doc_id % 2 = 0", tail=""), emails=False)
-def _(spark, d):
-    docs = _docs(spark, d)
-    return _rounded(search.bm25(docs, _COLUMNS, ["the"], _WEIGHTS).join(docs.where("lang = 'en' and doc_id % 2 = 0").select("doc_id"), "doc_id", "left_semi"))
-
-
-@query("bm25_count", _bm25_sql(["the"], out="count(*) AS total_estimated", tail=""), emails=False)
-def _(spark, d):
-    return search.bm25(_docs(spark, d), _COLUMNS, ["the"], _WEIGHTS).agg(F.count("*").alias("total_estimated"))
-
-
-@query("bm25_offset", _bm25_sql(["estion"], tail="ORDER BY s DESC, doc_id LIMIT 10 OFFSET 10"), emails=False)
-def _(spark, d):
-    return _rounded(search.page(search.bm25(_docs(spark, d), _COLUMNS, ["estion"], _WEIGHTS), 10, 10))
-
-
-@query("boolean_search", _bm25_sql(["ndtion", "estion"], any_of=True, without=("and",), tail=""), emails=False)
-def _(spark, d):
-    return _rounded(search.bm25(_docs(spark, d), _COLUMNS, ["ndtion", "estion"], _WEIGHTS, mode="any", without=("and",)))
-
-
-@query("prefix_search", _bm25_sql(["ndt*"], tail=""), emails=False)
-def _(spark, d):
-    return _rounded(search.bm25(_docs(spark, d), _COLUMNS, ["ndt*"], _WEIGHTS))
-
-
-@query("phrase_search", "SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the'))::BIGINT AS hits FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents) WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0", emails=False)
-def _(spark, d):
-    return search.phrase(_docs(spark, d), "text", ["of", "the"])
-
-
-@query("trigram_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'example.com')", emails=False)
-def _(spark, d):
-    return search.substring(_docs(spark, d), ["subject", "text"], "Example.com")
-
-
-@query("term_statistics", "SELECT x AS term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS x FROM documents) GROUP BY x HAVING count(DISTINCT doc_id) >= 20", emails=False)
-def _(spark, d):
-    per = search.postings(_docs(spark, d), {"body": "text"}).groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).where("df >= 20")
-
-
-_COS = "1 - list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q)))"
-_V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS q FROM embeddings)"
-
-
-def _first(v):
-    return [float(x) for x in v.where("vec_id = 0").select("embedding").first()[0]]
-
-
-@query("knn", f"WITH {_V} SELECT vec_id, round({_COS}, 6) AS distance FROM v ORDER BY {_COS}, vec_id LIMIT 10", emails=False)
-def _(spark, d):
-    v = read(spark, d, "embeddings")
-    return vectors.knn(v, _first(v)).select("vec_id", F.round("distance", 6).alias("distance"))
-
-
-@query("semantic_page", f"WITH {_V} SELECT vec_id, round({_COS}, 6) AS distance FROM v WHERE label = 3 ORDER BY {_COS}, vec_id LIMIT 25", emails=False)
-def _(spark, d):
-    v = read(spark, d, "embeddings")
-    return vectors.knn(v, _first(v), 25, F.col("label") == 3).select("vec_id", F.round("distance", 6).alias("distance"))
-
-
-@query("hybrid_rrf", f"WITH b AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM ({_bm25_sql(['the'], tail='ORDER BY s DESC, doc_id LIMIT 100', out='doc_id, s')})), {_V}, k AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY d, vec_id) AS rank FROM (SELECT vec_id, {_COS} AS d FROM v ORDER BY d, vec_id LIMIT 100)) SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM k) GROUP BY doc_id", emails=False)
-def _(spark, d):
-    v = read(spark, d, "embeddings")
-    words = vectors.ranked(search.page(search.bm25(_docs(spark, d), _COLUMNS, ["the"], _WEIGHTS), 100), "doc_id", F.desc("score"))
-    near = vectors.ranked(vectors.knn(v, _first(v), 100).withColumnRenamed("vec_id", "doc_id"), "doc_id", F.asc("distance"))
-    return _rounded(vectors.fused([words, near], "doc_id"))
-
-
 @query("thread_summary", "SELECT conv_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT role)), ',') AS participants, min(1700000000 + conv_id * 86400 + turn * 3600) AS first_date, max(1700000000 + conv_id * 86400 + turn * 3600) AS last_date, count(*) FILTER (role <> 'user') AS unread, arg_max(role, turn) = 'assistant' AS answered_last FROM conversations GROUP BY conv_id", emails=False)
 def _(spark, d):
     m = conversations_as_emails(read(spark, d, "conversations"))

@@ -1,0 +1 @@
+"""Structured Streaming jobs over the batch operators."""

@@ -1,9 +1,13 @@
+import re
+import sqlite3
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from postlake.errors import BatchTooLarge, ConfirmationRequired, InvalidArgument, ReadOnly
-from postlake.operators import actions, filters, search, threads
+from postlake.functions.stem import stem
+from postlake.operators import actions, filters, grammar, index, threads
 from postlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +21,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["top_senders", "awaiting_reply_all", "needs_response", "contacts", "inventory_diff", "dead_letter_merge", "bm25_search", "boolean_search", "phrase_search", "hybrid_rrf", "thread_summary"])
+@pytest.mark.parametrize("name", ["top_senders", "awaiting_reply_all", "needs_response", "contacts", "inventory_diff", "dead_letter_merge", "bm25_search", "near_search", "search_page", "search_hybrid", "thread_summary", "contacts_all_recipients", "overview_counts", "account_overview", "action_undo", "text_helpers"])
 def test_oracle(spark, duck, name):
     got, want = catalog.QUERIES[name](spark, SF), duck.execute(catalog.ORACLES[name]).df()
     clean = lambda rows, cols: sorted(str([None if r[c] is None or r[c] != r[c] else r[c] for c in cols]).replace(".0,", ",").replace(".0]", "]") for r in rows)
@@ -41,12 +45,56 @@ def test_thread_builder():
     assert max(r["depth"] for r in deep) == 1498
 
 
+def words(query):
+    """The leaves as text, and how they are combined."""
+    split = lambda s: re.findall(r"[^\W_]+", s.lower())
+    leaves, expr = grammar.parse(query, split)
+    name = lambda leaf: " ~ ".join(" ".join(w + "*" * p for w, p in phrase) for phrase in leaf.phrases) + (f" {leaf.near}" if leaf.near else "")
+
+    def shown(e):
+        return name(leaves[e.leaf]) if e.op == "leaf" else f"({shown(e.left)} {e.op} {shown(e.right)})"
+
+    return shown(expr) if expr else None
+
+
 def test_query_grammar():
-    assert search.parsed("budget review*") == {"terms": ["budget", "review*"], "phrases": [], "without": [], "mode": "all"}
-    assert search.parsed("alice@example.com")["phrases"] == [["alice", "example", "com"]]
-    assert search.parsed('a "b c')["phrases"] == [["a", "b", "c"]]
-    assert search.parsed("a OR b NOT c") == {"terms": ["a", "b"], "phrases": [], "without": ["c"], "mode": "any"}
-    assert search.wants_substring("report-q3") and not search.wants_substring("a b.c")
+    assert words("budget review*") == "(budget and review*)"
+    assert words("alice@example.com") == "alice example com"
+    assert words('a "b c') == "a b c"
+    assert words("a OR b NOT c d") == "(a or (b not (c and d)))"
+    assert words("a OR b AND c") == "(a or (b and c))"
+    assert words("(a OR b) AND c") == "((a or b) and c)"
+    assert words('"a b" + c NEAR(d "e f", 4)') == "(a b c and d ~ e f 4)"
+    assert words("near and not") == "((near and and) and not)"
+    assert words("AND") == "and" and words("(a OR") == "(a and or)" and words("a )") == "a"
+    assert words("") is None and words("  ?! ") is None and words("don't what?") == "(don t and what)"
+    assert grammar.wants_substring("report-q3") and not grammar.wants_substring("a b.c")
+
+
+def test_stems_are_those_of_the_standard_index():
+    con = sqlite3.connect(":memory:")
+    given = "relational conditional rational valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable defensible irritant replacement adjustment dependent adoption homologou communism activate angulariti homologous effective bowdlerize probate rate cease controll roll caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing fizzed failing filing happy sky one at by apologies geology running budgets invoices meetings quarterly reviewing universities yes eying sayings".split()
+    con.execute("create virtual table t using fts5(x, tokenize='porter unicode61')")
+    con.execute("create virtual table v using fts5vocab(t, 'instance')")
+    for k, w in enumerate(given, 1):
+        con.execute("insert into t (rowid, x) values (?, ?)", (k, w))
+    want = dict(con.execute("select doc, term from v").fetchall())
+    assert {w: stem(w) for w in given} == {w: want[k] for k, w in enumerate(given, 1)}
+
+
+def test_snippets():
+    text = " ".join(f"w{k}" for k in range(40)) + " budget plan"
+    assert index.snippet_of(text, {"budget"}.__contains__, 4) == "…w38 w39 »budget« plan"
+    assert index.snippet_of("a b c", {"x"}.__contains__, 2) == "a b…" and index.snippet_of(None, {"x"}.__contains__) == ""
+
+
+def test_subject_merge(spark):
+    row = lambda i, s, reply=None, date=0: (i, f"m{i}", reply, s, date)
+    rows = [row(1, "budget q3", date=9), row(2, "budget q3", date=4), row(3, "budget q3", "m1", 20), row(4, "other", date=1), row(5, "", date=1), row(6, "", date=2), row(7, "x", "ghost", 5), row(8, "x", "ghost", 3), row(9, "budget q3", "m2", 30), row(10, "budget q3", "m2", 6)]
+    emails = spark.createDataFrame([*rows, (11, None, None, "x", 0)], "id long, message_id string, in_reply_to string, subject_norm string, date_received long")
+    got = {r["id"]: (r["thread_id"], r["position"], r["depth"]) for r in threads.threads(emails, by_subject=True).collect()}
+    # 2 is the earliest root; its children by date: 10 (6), tree of 1 (9), 9 (30).
+    assert got == {2: (2, 0, 0), 10: (2, 1, 1), 1: (2, 2, 1), 3: (2, 3, 2), 9: (2, 4, 1), 4: (4, 0, 0), 5: (5, 0, 0), 6: (6, 0, 0), 8: (8, 0, 1), 7: (8, 1, 1), 11: (11, 0, 0)}
 
 
 def test_actions(spark):
