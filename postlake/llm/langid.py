@@ -5,8 +5,9 @@ frequency. A text's distance to a language is the sum over the text's own profil
 place, with a fixed penalty for one the language does not have; the nearest language wins.
 
 Defined results: a text that is null or has no letter is `und` with score 0; ties go to the first language by name;
-rows with equal texts get equal answers; without learned languages every text is `und`. Only doc_id, text and, for
-learning, lang are read, so further columns cannot clash.
+rows with equal texts get equal answers; without learned languages every text is `und`; a row without a doc_id is not
+learned from and counts as not held out. Only doc_id, text and, for learning, lang are read, so further columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 _LONGEST = 4
 #: Characters counted at a time.
 _PIECE = 1 << 18
+#: More values of ``lang`` than this are no languages; learning them is refused.
+MOST_LANGS = 2000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
@@ -32,6 +36,8 @@ def _letters() -> np.ndarray:
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
+    if not len(keys):
+        return keys, n
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -39,15 +45,15 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _piece_counts(codes: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of a piece that ends with a word, packed at 16 bits a letter, and how often each occurs."""
+    """n-grams of a piece that ends with a word, as 64-bit hashes of their code points, and how often each occurs."""
     kept = letter.copy()
     kept[1:] |= letter[:-1]  # one blank stays after each word
-    codes = np.where(letter, codes & 0xFFFF, 32)[kept].astype(np.uint64)
+    codes = np.where(letter, codes, 32)[kept].astype(np.uint64)
     codes = np.concatenate(([32], codes, [32])).astype(np.uint64)
     inside = np.concatenate(([False], letter[kept], [False]))
     out, acc, ok = [codes[inside]], codes, np.ones(len(codes), bool)
     for n in range(2, _LONGEST + 1):
-        acc = (acc[:-1] << np.uint64(16)) | codes[n - 1 :]
+        acc = acc[:-1] * _ODD + codes[n - 1 :]
         ok = ok[:-1] & inside[n - 2 : len(codes) - 1] if n > 2 else inside[1:] | inside[:-1]
         out.append(acc[ok])
     every = np.sort(np.concatenate(out))
@@ -83,18 +89,37 @@ def top(keys: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     return keys[np.lexsort((keys, -n))][:size]
 
 
+def _joined(texts):
+    """Short texts put together, so that they are counted at once; a line break is no letter, so no n-gram spans two."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= _PIECE:
+            yield "\n".join(held)
+            held, size = [], 0
+    yield "\n".join(held)
+
+
 def learn(docs: DataFrame, size: int = 400) -> list[tuple[str, int, int]]:
     """(lang, rank, n-gram) of each language's profile, over all rows with a text and a language.
 
-    What comes to the driver is ``size`` rows a language.
+    What comes to the driver is ``size`` rows a language, and no more than MOST_LANGS of them.
     """
+    known = docs.where("text is not null and lang is not null").select("lang").distinct().limit(MOST_LANGS + 1).count()
+    if known > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} values of lang")
 
     def run(batches):
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for lang in sorted(set(langs)):
-                # A line break is no letter, so joined texts have the n-grams of their own words only.
-                keys, n = counts("\n".join(t.as_py() for t, of in zip(batch.column(1), langs) if of == lang))
+                held: list[tuple[np.ndarray, np.ndarray]] = []
+                for text in _joined(t.as_py() for t, of in zip(batch.column(1), langs) if of == lang):
+                    held.append(counts(text))
+                    if len(held) > 32:
+                        held = [_summed(*map(np.concatenate, zip(*held)))]
+                keys, n = _summed(*map(np.concatenate, zip(*held)))
                 if len(keys):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
@@ -110,7 +135,7 @@ def predict(docs: DataFrame, profiles: list[tuple[str, int, int]], size: int = 4
     known = np.unique(np.array([x[2] for x in profiles], np.int64).astype(np.uint64)) if profiles else np.zeros(0, np.uint64)
     place = np.full((len(langs), len(known) + 1), -1, np.int64)
     for lang, rank, gram in profiles:
-        place[langs.index(lang), np.searchsorted(known, np.uint64(gram))] = rank - 1
+        place[langs.index(lang), np.searchsorted(known, np.uint64(gram % 2**64))] = rank - 1
 
     def one(text: str | None) -> tuple[str, float]:
         keys, n = counts(text) if text else ((), ())
@@ -148,4 +173,4 @@ def held_out_of(doc_id: int) -> bool:
 def identify(docs: DataFrame, size: int = 400) -> DataFrame:
     """Learns from the rows that are not held out, predicts all: doc_id, held_out, lang_pred, score."""
     profiles = learn(docs.where(~held_out()), size)
-    return predict(docs, profiles, size).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, profiles, size).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

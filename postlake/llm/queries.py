@@ -45,17 +45,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits the pages' archive against a replica in which every 97th record had a byte overwritten."""
+    """Audits the pages' archive against a replica in which every 97th record had a byte overwritten and every 211th is missing; what follows these is moved."""
     recs = warc.records(table(spark, sf_dir, "pages"))
-    return warc.audit(warc.leaves(recs), warc.leaves(warc.corrupted(recs, F.col("page_id") % 97 == 5)))
+    return warc.audit(recs, warc.corrupted(recs, F.col("page_id") % 97 == 5).where(~F.coalesce(F.col("page_id") % 211 == 7, F.lit(False))))
 
 
 OP7_SQL = """
 WITH p AS (SELECT page_id, page_id // 256 AS file, coalesce(html, '') AS h, coalesce(url, '') AS u FROM pages),
 r AS (SELECT *, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10), 'WARC-Target-URI: ', u, chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(h), chr(13), chr(10), chr(13), chr(10)) AS head FROM p),
-b AS (SELECT *, concat(head, h, chr(13), chr(10), chr(13), chr(10)) AS a, concat(left(concat(head, h), length(concat(head, h)) - 1), '?', chr(13), chr(10), chr(13), chr(10)) AS z FROM r),
-o AS (SELECT *, row_number() OVER w - 1 AS seq, coalesce(sum(strlen(a)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM b WINDOW w AS (PARTITION BY file ORDER BY page_id))
-SELECT file::BIGINT AS file, seq::BIGINT AS seq, page_id, 'content' AS kind, off AS offset_a, strlen(a)::BIGINT AS length_a, sha256(a) AS sha256_a, off AS offset_b, strlen(a)::BIGINT AS length_b, sha256(z) AS sha256_b FROM o WHERE page_id % 97 = 5 AND sha256(a) <> sha256(z)
+a AS (SELECT page_id, file, concat(head, h, chr(13), chr(10), chr(13), chr(10)) AS rec FROM r),
+b AS (SELECT page_id, file, CASE WHEN page_id % 97 = 5 THEN concat(left(concat(head, h), length(concat(head, h)) - 1), '?', chr(13), chr(10), chr(13), chr(10)) ELSE concat(head, h, chr(13), chr(10), chr(13), chr(10)) END AS rec FROM r WHERE page_id % 211 <> 7),
+x AS (SELECT page_id, file, sha256(rec) AS d, strlen(rec)::BIGINT AS len, coalesce(sum(strlen(rec)) OVER w, 0)::BIGINT AS off FROM a WINDOW w AS (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y AS (SELECT page_id, file, sha256(rec) AS d, strlen(rec)::BIGINT AS len, coalesce(sum(strlen(rec)) OVER w, 0)::BIGINT AS off FROM b WINDOW w AS (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT x.file::BIGINT AS file, (page_id % 256)::BIGINT AS seq, page_id, CASE WHEN y.d IS NULL THEN 'missing in b' WHEN x.d <> y.d THEN 'content' ELSE 'moved' END AS kind, x.off AS offset_a, x.len AS length_a, x.d AS sha256_a, y.off AS offset_b, y.len AS length_b, y.d AS sha256_b FROM x LEFT JOIN y USING (page_id) WHERE y.d IS NULL OR x.d <> y.d OR x.off <> y.off
 """
 
 
