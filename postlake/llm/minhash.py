@@ -10,10 +10,9 @@ is a probability Jaccard similarity of at least ``least`` over these weights, co
 signatures estimate the same measure. A pair at 0.8 shares one of the BANDS bands with probability 0.997.
 
 Documents with equal word sequences (128-bit digests) are one class from the start and enter as their smallest
-doc_id. Each band group is first compared with its smallest member; then pairs of members of different classes, which
-four bits a slot of both do not rule out (SPREAD standard errors below ``least``; 3 in 100,000 pairs at ``least`` are),
-are verified. So a group of links
-is not expanded into all its pairs, and pairs within a class need no comparison.
+doc_id. Each band group is first compared with its smallest member; then members of different classes, which two bits a
+slot of both do not rule out (SPREAD standard errors below ``least``; 3 in 100,000 pairs at ``least`` are), are verified
+in blocks. So a group is not expanded into rows of pairs, and pairs within a class need no comparison.
 
 Defined results: a text that is null or has no word is a class of its own; ties keep the smallest doc_id; a null
 doc_id is left out of comparison and kept; rows that repeat a doc_id are documents of their own, whose first row (in
@@ -33,13 +32,14 @@ from postlake.llm import hashing
 from postlake.llm.components import components
 from postlake.llm.shared import Scratch, numbered, written
 
-SHINGLE, M, BANDS, SPREAD = 5, 256, 32, 4
-ROWS = M // BANDS
+SHINGLE, M, BANDS, ROWS, SPREAD = 5, 512, 51, 10, 4
+#: Members of a group that are compared with as many others in one place.
+BLOCK = 500
 #: So many ids (8 bytes each) are sent to all tasks at most; above it the join shuffles.
 SENT = 1_000_000
 _U = np.uint64
-#: Longs that hold four bits of each slot.
-_BITS = tuple(f"b{k}" for k in range(M // 16))
+#: Longs that hold two bits of each slot.
+_BITS = tuple(f"b{k}" for k in range(M // 32))
 
 
 def signatures(elements: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ SKETCH = "doc_id long, wa long, wb long, " + ", ".join(f"{c} long" for c in _BIT
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id; wa, wb: digest of the word sequence (null without a word); four bits of each slot; a key for each band."""
+    """doc_id; wa, wb: digest of the word sequence (null without a word); two bits of each slot; a key for each band."""
 
     def run(batches):
         for batch in batches:
@@ -129,11 +129,11 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 full = np.flatnonzero(some)
                 own = signatures(np.concatenate([e for e, _ in sets]), weight(np.concatenate([c for _, c in sets])), first) if len(full) else np.zeros((0, M), np.uint64)
                 whole = np.frombuffer(b"".join(hashing.digest(b" ".join(buf[off[i] : off[i + 1]].tobytes().split())) for i in full.tolist()), np.int64).reshape(len(full), 2)
-                four = (hashing.mix(own) & _U(15)).astype(np.uint8)
-                bits = np.ascontiguousarray(four[:, ::2] | four[:, 1::2] << 4).view(np.int64)
+                two = (hashing.mix(own) & _U(3)).astype(np.uint8)
+                bits = np.ascontiguousarray(two[:, ::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6).view(np.int64)
                 keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(full), BANDS))
                 for k in range(ROWS):
-                    keys = hashing.join(keys, own.reshape(len(full), BANDS, ROWS)[:, :, k])
+                    keys = hashing.join(keys, own[:, : BANDS * ROWS].reshape(len(full), BANDS, ROWS)[:, :, k])
                 place = np.cumsum(some) - 1
                 at = pa.array(place, mask=~some)
                 spread = lambda x: pa.array(np.ascontiguousarray(x)).take(at)
@@ -144,20 +144,26 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _leave_possible(x: str, y: str, least: float) -> F.Column:
-    """Whether four bits a slot of two signatures differ in no more slots than a pair of ``least`` would, and SPREAD standard errors."""
-    p, apart = (1 - least) * 15 / 16, F.lit(0)
+    """Whether two bits a slot of two signatures differ in no more slots than a pair of ``least`` would, and SPREAD standard errors."""
+    p, apart = (1 - least) * 3 / 4, F.lit(0)
     for c in _BITS:
         other = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
         other = other.bitwiseOR(F.shiftrightunsigned(other, 1))
-        other = other.bitwiseOR(F.shiftrightunsigned(other, 2))
-        apart = apart + F.bit_count(other.bitwiseAND(F.lit(0x1111111111111111)))
+        apart = apart + F.bit_count(other.bitwiseAND(F.lit(0x5555555555555555)))
     return apart <= int(M * p + SPREAD * (M * p * (1 - p)) ** 0.5)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose weighted shingles have a probability Jaccard similarity of at least ``least``."""
+def _weighted(blob: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x, w = np.frombuffer(blob, np.uint64), np.ones(len(blob) // 8)
+    at, n = np.frombuffer(many, "<i8").reshape(2, -1)
+    w[at] = weight(n)
+    return x, w
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id; set: shingle hashes in order; many: places and counts of those that occur more than once; of the texts of ``ids``."""
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             found = [x for _, _, buf, off in hashing.texts(batch) for x in shingle_sets(buf, off)]
             many = [np.flatnonzero(c > 1) for _, c in found]
@@ -166,26 +172,73 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float, scratch: Scratch)
                 pa.array([np.stack([m, c[m]]).astype("<i8").tobytes() for m, (_, c) in zip(many, found)], pa.binary()),
             ], ["doc_id", "set", "many"])
 
-    def weighted(blob: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray]:
-        x, w = np.frombuffer(blob, np.uint64), np.ones(len(blob) // 8)
-        at, n = np.frombuffer(many, "<i8").reshape(2, -1)
-        w[at] = weight(n)
-        return x, w
+    # Texts stay where they are unless the ids are too many to be sent.
+    sent = F.broadcast(ids) if ids.count() <= SENT else ids
+    return docs.select("doc_id", "text").join(sent, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary, many binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose weighted shingles have a probability Jaccard similarity of at least ``least``."""
 
     def compare(batches):
         for batch in batches:
             cols = (batch.column(c).to_pylist() for c in ("sa", "ma", "sb", "mb"))
-            ok = [probability_jaccard(*weighted(sa, ma), *weighted(sb, mb)) >= least - 1e-9 for sa, ma, sb, mb in zip(*cols)]
+            ok = [probability_jaccard(*_weighted(sa, ma), *_weighted(sb, mb)) >= least - 1e-9 for sa, ma, sb, mb in zip(*cols)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     needed = scratch.written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "needed")
-    # Texts stay where they are unless the ids are too many to be sent.
-    ids = F.broadcast(needed) if needed.count() <= SENT else needed
-    of = scratch.written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, set binary, many binary"), "sets")
+    of = scratch.written(_sets(docs, needed), "sets")
     side = lambda x: of.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"), F.col("many").alias(f"m{x}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "ma", "sb", "mb").mapInArrow(compare, "a long, b long")
 
 
+def _across(mixed: DataFrame, docs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """a, b: links between members of one group (key, doc_id, cls, bits) that are of different classes, one at least for each two classes that have any.
+
+    Members without a possible partner go first. Groups are dealt in blocks of about BLOCK members, and each two blocks
+    are compared in one place, so no group is held whole and only links are written.
+    """
+    x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{v}") for c in ("doc_id", "cls", "bits"))) for v in "xy")
+    left = x.join(y, (x["key"] == y["key"]) & (F.col("cls_x") != F.col("cls_y")) & _leave_possible("bits_x", "bits_y", least), "left_semi")
+    left = scratch.written(left.select("key", *(F.col(f"{c}_x").alias(c) for c in ("doc_id", "cls", "bits"))), "left")
+    of = scratch.written(_sets(docs, scratch.written(left.select("doc_id").distinct(), "needed")), "sets")
+    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = left.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc_id", "cls", "bits", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    n = 64
+    while n * 2 * BLOCK < dealt.count():
+        n *= 2
+    worst = int(M * (1 - least) * 3 / 4 + SPREAD * (M * (1 - least) * 3 / 4 * (1 - (1 - least) * 3 / 4)) ** 0.5)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("doc_id", "ascending")])
+        key, lo, hi, doc, cls, own = (rows[c].to_numpy() for c in ("key", "lo", "hi", "doc_id", "cls", "own"))
+        flat = rows["bits"].combine_chunks().flatten()
+        bits = np.stack([c.to_numpy(zero_copy_only=False) for c in flat], 1).view(np.uint64) if len(key) else np.zeros((0, len(_BITS)), np.uint64)
+        sets, manies, out, met = rows["set"], rows["many"], [], set()
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
+            held: dict[int, tuple] = {}
+            for i in range(a, b):
+                j = np.arange(i + 1, b)
+                j = j[(cls[j] != cls[i]) & ((lo[i] == hi[i]) | (own[j] != own[i]))]
+                apart = bits[j] ^ bits[i]
+                j = j[np.bitwise_count((apart | apart >> _U(1)) & _U(0x5555555555555555)).sum(1) <= worst]
+                for k in j.tolist():
+                    two = (min(cls[i], cls[k]), max(cls[i], cls[k]))
+                    if two in met:
+                        continue
+                    for m in (i, k):
+                        if m not in held:
+                            held[m] = _weighted(sets[m].as_py(), manies[m].as_py())
+                    if probability_jaccard(*held[i], *held[k]) >= least - 1e-9:
+                        met.add(two)
+                        out.append((min(doc[i], doc[k]), max(doc[i], doc[k])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return dealt.join(of, "doc_id").withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n))).groupBy("part").applyInArrow(run, "a long, b long").distinct()
+
+
 def _classes(docs: DataFrame, least: float) -> DataFrame:
     """doc_id, class_id, exact_id, kept, where no doc_id is repeated."""
     with Scratch(docs.sparkSession) as s:
@@ -202,17 +255,13 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         near = s.written(with_bits(with_bits(stars, "a"), "b").where(_leave_possible("bits_a", "bits_b", least)).select("a", "b"), "near")
         links = s.written(_verified(near, docs, least, s), "links")
         found = s.written(components(links, "a", "b", s.folder), "found")
-        # Groups that still hold several classes: compared across classes, by four bits a slot within the join.
+        # Groups that still hold several classes are compared across classes.
         placed = member.select("key", "doc_id").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("cls"))
         mixed = placed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
         held = s.written(placed.join(mixed, "key").join(bits, "doc_id"), "mixed")
-        x, y = (held.select("key", *(F.col(c).alias(f"{c}_{v}") for c in ("doc_id", "cls", "bits"))) for v in "xy")
-        meet = x.join(y, "key").where((F.col("cls_x") < F.col("cls_y")) & _leave_possible("bits_x", "bits_y", least))
-        pairs = meet.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
-        across = s.written(pairs.join(stars, ["a", "b"], "left_anti"), "across")
+        across = s.written(_across(held, docs, least, s), "across")
         if across.limit(1).count():
-            every = s.written(links.unionByName(_verified(across, docs, least, s)), "links")
-            found = s.written(components(every, "a", "b", s.folder), "found")
+            found = s.written(components(links.unionByName(across), "a", "b", s.folder), "found")
         per = exact.join(found.select(F.col("node").alias("exact_id"), "component"), "exact_id", "left")
         out = sketch.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("wa")).alias("wa"), "wb").join(per, ["wa", "wb"], "left")
         class_id = F.coalesce("component", "exact_id", "doc_id")
