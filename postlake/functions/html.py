@@ -32,11 +32,8 @@ def text_of(html: str | None) -> str | None:
     if html is None:
         return None
     p = _Text()
-    try:
-        p.feed(html)
-        p.close()
-    except Exception:
-        return re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", html)).strip()
+    p.feed(html)
+    p.close()
     return re.sub(r"\s+", " ", " ".join(p.out)).strip()
 
 

@@ -212,7 +212,10 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", F.array_join(fn.links(F.col("html")), " ").alias("links"))
 
 
-@query("html_text", None, emails=False)
+_HTML = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<head\b[^>]*>.*?</head>', ' ', 'gis'), '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g')) AS text FROM pages"""
+
+
+@query("html_text", _HTML, emails=False)
 def _(spark, d):
     from postlake.functions.html import html_to_text
 
