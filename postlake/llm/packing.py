@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from postlake.llm import bpe
-from postlake.llm.shared import written
+from postlake.llm.shared import Scratch, written
 
 
 class Encoder:
@@ -154,8 +154,11 @@ def bound_of(pieces: DataFrame, capacity: int) -> int:
     return bound_of_counts(count, capacity)
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, each: int = 16_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length and any others), row by row. ``each``: about how many pieces a task packs."""
+def pack(pieces: DataFrame, capacity: int = 4096, each: int = 16_000, folder: str | None = None) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, length and any others), row by row. ``each``: about how many pieces a task packs.
+
+    The result reads tables in ``folder``.
+    """
 
     def packed(part_rows: pa.Table) -> pa.Table:
         rows = part_rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
@@ -186,7 +189,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, each: int = 16_000) -> DataFra
 
     while True:
         parts = max(1, n // each)
-        done = written(left.withColumn("part", F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), "piece", F.lit(k)), F.lit(parts)).cast("long")).groupBy("part").applyInArrow(packed, schema), f"pack{k}")
+        done = written(left.withColumn("part", F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), "piece", F.lit(k)), F.lit(parts)).cast("long")).groupBy("part").applyInArrow(packed, schema), f"pack{k}", folder)
         bins, given, n = bins_of(done)
         if before is not None and bins >= before[1]:
             return settled.unionByName(before[0])  # the exchange saved nothing: the bins stay as they were
@@ -202,5 +205,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, each: int = 16_000) -> DataFra
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    pieces = written(token_pieces(docs, path, capacity, end_id), "pieces")
-    return pack(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    with Scratch(docs.sparkSession) as s:
+        pieces = s.written(token_pieces(docs, path, capacity, end_id), "pieces")
+        done = pack(pieces, capacity, folder=s.folder)
+        return written(done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"), "packed")
