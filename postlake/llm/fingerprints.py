@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from postlake.llm import hashing, runs
 from postlake.llm.shared import Scratch, buckets_for, delete, shared_dir, written
 
-K, BATCHES = 13, 3
+K, BATCHES = 13, 2
 CHECK = "<u4"
 #: Fingerprints a row of a run.
 _ROW = 1 << 20

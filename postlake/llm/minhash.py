@@ -122,7 +122,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b, buf, off in hashing.texts(batch):
+            for a, b, buf, off in hashing.texts(batch, most=1 << 20, rows=1024):
                 sets = [*shingle_sets(buf, off)]
                 some = np.array([len(e) > 0 for e, _ in sets])
                 first = np.concatenate(([0], np.cumsum([len(e) for e, _ in sets if len(e)]))).astype(np.int64)
