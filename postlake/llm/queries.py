@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import bpe, classifier, fingerprints, langid, minhash, packing, projections, quality_rules, suffix, warc
+from postlake.llm import bpe, classifier, fim, fingerprints, langid, minhash, mixing, packing, periodic, projections, quality_rules, suffix, warc
 
 
 def vocabulary() -> str:
@@ -73,6 +73,36 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projections.near(table(spark, sf_dir, "embeddings"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by a checksum of the id, gets a stretch of its own words over and over from some place on; rows without an id do not."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.when(n > 0, F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p))), " ")).otherwise("")
+
+    return docs.withColumn("text", F.when(F.coalesce(h % 10 == 0, F.lit(False)), quality_rules.let(quality_rules.words_of(F.col("text")), repeated)).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    told = F.array_join(F.transform("runs", line), "")
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -85,8 +115,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_packing": op9_packing,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "op11_mixing": op11_mixing,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op7_warc": OP7_SQL}
+    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op7_warc": OP7_SQL, "op11_mixing": mixing.oracle()}
