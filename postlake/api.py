@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +16,16 @@ from pyspark.sql import functions as F
 from postlake import config as settings
 from postlake.errors import InvalidArgument, NotFound
 from postlake.functions import text as fn
-from postlake.operators import actions, analytics, export, index, search, store, threads, triage
+from postlake.operators import actions, analytics, embedding, export, index, search, segments, store, threads, triage
 from postlake.operators.filters import predicate
 from postlake.sources import attachments, mail
+from postlake.streaming.watch import Watch
 
 #: Columns of the index and their weights.
 COLUMNS = {"subject": "subject", "sender": "index_sender", "recipients": "index_recipients", "body": "body_plain", "attachments": "index_attachments"}
 WEIGHTS = {"subject": 10.0, "sender": 8.0, "recipients": 4.0, "body": 1.0, "attachments": 3.0}
+#: Columns whose substrings are indexed, where the settings want it; rows a share of background work takes.
+GRAMS, SHARE = ("subject", "sender", "body"), 128
 
 
 def indexed(emails: DataFrame) -> DataFrame:
@@ -39,6 +43,7 @@ class Mailbox:
     def __init__(self, kept: store.Store, root: str, config: dict | None = None, clock: Callable[[], int] = lambda: int(time.time()), embedded: DataFrame | None = None, embed=None):
         self.store, self.root, self.config, self.clock = kept, root, config or settings.load(), clock
         self.embedded, self.embed, self.index = embedded, embed, None
+        self._index_at = f"{kept.path}/index"
 
     @property
     def emails(self) -> DataFrame:
@@ -52,16 +57,64 @@ class Mailbox:
 
     def _gates(self, kind: str | None = None, **given) -> dict:
         cap = self.config["batch_limits"].get(kind) if kind else None
-        return {"read_only": self.config["server"]["read_only"], **({"cap": cap} if cap else {}), **given}
+        return {"read_only": self.config["server"]["read_only"], "confirmed_ops": frozenset(self.config["confirmation"]["require_confirm"]), **({"cap": cap} if cap else {}), **given}
 
     # Index
+    def _disk(self) -> dict:
+        """What of the mail tree the settings leave."""
+        own = self.config["index"]
+        return {"exclude": own["exclude_mailboxes"], "include": own["include_mailboxes"], "without": own["exclude_accounts"], "most": own["max_emails"]}
+
     def build(self, names: DataFrame | None = None, **options) -> store.Built:
-        built = store.build(self.store, self.root, self.clock(), self.config["index"]["exclude_mailboxes"], names, **options)
-        self.index = index.build(indexed(self.emails), COLUMNS, index.fresh(f"{self.store.path}/indexes"), WEIGHTS)
+        built = store.build(self.store, self.root, self.clock(), names=names, **self._disk(), **options)
+        self.level()
         return built
 
+    def level(self, _: store.Store | None = None) -> index.Index:
+        """Brings the index to the store's newest version: a segment with what changed since, or a new index where that is not known any more."""
+        spark, grams = self.store.spark, GRAMS if self.config["index"]["enable_trigram"] else ()
+        with self.store.lock:
+            version, held = self.store.versions()[-1], segments.opened(spark, self._index_at)
+            delta = self.store.delta(held.upto, version) if held and (held.columns, held.grams) == (COLUMNS, grams) else None
+            if delta is None:
+                held = index.build(indexed(self.emails), COLUMNS, self._index_at, WEIGHTS, grams=grams, upto=version)
+            elif held.upto < version:
+                new = indexed(self.emails.join(delta.where("change = 'put'").select("id").distinct(), "id", "left_semi"))
+                held = index.updated(held, new, delta.where("change = 'gone'").select(F.col("id").alias("doc_id")), version) if delta.limit(1).count() else segments.committed(replace(held, upto=version), spark)
+                held = index.upkeep(held, spark)
+            self.index = held
+        return held
+
+    def watch(self) -> Watch:
+        """A loop that keeps store and index current, with background work as the settings want it."""
+        work = (*((self.extract,) if self.config["attachments"]["enabled"] else ()), *((self.embed_pending,) if self.embed is not None and hasattr(self.embed, "label") else ()))
+        return Watch(self.store, self.root, self.clock, level=(), background=work, optimize=lambda _: index.upkeep(self.level(), self.store.spark), build=self.build)
+
+    def extract(self, _: store.Store | None = None, newest: int = SHARE) -> None:
+        """Texts of attachments of the newest pending messages, a bounded share of them."""
+        with self.store.lock:
+            old = self.emails
+            pending = (F.col("extract_state") == attachments.PENDING) & (F.col("attachment_count") > 0)
+            todo = [r["path"] for r in old.where(pending).orderBy(F.desc_nulls_last("date_received"), "path").limit(newest).select("path").collect()]
+            if not todo:
+                return
+            most = self.config["attachments"]["max_bytes"]
+            new = attachments.extracted(old, mail.files(self.store.spark, todo), newest, most, attachments.beside(self.store.spark, todo))
+            put = new.where(F.col("path").isin(todo)).select("id", F.lit("put").alias("change"))
+            self.store.commit(new, delta=put)
+            self.level()
+
+    def embed_pending(self, _: store.Store | None = None, batches: int = 2) -> None:
+        """Vectors of the newest pending messages by the backend ``embed``, so many batches of them; another backend than before starts over."""
+        with self.store.lock:
+            old, vectors = embedding.invalidated(self.emails, self.store.vectors(), self.store.state().get("backend"), self.embed)
+            if old.where(F.col("embed_state") == embedding.PENDING).limit(1).count():
+                new, vectors = embedding.backfill(old, vectors, self.embed, batches)
+                self.store.commit(new, state={"backend": self.embed.label}, vectors=vectors)
+
     def status(self) -> dict:
-        return store.status(self.store, self.root, self.clock(), self.config["index"]["exclude_mailboxes"])
+        own = self._disk()
+        return store.status(self.store, self.root, self.clock(), own["exclude"], own["include"], own["without"], 3600 * self.config["index"]["staleness_hours"])
 
     # Reading
     def list_accounts(self) -> DataFrame:
@@ -96,10 +149,12 @@ class Mailbox:
         return export.export(self.emails.where(predicate(account=account, mailbox=mailbox)), folder, output_format, max_emails)
 
     def search(self, query: str, account: str | None = None, **options) -> search.Found:
-        if self.index is None:
-            raise NotFound("the index has not been built")
+        if self.index is None or self.index.upto != self.store.versions()[-1]:
+            self.level()
         account = self._account(account)
-        return search.search(self.emails, self.index, query, embedded=self.embedded, embed=self.embed, substrings=self.config["index"]["enable_trigram"], **options, **({"account": account} if account else {}))
+        embed = (lambda q: self.embed.embed([q])[0]) if hasattr(self.embed, "embed") else self.embed
+        embedded = self.store.vectors() if self.embedded is None and hasattr(self.embed, "embed") else self.embedded
+        return search.search(self.emails, self.index, query, embedded=embedded, embed=embed, substrings=self.config["index"]["enable_trigram"], **options, **({"account": account} if account else {}))
 
     def get_email_thread(self, message_id: str | None = None, thread_id: int | None = None) -> DataFrame:
         placed = self.emails.select("id", "thread_id", F.col("thread_position").alias("position"))
@@ -137,43 +192,39 @@ class Mailbox:
         return triage.contact(self.emails, address), triage.contact_newest(self.emails, address)
 
     # Changes
-    def _done(self, out: actions.Outcome) -> actions.Outcome:
-        if out.emails is not None:
-            journal = self.journal()
-            if out.journal is not None:
-                journal = actions.pruned(journal.unionByName(out.journal))
-            self._keep(out.emails, journal)
+    def _done(self, change: Callable[[], actions.Outcome]) -> actions.Outcome:
+        with self.store.lock:
+            out = change()
+            if out.emails is not None:
+                journal = actions.pruned(actions.appended(self.journal(), out.journal)) if out.journal is not None else None
+                gone = self.emails.select("id").join(out.emails.select("id"), "id", "left_anti").withColumn("change", F.lit("gone")) if out.journal is None else None
+                self.store.commit(out.emails, journal=journal, delta=gone)
         return out
 
-    def _keep(self, emails: DataFrame, journal: DataFrame) -> None:
-        at = f"{self.store.path}/journals/{time.time_ns()}"
-        journal.write.parquet(at)
-        self.store.commit(emails, state={"journal": at})
-
     def journal(self) -> DataFrame:
-        at = self.store.state().get("journal")
-        return self.store.spark.read.parquet(at) if at else self.store.spark.createDataFrame([], actions.JOURNAL)
+        return self.store.journal()
 
     def move_email(self, ids: list[int], mailbox: str, **given) -> actions.Outcome:
         role = self.store.spark.range(1).select(fn.mailbox_role(F.lit(mailbox))).first()[0]
-        return self._done(actions.move(self.emails, ids, mailbox, role, self.clock(), **self._gates("move", **given)))
+        return self._done(lambda: actions.move(self.emails, ids, mailbox, role, self.clock(), **self._gates("move", **given)))
 
     def update_email_status(self, ids: list[int], action: str, color: str | None = None, **given) -> actions.Outcome:
-        return self._done(actions.status(self.emails, ids, action, self.clock(), color, **self._gates("status", **given)))
+        return self._done(lambda: actions.status(self.emails, ids, action, self.clock(), color, **self._gates("status", **given)))
 
     def manage_trash(self, action: str, ids: list[int] = (), account: str | None = None, **given) -> actions.Outcome:
         if action == "trash":
-            return self._done(actions.trash(self.emails, list(ids), self.clock(), **self._gates("trash", **given)))
+            return self._done(lambda: actions.trash(self.emails, list(ids), self.clock(), **self._gates("trash", **given)))
         if action == "permanent_delete":
-            return self._done(actions.delete(self.emails, list(ids), **self._gates("delete", **given)))
+            return self._done(lambda: actions.delete(self.emails, list(ids), **self._gates("delete", **given)))
         if action == "empty_trash":
-            return self._done(actions.empty_trash(self.emails, account, **self._gates(**given)))
+            return self._done(lambda: actions.empty_trash(self.emails, account, **self._gates(**given)))
         raise InvalidArgument(f"unknown action {action!r}")
 
     def undo_last(self, batch: str | None = None, dry_run: bool = False) -> None:
-        emails, journal = actions.undo(self.emails, self.journal(), batch, self.config["server"]["read_only"], dry_run)
-        if not dry_run:
-            self._keep(emails, journal)
+        with self.store.lock:
+            emails, journal = actions.undo(self.emails, self.journal(), batch, self.config["server"]["read_only"], dry_run)
+            if not dry_run:
+                self.store.commit(emails, journal=journal)
 
     def reply_to_email(self, id: int, body: str, to_all: bool = False) -> DataFrame:
         return actions.answer(self.emails, id, body, to_all)

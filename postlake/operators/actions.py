@@ -15,7 +15,7 @@ from postlake.operators.filters import color_index
 #: Rows one call may change, by action; and the actions that want a confirmation.
 CAPS = {"move": 10, "status": 10, "trash": 5, "permanent_delete": 1}
 CONFIRM = frozenset({"permanent_delete", "empty_trash", "delete_rule"})
-JOURNAL = "batch string, ts long, op string, id long, prev string, undone boolean"
+JOURNAL = "batch string, seq long, ts long, op string, id long, prev string, undone boolean"
 STATES = {"mark_read": {"is_read": True}, "mark_unread": {"is_read": False}, "flag": {"is_flagged": True}, "unflag": {"is_flagged": False, "flag_color": None}}
 #: Actions whose journal rows can be taken back.
 UNDOABLE = frozenset({"move", "status", "trash"})
@@ -35,18 +35,18 @@ class Outcome:
     failed: dict[int, str] = field(default_factory=dict)
 
 
-def gate(op: str, *, read_only: bool = False, dry_run: bool = False, confirm: bool = False) -> bool:
-    """Whether to go on, for actions on other things than messages; False for a dry run."""
+def gate(op: str, *, read_only: bool = False, dry_run: bool = False, confirm: bool = False, confirmed_ops: frozenset[str] = CONFIRM) -> bool:
+    """Whether to go on, for actions on other things than messages; False for a dry run. ``confirmed_ops`` want a confirmation."""
     if read_only:
         raise ReadOnly(op)
     if dry_run:
         return False
-    if op in CONFIRM and not confirm:
+    if op in confirmed_ops and not confirm:
         raise ConfirmationRequired(op)
     return True
 
 
-def guard(emails: DataFrame, op: str, ids: list[int], *, read_only: bool = False, dry_run: bool = False, confirm: bool = False, cap: int | None = None) -> list[int]:
+def guard(emails: DataFrame, op: str, ids: list[int], *, read_only: bool = False, dry_run: bool = False, confirm: bool = False, cap: int | None = None, confirmed_ops: frozenset[str] = CONFIRM) -> list[int]:
     """Read-only, cap against the rows that exist, confirmation: in this order. Never truncates."""
     if read_only:
         raise ReadOnly(op)
@@ -56,20 +56,23 @@ def guard(emails: DataFrame, op: str, ids: list[int], *, read_only: bool = False
     found = sorted(r[0] for r in emails.select("id").join(wanted, "id", "left_semi").distinct().limit(most + 1).collect())
     if len(found) > most:
         raise BatchTooLarge(f"over {most} of the {len(ids)} messages asked for exist, at most {most} may be changed")
-    if op in CONFIRM and not confirm and not dry_run:
+    if op in confirmed_ops and not confirm and not dry_run:
         raise ConfirmationRequired(op)
     return found
 
 
 def change(emails: DataFrame, op: str, ids: list[int], values: dict, now: int, **gates) -> Outcome:
-    """Sets ``values`` on the rows and journals what they were; ids without a row are reported, the others go through."""
+    """Sets ``values`` on the rows and journals what they were; ids without a row are reported, the others go through.
+
+    Journal rows get their place among other batches by ``appended``.
+    """
     found = guard(emails, op, ids, **gates)
     failed = {i: NotFound.code for i in ids if i not in set(found)}
     if gates.get("dry_run") or not found:
         return Outcome(op, len(found), bool(gates.get("dry_run")), preview=found, failed=failed)
     hit, batch = F.col("id").isin(found), uuid.uuid4().hex
     prev = F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
-    journal = emails.where(hit).select(F.lit(batch).alias("batch"), F.lit(now).cast("long").alias("ts"), F.lit(op).alias("op"), "id", prev.alias("prev"), F.lit(False).alias("undone"))
+    journal = emails.where(hit).select(F.lit(batch).alias("batch"), F.lit(0).cast("long").alias("seq"), F.lit(now).cast("long").alias("ts"), F.lit(op).alias("op"), "id", prev.alias("prev"), F.lit(False).alias("undone"))
     types = dict(emails.dtypes)
     new = emails.withColumns({c: F.when(hit, F.lit(v).cast(types[c])).otherwise(F.col(c)) for c, v in values.items()})
     return Outcome(op, len(found), False, batch, new, journal, found, failed)
@@ -115,14 +118,14 @@ def undo(emails: DataFrame, journal: DataFrame, batch: str | None = None, read_o
         raise ReadOnly("undo")
     open_rows = journal.where(~F.col("undone") & F.col("op").isin(*sorted(UNDOABLE)))
     if batch is None:
-        newest = open_rows.groupBy("batch").agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), F.desc("batch")).first()
+        newest = batches(open_rows, 1).first()
         batch = newest["batch"] if newest else None
     if batch is None or dry_run:
         return emails, journal
     rows = open_rows.where(F.col("batch") == batch)
     columns = sorted({c for values in (*STATES.values(), {"mailbox_name": 0, "mailbox_role": 0}) for c in values} & set(emails.columns))
     types = dict(emails.dtypes)
-    kept = rows.groupBy("id").agg(F.min_by("prev", "ts").alias("_prev"))
+    kept = rows.groupBy("id").agg(F.min_by("prev", F.struct("seq", "ts")).alias("_prev"))
     # A batch holds no more rows than a call may change.
     joined = emails.join(F.broadcast(kept), "id", "left").withColumn("_had", F.json_object_keys("_prev"))
     back = {c: F.when(F.array_contains(F.coalesce("_had", F.array().cast("array<string>")), c), F.get_json_object("_prev", f"$.{c}").cast(types[c])).otherwise(F.col(c)) for c in columns}
@@ -136,9 +139,15 @@ def undo_failures(emails: DataFrame, journal: DataFrame, batch: str) -> DataFram
     return journal.where((F.col("batch") == batch) & ~F.col("undone")).join(emails.select("id"), "id", "left_anti").select("id", F.lit(NotFound.code).alias("error"))
 
 
+def appended(journal: DataFrame, new: DataFrame) -> DataFrame:
+    """The journal with a new batch behind all others, whatever the clock says: batches are in the order of ``seq``."""
+    last = journal.agg(F.max("seq")).first()[0] or 0
+    return journal.unionByName(new.withColumn("seq", F.lit(last + 1).cast("long")))
+
+
 def batches(journal: DataFrame, most: int = 500) -> DataFrame:
-    """The newest batches, which retention keeps."""
-    return journal.groupBy("batch").agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), F.desc("batch")).limit(most)
+    """batch, seq, ts of the newest batches, which retention keeps. The clock decides only between batches that were never appended."""
+    return journal.groupBy("batch").agg(F.max("seq").alias("seq"), F.max("ts").alias("ts")).orderBy(F.desc("seq"), F.desc("ts"), F.desc("batch")).limit(most)
 
 
 def pruned(journal: DataFrame, most: int = 500) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Rows a batch, characters a text has at least, and the states of a row.
 BATCH, LEAST = 64, 8
 PENDING, DONE, SHORT = 0, 2, 3
+VECTORS = "vec_id long, embedding array<float>"
 
 
 class Backend(ABC):
@@ -56,7 +57,7 @@ def backfill(emails: DataFrame, vectors: DataFrame, backend: Backend, batches: i
                 part = batch.slice(a, BATCH)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(backend.embed(part.column(1).to_pylist()), pa.list_(pa.float32()))], ["vec_id", "embedding"])
 
-    new = todo.where(F.length("text") >= LEAST).select("id", "text").mapInArrow(run, "vec_id long, embedding array<float>")
+    new = todo.where(F.length("text") >= LEAST).select("id", "text").mapInArrow(run, VECTORS)
     state = todo.select("id", F.when(F.length("text") >= LEAST, DONE).otherwise(SHORT).alias("_state"))
     out = emails.join(state, "id", "left").withColumn("embed_state", F.coalesce("_state", "embed_state")).select(*emails.columns)
     return out, replaced(vectors, new)

@@ -1,8 +1,8 @@
-"""A persistent inverted index: postings written once, read by term bucket, scored by weighted BM25.
+"""A persistent inverted index: postings by term bucket in segments, scored by weighted BM25.
 
 A row of the postings is one term in one column of one document: term, doc_id, col, len (tokens of the whole document),
 positions. They are partitioned by a hash of the term and sorted by term, so a query reads the buckets of its words only
-and shuffles nothing but their postings, once, by document. ``terms`` holds the dictionary for prefixes.
+and shuffles nothing but their postings, once, by document. See ``segments`` for how the index is kept and changed.
 """
 
 from __future__ import annotations
@@ -11,20 +11,23 @@ import functools
 import re
 import unicodedata
 import uuid
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlake import files
 from postlake.functions.stem import stem
+from postlake.operators import segments
 from postlake.operators.grammar import Expr, Leaf, parse
+from postlake.operators.segments import POSTING, Index, bucket_of
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 _WORD = re.compile(r"[^\W_]+")
-POSTING = "bucket int, term string, doc_id long, col string, len int, positions array<int>"
 _ARROW = pa.schema([("bucket", pa.int32()), ("term", pa.string()), ("doc_id", pa.int64()), ("col", pa.string()), ("len", pa.int32()), ("positions", pa.list_(pa.int32()))])
+#: Rows that leave a task at once.
+_ROWS = 20_000
 
 
 def folded(text: str) -> str:
@@ -39,31 +42,28 @@ def tokens(text: str | None, stemmed: bool = True) -> list[str]:
     return [*map(stem, found)] if stemmed else found
 
 
-@dataclass(frozen=True)
-class Index:
-    """Where an index lies, and how it was made."""
+class _Rows:
+    """Postings by column, so that no row is an object of its own."""
 
-    path: str
-    columns: tuple[str, ...]
-    weights: tuple[float, ...]
-    stemmed: bool
-    buckets: int
-    n: int
-    mean_length: float
+    def __init__(self):
+        self.held = [[] for _ in _ARROW]
 
-    def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("term string, doc_id long, col string, len int, positions array<int>, bucket int").parquet(f"{self.path}/postings").where("bucket >= 0")
+    def add(self, *values) -> None:
+        for c, v in zip(self.held, values):
+            c.append(v)
 
-    def terms(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/terms")
+    def taken(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.held, _ARROW)], schema=_ARROW)
+        self.__init__()
+        return out
 
 
 def _posted(docs: DataFrame, columns: dict[str, str], stemmed: bool) -> DataFrame:
     """Postings in bucket 0, and a row of length only for each document in bucket -1."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows()
         for batch in batches:
-            out = []
             for i, d in enumerate(batch.column(0).to_pylist()):
                 found, size = [], 0
                 for k, name in enumerate(columns):
@@ -72,44 +72,48 @@ def _posted(docs: DataFrame, columns: dict[str, str], stemmed: bool) -> DataFram
                     for p, t in enumerate(own):
                         at.setdefault(t, []).append(p)
                     size += len(own)
-                    found += [(t, name, p) for t, p in at.items()]
-                out.append({"bucket": -1, "doc_id": d, "len": size})
-                out += [{"bucket": 0, "term": t, "doc_id": d, "col": c, "len": size, "positions": p} for t, c, p in found]
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_pylist(out, _ARROW)
-                    out = []
-            yield pa.RecordBatch.from_pylist(out, _ARROW)
-
-    return docs.select("doc_id", *(F.col(c).alias(f"c{k}") for k, c in enumerate(columns.values()))).mapInArrow(run, POSTING)
-
-
-def build(docs: DataFrame, columns: dict[str, str], path: str, weights: dict[str, float] | None = None, stemmed: bool = True, buckets: int = 64) -> Index:
-    """Writes an index of ``columns`` (name in the index: column of ``docs``) to ``path``. ``buckets`` should grow with the input."""
-    spark, weights = docs.sparkSession, weights or {}
-    place = F.when(F.col("bucket") < 0, -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")
-    made = _posted(docs, columns, stemmed).withColumn("bucket", place)
-    # A bucket is spread over tasks by term, so that a frequent one is no single task's work.
-    made.repartition("bucket", F.pmod(F.xxhash64("term", "doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    return opened(spark, path, columns, weights, stemmed, buckets)
-
-
-def opened(spark: SparkSession, path: str, columns: dict[str, str], weights: dict[str, float], stemmed: bool, buckets: int) -> Index:
-    """The index at ``path`` with its dictionary and counts brought up to date."""
-    every = spark.read.schema("term string, doc_id long, col string, len int, positions array<int>, bucket int").parquet(f"{path}/postings")
-    n, mean = every.where("bucket = -1").agg(F.count("*"), F.avg("len")).first()
-    terms = every.where("bucket >= 0").groupBy("bucket", "term").agg(F.countDistinct("doc_id").alias("df"), F.sum(F.size("positions")).alias("tf"))
-    terms.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    return Index(path, tuple(columns), tuple(float(weights.get(c, 1.0)) for c in columns), stemmed, buckets, n, float(mean or 0))
-
-
-def updated(index: Index, spark: SparkSession, changed: DataFrame, gone: DataFrame, columns: dict[str, str], path: str) -> Index:
-    """A new index at ``path``: postings of ``changed`` and ``gone`` documents (doc_id) taken out, those of ``changed`` put in. Nothing else is read as text."""
-    out = changed.select("doc_id").unionByName(gone.select("doc_id")).distinct()
-    kept = spark.read.schema("term string, doc_id long, col string, len int, positions array<int>, bucket int").parquet(f"{index.path}/postings").join(out, "doc_id", "left_anti")
-    place = F.when(F.col("bucket") < 0, -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(index.buckets))).cast("int")
-    new = _posted(changed, columns, index.stemmed).withColumn("bucket", place)
-    kept.select(*new.columns).unionByName(new).repartition("bucket", F.pmod(F.xxhash64("term", "doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    return opened(spark, path, columns, dict(zip(index.columns, index.weights)), index.stemmed, index.buckets)
+                    found.append((name, at))
+                out.add(-1, None, d, None, size, None)
+                for name, at in found:
+                    for t, p in at.items():
+                        out.add(0, t, d, name, size, p)
+                if len(out.held[0]) > _ROWS:
+                    yield out.taken()
+        yield out.taken()
+
+    return docs.select("doc_id", *(F.col(c).alias(f"c{k}") for k, c in enumerate(columns.values()))).mapInArrow(run, "bucket int, term string, doc_id long, col string, len int, positions array<int>")
+
+
+def _texts(index: Index, docs: DataFrame) -> DataFrame | None:
+    """doc_id, texts: what substrings are looked for in, in lower case."""
+    return docs.select("doc_id", F.array(*(F.lower(F.coalesce(F.col(index.columns[c]), F.lit(""))) for c in index.grams)).alias("texts")) if index.grams else None
+
+
+def build(docs: DataFrame, columns: dict[str, str], path: str, weights: dict[str, float] | None = None, stemmed: bool = True, grams: tuple[str, ...] = (), upto: int = 0) -> Index:
+    """A new index of ``columns`` (name in the index: column of ``docs``) in the folder ``path``, as one segment; an index there gets a new manifest.
+
+    ``grams``: columns of the index whose substrings are indexed. ``upto``: what the caller knows the index is level with.
+    """
+    spark = docs.sparkSession
+    old = segments.opened(spark, path)
+    empty = Index(path.rstrip("/"), dict(columns), dict(weights or {}), stemmed, tuple(grams), (), old.number if old else 0, upto)
+    return updated(empty, docs, None, upto)
+
+
+def updated(index: Index, changed: DataFrame, gone: DataFrame | None = None, upto: int | None = None) -> Index:
+    """The index with a segment of new and changed documents in their present form, without what ``gone`` (doc_id) names. Nothing else is read as text."""
+    spark, aside = changed.sparkSession, f"{index.path}/work-{uuid.uuid4().hex}"
+    _posted(changed, index.columns, index.stemmed).write.parquet(aside)  # tokens are made once
+    out = segments.added(index, spark, spark.read.parquet(aside), _texts(index, changed), gone, upto)
+    files.remove(spark, aside)
+    return out
+
+
+def upkeep(index: Index, spark: SparkSession) -> Index:
+    """Merges of segments until none is due."""
+    while (then := segments.merged(index, spark)) is not index:
+        index = then
+    return index
 
 
 def _atoms(leaves: list[Leaf]) -> list[tuple[str, bool]]:
@@ -141,25 +145,21 @@ def matches(index: Index, spark: SparkSession, query: str, scope: str | None = N
     leaves, expr = parse(query, lambda s: tokens(s, index.stemmed))
     if not leaves:
         return spark.createDataFrame([], "doc_id long, score double")
-    atoms, post = _atoms(leaves), index.postings(spark)
-    if scope is not None:
-        post = post.where(F.col("col") == scope)
-    parts = []
+    atoms = _atoms(leaves)
     whole = [t for t, prefix in atoms if not prefix]
-    if whole:
+    begun = {t: index.prefixed(spark, t) for t, prefix in atoms if prefix}
+
+    def pick(s: segments.Segment) -> Column | None:
         # Folded to literals, so that only these buckets are listed and read.
-        own = functools.reduce(Column.__or__, ((F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(index.buckets)).cast("int")) & (F.col("term") == t) for t in whole))
-        parts.append(post.where(own))
-    for t, prefix in atoms:
-        if prefix:
-            parts.append(post.join(index.terms(spark).where(F.startswith("term", F.lit(t))).select("bucket", "term"), ["bucket", "term"], "left_semi").select(*post.columns))
-    found = functools.reduce(DataFrame.unionByName, parts)
-    if len(parts) > 1:
-        found = found.dropDuplicates(["bucket", "term", "doc_id", "col"])
+        conds = [(F.col("bucket") == bucket_of(F.lit(t), s.buckets)) & (F.col("term") == t) for t in whole]
+        conds += [F.col("bucket").isin(at[s.name]) & F.startswith("term", F.lit(t)) for t, at in begun.items() if at[s.name]]
+        return functools.reduce(Column.__or__, conds) & (F.lit(True) if scope is None else F.col("col") == scope) if conds else None
+
+    found = index.rows(spark, "postings", POSTING, pick)
     hit = lambda t, prefix: F.startswith("term", F.lit(t)) if prefix else F.col("term") == t
     held = found.groupBy("doc_id", "col").agg(F.first("len").alias("len"), *(F.flatten(F.collect_list(F.when(hit(*a), F.col("positions")))).alias(f"p{k}") for k, a in enumerate(atoms)))
     at = {a: F.col(f"p{k}") for k, a in enumerate(atoms)}
-    weight = functools.reduce(lambda c, x: F.when(F.col("col") == x[0], x[1]).otherwise(c), zip(index.columns, index.weights), F.lit(0.0))
+    weight = functools.reduce(lambda c, x: F.when(F.col("col") == x[0], x[1]).otherwise(c), ((c, index.weight(c)) for c in index.columns), F.lit(0.0))
     per = held.groupBy("doc_id").agg(F.first("len").alias("len"), *(F.sum(weight * _occurrences(leaf, at)).alias(f"f{k}") for k, leaf in enumerate(leaves)))
     df = per.agg(*(F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"n{k}") for k in range(len(leaves))))
     score = F.lit(0.0)

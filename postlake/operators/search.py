@@ -9,12 +9,12 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.errors import InvalidArgument
 from postlake.operators import index as inverted
-from postlake.operators import vectors
+from postlake.operators import segments, vectors
 from postlake.operators.filters import predicate
 from postlake.operators.grammar import wants_substring
 
@@ -49,8 +49,18 @@ class KeywordBackend(Backend):
         return inverted.matches(self.index, spark, query, scope).withColumnRenamed("doc_id", "id")
 
 
+class TrigramBackend(Backend):
+    """The same by the index's grams: postings instead of texts."""
+
+    def __init__(self, index: inverted.Index):
+        self.index = index
+
+    def matches(self, spark: SparkSession, query: str, scope: str | None = None) -> DataFrame:
+        return segments.holding(self.index, spark, query).select(F.col("doc_id").alias("id"), F.lit(0.0).alias("score"))
+
+
 class SubstringBackend(Backend):
-    """Any case, three characters at least; all scores are 0."""
+    """By a scan of the messages. Any case, three characters at least; all scores are 0."""
 
     def __init__(self, emails: DataFrame, columns: tuple[str, ...] = ("subject", "sender_name", "sender_addr", "body_plain")):
         self.emails, self.columns = emails, [c for c in columns if c in emails.columns]
@@ -71,6 +81,13 @@ def page(ranked: DataFrame, limit: int = 25, offset: int = 0, key: str = "doc_id
     return ranked.orderBy(F.desc("score"), key).offset(offset).limit(limit)
 
 
+def _counted(matched: DataFrame, limit: int, offset: int) -> tuple[DataFrame, int]:
+    """The page of matches, which is bounded, and how many matches there are: one run of the query gives both."""
+    seen = Observation()
+    rows = page(matched.observe(seen, F.count("*").alias("n")), limit, offset, "id").collect()
+    return matched.sparkSession.createDataFrame(rows, "id long, score double"), seen.get["n"]
+
+
 def _shown(emails: DataFrame, top: DataFrame, query: str, body: str, stemmed: bool, highlight: bool) -> DataFrame:
     """The page's messages in rank order, with snippets; the page is bounded, so it is sent to the message scan."""
     out = emails.join(F.broadcast(top), "id").orderBy(F.desc("score"), "id")
@@ -107,24 +124,13 @@ def search(
         near = vectors.knn(_allowed(embedded, allowed, bool(where) and strict_filters), embed(query), FUSED).withColumnRenamed("vec_id", "id")
         fused = vectors.fused([best, vectors.ranked(near, "id", F.asc("distance"))], "id")
         return Found(_shown(emails, page(fused.join(emails.select("id"), "id", "left_semi"), limit, offset, "id"), query, body, index.stemmed, highlight), fused.count(), mode)
-    total = matched.count()
+    top, total = _counted(matched.select("id", "score"), limit, offset)
     if not total and substrings and wants_substring(query):
-        held = SubstringBackend(emails.where(cond)).matches(spark, query)
-        return Found(_shown(emails, page(held, limit, offset, "id"), query, body, index.stemmed, False), held.count(), "substring")
-    return Found(_shown(emails, page(matched, limit, offset, "id"), query, body, index.stemmed, highlight), total, mode)
+        backend = TrigramBackend(index) if index.grams else SubstringBackend(emails.where(cond))
+        top, total = _counted(backend.matches(spark, query).join(allowed, "id", "left_semi"), limit, offset)
+        return Found(_shown(emails, top, query, body, index.stemmed, False), total, "substring")
+    return Found(_shown(emails, top, query, body, index.stemmed, highlight), total, mode)
 
 
 def _allowed(embedded: DataFrame, allowed: DataFrame, filtered: bool) -> DataFrame:
     return embedded.join(allowed.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi") if filtered else embedded
-
-
-def by_ids(emails: DataFrame, ranked: DataFrame) -> DataFrame:
-    """The messages of a bounded ranked list (id, rank) in its order."""
-    return emails.join(F.broadcast(ranked), "id").orderBy("rank", "id")
-
-
-def hit(score: Column) -> list[Column]:
-    """The columns of a hit: the summary's, and its score."""
-    from postlake.operators.analytics import summary
-
-    return [*summary(), score.alias("score")]

@@ -8,14 +8,17 @@ Readers of a version keep it, as the last ``kept`` ones stay.
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from postlake import files
 from postlake.functions import text as fn
-from postlake.operators import analytics, ingest, threads
+from postlake.operators import actions, analytics, embedding, ingest, threads
 from postlake.operators.filters import included
 from postlake.sources import mail
 
@@ -25,6 +28,9 @@ NAMED = 10_000
 INVENTORY = ("path", "rowid", "account", "mailbox", "mtime_us", "size")
 #: What a change of the file does not touch, and what it resets.
 KEPT, RESET = ("id", "flag_color", "attachment_text", "extract_state", "thread_id", "thread_position", "account_name"), {"embed_state": 0}
+DELTA = "id long, change string"
+#: Change feeds that stay; who is further behind starts over.
+FEEDS = 50
 DEAD = "path string, error string, attempts int, first_seen long, last_seen long"
 
 
@@ -41,48 +47,67 @@ class Built:
 
 
 class Store:
-    """Versions of a message table, its dead letters and its state (a small map) in one folder."""
+    """Versions of a message table, its dead letters, journal, vectors and state (a small map) in one folder, and what each version changed.
+
+    ``lock`` is held by whoever reads a version to write the next one; two processes cannot both name one, so the later one fails.
+    """
 
     def __init__(self, spark: SparkSession, path: str, kept: int = 2):
-        self.spark, self.path, self.kept = spark, path.rstrip("/"), kept
+        self.spark, self.path, self.kept, self.lock = spark, path.rstrip("/"), kept, threading.RLock()
 
-    def _fs(self):
-        of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return of, of(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _numbered(self, folder: str) -> list[int]:
+        return sorted(int(n[1:]) for n in files.names(self.spark, folder) if n.startswith("v") and n[1:].isdigit())
 
     def versions(self) -> list[int]:
-        of, fs = self._fs()
-        names = [str(s.getPath().getName()) for s in fs.listStatus(of(self.path))] if fs.exists(of(self.path)) else []
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+        return self._numbered(self.path)
 
-    def _read(self, name: str) -> DataFrame | None:
+    def _read(self, name: str, schema: str | None = None) -> DataFrame | None:
+        """A table of the newest version; an empty one of ``schema`` before the first, or in a version that has none."""
         found = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v{found[-1]}/{name}") if found else None
+        if found and name in files.names(self.spark, f"{self.path}/v{found[-1]}"):
+            return self.spark.read.parquet(f"{self.path}/v{found[-1]}/{name}")
+        return self.spark.createDataFrame([], schema) if schema else None
 
     def emails(self) -> DataFrame | None:
         return self._read("emails")
 
     def dead(self) -> DataFrame:
-        found = self._read("dead")
-        return self.spark.createDataFrame([], DEAD) if found is None else found
+        return self._read("dead", DEAD)
+
+    def journal(self) -> DataFrame:
+        return self._read("journal", actions.JOURNAL)
+
+    def vectors(self) -> DataFrame:
+        return self._read("vectors", embedding.VECTORS)
 
     def state(self) -> dict[str, str]:
-        found = self._read("state")
-        return {} if found is None else {r["key"]: r["value"] for r in found.collect()}
+        return {r["key"]: r["value"] for r in self._read("state", "key string, value string").collect()}
+
+    def delta(self, after: int, upto: int) -> DataFrame | None:
+        """id, change (put, gone) of the versions behind ``after`` up to ``upto``; None if a feed of them is not kept."""
+        wanted = range(after + 1, upto + 1)
+        if not {*wanted} <= {*self._numbered(f"{self.path}/deltas")}:
+            return None
+        return reduce(DataFrame.unionByName, (self.spark.read.schema(DELTA).parquet(f"{self.path}/deltas/v{k}") for k in wanted), self.spark.createDataFrame([], DELTA))
+
+    def commit(self, emails: DataFrame, dead: DataFrame | None = None, state: dict[str, str] | None = None, delta: DataFrame | None = None, journal: DataFrame | None = None, vectors: DataFrame | None = None) -> int:
+        """Writes a version aside and names it once it is whole; then versions before the last ``kept`` go. Tables that are not given stay as they are.
 
-    def commit(self, emails: DataFrame, dead: DataFrame | None = None, state: dict[str, str] | None = None) -> int:
-        """Writes a version aside and names it once it is whole; then versions before the last ``kept`` go."""
-        of, fs = self._fs()
+        ``delta``: id, change (put, gone) of the rows whose text is new or that are no more.
+        """
         found = self.versions()
         number, aside = (found[-1] + 1 if found else 1), f"{self.path}/new-{uuid.uuid4().hex}"
         emails.write.parquet(f"{aside}/emails")
-        (self.dead() if dead is None else dead).write.parquet(f"{aside}/dead")
+        for name, given, old in (("dead", dead, self.dead), ("journal", journal, self.journal), ("vectors", vectors, self.vectors)):
+            (old() if given is None else given).write.parquet(f"{aside}/{name}")
         pairs = self.state() | (state or {})
         self.spark.createDataFrame([*pairs.items()], "key string, value string").coalesce(1).write.parquet(f"{aside}/state")
-        if not fs.rename(of(aside), of(f"{self.path}/v{number}")):
-            raise OSError(f"version {number} could not be named")
+        (self.spark.createDataFrame([], DELTA) if delta is None else delta).write.mode("overwrite").parquet(f"{self.path}/deltas/v{number}")
+        files.rename(self.spark, aside, f"{self.path}/v{number}")
         for old in found[: max(0, len(found) + 1 - self.kept)]:
-            fs.delete(of(f"{self.path}/v{old}"), True)
+            files.remove(self.spark, f"{self.path}/v{old}")
+        for old in self._numbered(f"{self.path}/deltas")[:-FEEDS]:
+            files.remove(self.spark, f"{self.path}/deltas/v{old}")
         return number
 
 
@@ -103,10 +128,29 @@ def _rows(found: DataFrame, now: int) -> DataFrame:
     }).withColumn("mailbox_role", fn.mailbox_role(F.col("mailbox_name")))
 
 
-def build(store: Store, root: str, now: int, exclude: list[str] = (), names: DataFrame | None = None, reparse: bool = False, by_subject: bool = True) -> Built:
-    """Brings the store up to date with a mail tree. ``names``: account_uuid, account_name. ``reparse`` takes every file as changed."""
+def listing(spark: SparkSession, root: str, exclude: list[str] = (), include: list[str] | None = None, without: list[str] = (), most: int | None = None) -> DataFrame:
+    """The files of a tree that the settings leave: mailboxes by name, accounts, and the newest ``most`` files of each mailbox."""
+    name = F.element_at(F.split("mailbox", "/"), -1)
+    out = mail.files(spark, root).where(included(name, list(exclude)))
+    if include is not None:
+        out = out.where(F.lower(name).isin([x.lower() for x in include]))
+    if without:
+        out = out.where(~F.coalesce(F.lower("account").isin([x.lower() for x in without]), F.lit(False)))
+    if most is not None:
+        newest = Window.partitionBy("account", "mailbox").orderBy(F.desc("mtime_us"), "path")
+        kept = out.select("account", "mailbox", "mtime_us", "path").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most)
+        out = out.join(kept.select("path"), "path", "left_semi")
+    return out
+
+
+def build(store: Store, root: str, now: int, exclude: list[str] = (), names: DataFrame | None = None, reparse: bool = False, by_subject: bool = True, include: list[str] | None = None, without: list[str] = (), most: int | None = None) -> Built:
+    """Brings the store up to date with a mail tree. ``names``: account_uuid, account_name. ``reparse`` takes every file as changed. Else see ``listing``."""
+    with store.lock:
+        return _built(store, root, now, listing(store.spark, root, exclude, include, without, most), names, reparse, by_subject)
+
+
+def _built(store: Store, root: str, now: int, disk: DataFrame, names: DataFrame | None, reparse: bool, by_subject: bool) -> Built:
     spark = store.spark
-    disk = mail.files(spark, root).where(included(F.element_at(F.split("mailbox", "/"), -1), list(exclude)))
     old = store.emails()
     known = old if old is not None else _rows(disk.limit(0), now).drop("error")
     known = migrated(known, SHAPE)
@@ -122,7 +166,11 @@ def build(store: Store, root: str, now: int, exclude: list[str] = (), names: Dat
     paths = [r[0] for r in wanted.limit(NAMED + 1).collect()]
     # Few files are named, so the bytes of others are not read; many are found by a join.
     found = (mail.files(spark, paths) if paths else disk.limit(0)) if len(paths) <= NAMED else disk.join(wanted, "path", "left_semi")
-    _rows(found, now).write.parquet(f"{folder}/parsed")
+    rows = _rows(found, now)
+    if isinstance(root, str) and found.where("partial").limit(1).count():
+        named_beside = mail.with_partial(rows, mail.partial_attachments(spark, root))
+        rows = named_beside.withColumn("attachment_count", F.size("attachments"))
+    rows.write.parquet(f"{folder}/parsed")
     parsed = spark.read.parquet(f"{folder}/parsed")
     good, bad = parsed.where("error is null").drop("error"), parsed.where("error is not null").select("path", "error")
     rest = deleted(moved(known, diff.where("change = 'moved'"), disk), diff.where("change = 'deleted'"))
@@ -142,9 +190,10 @@ def build(store: Store, root: str, now: int, exclude: list[str] = (), names: Dat
     counts = analytics.build_counts(diff, bad.count()).first()
     broken = bad.select("path").join(diff.where("change = 'added'"), "path", "left_semi").count()
     dead = ingest.dead_letters(store.dead(), bad, good.select("path"), now)
-    version = store.commit(every, dead, {"last_build": str(now), "changes": str(int(store.state().get("changes", 0)) + counts["added"] + counts["changed"] + counts["deleted"] + counts["moved"])})
-    of, fs = store._fs()
-    fs.delete(of(folder), True)
+    put = every.join(good.select("path"), "path", "left_semi").select("id", F.lit("put").alias("change"))
+    gone = known.join(diff.where("change = 'deleted'").select("path"), "path", "left_semi").select("id", F.lit("gone").alias("change"))
+    version = store.commit(every, dead, {"last_build": str(now), "changes": str(int(store.state().get("changes", 0)) + counts["added"] + counts["changed"] + counts["deleted"] + counts["moved"])}, put.unionByName(gone))
+    files.remove(spark, folder)
     return Built(counts["added"] - broken, counts["changed"], counts["deleted"], counts["moved"], counts["failed"], version)
 
 
@@ -175,10 +224,10 @@ def threaded(emails: DataFrame, by_subject: bool = True) -> DataFrame:
     return emails.join(placed, "id", "left").withColumn("thread_id", F.col("_t")).withColumn("thread_position", F.col("_p")).drop("_t", "_p")
 
 
-def status(store: Store, root: str, now: int, exclude: list[str] = ()) -> dict:
-    """Totals, dead letters, pending changes, and whether the store is stale: over a day old, or with changes pending."""
+def status(store: Store, root: str, now: int, exclude: list[str] = (), include: list[str] | None = None, without: list[str] = (), stale_after: float = DAY) -> dict:
+    """Totals, dead letters, pending changes, and whether the store is stale: older than ``stale_after`` seconds, or with changes pending."""
     emails, last = store.emails(), store.state().get("last_build")
-    disk = mail.files(store.spark, root).where(included(F.element_at(F.split("mailbox", "/"), -1), list(exclude)))
+    disk = listing(store.spark, root, exclude, include, without)
     stamp = lambda df: df.select("path", "rowid", "account", F.col("mtime_us").alias("mtime"), "size")
     if emails is None:
         pending = disk.count()
@@ -187,7 +236,7 @@ def status(store: Store, root: str, now: int, exclude: list[str] = ()) -> dict:
     failed = store.dead().select("path")
     diff = ingest.inventory_diff(stamp(disk), stamp(emails)).where("change <> 'unchanged'").join(failed, "path", "left_anti")
     pending, age = diff.count(), now - int(last)
-    return {**counts.asDict(), "last_build": int(last), "pending": pending, "stale": bool(age > DAY or pending)}
+    return {**counts.asDict(), "last_build": int(last), "pending": pending, "stale": bool(age > stale_after or pending)}
 
 
 def recoloured(emails: DataFrame, hit: Column, color: int | None) -> DataFrame:

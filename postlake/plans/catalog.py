@@ -228,9 +228,9 @@ def _(spark, d):
     return m.select("id", fn.handle(F.col("account_uuid"), F.col("id").cast("string")).alias("handle"))
 
 
-@query("newest_batch", "SELECT o_custkey AS batch, max(epoch_us(o_orderdate) // 1000000) AS ts FROM orders GROUP BY 1 ORDER BY ts DESC, batch DESC LIMIT 500", emails=False)
+@query("newest_batch", "SELECT o_custkey AS batch, max(o_orderkey) AS seq, max(epoch_us(o_orderdate) // 1000000) AS ts FROM orders GROUP BY 1 ORDER BY seq DESC LIMIT 500", emails=False)
 def _(spark, d):
     from postlake.operators.actions import batches
 
-    o = read(spark, d, "orders").select(F.col("o_custkey").alias("batch"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"))
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("batch"), F.col("o_orderkey").alias("seq"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"))
     return batches(o)

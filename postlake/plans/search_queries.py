@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.operators import index, search, threads, vectors
+from postlake import files
+from postlake.operators import index, search, segments, vectors
 from postlake.plans.registry import query, read
 
 COLUMNS, WEIGHTS = {"subject": "subject", "body": "text"}, {"subject": 10.0, "body": 1.0}
@@ -26,14 +27,7 @@ def opened(spark: SparkSession, d: str) -> index.Index:
     """The index over a table, built once a session in the shared folder."""
     key = spark.sparkContext.applicationId, d
     if key not in _OPENED:
-        x = docs(spark, d)
-        threads.checkpoint_dir(spark)
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        buckets = 64
-        size = int(str(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        while buckets * (64 << 20) < min(size, 1 << 50):
-            buckets *= 2
-        _OPENED[key] = index.build(x, COLUMNS, index.fresh(folder), WEIGHTS, stemmed=False, buckets=buckets)
+        _OPENED[key] = index.build(docs(spark, d), COLUMNS, index.fresh(files.shared(spark)), WEIGHTS, stemmed=False, grams=("subject", "body"))
     return _OPENED[key]
 
 
@@ -128,10 +122,49 @@ def _(spark, d):
 
 @query("trigram_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'example.com')", emails=False)
 def _(spark, d):
-    return search.substring(docs(spark, d), ["subject", "text"], "Example.com")
+    return segments.holding(opened(spark, d), spark, "Example.com").orderBy("doc_id")
 
 
+@query("trigram_scan", "SELECT doc_id FROM documents WHERE contains(lower(text), 'er th')", emails=False)
+def _(spark, d):
+    return search.substring(docs(spark, d), ["subject", "text"], "eR th")
+
+
+def in_segments(spark: SparkSession, d: str) -> index.Index:
+    """The table as three segments: two thirds of it, every fifth document in an older form and ghosts; the last third; the changes, without the ghosts."""
+    x = docs(spark, d)
+    older = x.where("doc_id % 3 <> 1").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" estion older ghostly"))).otherwise(F.col("text")))
+    ghosts = x.where("doc_id % 7 = 0").withColumn("doc_id", -1 - F.col("doc_id"))
+    one = index.build(older.unionByName(ghosts), COLUMNS, index.fresh(files.shared(spark)), WEIGHTS, stemmed=False, grams=("subject", "body"))
+    two = index.updated(one, x.where("doc_id % 3 = 1"))
+    return index.updated(two, x.where("doc_id % 3 <> 1 AND doc_id % 5 = 0"), ghosts.select("doc_id"))
+
 
+def segmented(spark: SparkSession, d: str) -> index.Index:
+    key = spark.sparkContext.applicationId, f"segments of {d}"
+    if key not in _OPENED:
+        _OPENED[key] = in_segments(spark, d)
+    return _OPENED[key]
+
+
+@query("segments_search", sql(["the", "estion"], any_of=True, tail=""), emails=False)
+def _(spark, d):
+    return _rounded(index.matches(segmented(spark, d), spark, "the OR estion"))
+
+
+@query("segments_prefix", sql(["ndt*"], tail=""), emails=False)
+def _(spark, d):
+    return _rounded(index.matches(segmented(spark, d), spark, "ndt*"))
+
+
+@query("segments_substring", "SELECT doc_id FROM documents WHERE contains(lower(text), 'xample.c')", emails=False)
+def _(spark, d):
+    return segments.holding(segmented(spark, d), spark, "xample.C")
+
+
+@query("segments_merged", f"SELECT x AS term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM ({_TERMS.format('text')} UNION ALL {_TERMS.format('string_split(text, chr(10))[1]')}) GROUP BY x", emails=False)
+def _(spark, d):
+    return segments.merged(segmented(spark, d), spark, 0).terms(spark)
 
 @query("term_statistics", f"SELECT x AS term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM ({_TERMS.format('text')} UNION ALL {_TERMS.format('string_split(text, chr(10))[1]')}) GROUP BY x", emails=False)
 def _(spark, d):

@@ -226,6 +226,16 @@ def _(m):
     return actions.undo(done.emails, done.journal)[0].select("id", "is_flagged", "flag_color", "mailbox_role")
 
 
+@query("action_undo_order", f"SELECT id, CASE WHEN id IN {_TEN} THEN true ELSE is_read END AS is_read, CASE WHEN id IN {_TEN} THEN 'Archive' ELSE mailbox_role END AS mailbox_name, is_flagged, flag_color FROM emails")
+def _(m):
+    """Three changes of one second; the newest alone is taken back."""
+    journal, box = m.sparkSession.createDataFrame([], actions.JOURNAL), m
+    for change in (lambda b: actions.status(b, _ten(m), "mark_read", AS_OF), lambda b: actions.move(b, _ten(m), "Archive", "archive", AS_OF), lambda b: actions.status(b, _ten(m), "set_flag_color", AS_OF, "blue")):
+        done = change(box)
+        box, journal = done.emails, actions.appended(journal, done.journal)
+    return actions.undo(box, journal)[0].select("id", "is_read", "mailbox_name", "is_flagged", "flag_color")
+
+
 @query("empty_trash", "SELECT id FROM emails WHERE NOT (mailbox_role = 'junk' AND account_uuid = 'acct1')")
 def _(m):
     t = m.withColumn("mailbox_role", F.when(F.col("mailbox_role") == "junk", "trash").otherwise(F.col("mailbox_role")))

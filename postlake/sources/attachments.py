@@ -9,9 +9,11 @@ from email import policy
 from email.parser import BytesParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlake import files
+
 #: Files over this size are not opened.
 MOST = 20 << 20
 #: States of a message: not looked at, text found, nothing to find.
@@ -32,13 +34,19 @@ def pdf_text(data: bytes) -> str | None:
         import pypdf
     except ImportError:
         return None
+    found = []
     try:
         reader = pypdf.PdfReader(io.BytesIO(data))
         if reader.is_encrypted:
             reader.decrypt("")
-        return "\n".join(p.extract_text() or "" for p in reader.pages).strip() or None
+        for k in range(len(reader.pages)):
+            try:
+                found.append(reader.pages[k].extract_text())
+            except Exception:  # a page that cannot be read costs only itself
+                continue
     except Exception:  # pypdf raises many kinds for broken files
         return None
+    return "\n".join(x for x in found if x).strip() or None
 
 
 def docx_text(data: bytes) -> str | None:
@@ -77,13 +85,51 @@ def attachments(found: DataFrame) -> DataFrame:
     return found.select("path", "content").mapInArrow(run, "path string, name string, data binary")
 
 
+def folder_beside(path: str) -> str | None:
+    """Where the attachments of a partial message lie: ``Attachments/<rowid>`` next to its folder ``Messages``."""
+    folder, _, name = path.rpartition("/")
+    number = name.removesuffix(".partial.emlx")
+    return f"{folder.rpartition('/')[0]}/Attachments/{number}" if number != name and number.isdigit() else None
+
+
+def beside(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, name, data of the attachments of named partial messages, by their files; those that have no folder have none."""
+    at = {folder: p for p in paths if (folder := folder_beside(p)) and files.names(spark, folder)}
+    if not at:
+        return spark.createDataFrame([], "path string, name string, data binary")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([*at])
+    place = F.regexp_extract("path", r"^(.*/Attachments/\d+)/", 1)
+    clean = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    names = spark.createDataFrame([*at.items()], "_folder string, _path string")
+    # As many rows as paths were named.
+    joined = raw.withColumn("_at", clean(place)).join(F.broadcast(names.withColumn("_at", clean(F.col("_folder")))), "_at")
+    return joined.select(F.col("_path").alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").alias("data"))
+
+
 def one(found: DataFrame, path: str, name: str) -> DataFrame:
-    """The bytes of one attachment; only its message is read."""
-    return attachments(found.where(F.col("path") == path)).where(F.col("name") == name).limit(1)
+    """The bytes of one attachment; only its message is read, or its own file if the message is partial."""
+    held = attachments(found.where(F.col("path") == path)).unionByName(beside(found.sparkSession, [path]))
+    return held.where(F.col("name") == name).limit(1)
+
+
+def _joined_texts(own: DataFrame, most: int) -> DataFrame:
+    """path, _text: the texts of attachments that are files of their own (path, name, data), by name."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [text_of(n.as_py(), d.as_py(), most) for n, d in zip(batch.column("name"), batch.column("data"))]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("name"), pa.array(texts, pa.string())], ["path", "name", "_one"])
+
+    read = own.select("path", "name", "data").mapInArrow(run, "path string, name string, _one string").where("_one is not null")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("name", "_one"))), lambda x: x["_one"])
+    return read.groupBy("path").agg(F.array_join(texts, " ").alias("_text"))
+
 
+def extracted(emails: DataFrame, found: DataFrame, newest: int | None = None, most: int = MOST, own: DataFrame | None = None) -> DataFrame:
+    """The messages with ``attachment_text`` and ``extract_state`` of pending ones with attachments filled in, ``newest`` at most.
 
-def extracted(emails: DataFrame, found: DataFrame, newest: int | None = None, most: int = MOST) -> DataFrame:
-    """The messages with ``attachment_text`` and ``extract_state`` of pending ones with attachments filled in, ``newest`` at most."""
+    ``own``: path, name, data of attachments of partial messages (see ``beside``).
+    """
     todo = emails.where((F.col("extract_state") == PENDING) & (F.col("attachment_count") > 0)).select("path", "date_received")
     if newest is not None:
         todo = todo.orderBy(F.desc_nulls_last("date_received"), "path").limit(newest)
@@ -100,6 +146,9 @@ def extracted(emails: DataFrame, found: DataFrame, newest: int | None = None, mo
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string())], ["path", "_text"])
 
     read = found.select("path", "content").join(todo.select("path"), "path", "left_semi").mapInArrow(run, "path string, _text string")
+    if own is not None:
+        read = read.unionByName(_joined_texts(own.join(todo.select("path"), "path", "left_semi"), most))
+        read = read.groupBy("path").agg(F.max("_text").alias("_text"))
     out = emails.join(read.withColumn("_read", F.lit(True)), "path", "left")
     state = F.when(F.col("_read") & F.col("_text").isNotNull(), DONE).when(F.col("_read"), SKIPPED).otherwise(F.col("extract_state"))
     return out.withColumn("attachment_text", F.when(F.col("_read"), F.col("_text")).otherwise(F.col("attachment_text"))).withColumn("extract_state", state).select(*emails.columns)

@@ -66,6 +66,13 @@ def partial_attachments(spark: SparkSession, root: str) -> DataFrame:
     return at.where("n <> ''").groupBy("account", "mailbox", F.col("n").cast("long").alias("rowid")).agg(F.sort_array(F.collect_list("name")).alias("attachments"))
 
 
+def with_partial(messages: DataFrame, beside: DataFrame) -> DataFrame:
+    """Messages (account, mailbox, rowid, attachments, path) with the attachments of partial ones, whose bytes lie in files of their own, filled in."""
+    at = beside.select(*(F.col(c).alias(f"_{c}") for c in ("account", "mailbox", "rowid")), F.col("attachments").alias("_beside"))
+    same = F.col("path").endswith(".partial.emlx") & F.col("account").eqNullSafe(F.col("_account")) & (F.col("mailbox") == F.col("_mailbox")) & (F.col("rowid") == F.col("_rowid"))
+    return messages.join(at, same, "left").withColumn("attachments", F.coalesce("_beside", "attachments")).select(*messages.columns)
+
+
 def _clean(value: object) -> str | None:
     return None if value is None else str(value).encode("utf-8", "replace").decode("utf-8")
 

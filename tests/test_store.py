@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from helpers import ACCOUNT, docx, emlx, put
 from postlake import config, recipes
-from postlake.api import Mailbox
+from postlake.api import COLUMNS, WEIGHTS, Mailbox, indexed
 from postlake.errors import InvalidArgument, InvalidOutputPath, NotFound, ReadOnly
-from postlake.operators import export, store
+from postlake.operators import embedding, export, filters, index, segments, store
 from postlake.sources import accounts, attachments, mail
 from postlake.streaming.watch import Watch
 
@@ -69,6 +69,11 @@ def test_mailbox_tools(spark, tree, tmp_path):
     assert box.get_email_attachment("a@x", "pic.png").first()["data"] == b"\x89PNG" and box.get_email("b@x").first()["subject"].startswith("Re:")
     assert box.get_inbox_overview()["counts"].first()["total"] == 2 and {r["address"] for r in box.list_contacts().collect()} >= {"ann@mill.example", "ben@cart.example"}
     ids = [r["id"] for r in box.emails.where("mailbox_role = 'inbox'").collect()]
+    for color in ("red", "green", "blue", "purple", "gray"):
+        box.update_email_status(ids[:1], "set_flag_color", color)  # five changes at one clock value
+    for left in ("purple", "blue", "green", "red", None):
+        box.undo_last()
+        assert [r["flag_color"] for r in box.emails.where(f"id = {ids[0]}").collect()] == [filters.color_index(left) if left else None]
     done = box.move_email(ids[:1], "Archive")
     assert done.n == 1 and box.emails.where("mailbox_role = 'archive'").count() == 1 and box.update_email_status([ids[0], 999], "set_flag_color", "blue").failed == {999: "not_found"}
     box.undo_last()
@@ -86,13 +91,105 @@ def test_watch(spark, tree, tmp_path):
     seen = []
     w = Watch(kept, str(tree), clock=lambda: NOW, background=(lambda s: seen.append(s.versions()[-1]),), optimize=lambda s: seen.append("optimized"))
     w.start(f"file://{tmp_path}/check", every=None).awaitTermination(120)
-    assert [t.added for t in w.ticks] == [3] and not w.errors and seen == [1]
+    assert [t.added for t in w.ticks] == [3] and not w.errors and seen == []
+    w.start_background(f"file://{tmp_path}/work", every=None).awaitTermination(120)
+    assert seen == [1]
     put(tree, 9, emlx("New", mid="z@x"))
     w.start(f"file://{tmp_path}/check", every=None).awaitTermination(120)
     assert w.ticks[-1].added == 1 and kept.emails().count() == 4
-    w.root = str(tmp_path / "none")
+    w.root, w.failures = str(tmp_path / "none"), 2
     w.tick()
     assert len(w.errors) == 1
+    with pytest.raises(Exception):
+        w.tick()
+
+
+class Shapes(embedding.Backend):
+    """Vectors of three numbers, for tests."""
+
+    name, dimension = "shapes", 3
+
+    def embed(self, texts):
+        return [[float(len(t)), float(t.count("e")), 1.0] for t in texts]
+
+
+def test_watch_keeps_the_index(spark, tree, tmp_path):
+    settings = config.load(given={"index": {"enable_trigram": True}, "attachments": {"enabled": True}, "batch_limits": {"delete": 1}})
+    box = Mailbox(store.Store(spark, f"file://{tmp_path}/store"), str(tree), settings, clock=lambda: NOW, embed=Shapes())
+    w = box.watch()
+    w.tick()
+    assert not w.errors and len(box.index.segments) == 1 and box.index.n == 3 and len(w.background) == 2
+    path = put(tree, 9, emlx("New budget", body="a wholly new file zebra-fish_7.dat", mid="z@x"))
+    w.tick()
+    assert len(box.index.segments) == 2 and box.index.n == 4 and box.search("zebra").total_estimated == 1 and box.search("ebra-fis").mode == "substring"
+    assert box.search("ebra-fis").total_estimated == 1 and box.search("4471").total_estimated == 0
+    path.unlink()
+    w.work()
+    w.tick()
+    assert not w.errors and box.search("zebra").total_estimated == 0 and box.search("ebra-fis").total_estimated == 0 and box.index.n == 3
+    assert box.search("4471").total_estimated == 1 and box.store.vectors().count() >= 3 and box.search("budget", mode="semantic").mode == "semantic"
+    whole = index.build(indexed(box.emails), COLUMNS, f"file://{tmp_path}/whole", WEIGHTS)
+    for q in ("budget", "the OR lunch", "not*"):
+        assert sorted(index.matches(box.index, spark, q).collect()) == sorted(index.matches(whole, spark, q).collect())
+    w.work()
+    assert box.store.emails().where("embed_state = 0").count() == 0 and len(box.index.segments) <= 4
+    box.manage_trash("permanent_delete", [box.emails.first()["id"]], confirm=True)
+    assert box.search("budget OR lunch OR 4471 OR some").total_estimated == 2 and box.index.n == 2
+    assert len([n for n in (tmp_path / "store" / "index").iterdir() if n.name.startswith("seg-")]) <= 1 + len(box.index.segments)
+
+
+def test_segments_merge_by_size(spark, tmp_path):
+    texts = {k: f"common w{k} w{k % 7} tail{k % 3}" for k in range(60)}
+    rows = lambda ids, more="": spark.createDataFrame([(k, texts[k] + more) for k in ids], "doc_id long, text string")
+    held = index.build(rows(range(40), " old"), {"t": "text"}, f"file://{tmp_path}/i", grams=("t",), stemmed=False)
+    for a in range(0, 60, 12):
+        held = index.updated(held, rows(range(a, a + 12)), spark.createDataFrame([(a,)], "doc_id long") if a == 0 else None)
+    kept = index.build(rows(range(60)), {"t": "text"}, f"file://{tmp_path}/whole", grams=("t",), stemmed=False)
+    queries = ("w1*", "old", "tail1 NOT w3")
+
+    def same(x):
+        assert x.n == 60 and x.mean_length == kept.mean_length
+        for q in queries:
+            assert {(r[0], round(r[1], 9)) for r in index.matches(x, spark, q).collect()} == {(r[0], round(r[1], 9)) for r in index.matches(kept, spark, q).collect()}, q
+        for needle in ("MMON w1", "w59 w3 tail"):
+            assert {r[0] for r in segments.holding(x, spark, needle).collect()} == {k for k, t in texts.items() if needle.lower() in t and len(needle) > 2}, needle
+        assert {tuple(r) for r in x.terms(spark).collect()} == {tuple(r) for r in kept.terms(spark).collect()}
+
+    assert len(held.segments) == 6
+    same(held)
+    some = segments.merged(held, spark, 2)
+    assert len(some.segments) == 3 and [s.docs for s in some.segments] == [40, 12, 48]
+    same(some)
+    all_of_it = segments.merged(some, spark, 0)
+    assert len(all_of_it.segments) == 1 and not all_of_it.segments[0].gone
+    same(all_of_it)
+    assert segments.opened(spark, all_of_it.path) == all_of_it and segments.opened(spark, f"file://{tmp_path}/none") is None
+    empty = index.updated(all_of_it, rows([]), spark.createDataFrame([(k,) for k in texts], "doc_id long"))
+    assert empty.n == 0 and index.matches(empty, spark, "common").count() == 0
+
+
+def test_attachments_beside_partial_messages(spark, tmp_path):
+    root = tmp_path / "tree"
+    put(root, 5, emlx("Half", mid="h@x"), partial=True)
+    own = root / ACCOUNT / "INBOX.mbox" / "Data" / "Attachments" / "5" / "2"
+    own.mkdir(parents=True)
+    data = docx("hidden heron")
+    (own / "late.docx").write_bytes(data)
+    box = Mailbox(store.Store(spark, f"file://{tmp_path}/store"), str(root), config.load(given={"attachments": {"enabled": True}}), clock=lambda: NOW)
+    box.build()
+    assert [(r["attachments"], r["attachment_count"]) for r in box.emails.collect()] == [(["late.docx"], 1)]
+    assert box.get_email_attachment("h@x", "late.docx").first()["data"] == data
+    box.extract()
+    assert box.emails.first()["attachment_text"] == "hidden heron" and box.search("heron").total_estimated == 1
+
+
+def test_settings_limit_the_listing(spark, tmp_path):
+    root = tmp_path / "tree"
+    for k in range(5):
+        put(root, k + 1, emlx(f"S{k}", mid=f"{k}@x"), mailbox=("INBOX", "INBOX", "INBOX", "Sent", "Old")[k])
+    got = lambda **own: {r["rowid"] for r in store.listing(spark, str(root), **own).collect()}
+    assert got() == {1, 2, 3, 4, 5} and got(include=["inbox", "OLD"]) == {1, 2, 3, 5} and got(without=[ACCOUNT.lower()]) == set() and got(exclude=["Sent"]) == {1, 2, 3, 5}
+    assert len(got(most=1)) == 3 and len(got(most=2)) == 4
 
 
 def test_mail_details(spark, tmp_path):
