@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, folder: str):
@@ -38,3 +40,33 @@ def shared(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return "/tmp/checkpoints"
+
+
+class Scratch:
+    """A folder of working tables. Without a name it lies in the shared folder, and what is left of it at the end goes."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder, self.last = spark, folder or f"{shared(spark)}/postlake-work-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.folder)
+
+    def written(self, df: DataFrame, name: str = "t", over: DataFrame | None = None) -> DataFrame:
+        """The rows written and read again: lineage ends, and a lost executor costs nothing. ``over``: a table of this folder that is not needed any more."""
+        self.last += 1
+        path = f"{self.folder}/{name}-{self.last}"
+        df.write.parquet(path)
+        if over is not None:
+            for folder in {f.rsplit("/", 1)[0] for f in over.inputFiles()}:
+                remove(self.spark, folder)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def result(df: DataFrame) -> DataFrame:
+    """A result that outlives its working tables, as a table in the shared folder."""
+    path = f"{shared(df.sparkSession)}/postlake-result-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

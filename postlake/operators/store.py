@@ -83,6 +83,14 @@ class Store:
     def state(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self._read("state", "key string, value string").collect()}
 
+    def places(self) -> threads.Places | None:
+        """What the next build's threads start from; None where a version has none."""
+        found = self.versions()
+        if not found or "nodes" not in files.names(self.spark, f"{self.path}/v{found[-1]}"):
+            return None
+        placed = self.emails().where("thread_id is not null").select("id", "thread_id", F.col("thread_position").alias("position"), F.lit(0).alias("depth"))
+        return threads.Places(self._read("nodes"), self._read("refs"), placed)
+
     def delta(self, after: int, upto: int) -> DataFrame | None:
         """id, change (put, gone) of the versions behind ``after`` up to ``upto``; None if a feed of them is not kept."""
         wanted = range(after + 1, upto + 1)
@@ -90,7 +98,7 @@ class Store:
             return None
         return reduce(DataFrame.unionByName, (self.spark.read.schema(DELTA).parquet(f"{self.path}/deltas/v{k}") for k in wanted), self.spark.createDataFrame([], DELTA))
 
-    def commit(self, emails: DataFrame, dead: DataFrame | None = None, state: dict[str, str] | None = None, delta: DataFrame | None = None, journal: DataFrame | None = None, vectors: DataFrame | None = None) -> int:
+    def commit(self, emails: DataFrame, dead: DataFrame | None = None, state: dict[str, str] | None = None, delta: DataFrame | None = None, journal: DataFrame | None = None, vectors: DataFrame | None = None, places: threads.Places | None = None) -> int:
         """Writes a version aside and names it once it is whole; then versions before the last ``kept`` go. Tables that are not given stay as they are.
 
         ``delta``: id, change (put, gone) of the rows whose text is new or that are no more.
@@ -100,6 +108,10 @@ class Store:
         emails.write.parquet(f"{aside}/emails")
         for name, given, old in (("dead", dead, self.dead), ("journal", journal, self.journal), ("vectors", vectors, self.vectors)):
             (old() if given is None else given).write.parquet(f"{aside}/{name}")
+        places = places or self.places()
+        if places:
+            places.nodes.write.parquet(f"{aside}/nodes")
+            places.refs.write.parquet(f"{aside}/refs")
         pairs = self.state() | (state or {})
         self.spark.createDataFrame([*pairs.items()], "key string, value string").coalesce(1).write.parquet(f"{aside}/state")
         (self.spark.createDataFrame([], DELTA) if delta is None else delta).write.mode("overwrite").parquet(f"{self.path}/deltas/v{number}")
@@ -182,17 +194,21 @@ def _built(store: Store, root: str, now: int, disk: DataFrame, names: DataFrame
     every = ingest.merge(rest, good.join(rest.select("path"), "path", "left_semi"), "path", KEPT, RESET).unionByName(fresh, allowMissingColumns=True)
     if names is not None:
         every = named(every, names)
-    changed = diff.where("change <> 'unchanged'").limit(1).count()
-    if changed:
+    put = every.join(good.select("path"), "path", "left_semi").select("id", F.lit("put").alias("change"))
+    gone = known.join(diff.where("change = 'deleted'").select("path"), "path", "left_semi").select("id", F.lit("gone").alias("change"))
+    places, texts = None, put.unionByName(gone)
+    if diff.where("change <> 'unchanged'").limit(1).count():
         every.write.parquet(f"{folder}/every")
-        every = spark.read.parquet(f"{folder}/every")
-        every = threaded(every, by_subject)
+        texts.write.parquet(f"{folder}/delta")
+        every, texts = spark.read.parquet(f"{folder}/every"), spark.read.schema(DELTA).parquet(f"{folder}/delta")
+        scratch, before = files.Scratch(spark, f"{folder}/threads"), store.places() if store.state().get("by_subject") == str(by_subject) else None
+        # Only what a change touches is built again.
+        places = threads.next_places(before, known, every, texts, scratch, by_subject) if before else threads.first_places(every, scratch, by_subject)
+        every = threaded(every, places.placed)
     counts = analytics.build_counts(diff, bad.count()).first()
     broken = bad.select("path").join(diff.where("change = 'added'"), "path", "left_semi").count()
     dead = ingest.dead_letters(store.dead(), bad, good.select("path"), now)
-    put = every.join(good.select("path"), "path", "left_semi").select("id", F.lit("put").alias("change"))
-    gone = known.join(diff.where("change = 'deleted'").select("path"), "path", "left_semi").select("id", F.lit("gone").alias("change"))
-    version = store.commit(every, dead, {"last_build": str(now), "changes": str(int(store.state().get("changes", 0)) + counts["added"] + counts["changed"] + counts["deleted"] + counts["moved"])}, put.unionByName(gone))
+    version = store.commit(every, dead, {"last_build": str(now), "changes": str(int(store.state().get("changes", 0)) + counts["added"] + counts["changed"] + counts["deleted"] + counts["moved"]), "by_subject": str(by_subject)}, texts, places=places)
     files.remove(spark, folder)
     return Built(counts["added"] - broken, counts["changed"], counts["deleted"], counts["moved"], counts["failed"], version)
 
@@ -219,9 +235,10 @@ def named(emails: DataFrame, names: DataFrame) -> DataFrame:
     return emails.join(F.broadcast(n) if n.count() <= 100_000 else n, "account_uuid", "left").withColumn("account_name", F.coalesce("_name", "account_name")).drop("_name")
 
 
-def threaded(emails: DataFrame, by_subject: bool = True) -> DataFrame:
-    placed = threads.threads(emails, by_subject).select("id", F.col("thread_id").alias("_t"), F.col("position").alias("_p"))
-    return emails.join(placed, "id", "left").withColumn("thread_id", F.col("_t")).withColumn("thread_position", F.col("_p")).drop("_t", "_p")
+def threaded(emails: DataFrame, placed: DataFrame) -> DataFrame:
+    """Messages with the threads and positions of ``placed``."""
+    at = placed.select("id", F.col("thread_id").alias("_t"), F.col("position").alias("_p"))
+    return emails.join(at, "id", "left").withColumn("thread_id", F.col("_t")).withColumn("thread_position", F.col("_p")).drop("_t", "_p")
 
 
 def status(store: Store, root: str, now: int, exclude: list[str] = (), include: list[str] | None = None, without: list[str] = (), stale_after: float = DAY) -> dict:

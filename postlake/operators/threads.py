@@ -1,7 +1,7 @@
 """Conversation threads: reference edges, components, first-parent trees, trees of one subject merged, fetch.
 
-Only slim rows (ids, references, dates, subjects) travel. A component is closed under references, so it is built by
-itself; trees with one subject are then put together by offsets over their parts, never in one task's memory.
+Only slim rows (ids, references, dates, subjects) travel. Trees are numbered by pointer doubling over their nodes, and
+trees with one subject are then put together by offsets over their parts; neither is ever in one task's memory.
 
 Defined results: of copies of one message id the last one by id is in the tree, and all copies get its place; a message
 without an id is a thread of its own; cycles are cut at the link that would close them.
@@ -9,12 +9,14 @@ without an id is a thread of its own; cycles are cut at the link that would clos
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlake.files import Scratch, result
+from postlake.operators.prefix import running
+
 
 def _chain(emails: DataFrame) -> Column:
     """A message's references in order, in_reply_to behind them if it is not among them."""
@@ -29,137 +31,203 @@ def edges(emails: DataFrame) -> DataFrame:
     return e.where(F.size("c") > 1).select("id", F.explode(pairs).alias("p")).select("id", "p.a", "p.b").where("a <> b")
 
 
-def checkpoint_dir(spark) -> None:
-    """The shared folder of ``spark.checkpoint.dir``; only a session of one machine may lack it."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints")
-
-
 def labelled(emails: DataFrame, rounds: int = 100) -> DataFrame:
     """message_id, component: least id string reachable over reference edges, phantom ids included.
 
-    Label propagation with pointer jumping; each round's table is checkpointed to the shared folder.
+    Label propagation with pointer jumping; each round's table is written to the shared folder.
     """
     e = edges(emails).select("a", "b").distinct()
     own = emails.where("message_id is not null").select(F.col("message_id").alias("a"), F.col("message_id").alias("b"))
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own).distinct()
-    checkpoint_dir(emails.sparkSession)
-    both = both.checkpoint()
-    label, last = both.groupBy("a").agg(F.min("b").alias("l")), None
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
-        up = label.select(F.col("a").alias("l"), F.col("l").alias("l2"))
-        label = near.join(up, "l", "left").select("a", F.least("l", F.coalesce("l2", "l")).alias("l")).checkpoint()
-        now = label.agg(F.sum(F.xxhash64("a", "l").cast("decimal(38,0)"))).first()[0]
-        if now == last:
-            return label.select(F.col("a").alias("message_id"), F.col("l").alias("component"))
-        last = now
+    with Scratch(emails.sparkSession) as scratch:
+        both = scratch.written(both, "edges")
+        label, last = scratch.written(both.groupBy("a").agg(F.min("b").alias("l")), "labels"), None
+        for _ in range(rounds):
+            near = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
+            up = label.select(F.col("a").alias("l"), F.col("l").alias("l2"))
+            label = scratch.written(near.join(up, "l", "left").select("a", F.least("l", F.coalesce("l2", "l")).alias("l")), "labels", over=label)
+            now = label.agg(F.sum(F.xxhash64("a", "l").cast("decimal(38,0)"))).first()[0]
+            if now == last:
+                return result(label.select(F.col("a").alias("message_id"), F.col("l").alias("component")))
+            last = now
     raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
-def build(rows: list[dict]) -> Iterator[dict]:
-    """One component's forest: first parent wins, links that would close a cycle are dropped, children by date.
-
-    Rows: id, message_id, chain (its references in order), date, and subject if trees are to be merged. Yields, for
-    each message, id, thread_id (of the first message in pre-order), position, depth, and for merging: the root's id
-    (None for an unseen one), date and subject, and the part (0 the root, k its k-th child's branch), its date and the
-    place in it. Iterative, and linear but for sorting, so a chain may be of any length.
-    """
-    parent: dict[str, str] = {}
-    known: dict[str, dict] = {}
-    set_of: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        top = x
-        while set_of[top] != top:
-            top = set_of[top]
-        while set_of[x] != top:
-            set_of[x], x = top, set_of[x]
-        return top
-
-    def link(a: str, b: str) -> None:
-        # b has no parent, so it is the root of its set: a below b is a in b's set.
-        if b not in parent and find(a) != find(b):
-            parent[b] = a
-            set_of[find(b)] = find(a)
-
-    for r in sorted(rows, key=lambda r: r["id"]):
-        known[r["message_id"]] = r
-        chain = [c for c in r["chain"] if c]
-        for c in (*chain, r["message_id"]):
-            set_of.setdefault(c, c)
-        for a, b in zip(chain, chain[1:]):
-            link(a, b)
-        if chain:
-            link(chain[-1], r["message_id"])
-    children: dict[str, list[str]] = {}
-    date = lambda m: (known[m]["date"] or 0) if m in known else 0
-    for n in set_of:
-        if n in parent:
-            children.setdefault(parent[n], []).append(n)
-    for top in (n for n in set_of if n not in parent):
-        root, own = known.get(top), {}
-        branches = {c: k for k, c in enumerate(sorted(children.get(top, []), key=date), 1)}
-        stack, position, first, part, part_date = [(top, 0)], 0, None, 0, 0
-        while stack:
-            n, depth = stack.pop()
-            if depth == 1:
-                part, part_date = branches[n], date(n)
-            if n in known:
-                first = known[n]["id"] if first is None else first
-                place = own[part] = own.get(part, -1) + 1
-                yield {"id": known[n]["id"], "message_id": n, "thread_id": first, "position": position, "depth": depth, "root_id": root and root["id"], "root_date": (root["date"] or 0) if root else 0, "root_subject": root and root.get("subject"), "part": part, "part_date": part_date, "place": place}
-                position += 1
-            stack += [(c, depth + 1) for c in reversed(sorted(children.get(n, []), key=date))]
-
-
-_NODE = "id long, message_id string, thread_id long, position int, depth int, root_id long, root_date long, root_subject string, part int, part_date long, place int"
 _OUT = ("id", "thread_id", "position", "depth")
+#: A message's place in its tree before trees of one subject are merged: the root (its id null if it was never seen), the branch below it by its first position (0 for the root) and date, and the place in that.
+NODE = "id long, message_id string, thread_id long, position long, depth long, root_id long, root_date long, root_subject string, part long, part_date long, place long"
 
 
-def _nodes(emails: DataFrame) -> DataFrame:
+def _graph(emails: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, when it was first seen, the message if there is one), and possible parents (node, parent, at: the first link that says so)."""
     subject = F.col("subject_norm") if "subject_norm" in emails.columns else F.lit(None).cast("string")
-    rows = emails.where("message_id is not null").select("id", "message_id", _chain(emails).alias("chain"), F.col("date_received").alias("date"), subject.alias("subject")).join(labelled(emails), "message_id")
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        return pd.DataFrame([*build(found)], columns=[x.split()[0] for x in _NODE.split(", ")])
+    named = F.filter(_chain(emails), lambda c: c.isNotNull() & (c != ""))
+    rows = emails.where("message_id is not null").select("id", "message_id", F.concat(named, F.array("message_id")).alias("c"), F.col("date_received").cast("long").alias("date"), subject.alias("subject"))
+    at = F.struct("id", "pos").alias("at")
+    seen = rows.select("id", F.posexplode("c").alias("pos", "node")).groupBy("node").agg(F.min(at).alias("seen"))
+    known = rows.groupBy(F.col("message_id").alias("node")).agg(F.max_by(F.struct("id", "date", "subject"), "id").alias("m"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.get("c", i - 1).alias("a"), F.get("c", i).alias("b")))
+    links = rows.where(F.size("c") > 1).select("id", F.posexplode(pairs).alias("pos", "p")).where("p.a <> p.b").groupBy(F.col("p.b").alias("node"), F.col("p.a").alias("parent")).agg(F.min(at).alias("at"))
+    return seen.join(known, "node", "left").select("node", "seen", "m"), links
 
-    return rows.groupBy("component").applyInPandas(group, _NODE)
 
+def _climbed(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """For each node (node, parent, at, own: 1 for a message) its root, branch, depth and size, by pointer doubling.
 
-def _merged(nodes: DataFrame) -> DataFrame:
+    In round k a node knows its 2^k-th ancestor, and the messages less than 2^k below it; the rounds are the logarithm of
+    the greatest depth. If links run in circles, the last link of each circle is given instead, as second value.
+    """
+    up = F.col("parent")
+    state = scratch.written(nodes.select("node", up.alias("up"), F.coalesce(up, "node").alias("top"), F.when(up.isNotNull(), F.col("node")).alias("branch"), up.isNotNull().cast("long").alias("depth"), F.col("own").alias("size"), F.col("at").alias("last")), "climb")
+    before, reach = -1, 1
+    while True:
+        active = state.where("up is not null")
+        n = active.count()
+        if not n:
+            return state, None
+        if n == before and reach >= n:
+            # Depths are without gaps, so with none between reach / 2 and reach all that is left runs in circles.
+            circle = active.select(F.col("up").alias("node")).distinct()
+            return state, state.join(circle, "node", "left_semi").select("last").distinct()
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("branch").alias("branch2"), F.col("depth").alias("depth2"), F.col("last").alias("last2"))
+        more = active.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
+        moved = active.join(far, "up").select("node", F.col("up2").alias("up"), F.col("top2").alias("top"), F.coalesce("branch2", "branch").alias("branch"), (F.col("depth") + F.col("depth2")).alias("depth"), "size", F.greatest("last", "last2").alias("last"))
+        every = moved.unionByName(state.where("up is null")).join(more, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
+        state, before, reach = scratch.written(every, "climb", over=state), n, 2 * reach
+
+
+def _path_sums(values: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, total: the sum of ``v`` over a node and all above it. Values: node, up (the parent), v."""
+    state = scratch.written(values.select("node", "up", F.col("v").alias("total")), "sums")
+    while state.where("up is not null").limit(1).count():
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"))
+        moved = state.where("up is not null").join(far, "up").select("node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"))
+        state = scratch.written(moved.unionByName(state.where("up is null")), "sums", over=state)
+    return state.select("node", "total")
+
+
+def nodes(emails: DataFrame, scratch: Scratch) -> DataFrame:
+    """The place of every message in its tree (``NODE``). No task holds a tree, so a chain or a list may be of any length.
+
+    A node's parent is what the first link says, by message id and place in its chain; a link that would close a circle
+    is refused, and the node takes the next. In a circle that is the last link: those before it stand, as from any of
+    them one comes to the node whose link was refused, and all its later links are later still.
+    """
+    found, links = _graph(emails)
+    found, links = scratch.written(found, "nodes"), scratch.written(links, "links")
+    refused = None
+    while True:
+        left = links if refused is None else links.join(refused, "node", "left").where("_not is null or at > _not").drop("_not")
+        parent = left.groupBy("node").agg(F.min(F.struct("at", "parent")).alias("p")).select("node", "p.parent", "p.at")
+        base = scratch.written(found.join(parent, "node", "left").withColumn("own", F.col("m").isNotNull().cast("long")), "base")
+        climbed, last = _climbed(base, scratch)
+        if last is None:
+            break
+        now = links.join(last.withColumnRenamed("last", "at"), "at", "left_semi").select("node", F.col("at").alias("_not"))
+        refused = scratch.written((now if refused is None else now.unionByName(refused)).groupBy("node").agg(F.max("_not").alias("_not")), "refused")
+    x = scratch.written(base.join(climbed.drop("up", "last"), "node"), "x")
+    day = F.coalesce("m.date", F.lit(0))
+    siblings = x.where("parent is not null").select("node", "parent", "size", day.alias("_day"), F.col("seen.id").alias("_id"), F.col("seen.pos").alias("_pos"))
+    ahead = running(siblings, "parent", [F.col("_day"), F.col("_id"), F.col("_pos")], "size", "ahead", scratch).select("node", "ahead")
+    values = x.join(ahead, "node", "left").select("node", F.col("parent").alias("up"), (F.coalesce("ahead", F.lit(0)) + F.col("own")).alias("v"))
+    placed = x.join(_path_sums(values, scratch), "node").withColumn("position", F.col("total") - F.col("own"))
+    placed = scratch.written(placed.select("node", "m", "own", "top", "branch", "depth", "position"), "placed")
+    firsts = placed.where("own = 1 and position = 0").select("top", F.col("m.id").alias("thread_id"))
+    roots = placed.where("node = top").select("top", F.col("m.id").alias("root_id"), day.alias("root_date"), F.col("m.subject").alias("root_subject"))
+    branches = placed.where("node = branch").select("branch", F.col("position").alias("part"), day.alias("part_date"))
+    out = placed.where("own = 1").join(firsts.join(roots, "top"), "top").join(branches, "branch", "left")
+    return out.select(F.col("m.id").alias("id"), F.col("node").alias("message_id"), "thread_id", "position", "depth", "root_id", "root_date", "root_subject", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("part_date", F.lit(0)).alias("part_date"), (F.col("position") - F.coalesce("part", F.lit(0))).alias("place"))
+
+
+def merged(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Trees whose root is a message with one non-empty subject become children of the earliest such root, among its own by date."""
     roots = nodes.where("position = 0 and id = root_id and root_subject <> ''").select("root_id", "root_subject", "root_date")
-    w = Window.partitionBy("root_subject")
-    anchors = roots.withColumn("anchor", F.first("root_id").over(w.orderBy("root_date", "root_id"))).withColumn("trees", F.count("*").over(w))
-    anchors = anchors.where("trees > 1").select("root_id", "anchor")
-    at = nodes.join(anchors, "root_id", "left").checkpoint()
+    groups = roots.groupBy("root_subject").agg(F.min(F.struct("root_date", "root_id")).alias("first"), F.count("*").alias("trees")).where("trees > 1").select("root_subject", F.col("first.root_id").alias("anchor"))
+    at = scratch.written(nodes.join(roots.join(groups, "root_subject").select("root_id", "anchor"), "root_id", "left"), "at")
     alone, joined = at.where("anchor is null"), at.where("anchor is not null")
     # Parts: branches of the anchor by their dates, and whole other trees by their roots'; each lies in one stretch.
     own = F.col("root_id") == F.col("anchor")
     part = joined.select("id", "message_id", "anchor", "root_id", own.alias("own"), F.when(own, F.col("part")).otherwise(-1).alias("part"), F.when(own, F.col("part_date")).otherwise(F.col("root_date")).alias("date"), F.when(own, F.col("place")).otherwise(F.col("position")).alias("place"), F.when(own, F.col("depth")).otherwise(F.col("depth") + 1).alias("depth"))
     sizes = part.where("part <> 0").groupBy("anchor", "root_id", "part").agg(F.first("date").alias("date"), F.first("own").alias("own"), F.count("*").alias("n"))
-    before = Window.partitionBy("anchor").orderBy("date", F.desc("own"), "part", "root_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("anchor", "root_id", "part", (1 + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("offset"))
-    placed = part.join(offsets, ["anchor", "root_id", "part"], "left").select("id", "message_id", F.col("anchor").alias("thread_id"), (F.coalesce("offset", F.lit(0)) + F.col("place")).cast("int").alias("position"), F.col("depth").cast("int").alias("depth"))
+    offsets = running(sizes, "anchor", [F.col("date"), F.desc("own"), F.col("part"), F.col("root_id")], "n", "offset", scratch).select("anchor", "root_id", "part", (1 + F.col("offset")).alias("offset"))
+    placed = part.join(offsets, ["anchor", "root_id", "part"], "left").select("id", "message_id", F.col("anchor").alias("thread_id"), (F.coalesce("offset", F.lit(0)) + F.col("place")).alias("position"), "depth")
     return alone.select("id", "message_id", "thread_id", "position", "depth").unionByName(placed)
 
 
+def _with_copies(emails: DataFrame, placed: DataFrame) -> DataFrame:
+    """Places of all messages: copies of a message id share one, and a message without an id is a thread of its own."""
+    ids = emails.select("id", "message_id")
+    with_id = ids.join(placed.drop("id"), "message_id").select("id", "thread_id", F.col("position").cast("int").alias("position"), F.col("depth").cast("int").alias("depth"))
+    bare = ids.where("message_id is null").select("id", F.col("id").alias("thread_id"), F.lit(0).alias("position"), F.lit(0).alias("depth"))
+    return with_id.unionByName(bare).select(*_OUT)
+
+
 def threads(emails: DataFrame, by_subject: bool = False) -> DataFrame:
     """id, thread_id, position, depth of every message; ``by_subject`` merges trees of one subject.
 
     A thread's id is that of its first message in pre-order.
     """
-    nodes = _nodes(emails)
-    placed = _merged(nodes) if by_subject else nodes.select("id", "message_id", "thread_id", "position", "depth")
-    ids = emails.select("id", "message_id")
-    with_id = ids.join(placed.drop("id"), "message_id").select(*_OUT)
-    bare = ids.where("message_id is null").select("id", F.col("id").alias("thread_id"), F.lit(0).alias("position"), F.lit(0).alias("depth"))
-    return with_id.unionByName(bare)
+    with Scratch(emails.sparkSession) as scratch:
+        places = nodes(emails, scratch)
+        placed = merged(scratch.written(places, "places"), scratch) if by_subject else places
+        return result(_with_copies(emails, placed))
+
+
+@dataclass
+class Places:
+    """What is kept beside a message table so that a change rebuilds touched threads only: ``nodes`` (``NODE`` and component), ``refs`` (message_id, component of every id that a message has or names), and the threads that come of them (id, thread_id, position, depth)."""
+
+    nodes: DataFrame
+    refs: DataFrame
+    placed: DataFrame
+
+
+NODES, REFS = f"message_id string, {NODE.replace('message_id string, ', '')}, component string", "message_id string, component string"
+
+
+def _components(emails: DataFrame, scratch: Scratch) -> DataFrame:
+    """message_id, component of every id that a message has or names."""
+    return scratch.written(labelled(emails), "refs")
+
+
+def first_places(emails: DataFrame, scratch: Scratch, by_subject: bool = True) -> Places:
+    refs = _components(emails, scratch)
+    made = scratch.written(nodes(emails, scratch).join(refs, "message_id"), "nodes")
+    placed = _with_copies(emails, merged(made, scratch) if by_subject else made)
+    return Places(made, refs, scratch.written(placed, "places"))
+
+
+def next_places(old: Places, before: DataFrame, emails: DataFrame, changed: DataFrame, scratch: Scratch, by_subject: bool = True) -> Places:
+    """The places after a change, the same as those of all messages anew.
+
+    ``before``, ``emails``: the messages then and now; ``changed``: id of those that came, went or have another text.
+    Components that a changed message is in, was in or names are built again, out of their messages alone; trees are put
+    together again only for the subjects of their roots, then and now. Everything else keeps its rows.
+    """
+    changed = scratch.written(changed.select("id").distinct(), "changed")
+    then, now = before.join(changed, "id", "left_semi"), emails.join(changed, "id", "left_semi")
+    named = lambda m: m.select(F.explode(F.concat(_chain(m), F.array("message_id"))).alias("message_id")).where("message_id is not null")
+    touched = scratch.written(old.refs.join(named(then).unionByName(named(now)).distinct(), "message_id", "left_semi").select("component").distinct(), "touched")
+    ids = old.refs.join(touched, "component", "left_semi").select("message_id").unionByName(now.where("message_id is not null").select("message_id")).distinct()
+    own = scratch.written(emails.select("id", "message_id", "in_reply_to", *({"references", "subject_norm"} & {*emails.columns}), "date_received").join(ids, "message_id", "left_semi"), "own")
+    refs = _components(own, scratch)
+    made = scratch.written(nodes(own, scratch).join(refs, "message_id"), "nodes")
+    gone = old.nodes.join(touched, "component", "left_semi")
+    rest = scratch.written(old.nodes.join(touched, "component", "left_anti"), "rest")
+    every = rest.unionByName(made.select(*rest.columns))
+    redone = made
+    if by_subject:
+        subjects = gone.select("root_subject").unionByName(made.select("root_subject")).where("root_subject <> ''").distinct()
+        # Whole groups of trees of a subject, with the trees of these messages.
+        redone = scratch.written(made.unionByName(rest.join(subjects, "root_subject", "left_semi").select(*made.columns)), "redone")
+    new = scratch.written(merged(redone, scratch) if by_subject else redone.select("id", "message_id", "thread_id", "position", "depth"), "new")
+    again = emails.select("id", "message_id").join(new.select("message_id").distinct(), "message_id", "left_semi")
+    bare = emails.where("message_id is null").select("id", "message_id").join(changed, "id", "left_semi")
+    fresh = _with_copies(again.unionByName(bare), new)
+    fresh = scratch.written(fresh, "fresh")
+    stay = old.placed.join(fresh.select("id"), "id", "left_anti").join(emails.select("id"), "id", "left_semi")
+    kept = old.refs.join(touched, "component", "left_anti").unionByName(refs).select("message_id", "component")
+    return Places(scratch.written(every, "nodes"), scratch.written(kept, "refs"), scratch.written(stay.select(*_OUT).unionByName(fresh), "places"))
 
 
 def subject_anchor(roots: DataFrame) -> DataFrame:

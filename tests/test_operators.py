@@ -1,11 +1,15 @@
+import random
 import re
 import sqlite3
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from helpers import forest
 from postlake.errors import BatchTooLarge, ConfirmationRequired, InvalidArgument, ReadOnly
+from postlake.files import Scratch
 from postlake.functions.stem import stem
 from postlake.operators import actions, filters, grammar, index, threads
 from postlake.plans import catalog
@@ -34,15 +38,58 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_thread_builder():
-    m = lambda i, chain, date=0: {"id": i, "message_id": f"m{i}", "chain": chain, "date": date}
-    linear = [*threads.build([m(1, []), m(2, ["m1"]), m(3, ["m1", "m2"])])]
-    assert [(r["id"], r["thread_id"], r["position"], r["depth"]) for r in linear] == [(1, 1, 0, 0), (2, 1, 1, 1), (3, 1, 2, 2)]
-    ghost = [*threads.build([m(5, ["ghost"]), m(6, ["ghost"])])]
-    assert {r["thread_id"] for r in ghost} == {5} and [r["position"] for r in ghost] == [0, 1]
-    assert len([*threads.build([m(1, ["m2"]), m(2, ["m1"])])]) == 2
-    deep = [*threads.build([m(i, [f"m{i - 1}"] if i > 1 else []) for i in range(1, 1500)])]
-    assert max(r["depth"] for r in deep) == 1498
+MAIL = "id long, message_id string, `references` array<string>, in_reply_to string, subject_norm string, date_received long"
+
+
+def random_mail(seed, n=160):
+    """Small groups with repeated ids, unseen ids, circles and equal dates, and bare messages."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(1, n + 1):
+        g = rng.randrange(n // 8)
+        name = lambda k: f"g{g}-m{k}"
+        chain = [name(rng.randrange(7)) for _ in range(rng.randrange(4))]
+        rows.append((i, None if i % 40 == 0 else name(rng.randrange(6)), chain, name(rng.randrange(7)) if rng.random() < 0.3 else None, rng.choice(["", "plan", "lunch", f"s{g}"]), rng.choice([None, 5, 5, 9, rng.randrange(99)])))
+    return rows
+
+
+def by_hand(rows):
+    """(id, thread, position, depth) without merged subjects."""
+    chained = [{"id": i, "message_id": m, "chain": refs + ([reply] if reply and reply not in refs else []), "date": d, "subject": s} for i, m, refs, reply, s, d in rows if m]
+    at = {r["message_id"]: (r["thread_id"], r["position"], r["depth"]) for r in forest(chained)}
+    return {i: at[m] if m else (i, 0, 0) for i, m, *_ in rows}
+
+
+def test_threads_of_random_links(spark):
+    rows = random_mail(1) + [(1000 + i, f"circle{i}", [f"circle{(i + 1) % 9}"], None, "", 0) for i in range(9)]
+    got = {r["id"]: (r["thread_id"], r["position"], r["depth"]) for r in threads.threads(spark.createDataFrame(rows, MAIL)).collect()}
+    assert got == by_hand(rows)
+    assert threads.threads(spark.createDataFrame([], MAIL), by_subject=True).count() == 0
+
+
+def test_long_and_wide_threads(spark):
+    chain = spark.range(3000).select("id", F.concat(F.lit("m"), F.col("id").cast("string")).alias("message_id"), F.when(F.col("id") > 0, F.concat(F.lit("m"), (F.col("id") - 1).cast("string"))).alias("in_reply_to"), F.col("id").alias("date_received"))
+    wide = spark.range(3000, 6000).select("id", F.concat(F.lit("m"), F.col("id").cast("string")).alias("message_id"), F.when(F.col("id") > 3000, F.lit("m3000")).alias("in_reply_to"), (-F.col("id")).alias("date_received"))
+    placed = threads.threads(chain.unionByName(wide))
+    assert placed.where("id < 3000 and (position <> id or depth <> id or thread_id <> 0)").count() == 0
+    assert placed.where("id > 3000 and (position <> 6000 - id or depth <> 1 or thread_id <> 3000)").count() == 0 and placed.count() == 6000
+
+
+def test_a_change_rebuilds_touched_threads_only(spark, monkeypatch):
+    rows = random_mail(2)
+    left = [r for r in rows if r[0] % 16 != 3]  # ten come later
+    altered = [(i, m, refs if i != 20 else ["g1-m1"], reply, s if i != 21 else "plan", d) for i, m, refs, reply, s, d in rows if i not in (50, 51)]
+    before, emails = spark.createDataFrame(left, MAIL), spark.createDataFrame(altered, MAIL)
+    changed = spark.createDataFrame([(r[0],) for r in rows if r[0] % 16 == 3 or r[0] in (20, 21, 50, 51)], "id long")
+    with Scratch(spark) as scratch:
+        old = threads.first_places(before, scratch)
+        asked, build = [], threads.nodes
+        monkeypatch.setattr(threads, "nodes", lambda m, s: asked.append(m.count()) or build(m, s))
+        new = threads.next_places(old, before, emails, changed, scratch)
+        assert asked[0] < len(altered)  # the messages of touched components
+        whole = threads.first_places(emails, scratch)
+        assert sorted(new.placed.collect()) == sorted(whole.placed.collect()) == sorted(threads.threads(emails, by_subject=True).collect())
+        assert sorted(new.refs.collect()) == sorted(whole.refs.collect()) and sorted(map(str, new.nodes.select(*whole.nodes.columns).collect())) == sorted(map(str, whole.nodes.collect()))
 
 
 def words(query):
