@@ -6,11 +6,12 @@ import time
 from email.message import EmailMessage
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postlake.errors import InvalidArgument, InvalidOutputPath, NotFound
 from postlake.functions import text as fn
+from postlake.sources import filesink
 
 #: Folders nothing is written into.
 SENSITIVE = frozenset({".ssh", ".gnupg", ".aws", ".config", ".kube", ".docker", "Library"})
@@ -31,19 +32,13 @@ def files(emails: DataFrame, kind: str = "txt", most: int | None = None) -> Data
 
 
 def export(emails: DataFrame, folder: str, kind: str = "txt", most: int | None = None) -> int:
-    """Writes one file a message to a folder of any Hadoop file system; the driver holds one partition at a time."""
-    spark = emails.sparkSession
-    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = of(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    n = 0
-    for r in files(emails, kind, most).toLocalIterator():
-        out = fs.create(of(f"{folder.rstrip('/')}/{r['filename']}"), True)
-        try:
-            out.write(bytearray(r["content"].encode()))
-        finally:
-            out.close()
-        n += 1
-    return n
+    """Writes one file a message to a folder that the executors share, by the tasks themselves; how many."""
+    spark, seen = emails.sparkSession, Observation()
+    filesink.register(spark)
+    rows = files(emails, kind, most)
+    # The order of the newest is in their choice only; without a shuffle a task writes what it reads.
+    rows.observe(seen, F.count("*").alias("n")).write.format("named_files").mode("append").save(folder)
+    return seen.get["n"]
 
 
 def checked(path: str, home: str | None = None) -> Path:

@@ -15,15 +15,22 @@ URGENT = r"(?i)\b(urgent|asap|eod|by end of day|by tomorrow)\b"
 def awaiting_reply(emails: DataFrame, as_of: int, days: int = 7, account: str | None = None, limit: int | None = 20) -> DataFrame:
     """Sent messages without a later message from their first recipient that answers by id, reference or subject.
 
-    One left anti join; its equi key is the address, the rest is a residual condition.
+    Of all that came later only the newest date a sender and key (an id replied or referred to, or a subject) is kept, by
+    partial sums, and met by equality: a busy address makes no pairs, whatever it wrote.
     """
-    sent = emails.where(predicate(account=account)).where((F.col("mailbox_role") == "sent") & ~F.col("is_bulk") & (F.col("date_sent") >= as_of - days * 86400) & F.col("recipient").isNotNull() & ~no_reply(F.col("recipient")))
-    refs = "references" in emails.columns
-    replies = emails.select(F.col("sender_addr").alias("r_from"), F.col("date_received").alias("r_date"), F.col("in_reply_to").alias("r_to"), F.col("subject_norm").alias("r_subject"), *([F.col("references").alias("r_refs")] if refs else []))
-    answers = (F.col("r_to") == F.col("message_id")) | ((F.col("subject_norm") != "") & (F.col("r_subject") == F.col("subject_norm")))
-    if refs:
-        answers = answers | F.array_contains("r_refs", F.col("message_id"))
-    left = sent.join(replies, (F.col("r_from") == F.col("recipient")) & (F.col("r_date") > F.coalesce("date_sent", F.lit(0))) & answers, "left_anti")
+    since = as_of - days * 86400
+    sent = emails.where(predicate(account=account)).where((F.col("mailbox_role") == "sent") & ~F.col("is_bulk") & (F.col("date_sent") >= since) & F.col("recipient").isNotNull() & ~no_reply(F.col("recipient")))
+    none = F.array().cast("array<string>")
+    by_id = lambda c: F.concat(F.lit("id "), c)
+    by_subject = F.when(F.col("subject_norm") != "", F.concat(F.lit("subject "), F.col("subject_norm")))
+    referred = F.coalesce(F.transform("references", by_id), none) if "references" in emails.columns else none
+    given = F.array_distinct(F.array_compact(F.concat(F.array(by_id(F.col("in_reply_to")), by_subject), referred)))
+    wanted = F.array_compact(F.array(by_id(F.col("message_id")), by_subject))
+    # An answer is later than some message of these days.
+    later = emails.where((F.col("date_received") > since) & F.col("sender_addr").isNotNull())
+    answers = later.select(F.col("sender_addr").alias("recipient"), F.explode(given).alias("key"), "date_received").groupBy("recipient", "key").agg(F.max("date_received").alias("newest"))
+    had = sent.select("id", "recipient", "date_sent", F.explode(wanted).alias("key")).join(answers, ["recipient", "key"]).where("newest > date_sent").select("id").distinct()
+    left = sent.join(had, "id", "left_anti")
     out = left.select("id", "message_id", "recipient", "subject", "date_sent", F.greatest(F.lit(0), F.lit(as_of) - F.col("date_sent")).alias("seconds_waiting"))
     return out.orderBy(F.desc("seconds_waiting"), "id").limit(limit) if limit else out
 

@@ -95,6 +95,12 @@ def _(m):
     return triage.awaiting_reply(m, AS_OF)
 
 
+@query("awaiting_reply_references", _AWAIT.replace("r.in_reply_to = s.message_id OR", "r.in_reply_to = s.message_id OR (r.id % 4 = 0 AND s.message_id IN ('e' || (r.id - 11) || '@x', 'e' || (r.id - 18) || '@x')) OR"))
+def _(m):
+    name = lambda back: F.concat(F.lit("e"), (F.col("id") - back).cast("string"), F.lit("@x"))
+    return triage.awaiting_reply(m.withColumn("references", F.when(F.col("id") % 4 == 0, F.array(name(18), name(11)))), AS_OF, limit=None)
+
+
 @query("awaiting_reply_all", _AWAIT)
 def _(m):
     return triage.awaiting_reply(m, AS_OF, limit=None)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake import files
+from postlake.functions import table
 from postlake.operators import index, search, segments, vectors
 from postlake.plans.registry import query, read
 
@@ -70,6 +71,23 @@ def _(spark, d):
     return opened(spark, d).terms(spark).agg(F.count("*").alias("terms"), F.sum("tf").cast("long").alias("tokens"))
 
 
+@query("token_table", f"SELECT lang, count(*) AS tokens, count(DISTINCT x) AS terms FROM (SELECT lang, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+')) AS x FROM documents) GROUP BY lang", emails=False)
+def _(spark, d):
+    """The tokens of the table by the SQL table function."""
+    table.register(spark)
+    read(spark, d, "documents").createOrReplaceTempView("token_table_documents")
+    return spark.sql("SELECT lang, count(*) AS tokens, count(DISTINCT term) AS terms FROM tokens(TABLE(SELECT doc_id, text FROM token_table_documents), false) JOIN token_table_documents USING (doc_id) GROUP BY lang")
+
+
+@query("stemmed_search", "SELECT count(*) AS found FROM documents WHERE len(list_intersect(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+'), ['license', 'licensed', 'licenses', 'licensing'])) > 0", emails=False)
+def _(spark, d):
+    """Forms of one word by the stemmed index."""
+    key = spark.sparkContext.applicationId, f"stems of {d}"
+    if key not in _OPENED:
+        _OPENED[key] = index.build(read(spark, d, "documents"), {"body": "text"}, index.fresh(files.shared(spark)))
+    return index.matches(_OPENED[key], spark, "licensing").agg(F.count("*").alias("found"))
+
+
 @query("bm25_search", sql(["the", "ndtion"]), emails=False)
 def _(spark, d):
     return _rounded(search.page(_matches(spark, d, "the ndtion")))

@@ -38,7 +38,7 @@ def newest_tree(spark: SparkSession, library: str) -> str | None:
     return f"{library.rstrip('/')}/{max(found, key=lambda n: int(n[1:]))}" if found else None
 
 
-def _place() -> dict[str, Column]:
+def place() -> dict[str, Column]:
     """account and mailbox of a path: the folder before the outermost ``.mbox`` one, and the ``.mbox`` folders, outer first."""
     parts = F.split("path", "/")
     boxes = F.filter(parts, lambda x: F.endswith(x, F.lit(".mbox")))
@@ -51,7 +51,7 @@ def files(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """path, mtime_us, size, rowid, account, mailbox, partial, content of a tree or of named files; content is read only where it is used."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.emlx").load(root)
     name = F.regexp_extract("path", r"/(\d+)(\.partial)?\.emlx$", 1)
-    columns = [name.cast("long").alias("rowid"), *(c.alias(k) for k, c in _place().items())]
+    columns = [name.cast("long").alias("rowid"), *(c.alias(k) for k, c in place().items())]
     return raw.where(name != "").select("path", F.unix_micros("modificationTime").alias("mtime_us"), F.col("length").alias("size"), *columns, F.col("path").endswith(".partial.emlx").alias("partial"), "content")
 
 
@@ -62,7 +62,7 @@ def accounts(found: DataFrame) -> DataFrame:
 def partial_attachments(spark: SparkSession, root: str) -> DataFrame:
     """account, mailbox, rowid, attachments: names of the files that lie beside partial messages, in ``Attachments/<rowid>/``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    at = raw.select("path", *(c.alias(k) for k, c in _place().items()), F.regexp_extract("path", r"/Attachments/(\d+)/", 1).alias("n"), F.element_at(F.split("path", "/"), -1).alias("name"))
+    at = raw.select("path", *(c.alias(k) for k, c in place().items()), F.regexp_extract("path", r"/Attachments/(\d+)/", 1).alias("n"), F.element_at(F.split("path", "/"), -1).alias("name"))
     return at.where("n <> ''").groupBy("account", "mailbox", F.col("n").cast("long").alias("rowid")).agg(F.sort_array(F.collect_list("name")).alias("attachments"))
 
 

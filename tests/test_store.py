@@ -10,7 +10,7 @@ from postlake import config, recipes
 from postlake.api import COLUMNS, WEIGHTS, Mailbox, indexed
 from postlake.errors import InvalidArgument, InvalidOutputPath, NotFound, ReadOnly
 from postlake.operators import embedding, export, filters, index, segments, store
-from postlake.sources import accounts, attachments, mail
+from postlake.sources import accounts, attachments, emlx as source, mail
 from postlake.streaming.watch import Watch
 
 NOW = 1_717_100_000
@@ -180,6 +180,42 @@ def test_attachments_beside_partial_messages(spark, tmp_path):
     assert box.emails.first()["attachment_text"] == "hidden heron" and box.search("heron").total_estimated == 1
 
 
+def test_mail_as_a_data_source(spark, tree, tmp_path):
+    source.register(spark)
+    rows = source.placed(spark.read.format("emlx").option("files", 2).load(f"file://{tree}"))
+    got = {r["rowid"]: r for r in rows.collect()}
+    found = mail.files(spark, str(tree))
+    want = {r["rowid"]: r for r in mail.messages(found).join(found.drop("content"), "path").collect()}
+    assert rows.rdd.getNumPartitions() == 2 and got.keys() == want.keys() and got[4]["error"].startswith("ValueError") and {r["change"] for r in got.values()} == {"added"}
+    for k in (1, 2, 3):
+        assert all(got[k][c] == want[k][c] for c in ("account", "mailbox", "partial", "size", "mtime_us", "message_id", "subject", "recipients_to", "references", "body_plain", "date_sent", "is_read", "attachments"))
+    assert source.placed(spark.read.format("emlx").load(f"file://{tmp_path}/none")).count() == 0
+
+    def run():
+        stream = spark.readStream.format("emlx").option("listings", f"file://{tmp_path}/listings").load(f"file://{tree}")
+        stream.select("path", "change", "subject").writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/at").trigger(availableNow=True).start(f"file://{tmp_path}/out").awaitTermination(120)
+        return sorted((r["path"].rsplit("/", 1)[1], r["change"], r["subject"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+
+    first = run()
+    assert [r[:2] for r in first] == [(f"{k}.emlx", "added") for k in (1, 2, 3, 4)]
+    next(tree.rglob("3.emlx")).unlink()
+    put(tree, 2, emlx("Changed", mid="b@x", body="longer than it was before, by some words"))
+    put(tree, 8, emlx("Newer", mid="n@x"))
+    assert sorted(set(run()) - set(first)) == [("2.emlx", "changed", "Changed"), ("3.emlx", "deleted", None), ("8.emlx", "added", "Newer")]
+    assert run() == run() and len([*(tmp_path / "listings").iterdir()]) <= 2
+
+
+def test_export_leaves_whole_files_only(spark, tmp_path):
+    m = spark.range(40).select("id", F.concat(F.lit("s"), "id").alias("subject"), F.lit("A").alias("sender_name"), F.lit("a@x").alias("sender_addr"), F.lit("words").alias("body_plain"), F.col("id").alias("date_received"))
+    out = tmp_path / "out"
+    assert export.export(m.repartition(4), f"file://{out}") == 40 and len([*out.glob("*.txt")]) == 40 and not [*out.glob("_*")]
+    assert export.export(m, f"file://{out}", most=3) == 3 and len([*out.iterdir()]) == 40
+    broken = export.files(m.repartition(2)).withColumn("content", F.when(F.col("filename").contains("s7"), F.raise_error(F.lit("no"))).otherwise(F.col("content")))
+    with pytest.raises(Exception):
+        broken.write.format("named_files").mode("append").save(f"file://{tmp_path}/bad")
+    assert not [*(tmp_path / "bad").glob("_*")] and all(f.read_text().endswith("words") for f in (tmp_path / "bad").glob("*.txt"))
+
+
 def test_settings_limit_the_listing(spark, tmp_path):
     root = tmp_path / "tree"
     for k in range(5):
