@@ -7,6 +7,7 @@ committed as a new version of the store.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -157,8 +158,13 @@ class Mailbox:
         return search.search(self.emails, self.index, query, embedded=embedded, embed=embed, substrings=self.config["index"]["enable_trigram"], **options, **({"account": account} if account else {}))
 
     def get_email_thread(self, message_id: str | None = None, thread_id: int | None = None) -> DataFrame:
-        placed = self.emails.select("id", "thread_id", F.col("thread_position").alias("position"))
-        return threads.fetch(self.emails.drop("thread_id", "thread_position"), placed, message_id, thread_id)
+        placed = self.emails.select("id", "thread_id", F.col("thread_position").alias("position"), F.col("thread_depth").alias("depth"))
+        return threads.fetch(self.emails.drop("thread_id", "thread_position", "thread_depth"), placed, message_id, thread_id)
+
+    def get_email_thread_tree(self, message_id: str | None = None, thread_id: int | None = None) -> list[dict]:
+        """One thread as nested messages."""
+        rows = self.get_email_thread(message_id, thread_id).select("message_id", F.coalesce(F.nullif("account_name", F.lit("")), "account_uuid").alias("account"), F.col("mailbox_name").alias("mailbox"), "subject", F.col("sender_addr").alias("sender"), F.col("date_received").alias("date"), "is_read", "snippet", "position", "depth")
+        return threads.nested([r.asDict() for r in rows.collect()])
 
     # Knowledge
     def get_inbox_overview(self, account: str | None = None) -> dict[str, DataFrame]:
@@ -204,9 +210,15 @@ class Mailbox:
     def journal(self) -> DataFrame:
         return self.store.journal()
 
-    def move_email(self, ids: list[int], mailbox: str, **given) -> actions.Outcome:
+    def move_email(self, ids: list[int], mailbox: str, to_account: str | None = None, **given) -> actions.Outcome:
+        """To a mailbox of the same account, or of another one by its id or name."""
         role = self.store.spark.range(1).select(fn.mailbox_role(F.lit(mailbox))).first()[0]
-        return self._done(lambda: actions.move(self.emails, ids, mailbox, role, self.clock(), **self._gates("move", **given)))
+        account = None
+        if to_account is not None:
+            account = self.emails.where((F.col("account_uuid") == to_account) | (F.col("account_name") == to_account)).select("account_uuid", "account_name").first()
+            if account is None:
+                raise NotFound(f"no account {to_account!r}")
+        return self._done(lambda: actions.move(self.emails, ids, mailbox, role, self.clock(), account and tuple(account), **self._gates("move", **given)))
 
     def update_email_status(self, ids: list[int], action: str, color: str | None = None, **given) -> actions.Outcome:
         return self._done(lambda: actions.status(self.emails, ids, action, self.clock(), color, **self._gates("status", **given)))
@@ -226,14 +238,84 @@ class Mailbox:
             if not dry_run:
                 self.store.commit(emails, journal=journal)
 
-    def reply_to_email(self, id: int, body: str, to_all: bool = False) -> DataFrame:
-        return actions.answer(self.emails, id, body, to_all)
+    # What is written here; sending is for a mail program that reads the outbox.
+    def _put(self, outbox: Callable[[DataFrame], DataFrame], op: str, **given) -> bool:
+        gates = {k: v for k, v in self._gates(**given).items() if k != "cap"}
+        if not actions.gate(op, **gates):
+            return False
+        with self.store.lock:
+            self.store.commit(self.emails, outbox=outbox(self.store.outbox()))
+        return True
+
+    def compose_email(self, to: list[str], subject: str, body: str, cc: list[str] = (), bcc: list[str] = (), mode: str = "draft", body_html: str | None = None, **given) -> str:
+        """The new message's name in the outbox. ``mode``: send (queued), draft or open."""
+        name = uuid.uuid4().hex
+        self._put(lambda o: actions.written(o, name, mode, self.clock(), to, subject, body, cc, bcc, body_html), "compose", **given)
+        return name
+
+    def create_rich_email_draft(self, html_body: str, subject: str = "", to: list[str] = (), text_body: str = "", cc: list[str] = (), bcc: list[str] = (), outbox: str | None = None, **given) -> str:
+        """A draft with an HTML part, never queued; with ``outbox``, a local folder, also as a file to open."""
+        name = self.compose_email(list(to), subject, text_body, cc, bcc, "open", html_body, **given)
+        return str(export.put_in_outbox(export.draft(subject, list(to), text_body, html_body, cc, bcc), outbox)) if outbox else name
+
+    def _answer(self, row: DataFrame, mode: str, cc: list[str], bcc: list[str], op: str, **given) -> DataFrame:
+        if mode not in actions.MODES:
+            raise InvalidArgument(f"unknown mode {mode!r}")
+        name = uuid.uuid4().hex
+        full = row.select(F.lit(name).alias("draft"), F.lit(mode).alias("mode"), "to", *(F.array(*map(F.lit, x)).cast("array<string>").alias(k) for k, x in (("cc", cc), ("bcc", bcc))), "subject", "in_reply_to", "references", "body", F.lit(None).cast("string").alias("body_html"), F.lit(self.clock()).cast("long").alias("created"))
+        self._put(lambda o: o.unionByName(full), op, **given)
+        return row
+
+    def reply_to_email(self, id: int, body: str, to_all: bool = False, mode: str = "draft", cc: list[str] = (), bcc: list[str] = (), **given) -> DataFrame:
+        return self._answer(actions.answer(self.emails, id, body, to_all), mode, list(cc), list(bcc), "reply", **given)
+
+    def forward_email(self, id: int, to: list[str], body: str = "", mode: str = "draft", cc: list[str] = (), bcc: list[str] = (), **given) -> DataFrame:
+        return self._answer(actions.answer(self.emails, id, body, forward_to=to), mode, list(cc), list(bcc), "forward", **given)
+
+    def manage_drafts(self, action: str = "list", limit: int = 50, draft_subject: str | None = None, **written) -> DataFrame:
+        """list, create (see ``compose_email``), open, send (queues), delete; the last three by a draft's subject."""
+        if action == "list":
+            mine = self.store.outbox().where("mode <> 'send'").select("draft", "subject", F.col("created").alias("date"))
+            return actions.drafts(self.emails, limit).select(F.col("id").cast("string").alias("draft"), "subject", F.col("date_received").alias("date")).unionByName(mine).orderBy(F.desc_nulls_last("date"), "draft").limit(limit)
+        if action == "create":
+            name = self.compose_email(written.pop("to", []), written.pop("subject", ""), written.pop("body", ""), **written)
+            return self.store.outbox().where(F.col("draft") == name)
+        found = actions.found_draft(self.store.outbox(), draft_subject or "")
+        if action in ("send", "delete"):
+            hit = F.col("draft") == found.first()["draft"]
+            self._put(lambda o: o.where(~hit) if action == "delete" else o.withColumn("mode", F.when(hit, "send").otherwise(F.col("mode"))), f"draft_{action}", **written)
+        elif action != "open":
+            raise InvalidArgument(f"unknown action {action!r}")
+        return found
+
+    # Rules and mailboxes
+    def list_rules(self) -> DataFrame:
+        return self.store.rules().orderBy("name")
+
+    def set_rules(self, rules: DataFrame) -> None:
+        """Takes over the rules of a mail program."""
+        self.store.commit(self.emails, rules=rules.select(*(c.split()[0] for c in actions.RULES.split(", "))))
 
-    def forward_email(self, id: int, to: list[str], body: str = "") -> DataFrame:
-        return actions.answer(self.emails, id, body, forward_to=to)
+    def _rules(self, change: Callable[[DataFrame, dict], DataFrame], **given) -> None:
+        with self.store.lock:
+            self.store.commit(self.emails, rules=change(self.store.rules(), {k: v for k, v in self._gates(**given).items() if k != "cap"}))
+
+    def enable_rule(self, name: str, **given) -> None:
+        self._rules(lambda r, g: actions.set_rule(r, name, True, **g), **given)
+
+    def disable_rule(self, name: str, **given) -> None:
+        self._rules(lambda r, g: actions.set_rule(r, name, False, **g), **given)
 
-    def manage_drafts(self, limit: int = 50) -> DataFrame:
-        return actions.drafts(self.emails, limit)
+    def delete_rule(self, name: str, **given) -> None:
+        self._rules(lambda r, g: actions.delete_rule(r, name, **g), **given)
+
+    def create_mailbox(self, account: str, name: str, parent: str | None = None, **given) -> DataFrame:
+        """All mailboxes, with the new one and those it lies in."""
+        known = self.emails.select("account_uuid", "mailbox_name", "mailbox_role").unionByName(self.store.mailboxes()).distinct()
+        with self.store.lock:
+            every = actions.create_mailbox(known, account, name, parent, **{k: v for k, v in self._gates(**given).items() if k != "cap"})
+            self.store.commit(self.emails, mailboxes=every)
+        return self.store.mailboxes()
 
     def unsubscribe_from_sender(self, message_id: str) -> DataFrame:
         m = self._newest(message_id)

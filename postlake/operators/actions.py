@@ -16,6 +16,10 @@ from postlake.operators.filters import color_index
 CAPS = {"move": 10, "status": 10, "trash": 5, "permanent_delete": 1}
 CONFIRM = frozenset({"permanent_delete", "empty_trash", "delete_rule"})
 JOURNAL = "batch string, seq long, ts long, op string, id long, prev string, undone boolean"
+OUTBOX = "draft string, mode string, `to` array<string>, cc array<string>, bcc array<string>, subject string, in_reply_to string, `references` array<string>, body string, body_html string, created long"
+RULES, MAILBOXES = "name string, enabled boolean, conditions string, actions string", "account_uuid string, mailbox_name string, mailbox_role string"
+#: What may become of a message that was written: queued for a mail program, kept, or kept and shown.
+MODES = ("send", "draft", "open")
 STATES = {"mark_read": {"is_read": True}, "mark_unread": {"is_read": False}, "flag": {"is_flagged": True}, "unflag": {"is_flagged": False, "flag_color": None}}
 #: Actions whose journal rows can be taken back.
 UNDOABLE = frozenset({"move", "status", "trash"})
@@ -78,8 +82,10 @@ def change(emails: DataFrame, op: str, ids: list[int], values: dict, now: int, *
     return Outcome(op, len(found), False, batch, new, journal, found, failed)
 
 
-def move(emails: DataFrame, ids: list[int], mailbox: str, role: str, now: int, **gates) -> Outcome:
-    return change(emails, "move", ids, {"mailbox_name": mailbox, "mailbox_role": role}, now, **gates)
+def move(emails: DataFrame, ids: list[int], mailbox: str, role: str, now: int, account: tuple[str, str | None] | None = None, **gates) -> Outcome:
+    """``account``: uuid and name of another account, for moves across accounts."""
+    there = {"account_uuid": account[0], "account_name": account[1]} if account else {}
+    return change(emails, "move", ids, {"mailbox_name": mailbox, "mailbox_role": role} | there, now, **gates)
 
 
 def status(emails: DataFrame, ids: list[int], state: str, now: int, color: str | None = None, **gates) -> Outcome:
@@ -123,7 +129,7 @@ def undo(emails: DataFrame, journal: DataFrame, batch: str | None = None, read_o
     if batch is None or dry_run:
         return emails, journal
     rows = open_rows.where(F.col("batch") == batch)
-    columns = sorted({c for values in (*STATES.values(), {"mailbox_name": 0, "mailbox_role": 0}) for c in values} & set(emails.columns))
+    columns = sorted({c for values in (*STATES.values(), {"mailbox_name": 0, "mailbox_role": 0, "account_uuid": 0, "account_name": 0}) for c in values} & set(emails.columns))
     types = dict(emails.dtypes)
     kept = rows.groupBy("id").agg(F.min_by("prev", F.struct("seq", "ts")).alias("_prev"))
     # A batch holds no more rows than a call may change.
@@ -226,3 +232,21 @@ def answer(emails: DataFrame, id: int, body: str, to_all: bool = False, forward_
     to = F.array(*map(F.lit, forward_to)) if forward_to else F.array_distinct(F.concat(own, F.coalesce("recipients", F.array().cast("array<string>")))) if to_all else own
     refs = F.array_distinct(F.concat(F.coalesce("references", F.array().cast("array<string>")), F.array("message_id")))
     return m.select(to.alias("to"), F.concat(F.lit("Fwd: " if forward_to else "Re: "), bare).alias("subject"), F.when(F.lit(not forward_to), F.col("message_id")).alias("in_reply_to"), (F.when(F.lit(not forward_to), refs)).alias("references"), quoted.alias("body"))
+
+
+def written(outbox: DataFrame, draft: str, mode: str, now: int, to: list[str], subject: str, body: str, cc: list[str] = (), bcc: list[str] = (), body_html: str | None = None) -> DataFrame:
+    """The outbox with a new message. Nothing is sent."""
+    if mode not in MODES:
+        raise InvalidArgument(f"unknown mode {mode!r}")
+    if mode == "send" and not to:
+        raise InvalidArgument("a message needs a recipient")
+    row = (draft, mode, list(to), list(cc), list(bcc), subject, None, None, body, body_html, now)
+    return outbox.unionByName(outbox.sparkSession.createDataFrame([row], OUTBOX))
+
+
+def found_draft(outbox: DataFrame, subject: str) -> DataFrame:
+    """The newest draft of a subject."""
+    hit = outbox.where((F.col("subject") == subject) & (F.col("mode") != "send")).orderBy(F.desc("created"), "draft").limit(1)
+    if not hit.count():
+        raise NotFound(f"no draft {subject!r}")
+    return hit

@@ -137,7 +137,11 @@ def status_counts(emails: DataFrame, dead: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(dead.agg(F.count("*").alias("failed"))))
 
 
+def change_counts() -> list[Column]:
+    """added, changed, deleted, moved of an inventory's difference, as aggregates."""
+    return [n_if(F.col("change") == k).alias(k) for k in ("added", "changed", "deleted", "moved")]
+
+
 def build_counts(diff: DataFrame, failed: int | Column = 0) -> DataFrame:
     """added, changed, deleted, moved and failed of one build."""
-    kinds = ("added", "changed", "deleted", "moved")
-    return diff.agg(*(n_if(F.col("change") == k).alias(k) for k in kinds), F.max(failed if isinstance(failed, Column) else F.lit(failed)).cast("long").alias("failed"))
+    return diff.agg(*change_counts(), F.max(failed if isinstance(failed, Column) else F.lit(failed)).cast("long").alias("failed"))

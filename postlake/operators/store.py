@@ -13,7 +13,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlake import files
@@ -27,7 +27,7 @@ DAY = 86400
 NAMED = 10_000
 INVENTORY = ("path", "rowid", "account", "mailbox", "mtime_us", "size")
 #: What a change of the file does not touch, and what it resets.
-KEPT, RESET = ("id", "flag_color", "attachment_text", "extract_state", "thread_id", "thread_position", "account_name"), {"embed_state": 0}
+KEPT, RESET = ("id", "flag_color", "attachment_text", "extract_state", "thread_id", "thread_position", "thread_depth", "account_name"), {"embed_state": 0}
 DELTA = "id long, change string"
 #: Change feeds that stay; who is further behind starts over.
 FEEDS = 50
@@ -83,12 +83,23 @@ class Store:
     def state(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self._read("state", "key string, value string").collect()}
 
+    def outbox(self) -> DataFrame:
+        """Messages that were written here and are not sent from here."""
+        return self._read("outbox", actions.OUTBOX)
+
+    def rules(self) -> DataFrame:
+        return self._read("rules", actions.RULES)
+
+    def mailboxes(self) -> DataFrame:
+        """Mailboxes that were created here and need not hold a message."""
+        return self._read("mailboxes", actions.MAILBOXES)
+
     def places(self) -> threads.Places | None:
         """What the next build's threads start from; None where a version has none."""
         found = self.versions()
         if not found or "nodes" not in files.names(self.spark, f"{self.path}/v{found[-1]}"):
             return None
-        placed = self.emails().where("thread_id is not null").select("id", "thread_id", F.col("thread_position").alias("position"), F.lit(0).alias("depth"))
+        placed = self.emails().where("thread_id is not null").select("id", "thread_id", F.col("thread_position").alias("position"), F.col("thread_depth").alias("depth"))
         return threads.Places(self._read("nodes"), self._read("refs"), placed)
 
     def delta(self, after: int, upto: int) -> DataFrame | None:
@@ -98,7 +109,7 @@ class Store:
             return None
         return reduce(DataFrame.unionByName, (self.spark.read.schema(DELTA).parquet(f"{self.path}/deltas/v{k}") for k in wanted), self.spark.createDataFrame([], DELTA))
 
-    def commit(self, emails: DataFrame, dead: DataFrame | None = None, state: dict[str, str] | None = None, delta: DataFrame | None = None, journal: DataFrame | None = None, vectors: DataFrame | None = None, places: threads.Places | None = None) -> int:
+    def commit(self, emails: DataFrame, dead: DataFrame | None = None, state: dict[str, str] | None = None, delta: DataFrame | None = None, journal: DataFrame | None = None, vectors: DataFrame | None = None, places: threads.Places | None = None, outbox: DataFrame | None = None, rules: DataFrame | None = None, mailboxes: DataFrame | None = None) -> int:
         """Writes a version aside and names it once it is whole; then versions before the last ``kept`` go. Tables that are not given stay as they are.
 
         ``delta``: id, change (put, gone) of the rows whose text is new or that are no more.
@@ -106,7 +117,7 @@ class Store:
         found = self.versions()
         number, aside = (found[-1] + 1 if found else 1), f"{self.path}/new-{uuid.uuid4().hex}"
         emails.write.parquet(f"{aside}/emails")
-        for name, given, old in (("dead", dead, self.dead), ("journal", journal, self.journal), ("vectors", vectors, self.vectors)):
+        for name, given, old in (("dead", dead, self.dead), ("journal", journal, self.journal), ("vectors", vectors, self.vectors), ("outbox", outbox, self.outbox), ("rules", rules, self.rules), ("mailboxes", mailboxes, self.mailboxes)):
             (old() if given is None else given).write.parquet(f"{aside}/{name}")
         places = places or self.places()
         if places:
@@ -128,7 +139,7 @@ def migrated(emails: DataFrame, columns: dict[str, str]) -> DataFrame:
     return emails.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in emails.columns})
 
 
-SHAPE = {"id": "long", "rowid": "long", "account": "string", "mailbox": "string", "mtime_us": "long", "size": "long", "account_uuid": "string", "account_name": "string", "mailbox_name": "string", "mailbox_role": "string", "subject_norm": "string", "snippet": "string", "attachment_count": "int", "flag_color": "int", "attachment_text": "string", "extract_state": "int", "embed_state": "int", "thread_id": "long", "thread_position": "int", "indexed_at": "long"}
+SHAPE = {"id": "long", "rowid": "long", "account": "string", "mailbox": "string", "mtime_us": "long", "size": "long", "account_uuid": "string", "account_name": "string", "mailbox_name": "string", "mailbox_role": "string", "subject_norm": "string", "snippet": "string", "attachment_count": "int", "flag_color": "int", "attachment_text": "string", "extract_state": "int", "embed_state": "int", "thread_id": "long", "thread_position": "int", "thread_depth": "int", "indexed_at": "long"}
 
 
 def _rows(found: DataFrame, now: int) -> DataFrame:
@@ -172,7 +183,8 @@ def _built(store: Store, root: str, now: int, disk: DataFrame, names: DataFrame
     if reparse:
         diff = diff.withColumn("change", F.when(F.col("change") == "unchanged", "changed").otherwise(F.col("change")))
     folder = f"{store.path}/work-{uuid.uuid4().hex}"
-    diff.write.parquet(f"{folder}/diff")
+    seen, broken_seen = Observation(), Observation()
+    diff.observe(seen, *analytics.change_counts()).write.parquet(f"{folder}/diff")
     diff = spark.read.parquet(f"{folder}/diff")
     wanted = diff.where(F.col("change").isin("added", "changed")).select("path")
     paths = [r[0] for r in wanted.limit(NAMED + 1).collect()]
@@ -182,7 +194,7 @@ def _built(store: Store, root: str, now: int, disk: DataFrame, names: DataFrame
     if isinstance(root, str) and found.where("partial").limit(1).count():
         named_beside = mail.with_partial(rows, mail.partial_attachments(spark, root))
         rows = named_beside.withColumn("attachment_count", F.size("attachments"))
-    rows.write.parquet(f"{folder}/parsed")
+    rows.observe(broken_seen, F.count("error").alias("failed")).write.parquet(f"{folder}/parsed")
     parsed = spark.read.parquet(f"{folder}/parsed")
     good, bad = parsed.where("error is null").drop("error"), parsed.where("error is not null").select("path", "error")
     rest = deleted(moved(known, diff.where("change = 'moved'"), disk), diff.where("change = 'deleted'"))
@@ -197,7 +209,7 @@ def _built(store: Store, root: str, now: int, disk: DataFrame, names: DataFrame
     put = every.join(good.select("path"), "path", "left_semi").select("id", F.lit("put").alias("change"))
     gone = known.join(diff.where("change = 'deleted'").select("path"), "path", "left_semi").select("id", F.lit("gone").alias("change"))
     places, texts = None, put.unionByName(gone)
-    if diff.where("change <> 'unchanged'").limit(1).count():
+    if sum(v or 0 for v in seen.get.values()):
         every.write.parquet(f"{folder}/every")
         texts.write.parquet(f"{folder}/delta")
         every, texts = spark.read.parquet(f"{folder}/every"), spark.read.schema(DELTA).parquet(f"{folder}/delta")
@@ -205,8 +217,8 @@ def _built(store: Store, root: str, now: int, disk: DataFrame, names: DataFrame
         # Only what a change touches is built again.
         places = threads.next_places(before, known, every, texts, scratch, by_subject) if before else threads.first_places(every, scratch, by_subject)
         every = threaded(every, places.placed)
-    counts = analytics.build_counts(diff, bad.count()).first()
-    broken = bad.select("path").join(diff.where("change = 'added'"), "path", "left_semi").count()
+    counts = {k: v or 0 for k, v in (seen.get | broken_seen.get).items()}
+    broken = bad.select("path").join(diff.where("change = 'added'"), "path", "left_semi").count() if counts["failed"] else 0
     dead = ingest.dead_letters(store.dead(), bad, good.select("path"), now)
     version = store.commit(every, dead, {"last_build": str(now), "changes": str(int(store.state().get("changes", 0)) + counts["added"] + counts["changed"] + counts["deleted"] + counts["moved"]), "by_subject": str(by_subject)}, texts, places=places)
     files.remove(spark, folder)
@@ -237,8 +249,8 @@ def named(emails: DataFrame, names: DataFrame) -> DataFrame:
 
 def threaded(emails: DataFrame, placed: DataFrame) -> DataFrame:
     """Messages with the threads and positions of ``placed``."""
-    at = placed.select("id", F.col("thread_id").alias("_t"), F.col("position").alias("_p"))
-    return emails.join(at, "id", "left").withColumn("thread_id", F.col("_t")).withColumn("thread_position", F.col("_p")).drop("_t", "_p")
+    at = placed.select("id", F.col("thread_id").alias("_t"), F.col("position").alias("_p"), F.col("depth").alias("_d"))
+    return emails.join(at, "id", "left").withColumns({"thread_id": F.col("_t"), "thread_position": F.col("_p"), "thread_depth": F.col("_d")}).drop("_t", "_p", "_d")
 
 
 def status(store: Store, root: str, now: int, exclude: list[str] = (), include: list[str] | None = None, without: list[str] = (), stale_after: float = DAY) -> dict:

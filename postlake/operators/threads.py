@@ -251,3 +251,20 @@ def fetch(emails: DataFrame, placed: DataFrame, message_id: str | None = None, t
     # One row, so the rows of the thread are found without moving the others.
     rows = placed.join(F.broadcast(wanted.distinct()), "thread_id")
     return emails.join(rows, "id").orderBy("position", "id")
+
+
+def nested(rows: list[dict]) -> list[dict]:
+    """One thread's messages (in order, with depth) as trees: each has ``children``. A message whose parents were never seen stands under empty nodes."""
+    top: list[dict] = []
+    path: list[list[dict]] = [top]
+    for r in rows:
+        while len(path) > r["depth"] + 1:
+            path.pop()
+        while len(path) < r["depth"] + 1:
+            unseen = {"children": []}
+            path[-1].append(unseen)
+            path.append(unseen["children"])
+        node = {k: v for k, v in r.items() if k not in ("depth", "position")} | {"children": []}
+        path[-1].append(node)
+        path.append(node["children"])
+    return top

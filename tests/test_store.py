@@ -9,7 +9,7 @@ from helpers import ACCOUNT, docx, emlx, put
 from postlake import config, recipes
 from postlake.api import COLUMNS, WEIGHTS, Mailbox, indexed
 from postlake.errors import InvalidArgument, InvalidOutputPath, NotFound, ReadOnly
-from postlake.operators import embedding, export, filters, index, segments, store
+from postlake.operators import actions, embedding, export, filters, index, segments, store, threads
 from postlake.sources import accounts, attachments, emlx as source, mail
 from postlake.streaming.watch import Watch
 
@@ -80,12 +80,45 @@ def test_mailbox_tools(spark, tree, tmp_path):
     box.undo_last(done.batch)
     assert box.emails.where("mailbox_role = 'archive'").count() == 0 and box.emails.where("flag_color is not null").count() == 0
     assert box.resource("email://stats").first()["total"] == 3
+    tree_of = box.get_email_thread_tree("b@x")
+    assert [(n["message_id"], [c["message_id"] for c in n["children"]]) for n in tree_of] == [("a@x", ["b@x"])]
     box.config["server"]["read_only"] = True
     with pytest.raises(ReadOnly):
         box.manage_trash("trash", ids[:1])
     assert box.export_emails(f"file://{tmp_path}/out") == 3 and len([*(tmp_path / "out").glob("*.txt")]) == 3
 
 
+def test_written_messages_rules_and_mailboxes(spark, tree, tmp_path):
+    kept = store.Store(spark, f"file://{tmp_path}/store")
+    rows = spark.createDataFrame([(1, "a@x", "Plan", "ann@x", "Ann", "u1", "One", "INBOX", "inbox", 5, "text"), (2, "b@x", "Other", "bob@x", "Bob", "u2", "Two", "Work", "other", 6, "text")], "id long, message_id string, subject string, sender_addr string, sender_name string, account_uuid string, account_name string, mailbox_name string, mailbox_role string, date_received long, body_plain string")
+    kept.commit(rows.withColumn("recipients", F.array(F.lit("me@x"))).withColumn("references", F.array().cast("array<string>")))
+    box = Mailbox(kept, str(tree), config.load(given={"confirmation": {"require_confirm": []}}), clock=lambda: NOW)
+    name = box.compose_email(["a@x"], "Hello", "words", cc=["c@x"])
+    box.reply_to_email(1, "Thanks", mode="send")
+    assert {(r["subject"], r["mode"]) for r in kept.outbox().collect()} == {("Hello", "draft"), ("Re: Plan", "send")} and box.compose_email([], "x", "y", dry_run=True) and kept.outbox().count() == 2
+    assert [r["draft"] for r in box.manage_drafts().collect()] == [name] and box.manage_drafts("open", draft_subject="Hello").first()["cc"] == ["c@x"]
+    assert box.manage_drafts("create", subject="Second", to=["z@x"]).first()["to"] == ["z@x"]
+    box.manage_drafts("send", draft_subject="Second")
+    box.manage_drafts("delete", draft_subject="Hello")
+    assert {(r["subject"], r["mode"]) for r in kept.outbox().collect()} == {("Second", "send"), ("Re: Plan", "send")} and box.manage_drafts().count() == 0
+    with pytest.raises(NotFound):
+        box.manage_drafts("open", draft_subject="Hello")
+    with pytest.raises(InvalidArgument):
+        box.compose_email([], "no one", "x", mode="send")
+    assert box.create_rich_email_draft("<b>x</b>", "Rich", ["a@x"], outbox=str(tmp_path / "box")).endswith(".eml")
+    box.set_rules(spark.createDataFrame([("r1", True, "{}", "{}"), ("r2", True, "{}", "{}")], actions.RULES))
+    box.disable_rule("r2")
+    box.delete_rule("r1")  # the settings want no confirmation
+    assert [(r["name"], r["enabled"]) for r in box.list_rules().collect()] == [("r2", False)]
+    assert {r["mailbox_name"] for r in box.create_mailbox("u1", "Sub", "Top").collect()} == {"INBOX", "Work", "Top", "Top/Sub"}
+    assert box.move_email([1], "Work", to_account="Two").n == 1 and box.emails.where("id = 1").first()["account_uuid"] == "u2"
+    box.undo_last()
+    assert (m := box.emails.where("id = 1").first())["account_uuid"] == "u1" and m["account_name"] == "One" and m["mailbox_name"] == "INBOX"
+    with pytest.raises(NotFound):
+        box.move_email([1], "Work", to_account="Three")
+    assert threads.nested([{"m": 1, "depth": 1}, {"m": 2, "depth": 1}]) == [{"children": [{"m": 1, "children": []}, {"m": 2, "children": []}]}]
+
+
 def test_watch(spark, tree, tmp_path):
     kept = store.Store(spark, f"file://{tmp_path}/store")
     seen = []
