@@ -186,8 +186,8 @@ NODES, REFS = f"message_id string, {NODE.replace('message_id string, ', '')}, co
 
 
 def _components(emails: DataFrame, scratch: Scratch) -> DataFrame:
-    """message_id, component of every id that a message has or names."""
-    return scratch.written(labelled(emails), "refs")
+    """message_id, component of every id that a message with an id has or names; others are in no tree and link nothing."""
+    return scratch.written(labelled(emails.where("message_id is not null")), "refs")
 
 
 def first_places(emails: DataFrame, scratch: Scratch, by_subject: bool = True) -> Places:

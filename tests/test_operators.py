@@ -88,7 +88,7 @@ def test_a_change_rebuilds_touched_threads_only(spark, monkeypatch):
         new = threads.next_places(old, before, emails, changed, scratch)
         assert asked[0] < len(altered)  # the messages of touched components
         whole = threads.first_places(emails, scratch)
-        assert sorted(new.placed.collect()) == sorted(whole.placed.collect()) == sorted(threads.threads(emails, by_subject=True).collect())
+        assert sorted(new.placed.collect()) == sorted(whole.placed.collect())
         assert sorted(new.refs.collect()) == sorted(whole.refs.collect()) and sorted(map(str, new.nodes.select(*whole.nodes.columns).collect())) == sorted(map(str, whole.nodes.collect()))
 
 
