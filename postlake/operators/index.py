@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake import files
 from postlake.functions.stem import stem
 from postlake.operators import segments
 from postlake.operators.grammar import Expr, Leaf, parse
@@ -102,11 +101,8 @@ def build(docs: DataFrame, columns: dict[str, str], path: str, weights: dict[str
 
 def updated(index: Index, changed: DataFrame, gone: DataFrame | None = None, upto: int | None = None) -> Index:
     """The index with a segment of new and changed documents in their present form, without what ``gone`` (doc_id) names. Nothing else is read as text."""
-    spark, aside = changed.sparkSession, f"{index.path}/work-{uuid.uuid4().hex}"
-    _posted(changed, index.columns, index.stemmed).write.parquet(aside)  # tokens are made once
-    out = segments.added(index, spark, spark.read.parquet(aside), _texts(index, changed), gone, upto)
-    files.remove(spark, aside)
-    return out
+    posted = _posted(changed, index.columns, index.stemmed)
+    return segments.added(index, changed.sparkSession, changed.select("doc_id"), posted, _texts(index, changed), gone, upto)
 
 
 def upkeep(index: Index, spark: SparkSession) -> Index:

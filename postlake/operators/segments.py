@@ -8,7 +8,7 @@ into one, so a posting is rewritten about log(documents) times in all.
 
 A segment holds, by bucket: ``postings`` (term, doc_id, col, len, positions; sorted by term), bucket -1 of it the length
 of each document; ``terms``, the dictionary, by a hash of a term's first two letters, sorted; ``gone``, the tombstones;
-and for substrings ``grams`` (three code points as a number, doc_id) and ``texts`` (the columns in lower case by a hash
+and for substrings ``grams`` (three code points as a number, a list of doc_ids; a row for each chunk of documents) and ``texts`` (the columns in lower case by a hash
 of the doc_id).
 
 Defined results: documents that share a doc_id, or have none, are one document with the postings of all of them.
@@ -36,6 +36,8 @@ EACH, LEAST, MOST, FAN = 4096, 4, 4096, 4
 SENT, NAMED = 100_000, 2000
 #: Manifests that stay, so readers of the one before keep their files.
 KEPT = 2
+#: (gram, document) pairs a chunk.
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -78,11 +80,11 @@ class Index:
     def folder(self, s: Segment, kind: str) -> str:
         return f"{self.path}/{s.name}/{kind}"
 
-    def rows(self, spark: SparkSession, kind: str, schema: str, pick: Callable[[Segment], Column | None]) -> DataFrame:
-        """Rows of all segments that ``pick`` wants of each (None: none of them) and no later segment voids."""
-        parts = [spark.read.schema(schema).parquet(self.folder(s, kind)).where(cond).withColumn("_seg", F.lit(k)) for k, s in enumerate(self.segments) if s.docs and (cond := pick(s)) is not None]
+    def rows(self, spark: SparkSession, kind: str, schema: str, pick: Callable[[Segment], Column | None], each: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+        """Rows of all segments that ``pick`` wants of each (None: none of them) and no later segment voids; ``each`` brings them to one row a document."""
+        parts = [each(spark.read.schema(schema).parquet(self.folder(s, kind)).where(cond)).withColumn("_seg", F.lit(k)) for k, s in enumerate(self.segments) if s.docs and (cond := pick(s)) is not None]
         if not parts:
-            return spark.createDataFrame([], schema)
+            return each(spark.createDataFrame([], schema))
         return self.live(spark, reduce(DataFrame.unionByName, parts))
 
     def live(self, spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -139,23 +141,32 @@ def grams_of(text: str) -> np.ndarray:
 
 
 def _grams(texts: DataFrame) -> DataFrame:
-    """gram, doc_id of each text (doc_id, texts)."""
+    """gram, docs: for each chunk of texts (doc_id, texts) the documents of each gram."""
+
+    def lists(grams: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
+        every = np.concatenate(grams)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        docs = pa.array(np.repeat(np.array(ids, np.int64), [len(g) for g in grams])[order])
+        return pa.RecordBatch.from_arrays([pa.array(every[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(every)).astype(np.int32)), docs)], ["gram", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, size = [], [], 0
         for batch in batches:
-            held, ids, size = [], [], 0
             for doc_id, values in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = np.unique(np.concatenate([grams_of(v) for v in values.as_py() if v and len(v) > 2] or [np.zeros(0, np.int64)]))
-                held.append(found)
-                ids += [doc_id] * len(found)
-                size += len(found)
-                if size > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(ids, pa.int64())], ["gram", "doc_id"])
+                if len(found) and doc_id is not None:
+                    held.append(found)
+                    ids.append(doc_id)
+                    size += len(found)
+                if size > CHUNK:
+                    yield lists(held, ids)
                     held, ids, size = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(ids, pa.int64())], ["gram", "doc_id"])
+        if held:
+            yield lists(held, ids)
 
-    return texts.select("doc_id", "texts").mapInArrow(run, "gram long, doc_id long")
+    return texts.select("doc_id", "texts").mapInArrow(run, "gram long, docs array<long>")
 
 
 def _layout(docs: int) -> tuple[int, int]:
@@ -166,25 +177,23 @@ def _layout(docs: int) -> tuple[int, int]:
     return buckets, max(2, -(-docs // (buckets * EACH)) * 2)
 
 
-def _put(df: DataFrame, key: str, order: list[str], parts: int, folder: str) -> None:
-    spread = F.pmod(F.xxhash64(key, "doc_id"), F.lit(parts)) if "doc_id" in df.columns else F.lit(0)
-    df.repartition("bucket", spread).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(folder)
+def _put(df: DataFrame, key: list[Column | str], order: list[str], parts: int, folder: str) -> None:
+    df.repartition("bucket", F.pmod(F.xxhash64(*key), F.lit(parts))).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(folder)
 
 
-def _written(index: Index, spark: SparkSession, postings: DataFrame, texts: DataFrame | None, grams: DataFrame | None, docs: int) -> Segment:
-    """A segment out of postings (bucket -1 for lengths), texts and grams, laid out for so many documents."""
+def _written(index: Index, spark: SparkSession, postings: DataFrame, texts: DataFrame | None, docs: int) -> Segment:
+    """A segment out of postings (bucket -1 for lengths) and texts, laid out for so many documents."""
     name = f"seg-{uuid.uuid4().hex}"
     buckets, parts = _layout(docs)
     place = F.when(F.col("bucket") < 0, -1).otherwise(bucket_of(F.col("term"), buckets)).cast("int")
-    _put(postings.withColumn("bucket", place), "term", ["term", "doc_id"], parts, f"{index.path}/{name}/postings")
+    _put(postings.withColumn("bucket", place), ["term", "doc_id"], ["term", "doc_id"], parts, f"{index.path}/{name}/postings")
     made = spark.read.schema(POSTING).parquet(f"{index.path}/{name}/postings")
     words = _dictionary(made.where("bucket >= 0")).withColumn("head", _head(F.col("term"), buckets))
     words.repartition("head").sortWithinPartitions("head", "term").write.partitionBy("head").parquet(f"{index.path}/{name}/terms")
     if texts is not None:
-        _put(texts.withColumn("bucket", bucket_of(F.col("doc_id"), buckets)), "doc_id", ["doc_id"], parts, f"{index.path}/{name}/texts")
-        if grams is None:
-            grams = _grams(spark.read.schema("doc_id long, texts array<string>, bucket int").parquet(f"{index.path}/{name}/texts"))
-        _put(grams.withColumn("bucket", bucket_of(F.col("gram"), buckets)), "gram", ["gram", "doc_id"], parts, f"{index.path}/{name}/grams")
+        _put(texts.withColumn("bucket", bucket_of(F.col("doc_id"), buckets)), ["doc_id"], ["doc_id"], parts, f"{index.path}/{name}/texts")
+        grams = _grams(spark.read.schema("doc_id long, texts array<string>, bucket int").parquet(f"{index.path}/{name}/texts"))
+        _put(grams.withColumn("bucket", bucket_of(F.col("gram"), buckets)), ["gram", F.get("docs", F.lit(0))], ["gram"], parts, f"{index.path}/{name}/grams")
     n, length = made.where("bucket = -1").agg(F.count("*"), F.sum("len")).first()
     return Segment(name, buckets, n, int(length or 0))
 
@@ -219,12 +228,9 @@ def opened(spark: SparkSession, path: str, number: int | None = None) -> Index |
     return Index(**x | {"segments": tuple(Segment(**s) for s in x["segments"]), "grams": tuple(x["grams"])})
 
 
-def added(index: Index, spark: SparkSession, posted: DataFrame, texts: DataFrame | None, gone: DataFrame | None, upto: int | None = None) -> Index:
-    """The index with one more segment: postings of new and changed documents, and tombstones for ``gone`` (doc_id) and all of them.
-
-    ``posted`` must not change between reads.
-    """
-    own = posted.where("bucket = -1").select("doc_id").distinct()
+def added(index: Index, spark: SparkSession, ids: DataFrame, posted: DataFrame, texts: DataFrame | None, gone: DataFrame | None, upto: int | None = None) -> Index:
+    """The index with one more segment: postings of new and changed documents (``ids``: doc_id, a row each), and tombstones for ``gone`` (doc_id) and all of them."""
+    docs, own = ids.count(), ids.select("doc_id").distinct()
     seg, void = None, None
     if index.segments:
         void = own if gone is None else own.unionByName(gone.select("doc_id")).distinct()
@@ -235,12 +241,12 @@ def added(index: Index, spark: SparkSession, posted: DataFrame, texts: DataFrame
         aside = f"{index.path}/void-{uuid.uuid4().hex}"
         held.write.parquet(aside)
         void = spark.read.parquet(aside)
-        ids, n, length = void.agg(F.count("*"), F.sum("n"), F.sum("len")).first()
-    seg = _written(index, spark, posted, texts, None, posted.where("bucket = -1").count())
+        voided, n, length = void.agg(F.count("*"), F.sum("n"), F.sum("len")).first()
+    seg = _written(index, spark, posted, texts, docs)
     if index.segments:
-        if ids:
+        if voided:
             void.select("doc_id").sort("doc_id").write.parquet(f"{index.path}/{seg.name}/gone")
-            seg = replace(seg, gone=ids, gone_docs=int(n), gone_length=int(length))
+            seg = replace(seg, gone=voided, gone_docs=int(n), gone_length=int(length))
         files.remove(spark, aside)
     return committed(replace(index, segments=(*index.segments, seg), upto=index.upto if upto is None else upto), spark)
 
@@ -262,12 +268,9 @@ def merged(index: Index, spark: SparkSession, begin: int | None = None) -> Index
     own = index.segments[begin:]
     part = replace(index, segments=own)
     docs = sum(s.docs for s in own)
-    texts = grams = None
-    if index.grams:
-        texts = part.rows(spark, "texts", "doc_id long, texts array<string>, bucket int", lambda s: F.lit(True)).drop("bucket")
-        grams = part.rows(spark, "grams", "gram long, doc_id long, bucket int", lambda s: F.lit(True)).drop("bucket")
+    texts = part.rows(spark, "texts", "doc_id long, texts array<string>, bucket int", lambda s: F.lit(True)).drop("bucket") if index.grams else None
     postings = part.rows(spark, "postings", POSTING, lambda s: F.lit(True))
-    seg = _written(index, spark, postings, texts, grams, docs)
+    seg = _written(index, spark, postings, texts, docs)
     net, length = sum(s.docs - s.gone_docs for s in own), sum(s.length - s.gone_length for s in own)
     seg = replace(seg, gone_docs=seg.docs - net, gone_length=seg.length - length)
     if begin and any(s.gone for s in own):
@@ -289,11 +292,13 @@ def holding(index: Index, spark: SparkSession, needle: str, rarest: int = 4) ->
         return none
     wanted = grams_of(lower).tolist()
     of = lambda s, keys: reduce(Column.__or__, ((F.col("bucket") == bucket_of(F.lit(k).cast("long"), s.buckets)) & (F.col("gram") == k) for k in keys))
-    counts = index.rows(spark, "grams", "gram long, doc_id long, bucket int", lambda s: of(s, wanted)).groupBy("gram").count().collect() if len(wanted) > rarest else []
-    keys = sorted(wanted, key=lambda g: dict(counts).get(g, 0))[:rarest] if counts else wanted
-    if counts and len(counts) < len(wanted):
+    lists, flat = "gram long, docs array<long>, bucket int", lambda x: x.select("gram", F.explode("docs").alias("doc_id"))
+    # How many documents a gram has, tombstones aside, tells which are rare; one that has none ends it.
+    counts = dict(reduce(DataFrame.unionByName, (spark.read.schema(lists).parquet(index.folder(s, "grams")).where(of(s, wanted)).select("gram", F.size("docs").alias("n")) for s in index.segments if s.docs)).groupBy("gram").agg(F.sum("n")).collect()) if index.n else {}
+    if len(counts) < len(wanted):
         return none
-    found = index.rows(spark, "grams", "gram long, doc_id long, bucket int", lambda s: of(s, keys)).groupBy("doc_id").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(keys)).select("doc_id")
+    keys = sorted(wanted, key=lambda g: (counts[g], g))[:rarest]
+    found = index.rows(spark, "grams", lists, lambda s: of(s, keys), flat).groupBy("doc_id").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(keys)).select("doc_id")
     few = [r[0] for r in found.limit(NAMED + 1).collect()]
     schema = "doc_id long, texts array<string>, bucket int"
     if len(few) <= NAMED:

@@ -182,7 +182,10 @@ def _(spark, d):
 
 @query("segments_merged", f"SELECT x AS term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM ({_TERMS.format('text')} UNION ALL {_TERMS.format('string_split(text, chr(10))[1]')}) GROUP BY x", emails=False)
 def _(spark, d):
-    return segments.merged(segmented(spark, d), spark, 0).terms(spark)
+    key = spark.sparkContext.applicationId, f"merged segments of {d}"
+    if key not in _OPENED:
+        _OPENED[key] = segments.merged(segmented(spark, d), spark, 0)
+    return _OPENED[key].terms(spark)
 
 @query("term_statistics", f"SELECT x AS term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM ({_TERMS.format('text')} UNION ALL {_TERMS.format('string_split(text, chr(10))[1]')}) GROUP BY x", emails=False)
 def _(spark, d):
