@@ -43,8 +43,8 @@ def records(pages: DataFrame, per_file: int = RECORDS) -> DataFrame:
 
 
 def archive(recs: DataFrame) -> DataFrame:
-    """file, content: whole WARC files, records in the order of their ids. A file holds a bounded number of records."""
-    ordered = F.sort_array(F.collect_list(F.struct("page_id", "record")))
+    """file, content: whole WARC files, records in the order of their ids, of one id in that of their digests, as ``leaves`` has them. A file holds a bounded number of records."""
+    ordered = F.sort_array(F.collect_list(F.struct("page_id", F.sha2("record", 256).alias("digest"), "record")))
     return recs.groupBy("file").agg(F.expr("''").alias("_"), ordered.alias("r")).select("file", F.aggregate("r", F.lit(b""), lambda a, x: F.concat(a, x["record"])).alias("content"))
 
 

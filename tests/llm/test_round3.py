@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.llm import fim, mixing, periodic, queries
+from postlake.llm import fim, mixing, periodic, queries, warc
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, source string"
@@ -204,3 +204,12 @@ def test_periodic_runs_query(spark):
 def test_rows_without_an_id_are_not_planted(spark, docs, empty):
     got = {(r["doc_id"], r["text"]) for r in queries.planted(docs).where("doc_id is null or text is null").collect()}
     assert (None, PROSE[:700]) in got and (2, None) in got and queries.planted(empty).count() == 0
+
+
+# WARC
+def test_ranges_are_those_of_the_written_file(spark):
+    rows = [(5, f"u{k}", f"<p>{'x' * (k * 7 % 5)}{k}</p>") for k in range(6)] + [(None, f"n{k}", f"<b>{k}</b>") for k in range(3)] + [(6, "u", None)]
+    recs = warc.records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    files = {r["file"]: bytes(r["content"]) for r in warc.archive(recs).collect()}
+    leaves = warc.leaves(recs).collect()
+    assert len(leaves) == len(rows) and all(hashlib.sha256(files[r["file"]][r["first"] : r["end"]]).hexdigest() == r["digest"] for r in leaves)
