@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postlake.llm import classifier, fingerprints, minhash, packing, quality_rules
 from postlake.llm.queries import table, vocabulary
-from postlake.llm.shared import shared_dir
+from postlake.llm.shared import delete, shared_dir
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each is written to the shared folder and reread by the next."""
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over `documents`; each is written to the shared folder and reread by the next, and goes once that is whole."""
+    docs, base, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{base}/{name}"
     return docs
