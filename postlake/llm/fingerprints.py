@@ -179,7 +179,7 @@ class FingerprintIndex:
         """doc_id, found: windows of the new batch that the past or a smaller id of the batch has. The batch is a run then.
 
         ``batch`` names it: adding the last batch again meets every run but its own. The answers lie beside the run, a
-        document in several rows. ``anchors`` (doc_id, found) leaves out the windows without one of their document's.
+        document in several rows, and are replaced when the batch is added again. ``anchors`` (doc_id, found) leaves out the windows without one of their document's.
         """
         n, few, past = self.n, anchors is not None, [x for x in self.runs() if x != f"run-{batch}"]
         if len(past) > self.most:
