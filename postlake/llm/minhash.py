@@ -12,7 +12,9 @@ signatures estimate the same measure. A pair at 0.8 shares one of the BANDS band
 Documents with equal word sequences (128-bit digests) are one class from the start and enter as their smallest
 doc_id. Each band group is first compared with its smallest member; then members of different classes, which two bits a
 slot of both do not rule out (SPREAD standard errors below ``least``; 3 in 100,000 pairs at ``least`` are), are verified
-in blocks. So a group is not expanded into rows of pairs, and pairs within a class need no comparison.
+in blocks: sketches first, then the sets of those left, where one set meets many in a few array operations that give
+the similarity, or no less than it where weights differ. So a group is not expanded into rows of pairs, and pairs
+within a class need no comparison. A text of any length enters whole; its set is held in one block with others.
 
 Defined results: a text that is null or has no word is a class of its own; ties keep the smallest doc_id; a null
 doc_id is left out of comparison and kept; rows that repeat a doc_id are documents of their own, whose first row (in
@@ -33,8 +35,10 @@ from postlake.llm.components import components
 from postlake.llm.shared import Scratch, numbered, written
 
 SHINGLE, M, BANDS, ROWS, SPREAD = 5, 512, 51, 10, 4
-#: Members of a group that are compared with as many others in one place.
-BLOCK = 500
+#: Members of a group whose sketches are compared with as many others in one place.
+BLOCK = 4096
+#: Bytes of sets that are compared with as many others in one place (a longer set comes whole).
+BYTES = 8 << 20
 #: So many ids (8 bytes each) are sent to all tasks at most; above it the join shuffles.
 SENT = 1_000_000
 _U = np.uint64
@@ -160,83 +164,193 @@ def _weighted(blob: bytes, many: bytes) -> tuple[np.ndarray, np.ndarray]:
     return x, w
 
 
+class Held:
+    """Weighted sets of one block, none empty, over which one set is compared with many at once."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.sets, self.size = sets, np.array([len(x) for x, _ in sets], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.weights = np.concatenate([w for _, w in sets])
+        names, self.ids = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)
+        self.total, self.most = np.add.reduceat(self.weights, self.first), np.maximum.reduceat(self.weights, self.first)
+        self.mine = np.zeros(len(names))
+
+    def bound(self, i: int, others: np.ndarray) -> np.ndarray:
+        """At least the probability Jaccard similarity of set i to each of the others, and just that where no weight is above 1.
+
+        The sum over j of max(x_j / x_i, y_j / y_i) is no less than all of x over x_i and what is in y alone over y_i,
+        and x_i / y_i is no less than 1 over the greatest weight of y.
+        """
+        own = slice(self.first[i], self.first[i] + self.size[i])
+        self.mine[self.ids[own]] = self.weights[own]
+        at, cut = hashing.ranges(self.first[others], self.size[others]), np.cumsum(self.size[others]) - self.size[others]
+        x = self.mine[self.ids[at]]
+        both_x, both_y = np.add.reduceat(x, cut), np.add.reduceat(np.where(x > 0, self.weights[at], 0.0), cut)
+        self.mine[self.ids[own]] = 0
+        only_x, only_y = self.total[i] - both_x, self.total[others] - both_y
+        return np.minimum(both_x / (self.total[i] + only_y / self.most[others]), both_y / (self.total[others] + only_x / self.most[i]))
+
+    def linked(self, i: int, j: int, bound: float, least: float) -> bool:
+        plain = self.most[i] == self.most[j] == 1
+        return (bound if plain else probability_jaccard(*self.sets[i], *self.sets[j])) >= least - 1e-9
+
+
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id; set: shingle hashes in order; many: places and counts of those that occur more than once; of the texts of ``ids``."""
+    """doc_id; n: shingles; set: their hashes in order; many: places and counts of those that occur more than once; of the texts of ``ids``."""
 
     def run(batches):
         for batch in batches:
-            found = [x for _, _, buf, off in hashing.texts(batch) for x in shingle_sets(buf, off)]
-            many = [np.flatnonzero(c > 1) for _, c in found]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([e.tobytes() for e, _ in found], pa.binary()),
-                pa.array([np.stack([m, c[m]]).astype("<i8").tobytes() for m, (_, c) in zip(many, found)], pa.binary()),
-            ], ["doc_id", "set", "many"])
+            for a, b, buf, off in hashing.texts(batch):
+                found = [*shingle_sets(buf, off)]
+                many = [np.flatnonzero(c > 1) for _, c in found]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a, b - a), pa.array([len(e) for e, _ in found], pa.int64()), pa.array([e.tobytes() for e, _ in found], pa.binary()),
+                    pa.array([np.stack([m, c[m]]).astype("<i8").tobytes() for m, (_, c) in zip(many, found)], pa.binary()),
+                ], ["doc_id", "n", "set", "many"])
 
     # Texts stay where they are unless the ids are too many to be sent.
     sent = F.broadcast(ids) if ids.count() <= SENT else ids
-    return docs.select("doc_id", "text").join(sent, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary, many binary")
+    return docs.select("doc_id", "text").join(sent, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, set binary, many binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose weighted shingles have a probability Jaccard similarity of at least ``least``."""
+def _parts(units: int, each: int) -> int:
+    n = 64
+    while n * each < units:
+        n *= 2
+    return n
 
-    def compare(batches):
-        for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("sa", "ma", "sb", "mb"))
-            ok = [probability_jaccard(*_weighted(sa, ma), *_weighted(sb, mb)) >= least - 1e-9 for sa, ma, sb, mb in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    needed = scratch.written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "needed")
+def _runs(rows: pa.Table, *names: str):
+    """Row ranges of a sorted table in which the named columns do not change."""
+    cols = [rows[c].to_numpy() for c in names]
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new).tolist()
+    return zip(first, [*first[1:], len(rows)])
+
+
+def _held(rows: pa.Table) -> Held:
+    return Held([_weighted(x, m) for x, m in zip(rows["set"].to_pylist(), rows["many"].to_pylist())])
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _starred(stars: DataFrame, docs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """Those pairs of a centre a and a member b that link.
+
+    The members of a centre are dealt in blocks of about BYTES of sets; each block gets the centre's set once.
+    """
+    needed = scratch.written(stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct(), "needed")
     of = scratch.written(_sets(docs, needed), "sets")
-    side = lambda x: of.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"), F.col("many").alias(f"m{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "ma", "sb", "mb").mapInArrow(compare, "a long, b long")
+    blocks = scratch.written(stars.join(of.select(F.col("doc_id").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("n")), "blocks")
+    parts = _parts(8 * (blocks.agg(F.sum("n")).first()[0] or 0), BYTES)
+    dealt = stars.join(blocks.select("a", F.ceil(F.col("n") * 8 / BYTES).cast("int").alias("blocks")), "a")
+    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("doc_id"))
+    centres = dealt.select("a", "block").distinct().withColumn("doc_id", F.col("a"))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, out = table.sort_by([("a", "ascending"), ("block", "ascending"), ("doc_id", "ascending")]), []
+        for x, y in _runs(rows, "a", "block"):
+            unit = rows.slice(x, y - x)
+            centre, ids, held = unit["a"][0].as_py(), unit["doc_id"].to_numpy(), _held(unit)
+            c = int(np.flatnonzero(ids == centre)[0])
+            others = np.flatnonzero(ids != centre)
+            bound = held.bound(c, others)
+            out += [(centre, int(ids[j])) for j, m in zip(others.tolist(), bound) if m >= least - 1e-6 and held.linked(c, j, m, least)]
+        return _pairs(out)
+
+    whole = dealt.unionByName(centres).join(of, "doc_id")
+    return whole.withColumn("part", F.pmod(F.xxhash64("a", "block"), F.lit(parts))).groupBy("part").applyInArrow(run, "a long, b long")
+
+
+def _met(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows of groups (key), dealt in as many blocks as ``blocks`` (key, blocks) says: own, and lo, hi for each two blocks that meet."""
+    own = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "blocks")
+
+
+_ORDER = [(c, "ascending") for c in ("key", "lo", "hi", "cls", "doc_id")]
+
+
+def _bits_of(rows: pa.Table) -> np.ndarray:
+    cols = rows["bits"].combine_chunks().flatten() if len(rows) else []
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in cols], 1).view(np.uint64) if len(rows) else np.zeros((0, len(_BITS)), np.uint64)
+
+
+def _later(i: int, bits: np.ndarray, cls: np.ndarray, own: np.ndarray, alone: bool, most: int, skip: np.ndarray | None = None) -> np.ndarray:
+    """The rows after i, of other classes (and blocks, where two meet), whose sketches leave a link possible."""
+    ok = (cls[i + 1 :] != cls[i]) & (alone | (own[i + 1 :] != own[i]))
+    if skip is not None:
+        ok &= ~skip[cls[i + 1 :]]
+    j = i + 1 + np.flatnonzero(ok)
+    apart = bits[j] ^ bits[i]
+    return j[np.bitwise_count((apart | apart >> _U(1)) & _U(0x5555555555555555)).sum(1, dtype=np.int64) <= most]
+
+
+def _possible(mixed: DataFrame, most: int) -> DataFrame:
+    """The rows of ``mixed`` with a possible partner of another class in their group; only sketches travel."""
+    blocks = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = _met(mixed, blocks)
+    schema = mixed.schema
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by(_ORDER)
+        bits, cls, own, some = _bits_of(rows), rows["cls"].to_numpy(), rows["own"].to_numpy(), np.zeros(len(rows), bool)
+        lo, hi = rows["lo"].to_numpy(), rows["hi"].to_numpy()
+        for x, y in _runs(rows, "key", "lo", "hi"):
+            for i in range(y - x - 1):
+                j = _later(i, bits[x:y], cls[x:y], own[x:y], lo[x] == hi[x], most)
+                some[x + j] = True
+                some[x + i] |= len(j) > 0
+        return rows.select(schema.names).filter(pa.array(some))
+
+    parts = _parts(dealt.count(), 2 * BLOCK)
+    met = dealt.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(parts))).groupBy("part").applyInArrow(run, schema)
+    return met.dropDuplicates(["key", "doc_id"])
 
 
 def _across(mixed: DataFrame, docs: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """a, b: links between members of one group (key, doc_id, cls, bits) that are of different classes, one at least for each two classes that have any.
 
-    Members without a possible partner go first. Groups are dealt in blocks of about BLOCK members, and each two blocks
-    are compared in one place, so no group is held whole and only links are written.
+    Groups are dealt in blocks, and each two blocks are compared in one place, so no group is held whole and only links
+    are written. Members without a possible partner go first, by sketches alone; the others' blocks hold about BYTES of sets.
     """
-    x, y = (mixed.select("key", *(F.col(c).alias(f"{c}_{v}") for c in ("doc_id", "cls", "bits"))) for v in "xy")
-    left = x.join(y, (x["key"] == y["key"]) & (F.col("cls_x") != F.col("cls_y")) & _leave_possible("bits_x", "bits_y", least), "left_semi")
-    left = scratch.written(left.select("key", *(F.col(f"{c}_x").alias(c) for c in ("doc_id", "cls", "bits"))), "left")
+    p = (1 - least) * 3 / 4
+    most = int(M * p + SPREAD * (M * p * (1 - p)) ** 0.5)
+    left = scratch.written(_possible(mixed, most), "left")
     of = scratch.written(_sets(docs, scratch.written(left.select("doc_id").distinct(), "needed")), "sets")
-    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = left.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "doc_id", "cls", "bits", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    n = 64
-    while n * 2 * BLOCK < dealt.count():
-        n *= 2
-    worst = int(M * (1 - least) * 3 / 4 + SPREAD * (M * (1 - least) * 3 / 4 * (1 - (1 - least) * 3 / 4)) ** 0.5)
+    sized = left.join(of.select("doc_id", "n"), "doc_id").groupBy("key").agg(F.sum("n").alias("n"))
+    blocks = scratch.written(sized.withColumn("blocks", F.ceil(F.col("n") * 8 / BYTES).cast("int")), "blocks")
+    parts = _parts(8 * (blocks.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0), BYTES)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("doc_id", "ascending")])
-        key, lo, hi, doc, cls, own = (rows[c].to_numpy() for c in ("key", "lo", "hi", "doc_id", "cls", "own"))
-        flat = rows["bits"].combine_chunks().flatten()
-        bits = np.stack([c.to_numpy(zero_copy_only=False) for c in flat], 1).view(np.uint64) if len(key) else np.zeros((0, len(_BITS)), np.uint64)
-        sets, manies, out, met = rows["set"], rows["many"], [], set()
-        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)]):
-            held: dict[int, tuple] = {}
-            for i in range(a, b):
-                j = np.arange(i + 1, b)
-                j = j[(cls[j] != cls[i]) & ((lo[i] == hi[i]) | (own[j] != own[i]))]
-                apart = bits[j] ^ bits[i]
-                j = j[np.bitwise_count((apart | apart >> _U(1)) & _U(0x5555555555555555)).sum(1) <= worst]
-                for k in j.tolist():
-                    two = (min(cls[i], cls[k]), max(cls[i], cls[k]))
-                    if two in met:
-                        continue
-                    for m in (i, k):
-                        if m not in held:
-                            held[m] = _weighted(sets[m].as_py(), manies[m].as_py())
-                    if probability_jaccard(*held[i], *held[k]) >= least - 1e-9:
-                        met.add(two)
-                        out.append((min(doc[i], doc[k]), max(doc[i], doc[k])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    return dealt.join(of, "doc_id").withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n))).groupBy("part").applyInArrow(run, "a long, b long").distinct()
+        rows, out = table.sort_by(_ORDER), []
+        for x, y in _runs(rows, "key", "lo", "hi"):
+            unit = rows.slice(x, y - x)
+            bits, ids, held, own = _bits_of(unit), unit["doc_id"].to_numpy(), _held(unit), unit["own"].to_numpy()
+            names, cls = np.unique(unit["cls"].to_numpy(), return_inverse=True)
+            alone, linked = unit["lo"][0] == unit["hi"][0], np.zeros(len(names), bool)
+            for i in range(y - x - 1):
+                if i and cls[i] != cls[i - 1]:
+                    linked[:] = False
+                j = _later(i, bits, cls, own, alone, most, linked)
+                if not len(j):
+                    continue
+                bound = held.bound(i, j)
+                for k in np.flatnonzero(bound >= least - 1e-6).tolist():
+                    other = int(j[k])
+                    if not linked[cls[other]] and held.linked(i, other, bound[k], least):
+                        linked[cls[other]] = True
+                        out.append((min(int(ids[i]), int(ids[other])), max(int(ids[i]), int(ids[other]))))
+        return _pairs(out)
+
+    dealt = _met(left, blocks.select("key", "blocks")).join(of, "doc_id")
+    return dealt.withColumn("part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(parts))).groupBy("part").applyInArrow(run, "a long, b long").distinct()
 
 
 def _classes(docs: DataFrame, least: float) -> DataFrame:
@@ -253,7 +367,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         with_bits = lambda df, x: df.join(bits.select(F.col("doc_id").alias(x), F.col("bits").alias(f"bits_{x}")), x)
         stars = s.written(member.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
         near = s.written(with_bits(with_bits(stars, "a"), "b").where(_leave_possible("bits_a", "bits_b", least)).select("a", "b"), "near")
-        links = s.written(_verified(near, docs, least, s), "links")
+        links = s.written(_starred(near, docs, least, s), "links")
         found = s.written(components(links, "a", "b", s.folder), "found")
         # Groups that still hold several classes are compared across classes.
         placed = member.select("key", "doc_id").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("cls"))

@@ -206,6 +206,49 @@ def test_probability_jaccard():
     assert abs(same - want) < 0.04
 
 
+def test_bound_of_many_sets_holds():
+    """Never below the similarity; equal to it where nothing repeats."""
+    rng = np.random.default_rng(3)
+    for top in (1, 6):
+        sets = []
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 60, rng.integers(1, 80)).astype(np.uint64))
+            sets.append((x, minhash.weight(rng.integers(1, top + 1, len(x)))))
+        held = minhash.Held(sets)
+        for i in range(39):
+            j = np.arange(i + 1, 40)
+            got, want = held.bound(i, j), np.array([minhash.probability_jaccard(*sets[i], *sets[k]) for k in j])
+            assert (got >= want - 1e-9).all() and (top > 1 or np.allclose(got, want))
+            assert all(held.linked(i, k, g, 0.4) == (w >= 0.4 - 1e-9) for k, g, w in zip(j.tolist(), got, want))
+
+
+@pytest.mark.parametrize("block, size", [(4096, 8 << 20), (15, 16_000)])
+def test_minhash_of_a_template(spark, monkeypatch, block, size):
+    """Texts of one template that share bands: some link in chains, most do not; in one block and in many."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BYTES", size)
+    rng, rows = np.random.default_rng(8), []
+    for i in range(36):
+        own = [f"o{i // 3}x{j}" for j in range(28 - 4 * (i % 3))] + [f"p{i}x{j}" for j in range(4 * (i % 3))]
+        text = [f"t{j}" for j in range(80)] + own
+        rows.append((int(i), " ".join(text + text[: int(rng.integers(0, 12))])))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert got == want and 3 < len(set(want.values())) < 36
+
+
+def test_minhash_recall(spark):
+    """Every id divisible by 50 against all rows of a table: links by brute force end in one class."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets, names = {}, {}
+    for r in table.select("doc_id", "text").collect():
+        own = sorted((names.setdefault(k, len(names)), w) for k, w in shingles(r["text"]).items())
+        sets[r["doc_id"]] = np.array([k for k, _ in own], np.uint64), np.array([w for _, w in own])
+    of = {r["doc_id"]: r["class_id"] for r in minhash.classes(table).collect()}
+    links = [(q, d) for q in sets if q % 50 == 0 for d in sets if d != q and minhash.probability_jaccard(*sets[q], *sets[d]) >= 0.8]
+    assert links and all(of[q] == of[d] for q, d in links)
+
+
 def thue_morse(a, b, n, sep=""):
     return sep.join((a, b)[bin(k).count("1") % 2] for k in range(n)), sep.join((b, a)[bin(k).count("1") % 2] for k in range(n))
 
