@@ -1,18 +1,21 @@
 """A persistent inverted index: postings by term bucket in segments, scored by weighted BM25.
 
-A row of the postings is one term in one column of one document: term, doc_id, col, len (tokens of the whole document),
-positions. They are partitioned by a hash of the term and sorted by term, so a query reads the buckets of its words only
+A posting is one term in one column of one document: term, doc_id, col, len (tokens of the whole document), positions.
+They are written in lists, one for each term of a chunk of documents, partitioned by a hash of the term and sorted by term, so a query reads the buckets of its words only
 and shuffles nothing but their postings, once, by document. See ``segments`` for how the index is kept and changed.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
+import itertools
 import re
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +23,10 @@ from pyspark.sql import functions as F
 from postlake.functions.stem import stem
 from postlake.operators import segments
 from postlake.operators.grammar import Expr, Leaf, parse
-from postlake.operators.segments import POSTING, Index, bucket_of
+from postlake.operators.segments import Index, bucket_of
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 _WORD = re.compile(r"[^\W_]+")
-_ARROW = pa.schema([("bucket", pa.int32()), ("term", pa.string()), ("doc_id", pa.int64()), ("col", pa.string()), ("len", pa.int32()), ("positions", pa.list_(pa.int32()))])
-#: Rows that leave a task at once.
-_ROWS = 20_000
 
 
 def folded(text: str) -> str:
@@ -41,46 +41,66 @@ def tokens(text: str | None, stemmed: bool = True) -> list[str]:
     return [*map(stem, found)] if stemmed else found
 
 
-class _Rows:
-    """Postings by column, so that no row is an object of its own."""
-
-    def __init__(self):
-        self.held = [[] for _ in _ARROW]
-
-    def add(self, *values) -> None:
-        for c, v in zip(self.held, values):
-            c.append(v)
-
-    def taken(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.held, _ARROW)], schema=_ARROW)
-        self.__init__()
-        return out
+class _Chunk:
+    """The tokens of some documents in numbers, put by term at once."""
+
+    def __init__(self, stemmed: bool):
+        self.stemmed, self.terms = stemmed, collections.defaultdict(itertools.count().__next__)
+        self.ids, self.lens, self.parts, self.size = [], [], [], 0
+
+    def add(self, doc_id: int | None, texts: list[str | None]) -> None:
+        size = 0
+        for col, text in enumerate(texts):
+            if own := tokens(text, False):
+                self.parts.append((len(self.ids), col, np.fromiter(map(self.terms.__getitem__, own), np.int32, len(own))))
+                size += len(own)
+        self.ids.append(doc_id)
+        self.lens.append(size)
+        self.size += size
+
+    def lists(self) -> pa.RecordBatch:
+        """``LISTS`` of the chunk, its lengths (without a term) first."""
+        ids, lens = pa.array(self.ids, pa.int64()), np.array(self.lens, np.int32)
+        sizes = np.array([len(c) for _, _, c in self.parts], np.int64)
+        codes = np.concatenate([np.zeros(0, np.int32), *(c for _, _, c in self.parts)])
+        terms = [*self.terms]
+        if self.stemmed and terms:
+            terms, again = np.unique([*map(stem, terms)], return_inverse=True)
+            terms, codes = terms.tolist(), again[codes]
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        part = np.repeat(np.arange(len(sizes)), sizes)[order]
+        place = (order - np.repeat(np.cumsum(sizes) - sizes, sizes)[order]).astype(np.int32)
+        new = np.ones(len(codes), bool)
+        new[1:] = codes[1:] != codes[:-1]
+        row = np.flatnonzero(new)  # where a term's tokens begin
+        new[1:] |= part[1:] != part[:-1]
+        entry = np.flatnonzero(new)  # and those of one column of one document
+        doc = np.array([d for d, _, _ in self.parts], np.int64)[part[entry]]
+        col = np.array([c for _, c, _ in self.parts], np.int8)[part[entry]]
+        # The first list is that of the lengths: as many entries as documents, no positions.
+        zero = np.zeros(len(ids), np.int32)
+        rows = np.append(0, len(ids) + np.searchsorted(entry, row))
+        found = pa.array([None, *(terms[k] for k in codes[row].tolist())], pa.string())
+        many = np.append(entry[1:], len(codes)) - entry if len(codes) else entry
+        return segments.packed(found, rows, pa.concat_arrays([ids, ids.take(pa.array(doc))]), np.append(zero, col), np.append(lens, lens[doc]), np.append(zero, many), place)
 
 
 def _posted(docs: DataFrame, columns: dict[str, str], stemmed: bool) -> DataFrame:
-    """Postings in bucket 0, and a row of length only for each document in bucket -1."""
+    """Lists of postings (``LISTS``) by chunks of documents; a list without a term holds the lengths of a chunk's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Rows()
+        chunk = _Chunk(stemmed)
         for batch in batches:
             for i, d in enumerate(batch.column(0).to_pylist()):
-                found, size = [], 0
-                for k, name in enumerate(columns):
-                    at: dict[str, list[int]] = {}
-                    own = tokens(batch.column(k + 1)[i].as_py(), stemmed)
-                    for p, t in enumerate(own):
-                        at.setdefault(t, []).append(p)
-                    size += len(own)
-                    found.append((name, at))
-                out.add(-1, None, d, None, size, None)
-                for name, at in found:
-                    for t, p in at.items():
-                        out.add(0, t, d, name, size, p)
-                if len(out.held[0]) > _ROWS:
-                    yield out.taken()
-        yield out.taken()
-
-    return docs.select("doc_id", *(F.col(c).alias(f"c{k}") for k, c in enumerate(columns.values()))).mapInArrow(run, "bucket int, term string, doc_id long, col string, len int, positions array<int>")
+                chunk.add(d, [batch.column(k + 1)[i].as_py() for k in range(len(columns))])
+                if chunk.size > segments.CHUNK or len(chunk.ids) > segments.CHUNK:
+                    yield chunk.lists()
+                    chunk = _Chunk(stemmed)
+        if chunk.ids:
+            yield chunk.lists()
+
+    return docs.select("doc_id", *(F.col(c).alias(f"c{k}") for k, c in enumerate(columns.values()))).mapInArrow(run, segments.LISTS.replace(", bucket int", ""))
 
 
 def _texts(index: Index, docs: DataFrame) -> DataFrame | None:
@@ -149,9 +169,9 @@ def matches(index: Index, spark: SparkSession, query: str, scope: str | None = N
         # Folded to literals, so that only these buckets are listed and read.
         conds = [(F.col("bucket") == bucket_of(F.lit(t), s.buckets)) & (F.col("term") == t) for t in whole]
         conds += [F.col("bucket").isin(at[s.name]) & F.startswith("term", F.lit(t)) for t, at in begun.items() if at[s.name]]
-        return functools.reduce(Column.__or__, conds) & (F.lit(True) if scope is None else F.col("col") == scope) if conds else None
+        return functools.reduce(Column.__or__, conds) if conds else None
 
-    found = index.rows(spark, "postings", POSTING, pick)
+    found = index.postings(spark, pick).where(F.lit(True) if scope is None else F.col("col") == scope)
     hit = lambda t, prefix: F.startswith("term", F.lit(t)) if prefix else F.col("term") == t
     held = found.groupBy("doc_id", "col").agg(F.first("len").alias("len"), *(F.flatten(F.collect_list(F.when(hit(*a), F.col("positions")))).alias(f"p{k}") for k, a in enumerate(atoms)))
     at = {a: F.col(f"p{k}") for k, a in enumerate(atoms)}

@@ -6,10 +6,10 @@ lists the segments in order; it is written aside and named at once, so readers s
 and a crash leaves a folder that no manifest names. Once enough segments of like size are at the end they are merged
 into one, so a posting is rewritten about log(documents) times in all.
 
-A segment holds, by bucket: ``postings`` (term, doc_id, col, len, positions; sorted by term), bucket -1 of it the length
-of each document; ``terms``, the dictionary, by a hash of a term's first two letters, sorted; ``gone``, the tombstones;
-and for substrings ``grams`` (three code points as a number, a list of doc_ids; a row for each chunk of documents) and ``texts`` (the columns in lower case by a hash
-of the doc_id).
+A segment holds, by bucket: ``postings`` in lists (a row for each term of a chunk of documents, see ``LISTS``; sorted by
+term), bucket -1 of it the length of each document; ``terms``, the dictionary, by a hash of a term's first two letters, sorted; ``gone``, the tombstones;
+and for substrings ``grams`` (three code points as a number, a list of doc_ids; a row for each chunk of documents) and ``texts`` (the columns in lower case, in files as the
+documents came, each sorted by doc_id; they are not by bucket).
 
 Defined results: documents that share a doc_id, or have none, are one document with the postings of all of them.
 """
@@ -24,20 +24,24 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake import files
 
 POSTING = "term string, doc_id long, col string, len int, positions array<int>, bucket int"
+#: Postings of one term in a chunk of documents, how many documents they are of, and by posting the document (its distance from the one before), the column's place in the index, the document's length and the number of positions; then all positions (distances too).
+LISTS = "term string, n int, docs array<long>, cols array<tinyint>, lens array<int>, sizes array<int>, gaps array<int>, bucket int"
+TEXTS = "doc_id long, texts array<string>"
 #: Documents a bucket is made for, buckets of a segment at least and at most (more are spread inside), and segments of like size that are merged.
-EACH, LEAST, MOST, FAN = 4096, 4, 4096, 4
+EACH, LEAST, MOST, FAN = 16384, 4, 4096, 4
 #: Ids up to this many are sent to the tasks, or named in a filter (fewer), instead of joined by a shuffle.
-SENT, NAMED = 100_000, 2000
+SENT, NAMED = 2_000_000, 2000
 #: Manifests that stay, so readers of the one before keep their files.
 KEPT = 2
-#: (gram, document) pairs a chunk.
-CHUNK = 1 << 20
+#: (gram, document) pairs, or tokens, a chunk; and rows that are folded into lists at once.
+CHUNK, FOLDED = 1 << 22, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -95,12 +99,25 @@ class Index:
         last = F.broadcast(last) if sum(s.gone for s in self.segments) <= SENT else last
         return rows.join(last, "doc_id", "left").where("_by is null or _seg >= _by").drop("_seg", "_by")
 
-    def postings(self, spark: SparkSession) -> DataFrame:
-        return self.rows(spark, "postings", POSTING, lambda s: F.col("bucket") >= 0)
+    def postings(self, spark: SparkSession, pick: Callable[[Segment], Column | None] = lambda s: F.col("bucket") >= 0) -> DataFrame:
+        """Postings (``POSTING``) of the terms that ``pick`` wants of each segment."""
+        return self.rows(spark, "postings", LISTS, pick, self.unfolded)
+
+    def unfolded(self, lists: DataFrame) -> DataFrame:
+        """A row for each posting of the lists, in their order."""
+        names = pa.array([*self.columns], pa.string())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in _unfolded(batch, names):
+                    yield part
+
+        return lists.select(*LISTS.replace(",", " ").split()[::2]).mapInArrow(run, POSTING)
 
     def lengths(self, spark: SparkSession, where: Column | None = None) -> DataFrame:
         """doc_id, len of every document; a row for each that shares a doc_id."""
-        return self.rows(spark, "postings", POSTING, lambda s: (F.col("bucket") == -1) & (F.lit(True) if where is None else where)).select("doc_id", "len")
+        each = lambda x: self.unfolded(x).select("doc_id", "len").where(F.lit(True) if where is None else where)
+        return self.rows(spark, "postings", LISTS, lambda s: F.col("bucket") == -1, each)
 
     def terms(self, spark: SparkSession) -> DataFrame:
         """term, df, tf over the whole index: the dictionary of a single segment, or counted anew where tombstones are."""
@@ -130,6 +147,110 @@ def _head(term: Column, buckets: int) -> Column:
     return bucket_of(F.left(term, F.lit(2)), buckets)
 
 
+def _gaps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The distance of each value from the one before; at ``first`` the value itself."""
+    out = np.diff(values, prepend=values[:1])
+    out[first] = values[first]
+    return out
+
+
+def _sums(gaps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The values that the gaps are of; no stretch is empty."""
+    upto = np.cumsum(gaps)
+    return upto - np.repeat(upto[first] - gaps[first], np.diff(np.append(first, len(gaps))))
+
+
+def packed(terms: pa.Array, row: np.ndarray, docs: pa.Array, cols: np.ndarray, lens: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """``LISTS`` out of postings in order: ``row`` tells where each term's begin, and no term is without one."""
+    ends = np.append(row, len(docs)).astype(np.int32)
+    # A null doc_id repeats the one before, so that distances pass over it.
+    known = docs.is_valid().to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(docs, 0).to_numpy()
+    if not known.all():
+        at = np.maximum.accumulate(np.where(known, np.arange(len(ids)), -1))
+        ids = np.where((at >= np.repeat(row, np.diff(ends))) & (at >= 0), ids[at], 0)
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = ids[1:] != ids[:-1]
+    fresh[row] = True
+    # Of a list that begins with nulls the first known document counts.
+    n = np.add.reduceat((fresh & known).astype(np.int64), row) if len(row) else np.zeros(0, np.int64)
+    if not known.all():
+        n = np.array([len(np.unique(ids[a:b][known[a:b]])) for a, b in zip(ends[:-1], ends[1:])], np.int64)
+    upto = np.append(0, np.cumsum(sizes.astype(np.int64)))
+    some = upto[:-1][sizes > 0]
+    of = lambda values, at=ends: pa.ListArray.from_arrays(pa.array(at), values)
+    gaps = _gaps(places.astype(np.int32), some) if len(places) else places.astype(np.int32)
+    cells = [of(pa.array(_gaps(ids, row) if len(ids) else ids, pa.int64(), mask=~known)), of(pa.array(cols.astype(np.int8))), of(pa.array(lens.astype(np.int32))), of(pa.array(sizes.astype(np.int32))), of(pa.array(gaps), upto[ends].astype(np.int32))]
+    return pa.RecordBatch.from_arrays([terms, pa.array(n.astype(np.int32)), *cells], ["term", "n", "docs", "cols", "lens", "sizes", "gaps"])
+
+
+def _unfolded(batch: pa.RecordBatch, names: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Postings of lists, some thousands of them at once."""
+    size = np.append(0, np.cumsum(pc.list_value_length(batch["gaps"]).to_numpy(zero_copy_only=False) + pc.list_value_length(batch["docs"]).to_numpy(zero_copy_only=False)))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(size, size[a] + FOLDED * 4, "right")) - 1)
+        x, a = batch.slice(a, b - a), b
+        flat = {name: pc.list_flatten(x[name]) for name in ("docs", "cols", "lens", "sizes", "gaps")}
+        many = pc.list_value_length(x["docs"]).to_numpy(zero_copy_only=False)
+        row = np.cumsum(many) - many
+        docs = _sums(pc.fill_null(flat["docs"], 0).to_numpy(), row[many > 0])
+        sizes = flat["sizes"].to_numpy()
+        upto = np.append(0, np.cumsum(sizes.astype(np.int64)))
+        places = _sums(flat["gaps"].to_numpy(), upto[:-1][sizes > 0]).astype(np.int32)
+        of = pa.array(np.repeat(np.arange(x.num_rows), many))
+        cells = [x["term"].take(of), pa.array(docs, pa.int64(), mask=flat["docs"].is_null().to_numpy(zero_copy_only=False)), names.take(flat["cols"]), flat["lens"], pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(places)), x["bucket"].take(of)]
+        yield pa.RecordBatch.from_arrays(cells, ["term", "doc_id", "col", "len", "positions", "bucket"])
+
+
+def folded(postings: DataFrame, columns: list[str]) -> DataFrame:
+    """Lists out of postings: one for each stretch of rows of one term that a task meets; a term's postings of one document must come in a row."""
+
+    def lists(t: pa.Table) -> pa.RecordBatch:
+        part = {name: t[name].combine_chunks() for name in t.column_names}
+        sizes = pc.fill_null(pc.list_value_length(part["positions"]), 0).to_numpy(zero_copy_only=False)
+        cols = pc.fill_null(pc.index_in(part["col"], pa.array(columns, pa.string())), 0).to_numpy(zero_copy_only=False)
+        first, _ = _changes(t, ("term",))
+        return packed(part["term"].take(pa.array(first)), first, part["doc_id"], cols, part["len"].to_numpy(zero_copy_only=False), sizes, pc.list_flatten(part["positions"]).to_numpy(zero_copy_only=False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= FOLDED:
+                t = pa.Table.from_batches(held).combine_chunks()
+                # The last document of the last term may go on.
+                _, last = _changes(t, ("term", "doc_id"))
+                if last:
+                    yield lists(t.slice(0, last))
+                held, size = pa.Table.from_batches(t.slice(last).to_batches()).to_batches(), t.num_rows - last
+        if size:
+            yield lists(pa.Table.from_batches(held))
+
+    return postings.select("term", "doc_id", "col", "len", "positions").mapInArrow(run, LISTS.replace(", bucket int", ""))
+
+
+def _changes(t: pa.Table, keys: tuple[str, ...]) -> tuple[np.ndarray, int]:
+    """The rows at which a stretch of equal keys begins, and the last of them."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        codes = pc.fill_null(pc.dictionary_encode(t[key].combine_chunks()).indices, -1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    first = np.flatnonzero(new)
+    return first, int(first[-1]) if len(first) else 0
+
+
+def _counted(index: Index, lists: DataFrame) -> DataFrame:
+    """The dictionary of one segment's lists. A list tells how many documents it is of; only where documents share a doc_id are these counted by their ids."""
+    ids = index.unfolded(lists.where("bucket = -1")).select("doc_id")
+    lists = lists.where("bucket >= 0")
+    if ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _dictionary(index.unfolded(lists))
+    return lists.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tf"))
+
+
 def _dictionary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("bucket", "term").agg(F.countDistinct("doc_id").alias("df"), F.sum(F.size("positions")).cast("long").alias("tf"))
 
@@ -178,24 +299,24 @@ def _layout(docs: int) -> tuple[int, int]:
 
 
 def _put(df: DataFrame, key: list[Column | str], order: list[str], parts: int, folder: str) -> None:
-    df.repartition("bucket", F.pmod(F.xxhash64(*key), F.lit(parts))).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(folder)
+    df.repartition("bucket", F.pmod(F.xxhash64(*key), F.lit(parts))).sortWithinPartitions("bucket", *order).write.option("compression", "zstd").partitionBy("bucket").parquet(folder)
 
 
-def _written(index: Index, spark: SparkSession, postings: DataFrame, texts: DataFrame | None, docs: int) -> Segment:
-    """A segment out of postings (bucket -1 for lengths) and texts, laid out for so many documents."""
+def _written(index: Index, spark: SparkSession, lists: DataFrame, texts: DataFrame | None, docs: int) -> Segment:
+    """A segment out of lists of postings (without a term: of lengths) and texts, laid out for so many documents."""
     name = f"seg-{uuid.uuid4().hex}"
     buckets, parts = _layout(docs)
-    place = F.when(F.col("bucket") < 0, -1).otherwise(bucket_of(F.col("term"), buckets)).cast("int")
-    _put(postings.withColumn("bucket", place), ["term", "doc_id"], ["term", "doc_id"], parts, f"{index.path}/{name}/postings")
-    made = spark.read.schema(POSTING).parquet(f"{index.path}/{name}/postings")
-    words = _dictionary(made.where("bucket >= 0")).withColumn("head", _head(F.col("term"), buckets))
+    place = F.when(F.col("term").isNull(), -1).otherwise(bucket_of(F.col("term"), buckets)).cast("int")
+    _put(lists.withColumn("bucket", place), ["term", F.get("docs", F.lit(0))], ["term"], parts, f"{index.path}/{name}/postings")
+    made = spark.read.schema(LISTS).parquet(f"{index.path}/{name}/postings")
+    words = _counted(index, made).withColumn("head", _head(F.col("term"), buckets))
     words.repartition("head").sortWithinPartitions("head", "term").write.partitionBy("head").parquet(f"{index.path}/{name}/terms")
     if texts is not None:
-        _put(texts.withColumn("bucket", bucket_of(F.col("doc_id"), buckets)), ["doc_id"], ["doc_id"], parts, f"{index.path}/{name}/texts")
-        grams = _grams(spark.read.schema("doc_id long, texts array<string>, bucket int").parquet(f"{index.path}/{name}/texts"))
+        texts.sortWithinPartitions("doc_id").write.option("compression", "zstd").parquet(f"{index.path}/{name}/texts")
+        grams = _grams(spark.read.schema(TEXTS).parquet(f"{index.path}/{name}/texts"))
         _put(grams.withColumn("bucket", bucket_of(F.col("gram"), buckets)), ["gram", F.get("docs", F.lit(0))], ["gram"], parts, f"{index.path}/{name}/grams")
-    n, length = made.where("bucket = -1").agg(F.count("*"), F.sum("len")).first()
-    return Segment(name, buckets, n, int(length or 0))
+    n, length = made.where("bucket = -1").agg(F.sum(F.size("docs")), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    return Segment(name, buckets, int(n or 0), int(length or 0))
 
 
 def committed(index: Index, spark: SparkSession) -> Index:
@@ -229,7 +350,7 @@ def opened(spark: SparkSession, path: str, number: int | None = None) -> Index |
 
 
 def added(index: Index, spark: SparkSession, ids: DataFrame, posted: DataFrame, texts: DataFrame | None, gone: DataFrame | None, upto: int | None = None) -> Index:
-    """The index with one more segment: postings of new and changed documents (``ids``: doc_id, a row each), and tombstones for ``gone`` (doc_id) and all of them."""
+    """The index with one more segment: lists of postings of new and changed documents (``ids``: doc_id, a row each), and tombstones for ``gone`` (doc_id) and all of them."""
     docs, own = ids.count(), ids.select("doc_id").distinct()
     seg, void = None, None
     if index.segments:
@@ -268,9 +389,11 @@ def merged(index: Index, spark: SparkSession, begin: int | None = None) -> Index
     own = index.segments[begin:]
     part = replace(index, segments=own)
     docs = sum(s.docs for s in own)
-    texts = part.rows(spark, "texts", "doc_id long, texts array<string>, bucket int", lambda s: F.lit(True)).drop("bucket") if index.grams else None
-    postings = part.rows(spark, "postings", POSTING, lambda s: F.lit(True))
-    seg = _written(index, spark, postings, texts, docs)
+    texts = part.rows(spark, "texts", TEXTS, lambda s: F.lit(True)) if index.grams else None
+    postings = part.postings(spark, lambda s: F.lit(True))
+    if sum(s.gone for s in own) > SENT:
+        postings = postings.sortWithinPartitions("term", "doc_id")
+    seg = _written(index, spark, folded(postings, [*index.columns]), texts, docs)
     net, length = sum(s.docs - s.gone_docs for s in own), sum(s.length - s.gone_length for s in own)
     seg = replace(seg, gone_docs=seg.docs - net, gone_length=seg.length - length)
     if begin and any(s.gone for s in own):
@@ -284,7 +407,7 @@ def holding(index: Index, spark: SparkSession, needle: str, rarest: int = 4) ->
     """doc_id of the documents with a column that holds the needle in any case; shorter ones than three characters find nothing.
 
     Postings of the needle's rarest grams are intersected, then the needle is looked for in the texts of the documents
-    left, of which only their buckets are read.
+    left, of which only row groups that may hold their ids are read.
     """
     none = spark.createDataFrame([], "doc_id long")
     lower = spark.range(1).select(F.lower(F.lit(needle))).first()[0]
@@ -300,18 +423,8 @@ def holding(index: Index, spark: SparkSession, needle: str, rarest: int = 4) ->
     keys = sorted(wanted, key=lambda g: (counts[g], g))[:rarest]
     found = index.rows(spark, "grams", lists, lambda s: of(s, keys), flat).groupBy("doc_id").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(keys)).select("doc_id")
     few = [r[0] for r in found.limit(NAMED + 1).collect()]
-    schema = "doc_id long, texts array<string>, bucket int"
     if len(few) <= NAMED:
-        at = _buckets(spark, few, {s.buckets for s in index.segments}) if few else {}
-        texts = index.rows(spark, "texts", schema, lambda s: F.col("bucket").isin(at[s.buckets]) & F.col("doc_id").isin(few) if few else None)
+        texts = index.rows(spark, "texts", TEXTS, lambda s: F.col("doc_id").isin(few) if few else None)
     else:
-        texts = index.rows(spark, "texts", schema, lambda s: F.lit(True)).join(found, "doc_id", "left_semi")
+        texts = index.rows(spark, "texts", TEXTS, lambda s: F.lit(True)).join(found, "doc_id", "left_semi")
     return texts.where(F.exists("texts", lambda t: F.contains(t, F.lit(lower)))).select("doc_id").distinct()
-
-
-
-def _buckets(spark: SparkSession, keys: list[int], counts: set[int]) -> dict[int, list[int]]:
-    """For each number of buckets, those in which the keys lie."""
-    every = spark.createDataFrame([(k,) for k in keys], "key long")
-    row = every.agg(*(F.collect_set(bucket_of(F.col("key"), n)).alias(str(n)) for n in sorted(counts))).first()
-    return {n: sorted(row[str(n)]) for n in counts}
