@@ -18,7 +18,7 @@ import functools
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,33 +31,50 @@ from postlake.llm import bpe
 from postlake.llm.shared import Scratch, written
 
 
+class Recent(dict):
+    """What ``make`` gives for a key; a full table becomes the older one, which keeps what is asked for again until the next is full."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= bpe.RUN:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of white-space runs: words are cut here and merged by the tokenizers library; both are kept until ``most`` are held."""
+    """Little-endian ids of white-space runs: words are cut here and merged by the tokenizers library; up to twice ``most`` runs and ``most`` words are kept."""
 
-    def __init__(self, path: str, most: int = 120_000):
-        self.bpe, self.most = bpe.loaded(path), most
+    def __init__(self, path: str, most: int = 200_000):
+        self.bpe = bpe.loaded(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         bare = {"normalizer", "pre_tokenizer", "post_processor", "decoder", "truncation", "padding"}
         self.model = Tokenizer.from_str(json.dumps(spec | dict.fromkeys(bare) | {"added_tokens": []})).model
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.runs = bpe.Cached(self._run, most)
+        self.words, self.runs = Recent(self._word, most // 2), Recent(self._run, most)
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         if len(word) > bpe.RUN:
-            return tuple(self.bpe.word_ids[word])
-        if len(self.words) >= self.most:
-            self.words.clear()
-        ids = self.words[word] = tuple([t.id for t in self.model.tokenize("".join(self.bpe.symbols(word)))])
-        return ids
+            ids = self.bpe.word_ids[word]
+        else:
+            # Printable ASCII stands for itself in the byte alphabet.
+            plain = word.isascii() and word.isalnum()
+            ids = [t.id for t in self.model.tokenize(word if plain else "".join(self.bpe.symbols(word)))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _run(self, run: str) -> bytes:
-        known = self.words.get
         low = self.bpe.normal(run)
-        ids: list[int] = []
-        for w in (low,) if low.isascii() and low.isalpha() else self.bpe.pretoken.findall(low):
-            ids += known(w) or self._word(w)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if low.isascii() and low.isalpha():
+            return self.words[low]
+        return b"".join(map(self.words.__getitem__, self.bpe.pretoken.findall(low)))
 
     def of(self, runs: list[str]) -> bytes:
         """Little-endian ids of runs in a row."""

@@ -3,6 +3,10 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from tokenizers import Tokenizer
+
+from postlake.llm import packing
+from postlake.llm.queries import vocabulary
 from postlake.operators import index, segments
 
 
@@ -36,3 +40,22 @@ def test_folded_lists_unfold_to_the_same(monkeypatch):
     assert back["doc_id"].to_pylist() == docs.to_pylist() and back["len"].to_pylist() == lens.tolist()
     assert [p for v in back["positions"].to_pylist() for p in v] == places.tolist() and [len(v) for v in back["positions"].to_pylist()] == sizes.tolist()
     assert back["col"].to_pylist() == ["xy"[c] for c in cols] and back["term"].to_pylist() == [f"t{k}" for k in np.repeat(np.arange(30), many)]
+
+
+def test_words_met_again_are_not_merged_again():
+    """A full table of words goes on as the older one; what returns is taken from there."""
+    made = []
+    kept = packing.Recent(lambda w: made.append(w) or w.encode(), 4)
+    for k in range(40):
+        assert kept["often"] == b"often" and kept[f"w{k}"] == f"w{k}".encode()
+        assert len(kept) + len(kept.older) <= 8
+    assert made.count("often") == 1 and len(made) == 41
+
+
+def test_ids_are_those_of_the_library():
+    path = vocabulary()
+    whole = Tokenizer.from_file(path)
+    e = packing.Encoder(path, 6)
+    for text in ("The café, don't 42nd Σίσυφος!", "naïve\x7f ab cd x1y2 ４２ é", "a b c a b c d e f g a b c", "word" * 100):
+        want = np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert b"".join(e.of(p) if isinstance(p, list) else np.array(e.bpe.run(p), "<u4").tobytes() for p in e.bpe.pieces(text)) == want
