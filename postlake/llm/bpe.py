@@ -49,7 +49,6 @@ class Bpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
         self.ranks = {p: i for i, p in enumerate(pairs)}
-        self.lookahead = sufficient_lookahead(pairs, self.suffix)
         self.longest = max((self._size(a + b) for a, b in pairs), default=1)
         self.letters = byte_alphabet()
         self.bytes_of = {c: i for i, c in enumerate(self.letters)}
@@ -68,6 +67,11 @@ class Bpe:
         self.byte_level_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.whole = all(x in self.vocab and x + self.suffix in self.vocab for x in self.letters)
 
+    @functools.cached_property
+    def lookahead(self) -> int:
+        """Found when a word is long enough for the transducer."""
+        return sufficient_lookahead([*self.ranks], self.suffix)
+
     def _size(self, token: str) -> int:
         return len(token.removesuffix(self.suffix)) if self.suffix else len(token)
 
@@ -148,10 +152,13 @@ class Bpe:
             at = m.end()
         return [*out, *self.plain(text[at:])]
 
+    def odd(self, text: str) -> bool:
+        """Whether a text has to be taken as it is, not by its white-space runs."""
+        return not self.drops_space or any(c in text for c in "\x1c\x1d\x1e\x1f") or any(x in text for x in self.special)
+
     def pieces(self, text: str) -> Iterator[str | list[str]]:
         """White-space runs of a text, some thousands at a time; or a str that has to be taken as it is."""
-        odd = not self.drops_space or any(c in text for c in "\x1c\x1d\x1e\x1f") or any(x in text for x in self.special)
-        if odd:
+        if self.odd(text):
             yield text
             return
         a = 0

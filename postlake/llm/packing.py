@@ -15,21 +15,27 @@ rows whose doc_id is null or repeated are texts of their own, each piece in one
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from postlake.llm import bpe
+from postlake.llm import bpe, hashing
 from postlake.llm.shared import Scratch, written
 
+#: Texts are encoded together up to so many bytes; a longer one goes alone, piece by piece.
+TOGETHER = 2 << 20
+
 
 class Recent(dict):
     """What ``make`` gives for a key; a full table becomes the older one, which keeps what is asked for again until the next is full."""
@@ -51,18 +57,24 @@ class Recent(dict):
 
 
 class Encoder:
-    """Little-endian ids of white-space runs: words are cut here and merged by the tokenizers library; up to twice ``most`` runs and ``most`` words are kept."""
+    """Little-endian ids of white-space runs: many runs are normalised and cut into words at once, and words merged by the tokenizers library; up to twice ``most`` words are kept."""
+
+    #: Stands between runs; no id.
+    BREAK = 0xFFFFFFFF
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 100_000):
         self.bpe = bpe.loaded(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         bare = {"normalizer", "pre_tokenizer", "post_processor", "decoder", "truncation", "padding"}
         self.model = Tokenizer.from_str(json.dumps(spec | dict.fromkeys(bare) | {"added_tokens": []})).model
-        self.words, self.runs = Recent(self._word, most // 2), Recent(self._run, most)
+        self.words = Recent(self._word, most)
+        self.pretoken = regex.compile(rf"\n|{self.bpe.pretoken.pattern}")
 
     def _word(self, word: str) -> bytes:
-        if len(word) > bpe.RUN:
+        if word == "\n":
+            ids = [self.BREAK]
+        elif len(word) > bpe.RUN:
             ids = self.bpe.word_ids[word]
         else:
             # Printable ASCII stands for itself in the byte alphabet.
@@ -70,15 +82,27 @@ class Encoder:
             ids = [t.id for t in self.model.tokenize(word if plain else "".join(self.bpe.symbols(word)))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _run(self, run: str) -> bytes:
-        low = self.bpe.normal(run)
-        if low.isascii() and low.isalpha():
-            return self.words[low]
-        return b"".join(map(self.words.__getitem__, self.bpe.pretoken.findall(low)))
+    def _lines(self, runs: str) -> np.ndarray:
+        """Ids of runs that each end with a line feed, a BREAK after each: neither normal form nor words reach across one."""
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.pretoken.findall(self.bpe.normal(runs)))), "<u4")
 
     def of(self, runs: list[str]) -> bytes:
         """Little-endian ids of runs in a row."""
-        return b"".join(map(self.runs.__getitem__, runs))
+        ids = self._lines("".join(f"{x}\n" for x in runs))
+        return ids[ids != self.BREAK].tobytes()
+
+    def together(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without a null and with white space as the only cuts, and where each text ends; each distinct run is encoded once."""
+        lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        names = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        ids = self._lines(pc.binary_join(names, "\n")[0].as_py() + "\n" * bool(len(coded.dictionary)))
+        end = np.flatnonzero(ids == self.BREAK)
+        first = np.concatenate(([0], end[:-1] + 1))[: len(end)]
+        code = coded.indices.to_numpy()
+        size = (end - first)[code]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        return ids[hashing.ranges(first[code], size)], upto[np.cumsum(pc.list_value_length(lists).to_numpy())]
 
 
 @functools.lru_cache(2)
@@ -93,29 +117,56 @@ def _ids(text: str, path: str) -> Iterator[bytes]:
         yield np.fromiter(e.bpe.run(piece), np.dtype("<u4")).tobytes() if isinstance(piece, str) else e.of(piece)
 
 
-def cut(text: str, path: str, capacity: int, end_id: int) -> Iterator[tuple[int, int, int]]:
-    """start, length and crc32 of each piece of at most ``capacity`` ids, the end id included; holds one piece."""
+def _cut(blocks: Iterable[bytes], capacity: int, end_id: int) -> Iterator[tuple[int, int, int]]:
     held, start, full = b"", 0, 4 * capacity
-    for ids in [_ids(text, path), [np.array([end_id], "<u4").tobytes()]]:
-        for more in ids:
-            held += more
-            while len(held) >= full:
-                yield start, capacity, zlib.crc32(held[:full])
-                held, start = held[full:], start + capacity
+    for more in itertools.chain(blocks, [np.array([end_id], "<u4").tobytes()]):
+        held += more
+        while len(held) >= full:
+            yield start, capacity, zlib.crc32(held[:full])
+            held, start = held[full:], start + capacity
     if held:
         yield start, len(held) // 4, zlib.crc32(held)
 
 
+def cut(text: str, path: str, capacity: int, end_id: int) -> Iterator[tuple[int, int, int]]:
+    """start, length and crc32 of each piece of at most ``capacity`` ids, the end id included; holds one piece."""
+    return _cut(_ids(text, path), capacity, end_id)
+
+
+def cut_all(texts: pa.StringArray, path: str, capacity: int, end_id: int) -> Iterator[tuple[int, tuple[int, int, int]]]:
+    """The place of each text and a piece of it, as ``cut`` gives them; texts of about TOGETHER bytes are encoded at once."""
+    e, waiting, held = _encoder(path), [], 0
+
+    def encoded():
+        ids, ends = e.together(texts.take(pa.array(waiting, pa.int64())))
+        for at, a, b in zip(waiting, [0, *ends.tolist()], ends.tolist()):
+            yield from ((at, x) for x in _cut([ids[a:b].tobytes()], capacity, end_id))
+
+    texts = pc.fill_null(texts, "")
+    for at, size in enumerate(pc.binary_length(texts).to_pylist()):
+        text = texts[at].as_py()
+        if size > TOGETHER or e.bpe.odd(text):
+            yield from ((at, x) for x in cut(text, path, capacity, end_id))
+            continue
+        if held + size > TOGETHER:
+            yield from encoded()
+            waiting, held = [], 0
+        waiting.append(at)
+        held += size
+    if waiting:
+        yield from encoded()
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every text."""
 
     def run(batches):
         for batch in batches:
-            rows = [(d, k, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for k, x in enumerate(cut(t.as_py() or "", path, capacity, end_id))]
-            cols = [*zip(*rows, strict=True)] if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            found = [*cut_all(batch.column(1), path, capacity, end_id)]
+            at, start, length, crc = (np.array(c, np.int64) for c in zip(*((at, *x) for at, x in found), strict=True)) if found else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array((start // capacity).astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:

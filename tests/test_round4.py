@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -59,3 +60,23 @@ def test_ids_are_those_of_the_library():
     for text in ("The café, don't 42nd Σίσυφος!", "naïve\x7f ab cd x1y2 ４２ é", "a b c a b c d e f g a b c", "word" * 100):
         want = np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert b"".join(e.of(p) if isinstance(p, list) else np.array(e.bpe.run(p), "<u4").tobytes() for p in e.bpe.pieces(text)) == want
+
+
+def test_texts_encoded_together_give_the_pieces_of_each(monkeypatch):
+    """op9: a run that comes again is cut into words once a chunk; pieces are those of the library's ids, whatever the chunks."""
+    path = vocabulary()
+    whole = Tokenizer.from_file(path)
+    texts = ["", None, "  a  b ", "\u0085x　y z\xa0q᠎w​v", "a\x1cb c", "x" * 3000 + " y", "İstanbul ΣΑΣ ﬁ é é ́", "one " * 900, "\n", "'s don't 12,3.4", f"a {[*packing.bpe.loaded(path).special][0]} b", "one two, one"]
+    want = []
+    for at, t in enumerate(texts):
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(at, (s, len(x), zlib.crc32(np.array(x, "<u4").tobytes()))) for s in range(0, len(ids), 64) for x in [ids[s : s + 64]]]
+    for most in (1 << 20, 40, 1):
+        monkeypatch.setattr(packing, "TOGETHER", most)
+        assert sorted(packing.cut_all(pa.array(texts), path, 64, 1)) == want
+    e = packing.Encoder(path)
+    cut = []
+    monkeypatch.setattr(e.bpe, "normal", lambda t, f=e.bpe.normal: cut.append(t) or f(t))
+    ids, ends = e.together(pa.array(["one two", "", "two one one"]))
+    assert [x.split() for x in cut] == [["one", "two"]] and ends.tolist() == [len(ids) * 2 // 5, len(ids) * 2 // 5, len(ids)]
+    assert [x.tolist() for x in e.together(pa.array([], pa.string()))] == [[], []]
