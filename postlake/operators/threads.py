@@ -58,27 +58,39 @@ _OUT = ("id", "thread_id", "position", "depth")
 NODE = "id long, message_id string, thread_id long, position long, depth long, root_id long, root_date long, root_subject string, part long, part_date long, place long"
 
 
-def _graph(emails: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, when it was first seen, the message if there is one), and possible parents (node, parent, at: the first link that says so)."""
+def _entries(emails: DataFrame) -> DataFrame:
+    """The ids of each message's chain: id, pos, node, parent (the id before it, if another), above (whether another id follows), m (the message, with its own id)."""
     subject = F.col("subject_norm") if "subject_norm" in emails.columns else F.lit(None).cast("string")
     named = F.filter(_chain(emails), lambda c: c.isNotNull() & (c != ""))
-    rows = emails.where("message_id is not null").select("id", "message_id", F.concat(named, F.array("message_id")).alias("c"), F.col("date_received").cast("long").alias("date"), subject.alias("subject"))
-    at = F.struct("id", "pos").alias("at")
-    seen = rows.select("id", F.posexplode("c").alias("pos", "node")).groupBy("node").agg(F.min(at).alias("seen"))
-    known = rows.groupBy(F.col("message_id").alias("node")).agg(F.max_by(F.struct("id", "date", "subject"), "id").alias("m"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(F.get("c", i - 1).alias("a"), F.get("c", i).alias("b")))
-    links = rows.where(F.size("c") > 1).select("id", F.posexplode(pairs).alias("pos", "p")).where("p.a <> p.b").groupBy(F.col("p.b").alias("node"), F.col("p.a").alias("parent")).agg(F.min(at).alias("at"))
-    return seen.join(known, "node", "left").select("node", "seen", "m"), links
+    rows = emails.where("message_id is not null").select("id", F.concat(named, F.array("message_id")).alias("c"), F.col("date_received").cast("long").alias("date"), subject.alias("subject"))
+    rows = rows.select("*", F.posexplode("c").alias("pos", "node"))
+    before, after = F.get("c", F.col("pos") - 1), F.get("c", F.col("pos") + 1)
+    m = F.when(after.isNull(), F.struct("id", "date", "subject"))
+    return rows.select("id", "pos", "node", F.when(before != F.col("node"), before).alias("parent"), F.coalesce(after != F.col("node"), F.lit(False)).alias("above"), m.alias("m"))
+
+
+def _graph(emails: DataFrame) -> DataFrame:
+    """Nodes: node, when it was first seen, the message if there is one and how many copies, the parent by the first link that says so and that link, and whether any link makes it a parent."""
+    at = F.struct("id", "pos")
+    link = F.when(F.col("parent").isNotNull(), F.struct(at.alias("at"), "parent"))
+    grouped = _entries(emails).groupBy("node").agg(F.min(at).alias("seen"), F.max_by("m", F.when(F.col("m").isNotNull(), F.col("id"))).alias("m"), F.count("m").alias("copies"), F.min(link).alias("p"), F.max("above").alias("above"))
+    return grouped.select("node", "seen", "m", "copies", "p.parent", "p.at", "above")
+
+
+def _links(emails: DataFrame) -> DataFrame:
+    """Possible parents: node, parent, at (the first link that says so)."""
+    return _entries(emails).where("parent is not null").groupBy("node", "parent").agg(F.min(F.struct("id", "pos")).alias("at"))
 
 
 def _climbed(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """For each node (node, parent, at, own: 1 for a message) its root, branch, depth and size, by pointer doubling.
+    """For each node with a parent (node, parent, at, own: 1 for a message) its root, branch, depth and size, by pointer doubling.
 
     In round k a node knows its 2^k-th ancestor, and the messages less than 2^k below it; the rounds are the logarithm of
-    the greatest depth. If links run in circles, the last link of each circle is given instead, as second value.
+    the greatest depth. Roots are not in the table: who is not found there has no parent. If links run in circles, the
+    last link of each circle is given instead, as second value.
     """
     up = F.col("parent")
-    state = scratch.written(nodes.select("node", up.alias("up"), F.coalesce(up, "node").alias("top"), F.when(up.isNotNull(), F.col("node")).alias("branch"), up.isNotNull().cast("long").alias("depth"), F.col("own").alias("size"), F.col("at").alias("last")), "climb")
+    state = scratch.written(nodes.where("parent is not null").select("node", up.alias("up"), up.alias("top"), F.col("node").alias("branch"), F.lit(1).cast("long").alias("depth"), F.col("own").alias("size"), F.col("at").alias("last")), "climb")
     before, reach = -1, 1
     while True:
         active = state.where("up is not null")
@@ -91,7 +103,7 @@ def _climbed(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame |
             return state, state.join(circle, "node", "left_semi").select("last").distinct()
         far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("branch").alias("branch2"), F.col("depth").alias("depth2"), F.col("last").alias("last2"))
         more = active.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
-        moved = active.join(far, "up").select("node", F.col("up2").alias("up"), F.col("top2").alias("top"), F.coalesce("branch2", "branch").alias("branch"), (F.col("depth") + F.col("depth2")).alias("depth"), "size", F.greatest("last", "last2").alias("last"))
+        moved = active.join(far, "up", "left").select("node", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), F.coalesce("branch2", "branch").alias("branch"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), "size", F.greatest("last", "last2").alias("last"))
         every = moved.unionByName(state.where("up is null")).join(more, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
         state, before, reach = scratch.written(every, "climb", over=state), n, 2 * reach
 
@@ -106,26 +118,26 @@ def _path_sums(values: DataFrame, scratch: Scratch) -> DataFrame:
     return state.select("node", "total")
 
 
-def nodes(emails: DataFrame, scratch: Scratch) -> DataFrame:
-    """The place of every message in its tree (``NODE``). No task holds a tree, so a chain or a list may be of any length.
-
-    A node's parent is what the first link says, by message id and place in its chain; a link that would close a circle
-    is refused, and the node takes the next. In a circle that is the last link: those before it stand, as from any of
-    them one comes to the node whose link was refused, and all its later links are later still.
-    """
-    found, links = _graph(emails)
-    found, links = scratch.written(found, "nodes"), scratch.written(links, "links")
-    refused = None
+def _trees(emails: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``nodes``, and the message ids (message_id) that several messages have."""
+    found = scratch.written(_graph(emails).withColumn("own", F.col("m").isNotNull().cast("long")), "nodes")
+    several = scratch.written(found.where("copies > 1").select(F.col("node").alias("message_id")), "several")
+    # Who is in no link is a tree alone, and is neither climbed nor summed.
+    linked = F.col("parent").isNotNull() | F.col("above")
+    alone, base = found.where(~linked), found.where(linked)
+    links = refused = None
     while True:
-        left = links if refused is None else links.join(refused, "node", "left").where("_not is null or at > _not").drop("_not")
-        parent = left.groupBy("node").agg(F.min(F.struct("at", "parent")).alias("p")).select("node", "p.parent", "p.at")
-        base = scratch.written(found.join(parent, "node", "left").withColumn("own", F.col("m").isNotNull().cast("long")), "base")
         climbed, last = _climbed(base, scratch)
         if last is None:
             break
+        links = scratch.written(_links(emails), "links") if links is None else links
         now = links.join(last.withColumnRenamed("last", "at"), "at", "left_semi").select("node", F.col("at").alias("_not"))
         refused = scratch.written((now if refused is None else now.unionByName(refused)).groupBy("node").agg(F.max("_not").alias("_not")), "refused")
-    x = scratch.written(base.join(climbed.drop("up", "last"), "node"), "x")
+        left = links.join(refused, "node", "left").where("_not is null or at > _not")
+        parent = left.groupBy("node").agg(F.min(F.struct("at", "parent")).alias("p")).select("node", "p.parent", "p.at")
+        base = scratch.written(found.where(linked).drop("parent", "at").join(parent, "node", "left"), "base")
+    x = base.join(climbed.drop("up", "last"), "node", "left").withColumns({"top": F.coalesce("top", "node"), "depth": F.coalesce("depth", F.lit(0))})
+    x = scratch.written(x, "x")
     day = F.coalesce("m.date", F.lit(0))
     siblings = x.where("parent is not null").select("node", "parent", "size", day.alias("_day"), F.col("seen.id").alias("_id"), F.col("seen.pos").alias("_pos"))
     ahead = running(siblings, "parent", [F.col("_day"), F.col("_id"), F.col("_pos")], "size", "ahead", scratch).select("node", "ahead")
@@ -136,14 +148,28 @@ def nodes(emails: DataFrame, scratch: Scratch) -> DataFrame:
     roots = placed.where("node = top").select("top", F.col("m.id").alias("root_id"), day.alias("root_date"), F.col("m.subject").alias("root_subject"))
     branches = placed.where("node = branch").select("branch", F.col("position").alias("part"), day.alias("part_date"))
     out = placed.where("own = 1").join(firsts.join(roots, "top"), "top").join(branches, "branch", "left")
-    return out.select(F.col("m.id").alias("id"), F.col("node").alias("message_id"), "thread_id", "position", "depth", "root_id", "root_date", "root_subject", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("part_date", F.lit(0)).alias("part_date"), (F.col("position") - F.coalesce("part", F.lit(0))).alias("place"))
+    out = out.select(F.col("m.id").alias("id"), F.col("node").alias("message_id"), "thread_id", "position", "depth", "root_id", "root_date", "root_subject", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("part_date", F.lit(0)).alias("part_date"), (F.col("position") - F.coalesce("part", F.lit(0))).alias("place"))
+    own, none = F.col("m.id"), F.lit(0).cast("long")
+    alone = alone.select(own.alias("id"), F.col("node").alias("message_id"), own.alias("thread_id"), none.alias("position"), none.alias("depth"), own.alias("root_id"), day.alias("root_date"), F.col("m.subject").alias("root_subject"), none.alias("part"), none.alias("part_date"), none.alias("place"))
+    return out.unionByName(alone), several
+
+
+def nodes(emails: DataFrame, scratch: Scratch) -> DataFrame:
+    """The place of every message in its tree (``NODE``). No task holds a tree, so a chain or a list may be of any length.
+
+    A node's parent is what the first link says, by message id and place in its chain; a link that would close a circle
+    is refused, and the node takes the next. In a circle that is the last link: those before it stand, as from any of
+    them one comes to the node whose link was refused, and all its later links are later still.
+    """
+    return _trees(emails, scratch)[0]
 
 
 def merged(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Trees whose root is a message with one non-empty subject become children of the earliest such root, among its own by date."""
     roots = nodes.where("position = 0 and id = root_id and root_subject <> ''").select("root_id", "root_subject", "root_date")
     groups = roots.groupBy("root_subject").agg(F.min(F.struct("root_date", "root_id")).alias("first"), F.count("*").alias("trees")).where("trees > 1").select("root_subject", F.col("first.root_id").alias("anchor"))
-    at = scratch.written(nodes.join(roots.join(groups, "root_subject").select("root_id", "anchor"), "root_id", "left"), "at")
+    # Every message knows the subject of its root (null if that was never seen), so trees need not be gathered first.
+    at = nodes.join(scratch.written(groups, "groups"), "root_subject", "left")
     alone, joined = at.where("anchor is null"), at.where("anchor is not null")
     # Parts: branches of the anchor by their dates, and whole other trees by their roots'; each lies in one stretch.
     own = F.col("root_id") == F.col("anchor")
@@ -154,10 +180,18 @@ def merged(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return alone.select("id", "message_id", "thread_id", "position", "depth").unionByName(placed)
 
 
-def _with_copies(emails: DataFrame, placed: DataFrame) -> DataFrame:
-    """Places of all messages: copies of a message id share one, and a message without an id is a thread of its own."""
+def _with_copies(emails: DataFrame, placed: DataFrame, copies: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Places of all messages: copies of a message id share one, and a message without an id is a thread of its own.
+
+    ``copies``: the message ids that several messages have, and these messages, if known; only they are joined then.
+    """
     ids = emails.select("id", "message_id")
-    with_id = ids.join(placed.drop("id"), "message_id").select("id", "thread_id", F.col("position").cast("int").alias("position"), F.col("depth").cast("int").alias("depth"))
+    if copies is None:
+        every = ids.join(placed.drop("id"), "message_id")
+    else:
+        several, messages = copies
+        every = placed.join(several, "message_id", "left_anti").unionByName(messages.join(placed.drop("id"), "message_id"))
+    with_id = every.select("id", "thread_id", F.col("position").cast("int").alias("position"), F.col("depth").cast("int").alias("depth"))
     bare = ids.where("message_id is null").select("id", F.col("id").alias("thread_id"), F.lit(0).alias("position"), F.lit(0).alias("depth"))
     return with_id.unionByName(bare).select(*_OUT)
 
@@ -168,9 +202,11 @@ def threads(emails: DataFrame, by_subject: bool = False) -> DataFrame:
     A thread's id is that of its first message in pre-order.
     """
     with Scratch(emails.sparkSession) as scratch:
-        places = nodes(emails, scratch)
+        places, several = _trees(emails, scratch)
+        # Written, so that Spark knows their size: where there are no copies, nothing is moved to find them.
+        copies = several, scratch.written(emails.select("id", "message_id").join(several, "message_id", "left_semi"), "copies")
         placed = merged(scratch.written(places, "places"), scratch) if by_subject else places
-        return result(_with_copies(emails, placed))
+        return result(_with_copies(emails, placed, copies))
 
 
 @dataclass
