@@ -10,6 +10,9 @@
 
 Why the sample is content-defined instead of the residues of a difference cover: see README.
 
+Texts of a chunk are cut together: neither the choice of the samples nor the removed bytes take work per text but for
+lists told and the hash of what is kept.
+
 Defined results: a null text has no bytes; texts under WIDTH bytes lose nothing; equal texts of WIDTH bytes or more
 lose all; a null doc_id is a document of its own that is compared within itself only; other columns are not read.
 """
@@ -31,6 +34,13 @@ from postlake.llm.shared import buckets_for
 WIDTH, GRAM = 200, 50
 
 
+#: Windows ranked at a time, so that all arrays of a piece stay in the processor's cache; ranks keep places in 16 bits.
+_PIECE = 1 << 15
+#: Bytes of texts cut together; a longer text comes alone.
+_CHUNK = 1 << 18
+_U = np.uint64
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     done = 1
     while done * 2 <= width:
@@ -40,45 +50,82 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
+def _ranks(buf: np.ndarray) -> np.ndarray:
+    """An order of the GRAM bytes from each place on, as 16 bits above the place itself: of equal ones the first is least. It only chooses; names are hashed anew."""
+    n = len(buf) - GRAM + 1
+    eight = hashing.loads(buf)[: len(buf) - 7] * _U(0x9E3779B97F4A7C15)
+    eight ^= eight >> _U(32)
+    two = eight[:-8] * _U(0xBF58476D1CE4E5B9) + eight[8:]
+    four = two[:-16] * _U(0x94D049BB133111EB) + two[16:]
+    rank = (four[:n] * _U(0xD6E8FEB86659FD93) + two[32 : 32 + n]) * _U(0xA0761D6478BD642F) + eight[GRAM - 8 :]
+    return ((rank >> _U(32)).astype(np.uint32) & np.uint32(0xFFFF0000)) | np.arange(n, dtype=np.uint32)
+
+
 class Segments:
-    """The segments of one text: first window, end (exclusive), name, hash."""
-
-    def __init__(self, data: np.ndarray):
-        self.n, self.data = len(data), data
-        if self.n < WIDTH:
-            self.first = self.end = np.zeros(0, np.int64)
-            self.name = self.hash = np.zeros(0, np.uint64)
-            self.twice = np.zeros(0, bool)
-            return
-        grams = hashing.byte_windows(data, GRAM)
-        names = _sliding_min(grams, WIDTH - GRAM + 1)
-        self.first = np.flatnonzero(runs.first_of_runs(names))
-        self.end = np.append(self.first[1:], len(names))
-        self.name = hashing.mix(names[self.first])
-        # Segments whose naming gram the text has at two places: only they can hold a repeat within the text.
-        known = np.unique(names[self.first])
-        place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        often = np.bincount(place[known[place] == grams], minlength=len(known)) > 1
-        self.twice = often[np.searchsorted(known, names[self.first])]
-        raw = data.tobytes()
-        self.hash = np.array([hashing.digest64(raw[a : b - 1 + WIDTH]) for a, b in zip(self.first.tolist(), self.end.tolist())], np.uint64)
+    """The segments of texts that lie one after another: first window, end (exclusive), text, name, and whether the text has the name's bytes at two places."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        self.buf, self.off, self.raw = buf, off, memoryview(buf)
+        last = off[1:] - WIDTH  # a text's last window
+        begins, n = off[:-1][last >= off[:-1]], max(0, len(buf) - WIDTH + 1)
+        firsts, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, n, _PIECE):
+            b = min(n, a + _PIECE)
+            least = _sliding_min(_ranks(buf[a : b - 1 + WIDTH]), WIDTH - GRAM + 1)
+            new = runs.first_of_runs(least)
+            new[begins[slice(*np.searchsorted(begins, (a, b)))] - a] = True
+            at = np.flatnonzero(new)
+            firsts.append(at + a)
+            grams.append((least[at] & np.uint32(0xFFFF)).astype(np.int64) + a)
+        first, gram = np.concatenate(firsts), np.concatenate(grams)
+        text = np.searchsorted(off, first, "right") - 1
+        keep = first <= last[text] if len(first) else np.zeros(0, bool)
+        first, gram, text = first[keep], gram[keep], text[keep]
+        eight = hashing.loads(buf)
+        name = np.zeros(len(gram), _U)
+        for k in (*range(0, GRAM - 8, 8), GRAM - 8):
+            name = hashing.join(name, eight[gram + k])
+        # Only a text that has the gram at two places can hold a repeat within itself.
+        twice = np.zeros(len(first), bool)
+        one = runs.first_of_runs(name) | runs.first_of_runs(text)
+        twice[np.flatnonzero(~one & runs.first_of_runs(gram))] = True
+        at = np.flatnonzero(one)
+        self.twice = np.logical_or.reduceat(twice, at) if len(at) else twice
+        self.first, self.text, self.name = first[at], text[at], name[at]
+        self.end = np.minimum(np.append(self.first[1:], n), last[self.text] + 1) if len(at) else self.first
+        key = self.name + hashing.mix(self.text.astype(_U))
+        order = np.argsort(key)
+        again = ~runs.first_of_runs(key[order])
+        self.twice[order[again | np.append(again[1:], False)]] = True
+        self.at = np.searchsorted(self.text, np.arange(len(off)))
+
+    def of(self, i: int) -> slice:
+        """The segments of text i."""
+        return slice(self.at[i], self.at[i + 1])
+
+    def hashes(self, which: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """BLAKE2b of all bytes that the windows of the segments cover."""
+        raw = self.raw
+        return np.array([hashing.digest64(raw[a : b - 1 + WIDTH]) for a, b in zip(self.first[which].tolist(), self.end[which].tolist())], np.uint64)
 
     def windows(self, which: np.ndarray) -> np.ndarray:
         """Places of the windows of the chosen segments."""
         return hashing.ranges(self.first[which], (self.end - self.first)[which])
 
     def prefixes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of the chosen segments and the fingerprints of their bytes, a stretch of neighbouring segments at a time."""
+        """Windows of the chosen segments and the fingerprints of their bytes; stretches of neighbouring segments lie one after another, a piece of them is hashed at a time."""
         if not len(which):
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        parts = np.split(which, np.flatnonzero(np.diff(which) > 1) + 1)
-        return self.windows(which), np.concatenate([hashing.byte_windows(self.data[self.first[p[0]] : self.end[p[-1]] - 1 + WIDTH], WIDTH) for p in parts])
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    for a, b, buf, off in hashing.texts(batch):
-        for i in range(b - a):
-            yield a + i, buf[off[i] : off[i + 1]]
+        start, end = self.first[which], self.end[which]
+        new = np.append(True, (start[1:] != end[:-1]) | (start[1:] // _PIECE != start[:-1] // _PIECE))
+        start, end = start[new], end[np.append(np.flatnonzero(new)[1:], len(end)) - 1]
+        size = end - start - 1 + WIDTH
+        piece = np.cumsum(size) // _PIECE
+        out = []
+        for a, b in zip(*(lambda c: (c, [*c[1:], len(size)]))(np.flatnonzero(runs.first_of_runs(piece)).tolist())):
+            h = hashing.byte_windows(self.buf[hashing.ranges(start[a:b], size[a:b])], WIDTH)
+            out.append(h[hashing.ranges(np.cumsum(size[a:b]) - size[a:b], (end - start)[a:b])])
+        return self.windows(which), np.concatenate(out)
 
 
 REQUEST = "bucket int, names binary, hashes binary, many binary, base long, docs binary, doc_id long, whole binary, apart binary"
@@ -139,9 +186,9 @@ def _known(slim: DataFrame, n_buckets: int) -> DataFrame:
         def entries():
             for batch in batches:
                 ids = batch.column(0).to_numpy()
-                for i, data in _texts(batch):
-                    s = Segments(data)
-                    yield s.name, s.hash, np.full(len(s.name), ids[i])
+                for a, b, buf, off in hashing.texts(batch, most=_CHUNK):
+                    s = Segments(buf, off)
+                    yield s.name, s.hashes(), ids[a:b][s.text]
 
         yield from runs.sent((r for n, h, d in runs.chunks(entries(), 1_000_000) for r in _asked(n, h, d, n_buckets)), REQUEST_ARROW)
 
@@ -149,32 +196,53 @@ def _known(slim: DataFrame, n_buckets: int) -> DataFrame:
     return answers.groupBy("doc_id").agg(F.collect_list("whole").alias("whole"), F.collect_list("apart").alias("apart"))
 
 
+def _chosen(s: Segments, blobs: list[list | None]) -> np.ndarray:
+    """The segments whose hashes were told, text by text."""
+    out = [np.zeros(0, np.int64)]
+    for i, told in enumerate(blobs):
+        if told:
+            out.append(s.at[i] + np.flatnonzero(runs.members(s.hashes(s.of(i)), told)))
+    return np.concatenate(out)
+
+
 def _prefix_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     ids = batch.column(0).to_numpy()
-    for i, data in _texts(batch):
-        blobs = batch.column("apart")[i].as_py()
-        if blobs:
-            s = Segments(data)
-            at, h = s.prefixes(np.flatnonzero(runs.members(s.hash, blobs)))
-            raw = data.tobytes()
-            yield h, np.frombuffer(b"".join(blake2b(raw[a : a + WIDTH], digest_size=4).digest() for a in at.tolist()), "<u4"), np.full(len(h), ids[i])
-
-
-def _gone(data: np.ndarray, whole: list | None, apart: list | None, found: list | None) -> np.ndarray:
-    """The bytes of a text that repeated windows cover."""
-    s = Segments(data)
+    for a, b, buf, off in hashing.texts(batch, most=_CHUNK):
+        s = Segments(buf, off)
+        which = _chosen(s, batch.column("apart")[a:b].to_pylist())
+        at, h = s.prefixes(which)
+        check = b"".join([blake2b(s.raw[k : k + WIDTH], digest_size=4).digest() for k in at.tolist()])
+        yield h, np.frombuffer(check, "<u4"), np.repeat(ids[a:b][s.text[which]], (s.end - s.first)[which])
+
+
+def _repeated(s: Segments, whole: list, apart: list, found: list) -> np.ndarray:
+    """The windows of the texts that are repeated, in order."""
     hit = [np.zeros(0, np.int64)]
-    if whole:
-        hit.append(s.windows(np.flatnonzero(runs.members(s.hash, whole))))
-    if found:
-        at, h = s.prefixes(np.flatnonzero(runs.members(s.hash, apart)))
-        hit.append(at[runs.members(h, found)])
-    if s.twice.any():
-        at, h = s.prefixes(np.flatnonzero(s.twice))
-        _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-        hit.append(at[n[inverse] > 1])
-    at = np.concatenate(hit)
-    return runs.covered(at, WIDTH, len(data)) if len(at) else np.zeros(len(data), bool)
+    hashes = [s.hashes(s.of(i)) if w or f else None for i, (w, f) in enumerate(zip(whole, found))]
+    for i, h in enumerate(hashes):
+        if whole[i]:
+            hit.append(s.windows(s.at[i] + np.flatnonzero(runs.members(h, whole[i]))))
+        if found[i]:
+            at, p = s.prefixes(s.at[i] + np.flatnonzero(runs.members(h, apart[i])))
+            hit.append(at[runs.members(p, found[i])])
+    which = np.flatnonzero(s.twice)
+    if len(which):
+        at, h = s.prefixes(which)
+        h = h + hashing.mix(np.repeat(s.text[which], (s.end - s.first)[which]).astype(np.uint64))
+        order = np.argsort(h)
+        again = ~runs.first_of_runs(h[order])
+        hit.append(at[order[again | np.append(again[1:], False)]])
+    return np.sort(np.concatenate(hit))
+
+
+def _spans(at: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that the windows cover, and the first run of each text."""
+    if not len(at):
+        return at, at, np.zeros(len(off), np.int64)
+    text = np.searchsorted(off, at, "right")
+    new = np.append(True, (np.diff(at) > WIDTH) | (text[1:] != text[:-1]))
+    start, end = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] + WIDTH
+    return start, end, np.searchsorted(start, off)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -189,10 +257,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for i, data in _texts(batch):
-                gone = _gone(data, *(batch.column(c)[i].as_py() for c in ("whole", "apart", "found")))
-                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append({"doc_id": batch.column(0)[i].as_py(), "n_bytes": len(data), "n_removed": int(gone.sum()), "n_spans": spans, "kept_sha256": hashlib.sha256(data[~gone].tobytes() if spans else data).hexdigest()})
+            for a, b, buf, off in hashing.texts(batch, most=_CHUNK):
+                s = Segments(buf, off)
+                start, end, of = _spans(_repeated(s, *(batch.column(c)[a:b].to_pylist() for c in ("whole", "apart", "found"))), off)
+                for i, d in enumerate(batch.column(0)[a:b].to_pylist()):
+                    kept, at = hashlib.sha256(), off[i]
+                    for k in range(of[i], of[i + 1]):
+                        kept.update(s.raw[at : start[k]])
+                        at = end[k]
+                    kept.update(s.raw[at : off[i + 1]])
+                    mine = slice(of[i], of[i + 1])
+                    out.append({"doc_id": d, "n_bytes": int(off[i + 1] - off[i]), "n_removed": int((end[mine] - start[mine]).sum()), "n_spans": int(of[i + 1] - of[i]), "kept_sha256": kept.hexdigest()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
     told = known.join(found, "doc_id", "full")
