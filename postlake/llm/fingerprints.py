@@ -191,7 +191,7 @@ class FingerprintIndex:
 
         slim = docs.where("doc_id is not null").select("doc_id", "text")
         if few:
-            slim = squeezed(slim).join(anchors.withColumnRenamed("found", "anchors"), "doc_id")
+            slim = squeezed(slim).join(anchors.withColumnRenamed("found", "anchors").hint("merge"), "doc_id")
         asked = slim.mapInArrow(ask, runs.REQUEST)
         by = asked.groupBy("bucket")
         self._commit(by.cogroup(self._placed(past).groupBy("bucket")).applyInArrow(_joined, RUN) if past else by.applyInArrow(_first, RUN), batch)
@@ -235,10 +235,9 @@ def _finished(docs: DataFrame, found: DataFrame, with_text: bool, rest: tuple[st
     along = [F.struct(*rest).alias("rest")] if rest else []
 
     def run(batches):
-        for batch in (part for whole in batches for part in restored(whole)):
-            out = []
+        for batch in (part for whole in batches for part in (restored(whole) if pa.types.is_binary(whole.schema.field("text").type) else (whole,))):
             for a, b, buf, off in hashing.texts(batch):
-                blobs = batch.column("found").slice(a, b - a).to_pylist()
+                out, blobs = [], batch.column("found").slice(a, b - a).to_pylist()
                 own, text, place, _ = _windows(buf, off) if any(blobs) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), None)
                 cut = np.searchsorted(text, np.arange(b - a + 1))
                 for i in range(b - a):
@@ -250,14 +249,16 @@ def _finished(docs: DataFrame, found: DataFrame, with_text: bool, rest: tuple[st
                     row = {"doc_id": batch.column("doc_id")[a + i].as_py(), "n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
                     # A text that loses nothing keeps its own white space.
                     out.append(row | ({"text": kept.decode() if len(hit) else batch.column("text")[a + i].as_py()} if with_text else {}))
-            schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string())] * with_text)
-            made = pa.RecordBatch.from_pylist(out, schema).select([x.split()[0] for x in f"doc_id long, {extra}n_words long, n_removed long, kept_sha256 string".split(", ")])
-            yield made.append_column("rest", batch.column("rest")) if rest else made
+                schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string())] * with_text)
+                made = pa.RecordBatch.from_pylist(out, schema).select([x.split()[0] for x in f"doc_id long, {extra}n_words long, n_removed long, kept_sha256 string".split(", ")])
+                yield made.append_column("rest", batch.column("rest").slice(a, b - a)) if rest else made
 
     sent = docs.select("doc_id", "text", *along)
     schema = T.StructType([*T.StructType.fromDDL(f"doc_id long, {extra}n_words long, n_removed long, kept_sha256 string"), *(f for f in sent.schema if f.name == "rest")])
-    slim = squeezed(sent.where("doc_id is not null")).join(found, "doc_id", "left")
-    bare = squeezed(sent.where("doc_id is null")).withColumn("found", F.lit(None).cast("array<binary>"))
+    # A worker of a task that runs two of these functions stays and takes turns with the other, so no stage has both: the
+    # join shuffles, and texts that cross no shuffle go as they are.
+    slim = squeezed(sent.where("doc_id is not null")).join(found.hint("merge"), "doc_id", "left")
+    bare = sent.where("doc_id is null").withColumn("found", F.lit(None).cast("array<binary>"))
     return slim.mapInArrow(run, schema).unionByName(bare.mapInArrow(run, schema))
 
 
